@@ -1,0 +1,268 @@
+"""Secret scan: candidates by pattern, false positives removed by a random forest.
+
+A pattern finds strings that could be credentials: runs of credential letters with a digit in them, and quoted or assigned
+values after a telling name. A random forest, trained here from labelled findings, then judges each by its length, its
+character transitions, how much of it dictionary words cover, its path (the document's source) and the words around it.
+The trees are small arrays; each task scores its candidates with them, so no text leaves its row.
+
+Labelled findings: a table (before, value, after, path, secret). labelled() builds a bounded one (TRAINING rows) from seeded
+random credentials and look-alikes (digests, identifiers, numbers, placeholders); callers may pass their own.
+
+Defined results: null or empty text has no candidates; overlapping patterns count once, the leftmost longest; repeated rows are
+scanned each; very long texts are scanned whole; an empty table gives no rows; redact() keeps all columns of docs, whatever
+their names, and updates n_chars if there is one.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that the forest is fitted on at most, its trees and their depth.
+TRAINING, TREES, DEPTH = 6000, 40, 9
+LEAST = 0.5
+MASK = "[SECRET]"
+#: The same letters in Java and in Python: only ASCII classes.
+RUN = r"(?<![A-Za-z0-9_+/=\-.@])(?=[A-Za-z_+/=\-]{0,24}[0-9])[A-Za-z0-9_+/=\-]{16,}"
+NAMED = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assw(?:or)?d|PASSWO?R?D|[Aa][Pp][Ii][_\-]?[Kk]ey|API_?KEY|[Pp]rivate[_\-]?[Kk]ey|[Aa]ccess[_\-]?[Kk]ey|ACCESS_KEY|[Cc]redential|[Aa]uth)[\"']?[ ]{0,2}[:=]{1,2}[ ]{0,2}[\"']?"
+VALUE = r"[A-Za-z0-9_+/=\-.!@#$%^&*]{8,}"
+# Names that announce a credential, and words that announce a harmless look-alike.
+TELLING = "token secret password passwd pwd apikey api_key key credential auth bearer private access login".split()
+HARMLESS = "commit sha sha1 sha256 md5 checksum digest hash uuid guid id isbn order invoice phone card number version build test example dummy sample placeholder fixture".split()
+# Words that identifiers are made of.
+DICTIONARY = "the and for with user name test data file path index value config service manager handler example sample default session request response client server table column string number address account message system module class function object model train batch token secret password access public private image video audio content title header footer button".split()
+CLASSES = re.compile("([a-z]+)|([A-Z]+)|([0-9]+)|([^a-zA-Z0-9]+)")
+
+
+class Finding(NamedTuple):
+    before: str
+    value: str
+    after: str
+    path: str
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of every candidate of a text, in order, without overlaps."""
+    named = [(m.end(), v.end()) for m in _NAMED.finditer(text) if (v := _VALUE.match(text, m.end()))]
+    spans = sorted({*named, *(m.span() for m in _RUN.finditer(text))}, key=lambda s: (s[0], -s[1]))
+    done = -1
+    for a, b in spans:
+        if a >= done:
+            yield a, b
+            done = b
+
+
+_RUN, _NAMED, _VALUE = re.compile(RUN), re.compile(NAMED), re.compile(VALUE)
+
+
+def features(f: Finding) -> list[float]:
+    v, n = f.value, len(f.value)
+    low = v.lower()
+    kinds = [m.lastindex for m in CLASSES.finditer(v)]
+    counts = np.unique(np.frombuffer(v.encode(), np.uint8), return_counts=True)[1] / max(1, len(v.encode()))
+    covered = np.zeros(len(low), bool)
+    for w in DICTIONARY:
+        for m in re.finditer(w, low):
+            covered[m.start() : m.end()] = True
+    before = re.findall(r"[A-Za-z0-9_]+", f.before.lower())[-4:]
+    near = before[-1:]
+    vowels = sum(c in "aeiou" for c in low)
+    letters = sum(c.isalpha() for c in v)
+    return [
+        n,
+        float(-(counts * np.log2(counts)).sum()),
+        (len(kinds) - 1) / max(1, n - 1),  # character transitions
+        max((len(m[0]) for m in CLASSES.finditer(v)), default=0) / n,
+        sum(c.isdigit() for c in v) / n,
+        sum(c.isupper() for c in v) / n,
+        float(v.isdigit()),
+        float(bool(re.fullmatch(r"[0-9a-fA-F]+", v))),
+        vowels / max(1, letters),
+        covered.mean() if n else 0.0,  # dictionary coverage
+        float(any(t in w for w in near for t in TELLING)),
+        float(any(t in w for w in before for t in TELLING)),
+        float(any(w in HARMLESS for w in before)),
+        float(bool(re.search(r"[:=][\s\"']*$", f.before))),
+        float(f.before[-1:] in ("'", '"')),
+        float(f.after[:1] in ("'", '"')),
+        float(any(w in f.path.lower() for w in ("test", "example", "fixture", "doc"))),
+        float(bool(re.fullmatch(r"(.)\1*|x+|\*+|(.{1,4})\2+", v))),
+        v.count("-") / n,
+        len(set(v)) / n,
+    ]
+
+
+def labelled(rows: int = TRAINING, seed: int = 7) -> list[tuple[Finding, bool]]:
+    """Seeded labelled findings: half credentials in telling places, half look-alikes."""
+    r = random.Random(seed)
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = ["token", "secret", "password", "api_key", "apikey", "access_key", "private_key", "auth_token", "client_secret", "TOKEN", "Password", "SECRET_KEY"]
+    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve qu ch au eu".split()
+
+    def word() -> str:
+        return "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
+
+    def text(k: int) -> str:
+        return " ".join(word() for _ in range(k))
+
+    def some(alphabet: str, low: int, high: int) -> str:
+        return "".join(r.choice(alphabet) for _ in range(r.randint(low, high)))
+
+    def secret() -> tuple[str, str, str]:
+        value = r.choice([lambda: some(hexes, 32, 64), lambda: some(hexes, 40, 40), lambda: some(hexes.upper(), 32, 40), lambda: some(mixed, 16, 48), lambda: some(mixed + "+/", 32, 60), lambda: r.choice(["sk_live_", "ghp_", "AKIA"]) + some(mixed, 16, 36), lambda: some(mixed + "!@#$%", 10, 20)])()
+        quote = r.choice(['"', "'", ""])
+        return f"{text(4)} {r.choice(names)}{r.choice([' = ', '=', ': ', ':'])}{quote}", value, f"{quote}{r.choice(['', '!!', '###', ';'])} {text(3)}"
+
+    def other() -> tuple[str, str, str]:
+        kind = r.randrange(8)
+        if kind == 0:
+            return f"{text(3)} {r.choice(HARMLESS)}{r.choice([' ', ': ', '='])}", some(hexes, 32, 64), f" {text(3)}"
+        if kind == 1:
+            return f"{text(4)} ", some("0123456789", 13, 20), f" {text(3)}"
+        if kind == 2:
+            return f"{text(3)} ", "-".join(some(hexes, k, k) for k in (8, 4, 4, 4, 12)), f" {text(3)}"
+        if kind == 3:
+            return f"{text(3)} ", "_".join(r.choice(DICTIONARY) for _ in range(4)) + some("0123456789", 1, 3), f" {text(2)}"
+        if kind == 4:
+            return f"{text(2)} {r.choice(names)}{r.choice([' = ', ': '])}\"", r.choice(["x" * 16, "changeme1", "your_token_here", "0" * 20, "password123", "example-token-1", "abcabcabcabc", "<redacted>..."]), f'" {text(2)}'
+        if kind == 5:
+            return f"{text(3)} ", word() + word() + some("0123456789", 1, 4) + word() + word(), f" {text(3)}"
+        if kind == 6:
+            return f"{text(2)} {r.choice(names)}: ", word() + word() + word(), f" {text(2)}"
+        return f"{text(3)} see ", "/".join(["a" + word(), word(), word() + some("0123456789", 1, 2), "index"]), f" {text(3)}"
+
+    out = []
+    for i in range(rows):
+        before, value, after = secret() if i % 2 else other()
+        out.append((Finding(before, value, after, f"src{r.randrange(40)}" if r.random() < 0.9 else "tests/data"), bool(i % 2)))
+    return out
+
+
+class Forest:
+    """A random forest over binary labels: bootstrap rows, a random third of the features at each split, Gini impurity."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> None:
+        rng = np.random.default_rng(seed)
+        self.depth, self.trees = depth, []
+        for _ in range(trees):
+            rows = rng.integers(0, len(y), len(y))
+            size = 2 ** (depth + 1) - 1
+            tree = (np.zeros(size, np.int64), np.full(size, np.inf), np.zeros(size))
+            self._grow(tree, 0, 0, x[rows], y[rows].astype(float), rng)
+            self.trees.append(tree)
+
+    def _grow(self, tree: tuple, node: int, level: int, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
+        feature, cut, value = tree
+        value[node] = y.mean() if len(y) else value[(node - 1) // 2]
+        best = (np.inf, 0, np.inf)
+        if level < self.depth and len(y) >= 8 and 0 < value[node] < 1:
+            for f in rng.choice(x.shape[1], max(1, x.shape[1] // 3), replace=False):
+                order = np.argsort(x[:, f], kind="stable")
+                xs, ys = x[order, f], np.cumsum(y[order])
+                at = np.flatnonzero(xs[1:] > xs[:-1]) + 1
+                if len(at):
+                    left, right = ys[at - 1], ys[-1] - ys[at - 1]
+                    n, m = at, len(y) - at
+                    cost = left * (1 - left / n) + right * (1 - right / m)
+                    k = int(cost.argmin())
+                    best = min(best, (float(cost[k]), int(f), float((xs[at[k] - 1] + xs[at[k]]) / 2)))
+        if best[0] < np.inf:
+            feature[node], cut[node] = best[1:]
+            left = x[:, best[1]] <= best[2]
+            self._grow(tree, 2 * node + 1, level + 1, x[left], y[left], rng)
+            self._grow(tree, 2 * node + 2, level + 1, x[~left], y[~left], rng)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Share of trees' leaf means; one row of x per candidate."""
+        total = np.zeros(len(x))
+        for feature, cut, value in self.trees:
+            at = np.zeros(len(x), np.int64)
+            for _ in range(self.depth):
+                inner = cut[at] < np.inf
+                at = np.where(inner, 2 * at + 1 + (x[np.arange(len(x)), feature[at]] > cut[at]), at)
+            total += value[at]
+        return total / len(self.trees)
+
+
+def train(findings: Iterable[tuple[Finding, bool]]) -> Forest:
+    found = list(findings)[:TRAINING]
+    return Forest(np.array([features(f) for f, _ in found]), np.array([s for _, s in found]))
+
+
+_FOREST: list[Forest] = []
+
+
+def trained() -> Forest:
+    """The forest from labelled(), fitted once for each process."""
+    if not _FOREST:
+        _FOREST.append(train(labelled()))
+    return _FOREST[0]
+
+
+def found_in(text: str, path: str, forest: Forest) -> list[tuple[int, int, float]]:
+    """(start, end, probability) of every candidate of a text."""
+    spans = list(candidates(text))
+    if not spans:
+        return []
+    x = np.array([features(Finding(text[max(0, a - 48) : a], text[a:b], text[b : b + 16], path)) for a, b in spans])
+    return [(a, b, float(p)) for (a, b), p in zip(spans, forest.score(x))]
+
+
+#: A row can have candidates only if this matches; Java's regex, before any text goes to Python.
+POSSIBLE = f"{RUN}|{NAMED}"
+
+
+def scan(docs: DataFrame, forest: Forest | None = None, least: float = LEAST) -> DataFrame:
+    """doc_id, start, length, probability, is_secret and value_sha256 (values stay out of reports) of every candidate."""
+    forest = forest or trained()
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            rows = []
+            for i, (text, path) in enumerate(zip(b.column(1), b.column(2))):
+                t = text.as_py()
+                rows += [(i, s, e - s, p, p >= least, hashlib.sha256(t[s:e].encode("utf-8", "surrogatepass")).hexdigest()) for s, e, p in found_in(t, path.as_py() or "", forest)]
+            if rows:
+                who, start, length, p, is_secret, digest = map(list, zip(*rows))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(p), pa.array(is_secret), pa.array(digest)], ["doc_id", "start", "length", "probability", "is_secret", "value_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    possible = docs.select("doc_id", "text", F.col("source").cast("string").alias("source")).where(F.col("text").rlike(POSSIBLE))
+    return possible.mapInArrow(batches, f"doc_id {kind}, start bigint, length bigint, probability double, is_secret boolean, value_sha256 string")
+
+
+def redact(docs: DataFrame, forest: Forest | None = None, least: float = LEAST, mask: str = MASK) -> DataFrame:
+    """docs with every secret in text replaced by mask."""
+    forest = forest or trained()
+
+    @F.pandas_udf("string")
+    def masked(text, path):  # noqa: ANN001, ANN202
+        def one(t: str | None, p: str | None) -> str | None:
+            parts, at = [], 0
+            for s, e, chance in found_in(t or "", p or "", forest):
+                if chance >= least:
+                    parts += [t[at:s], mask]
+                    at = e
+            return "".join([*parts, t[at:]]) if at else t
+
+        return type(text)([one(t, p) for t, p in zip(text, path)], dtype=object)
+
+    possible = F.coalesce(F.col("text").rlike(POSSIBLE), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    clean = docs.where(~possible).select(*columns)
+    found = docs.where(possible).withColumn("text", masked("text", F.col("source").cast("string")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.unionByName(found.select(*columns))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
