@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op4_mixing
+from .packing import op6_packing
 from .quality import op9_quality_rules
+from .secret_scan import op5_secret_scans
 from .simhash import op2_simhash
+from .token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_simhash,
+        op4_mixing,
+        op5_secret_scans,
+        op6_packing,
+        op7_token_files,
         op9_quality_rules,
     )
 }
