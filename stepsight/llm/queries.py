@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op1_embedding_near_dedup
 from .mixing import op4_mixing
 from .packing import op6_packing
 from .quality import op9_quality_rules
@@ -16,6 +17,7 @@ from .token_files import op7_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_embedding_near_dedup,
         op2_simhash,
         op4_mixing,
         op5_secret_scans,
