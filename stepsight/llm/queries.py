@@ -12,6 +12,7 @@ from .packing import op6_packing
 from .quality import op9_quality_rules
 from .secret_scan import op5_secret_scans
 from .simhash import op2_simhash
+from .suffix_dedup import op3_suffix_dedup
 from .token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_embedding_near_dedup,
         op2_simhash,
+        op3_suffix_dedup,
         op4_mixing,
         op5_secret_scans,
         op6_packing,
