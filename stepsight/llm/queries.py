@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import op1_embedding_near_dedup
+from .language import op8_language
+from .licenses import op10_license_scans
 from .mixing import op4_mixing
 from .packing import op6_packing
 from .quality import op9_quality_rules
@@ -25,7 +27,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_secret_scans,
         op6_packing,
         op7_token_files,
+        op8_language,
         op9_quality_rules,
+        op10_license_scans,
     )
 }
 SQL: dict[str, str] = {}
