@@ -1,6 +1,451 @@
-"""Every query over the reference's own work, with its SQL."""
+"""Every query over the reference's own work, with its SQL. Lists become strings and doubles are rounded, so that rows hash alike."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.patterns import CONCEPTS
+from ..functions.pyjson import canonical_json
+from ..operators import attest, corpus, drift, evaluate, findings, report
+from ..sources import sessions
+from ..sources.testview import DUCKDB, TURNS, raw_lines, steps, turns
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def flat(df: DataFrame) -> DataFrame:
+    return df.withColumn("step_ids", F.array_join("step_ids", ","))
+
+
+def payload_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("payload_text", F.concat("tool_name", F.lit(" "), F.coalesce("file_path", "command", F.lit(""))))
+
+
+def rounded(c: Column | str) -> Column:
+    return F.round(c, 9)
+
+
+VERIFY = "regexp_matches(coalesce(command, ''), '\\b(pytest|unittest|jest|vitest|ruff|flake8|eslint|mypy|tox)\\b|\\bnpm\\s+(test|run\\s+test)\\b|\\bgo\\s+test\\b|\\bcargo\\s+test\\b|\\bmake\\s+(test|lint)\\b', 'i')"
+COMMIT = "regexp_matches(coalesce(command, ''), '\\bgit\\s+commit\\b', 'i')"
+EDITOR = "tool_name IN ('Write', 'Edit', 'NotebookEdit')"
+FINDING = "'{rule}' AS rule_id, '{severity}' AS severity"
+SCOPE = f"""SELECT trace_id, {FINDING.format(rule="scope-escape", severity="high")}, seq, step_id AS step_ids, concat(tool_name, ' ', file_path) AS detail FROM steps
+ WHERE {EDITOR} AND cwd IS NOT NULL AND NOT (file_path = cwd OR starts_with(file_path, cwd || '/') OR starts_with(file_path, '/tmp/'))"""
+CHURN = f"""SELECT trace_id, {FINDING.format(rule="churn-burst", severity="medium")}, min(seq) AS seq, string_agg(step_id, ',' ORDER BY seq) AS step_ids, concat(file_path, ' ', count(*)) AS detail FROM (
+ SELECT *, sum(CASE WHEN tool_name = 'Read' THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, file_path ORDER BY seq) AS re FROM (
+ SELECT *, sum(CASE WHEN tool_name = 'Bash' AND {VERIFY} THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY seq) AS ve FROM steps) WHERE file_path IS NOT NULL)
+ WHERE {EDITOR} GROUP BY trace_id, file_path, ve, re HAVING count(*) >= 4"""
+COMMITS = f"""SELECT trace_id, {FINDING.format(rule="commit-without-tests", severity="medium")}, seq, step_id AS step_ids, command AS detail FROM (
+ SELECT *, max(CASE WHEN {VERIFY} THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, epoch ORDER BY seq) AS seen FROM (
+ SELECT *, coalesce(sum(CASE WHEN {COMMIT} THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM steps WHERE tool_name = 'Bash'))
+ WHERE {COMMIT} AND seen = 0"""
+TRIPS = """SELECT trace_id, concat('tripwire:', name) AS rule_id, 'high' AS severity, seq, step_id AS step_ids, command AS detail FROM steps, (VALUES
+ ('destructive-rm', '\\brm\\s+(-\\w*r\\w*f\\w*|-\\w*f\\w*r\\w*)\\b'), ('force-push', '\\bgit\\s+push\\b[^\\n]*(--force\\b|-f\\b)'), ('db-migration', '\\b(alembic\\s+upgrade|manage\\.py\\s+migrate|django-admin\\s+migrate|rails\\s+db:migrate|prisma\\s+migrate\\s+deploy)\\b'),
+ ('env-write', '(^|[\\s;&|])(>>?|\\btee\\b)[^\\n]{0,40}\\.env(\\.[a-zA-Z0-9_]+)?(\\s|$|[''"])'), ('docker-compose-down', '\\bdocker[\\s-]compose\\b[^\\n]*\\bdown\\b'), ('kubectl-delete', '\\bkubectl\\s+delete\\b'), ('drop-table', '\\bDROP\\s+TABLE\\b')) AS p(name, pattern)
+ WHERE tool_name = 'Bash' AND regexp_matches(command, pattern, 'i')"""
+ERRORS = f"""SELECT trace_id, {FINDING.format(rule="error-cluster", severity="medium")}, min(seq) AS seq, string_agg(step_id, ',' ORDER BY seq) FILTER (WHERE is_error) AS step_ids, CAST(count(*) FILTER (WHERE is_error) AS VARCHAR) AS detail FROM (
+ SELECT *, sum(CASE WHEN covered AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY seq) AS island FROM (
+ SELECT *, lag(covered) OVER (PARTITION BY trace_id ORDER BY seq) AS before FROM (
+ SELECT *, coalesce(max(CASE WHEN q THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0) = 1 AS covered FROM (
+ SELECT *, pos <= greatest(n - 5, 0) AND errs >= 3 AS q FROM (
+ SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1 AS pos, count(*) OVER (PARTITION BY trace_id) AS n, sum(CASE WHEN is_error THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS errs FROM steps WHERE action_type = 'env_effect')))))
+ WHERE covered GROUP BY trace_id, island HAVING count(*) FILTER (WHERE is_error) > 0"""
+DELEGATIONS = f"SELECT trace_id, {FINDING.format(rule='delegation-unobserved', severity='info')}, seq, step_id AS step_ids, tool_name AS detail FROM steps WHERE delegation_unobserved"
+ABANDONED = f"""SELECT w.trace_id, {FINDING.format(rule="abandoned-artifact", severity="low")}, w.seq, w.step_id AS step_ids, w.file_path AS detail FROM steps w WHERE w.tool_name = 'Write' AND NOT EXISTS (
+ SELECT 1 FROM steps m WHERE m.trace_id = w.trace_id AND m.seq > w.seq AND contains(CASE WHEN m.tool_name IN ('Edit', 'Read', 'NotebookEdit') THEN m.file_path WHEN m.tool_name = 'Bash' THEN m.command WHEN m.action_type = 'env_effect' THEN m.tool_result ELSE '' END, regexp_extract(w.file_path, '[^/]*$')))"""
+ALL = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (SCOPE, CHURN, COMMITS, TRIPS, ERRORS, DELEGATIONS, ABANDONED))
+
+
+@query(f"{DUCKDB} {SCOPE}")
+def f1_scope_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(findings.scope_escape(steps(spark, sf_dir)))
+
+
+@query(f"{DUCKDB} SELECT DISTINCT concat(cwd, '/src/../lib//x') AS cwd, cwd AS root FROM steps WHERE cwd IS NOT NULL AND u % 4 < 3 UNION SELECT DISTINCT concat(cwd, '/src/../lib//x'), concat(cwd, '/src/../lib//x') FROM steps WHERE cwd IS NOT NULL AND u % 4 = 3")
+def f3_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir)
+    repo_roots = s.where("cwd IS NOT NULL AND u % 4 < 3").select(F.col("cwd").alias("root")).union(s.select(F.lit("/nowhere").alias("root")))
+    return findings.roots_of(s.select(F.concat("cwd", F.lit("/src/../lib//x")).alias("cwd")), repo_roots)
+
+
+@query(f"{DUCKDB} SELECT DISTINCT trace_id, 'scope-escape' AS rule_id FROM steps WHERE cwd IS NULL")
+def f3_not_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.not_checked(steps(spark, sf_dir))
+
+
+@query(f"{DUCKDB} {CHURN}")
+def f4_churn_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(findings.churn_burst(steps(spark, sf_dir)))
+
+
+@query(f"{DUCKDB} {COMMITS}")
+def f5_commit_without_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(findings.commit_without_tests(steps(spark, sf_dir)))
+
+
+@query(f"{DUCKDB} {TRIPS}")
+def f6_tripwires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(findings.tripwires(steps(spark, sf_dir)))
+
+
+@query(f"{DUCKDB} {ERRORS}")
+def f7_error_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(findings.error_clusters(steps(spark, sf_dir)))
+
+
+@query(f"{DUCKDB} {DELEGATIONS}")
+def f8_delegation_unobserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(findings.delegation_unobserved(steps(spark, sf_dir)))
+
+
+@query(f"{DUCKDB} {ABANDONED}")
+def f9_abandoned_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(findings.abandoned_artifacts(steps(spark, sf_dir)))
+
+
+@query(f"{DUCKDB} {ALL}")
+def f11_all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(findings.analyze(steps(spark, sf_dir)))
+
+
+@query(f"{DUCKDB} SELECT trace_id, severity, count(*) AS n FROM ({ALL}) GROUP BY ALL")
+def f11_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.severity_counts(findings.analyze(steps(spark, sf_dir)))
+
+
+@query("SELECT tenant, key, value, layer FROM (SELECT *, row_number() OVER (PARTITION BY tenant, key ORDER BY layer DESC) AS r FROM (SELECT user_id AS tenant, event_type AS key, max(value) AS value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS layer FROM events GROUP BY ALL)) WHERE r = 1")
+def f12_layered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rules = ev.groupBy(F.col("user_id").alias("tenant"), F.get_json_object("props", "$.k").cast("long").alias("layer"), F.col("event_type").alias("key")).agg(F.max("value").alias("value"))
+    return findings.layered(rules)
+
+
+@query(f"{DUCKDB} SELECT seq, step_id, trace_id, CASE WHEN regexp_matches(command, '\\brm\\s+-rf') THEN 'delete / rm -rf' ELSE '.env / secret / credential' END AS concept FROM steps WHERE regexp_matches(command, '\\brm\\s+-rf|\\.env\\b')")
+def f13_policy_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir).select(F.struct("trace_id", "seq", "step_id").alias("doc_id"), F.col("command").alias("text"))
+    return findings.concepts_in(s, CONCEPTS).select("doc_id.*", "concept")
+
+
+@query(
+    f"""{DUCKDB}, cwds AS (SELECT DISTINCT concat(cwd, '/src') AS cwd, cwd AS up FROM steps WHERE cwd IS NOT NULL), docs AS (SELECT DISTINCT cwd AS dir, concat(cwd, '/POLICY.md') AS path, 'local' AS scope FROM steps WHERE cwd IS NOT NULL
+ UNION SELECT '/work', '/work/POLICY.md', 'local' FROM steps UNION SELECT '', '/etc/POLICY.md', 'global' FROM steps),
+ found AS (SELECT c.cwd, d.path, -1 AS o FROM cwds c, docs d WHERE scope = 'global' UNION ALL SELECT c.cwd, d.path, CASE WHEN d.dir = c.up THEN 1 ELSE 2 END FROM cwds c JOIN docs d ON scope = 'local' AND d.dir IN (c.up, '/work'))
+ SELECT cwd, path, row_number() OVER (PARTITION BY cwd ORDER BY o, path) AS rank FROM found"""
+)
+def f14_policy_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir).where("cwd IS NOT NULL")
+    docs = s.selectExpr("cwd AS dir", "concat(cwd, '/POLICY.md') AS path", "'local' AS scope").union(s.selectExpr("'/work'", "'/work/POLICY.md'", "'local'")).union(s.selectExpr("''", "'/etc/POLICY.md'", "'global'")).distinct()
+    return findings.policy_in_force(s.select(F.concat("cwd", F.lit("/src")).alias("cwd")), docs)
+
+
+TRIP = "CASE " + " ".join(f"WHEN tool_name = 'Bash' AND regexp_matches(command, '{p}') THEN '{n}'" for n, p in (("destructive-rm", "\\brm\\s+-rf"), ("force-push", "git push --force"), ("env-write", ">> \\.env$"))) + " END"
+TIMELINE = f"""own AS (SELECT *, {TRIP} AS trip, coalesce(tool_name IN ('Edit', 'NotebookEdit'), false) AS edit FROM steps WHERE NOT (action_type = 'env_effect' AND NOT is_error)),
+ isl AS (SELECT *, sum(CASE WHEN edit AND coalesce(pe, false) THEN 0 ELSE 1 END) OVER (PARTITION BY trace_id ORDER BY seq) AS island FROM (SELECT *, lag(edit) OVER (PARTITION BY trace_id ORDER BY seq) AS pe FROM own)),
+ timeline AS (SELECT trace_id, min(seq) AS seq, min_by(step_id, seq) AS step_id, 'edit' AS kind, CASE WHEN count(DISTINCT regexp_extract(file_path, '[^/]*$')) > 1 THEN concat('Edited ', count(*), ' times across ', count(DISTINCT regexp_extract(file_path, '[^/]*$')), ' files')
+ WHEN count(*) = 1 THEN concat('Edited ', min(regexp_extract(file_path, '[^/]*$'))) ELSE concat('Edited ', min(regexp_extract(file_path, '[^/]*$')), ' x', count(*)) END AS summary FROM isl WHERE edit GROUP BY trace_id, island
+ UNION ALL SELECT trace_id, seq, step_id, kind, summary FROM (SELECT *, CASE WHEN action_type = 'env_effect' THEN 'error' WHEN text <> '' THEN 'user' WHEN tool_name = 'Write' THEN 'write' WHEN trip IS NOT NULL THEN 'tripwire' WHEN {COMMIT} THEN 'commit' WHEN tool_name = 'Bash' AND {VERIFY} THEN 'test' WHEN tool_name = 'Task' THEN 'delegation' END AS kind,
+ CASE WHEN action_type = 'env_effect' THEN concat('Error: ', tool_result) WHEN text <> '' THEN text WHEN tool_name = 'Write' THEN concat('Wrote ', file_path) WHEN trip IS NOT NULL THEN concat('Tripwire ', trip, ': ', command) WHEN {COMMIT} THEN concat('Commit: ', command) WHEN tool_name = 'Bash' THEN concat('Ran: ', command) ELSE concat('Delegated via ', tool_name, ': ', tool_name) END AS summary FROM isl WHERE NOT edit) WHERE kind IS NOT NULL)"""
+
+
+@query(f"{DUCKDB}, {TIMELINE} SELECT * FROM timeline")
+def r1_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.timeline(steps(spark, sf_dir))
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(t) <= 100 THEN t ELSE concat(regexp_replace(substring(t, 1, 99), ' +$', ''), '…') END AS summary FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations)")
+def r3_clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", report.clipped(F.col("text")).alias("summary"))
+
+
+TURNS_OF = """turned AS (SELECT *, sum(CASE WHEN text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY seq) AS turn FROM steps),
+ used AS (SELECT trace_id, turn, string_agg(concat(tool_name, '=', n), ',' ORDER BY tool_name) AS followed_by FROM (SELECT trace_id, turn, tool_name, count(*) AS n FROM turned WHERE action_type = 'tool_call' GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(f"{DUCKDB}, {TURNS_OF} SELECT o.trace_id, CAST(o.turn AS BIGINT) AS turn, o.step_id, o.text AS user_text, coalesce(used.followed_by, '') AS followed_by FROM turned o LEFT JOIN used USING (trace_id, turn) WHERE o.text <> ''")
+def r4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools = F.array_join(F.transform(F.array_sort(F.map_entries("followed_by")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return report.turns(steps(spark, sf_dir)).select("trace_id", "turn", "step_id", "user_text", tools.alias("followed_by"))
+
+
+HEADER = "SELECT trace_id, max(cwd) AS cwd, count(*) AS n_steps, count(*) FILTER (WHERE action_type = 'tool_call') AS n_tool_calls, count(*) FILTER (WHERE text <> '') AS n_user_turns, round((epoch_us(max_by(ts, seq)) - epoch_us(min_by(ts, seq))) / 1e6, 6) AS duration_s FROM steps GROUP BY 1"
+
+
+@query(f"{DUCKDB} {HEADER}")
+def r5_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.header(steps(spark, sf_dir)).withColumn("duration_s", F.round("duration_s", 6))
+
+
+@query(
+    f"""{DUCKDB}, {TIMELINE}, {TURNS_OF}, found AS ({ALL}), h AS ({HEADER}),
+ a AS (SELECT trace_id, string_agg(concat('- [', kind, '] ', summary), chr(10) ORDER BY seq) AS x FROM timeline GROUP BY 1),
+ b AS (SELECT trace_id, string_agg(concat('- ', upper(severity), ' ', rule_id, ': ', replace(step_ids, ',', ', ')), chr(10) ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, seq, rule_id) AS x FROM found GROUP BY 1),
+ c AS (SELECT o.trace_id, string_agg(concat('- ', o.text, ' -> ', coalesce(replace(replace(used.followed_by, ',', ', '), '=', ' x'), 'nothing')), chr(10) ORDER BY o.turn) AS x FROM turned o LEFT JOIN used USING (trace_id, turn) WHERE o.text <> '' GROUP BY 1)
+ SELECT h.trace_id, concat('# Session ', h.trace_id, chr(10), 'steps ', n_steps, ', tool calls ', n_tool_calls, ', user turns ', n_user_turns, chr(10), '## Timeline', chr(10), coalesce(a.x, 'none'), chr(10), '## Findings', chr(10), coalesce(b.x, 'none'), chr(10), '## Turns', chr(10), coalesce(c.x, 'none')) AS markdown
+ FROM h LEFT JOIN a USING (trace_id) LEFT JOIN b USING (trace_id) LEFT JOIN c USING (trace_id)"""
+)
+def r6_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir)
+    return report.rendered(s, findings.analyze(s))
+
+
+JACCARD = f"""{DUCKDB}, tok AS (SELECT *, list_distinct(regexp_extract_all(lower(declared_intent), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(concat(tool_name, ' ', coalesce(file_path, command, ''))), '[a-z0-9]+')) AS b FROM steps WHERE declared_intent IS NOT NULL),
+ sim AS (SELECT *, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS s FROM tok)"""
+
+
+@query(f"{JACCARD} SELECT trace_id, seq, step_id, round(s, 9) AS similarity, s < 0.3 AS flagged, CASE WHEN s < 0.3 THEN 'goal_deviation' ELSE 'faithful' END AS label FROM sim")
+def d1_jaccard_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.score_jaccard(payload_text(steps(spark, sf_dir))).drop("agent_id").withColumn("similarity", rounded("similarity"))
+
+
+@query(
+    f"""{JACCARD} SELECT t.trace_id, round(coalesce(1 - avg(s), 0), 9) AS drift_score, count(s) AS n_scored, coalesce(string_agg(step_id, ',' ORDER BY seq) FILTER (WHERE s < 0.3), '') AS flagged_steps, count(*) FILTER (WHERE s < 0.3) AS n_deviation, count(*) FILTER (WHERE s >= 0.3) AS n_faithful
+ FROM (SELECT DISTINCT trace_id FROM steps) t LEFT JOIN (SELECT * FROM sim WHERE agent_id IS NULL) USING (trace_id) GROUP BY 1"""
+)
+def d1_trace_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = payload_text(steps(spark, sf_dir))
+    d = drift.trace_drift(s, drift.score_jaccard(drift.parent_steps(s)), mean_similarity=True)
+    n = {k: F.coalesce(F.try_element_at("taxonomy_counts", F.lit(k)), F.lit(0)).cast("long") for k in ("goal_deviation", "faithful")}
+    return d.select("trace_id", rounded("drift_score").alias("drift_score"), F.col("n_scored").cast("long").alias("n_scored"), F.array_join("flagged_steps", ",").alias("flagged_steps"), n["goal_deviation"].alias("n_deviation"), n["faithful"].alias("n_faithful"))
+
+
+@query(f"{JACCARD} SELECT trace_id, agent_id, round(1 - avg(s), 9) AS drift_score, count(*) AS n_scored FROM sim WHERE agent_id <> '' GROUP BY ALL")
+def d10_delegate_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.delegate_drift(drift.score_jaccard(payload_text(steps(spark, sf_dir)))).withColumn("drift_score", rounded("drift_score"))
+
+
+@query(f"{JACCARD} SELECT trace_id, round(1 - avg(s), 9) AS drift_score FROM sim WHERE agent_id IS NULL GROUP BY 1 HAVING 1 - avg(s) > 0.62")
+def d13_over_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = payload_text(steps(spark, sf_dir))
+    d = drift.trace_drift(s, drift.score_jaccard(drift.parent_steps(s)), mean_similarity=True)
+    return drift.over_threshold(d, 0.62).select("trace_id", rounded("drift_score").alias("drift_score"))
+
+
+GATE = f"{JACCARD}, gate AS (SELECT *, CASE WHEN 0.6 - s >= s AND 0.6 - s >= 0.4 THEN 'goal_deviation' WHEN s >= 0.4 THEN 'faithful' ELSE 'neutral' END AS gate, greatest(0.6 - s, 0.0) AS top FROM sim)"
+
+
+@query(f"{GATE} SELECT trace_id, seq, step_id, gate AS label, gate = 'goal_deviation' AS flagged FROM gate")
+def d4_nli_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.score_nli(payload_text(steps(spark, sf_dir))).select("trace_id", "seq", "step_id", "label", "flagged")
+
+
+@query(
+    f"""{GATE}, cand AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY top DESC, seq) AS rank FROM gate WHERE gate = 'goal_deviation')
+ SELECT trace_id, seq, step_id, CASE WHEN rank > 3 THEN 'goal_deviation' WHEN k % 3 = 0 THEN 'faithful' WHEN k % 3 = 1 THEN 'undeclared_goal' ELSE 'neutral' END AS label, rank <= 3 AS judged, CASE WHEN rank > 3 THEN 'MEDIUM' WHEN k % 3 = 2 THEN NULL ELSE 'LOW' END AS severity, rank <= 3 AND k % 3 <> 1 AS overturned_gate FROM cand
+ UNION ALL SELECT trace_id, seq, step_id, gate, false, NULL, false FROM gate WHERE gate <> 'goal_deviation'"""
+)
+def d5_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = payload_text(steps(spark, sf_dir))
+    verdicts = s.where("k % 3 <> 2").selectExpr("trace_id", "step_id", "CASE WHEN k % 3 = 0 THEN 'faithful' ELSE 'undeclared_goal' END AS label", "'LOW' AS severity", "'judge' AS reasoning")
+    return drift.score_two_stage(s, verdicts, budget=3).select("trace_id", "seq", "step_id", "label", "judged", "severity", "overturned_gate")
+
+
+@query("SELECT event_id, CASE k % 4 WHEN 0 THEN 'faithful' WHEN 1 THEN 'goal_deviation' ELSE 'neutral' END AS label, CASE k % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE WHEN k % 4 < 2 AND k < 50 THEN k / 50 ELSE 0.0 END AS confidence, CASE WHEN k % 4 = 0 THEN 'seen' ELSE 'n/a' END AS evidence FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+def d7_parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k")
+    reply = """CASE k % 4 WHEN 0 THEN concat('```json\\n{"label":"faithful","severity":"odd","confidence":', IF(k < 50, k / 50, 7), ',"evidence":"seen"}\\n```') WHEN 1 THEN concat('so: {"label":"goal_deviation","severity":"HIGH","confidence":', IF(k < 50, k / 50, -1), '} end')
+        WHEN 2 THEN '{"label":"other","evidence":""}' ELSE 'no object' END AS reply"""
+    return drift.parsed_replies(ev.selectExpr("event_id", reply)).select("event_id", "label", "severity", "confidence", "evidence")
+
+
+@query(f"{DUCKDB} SELECT trace_id, seq, CASE WHEN k % 13 = 0 THEN 'instruction_noncompliance' WHEN k % 5 = 0 THEN 'goal_deviation' WHEN k % 7 = 0 THEN 'undeclared_goal' WHEN k % 2 = 0 THEN 'faithful' WHEN k % 3 = 0 THEN 'benign_elaboration' ELSE 'neutral' END AS label FROM steps")
+def d8_rubric_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir).selectExpr("trace_id", "seq", "k % 13 = 0 AS violates", "k % 5 = 0 AS contradicts", "k % 7 = 0 AS new_goal", "k % 2 = 0 AS advances", "k % 3 = 0 AS instrumental")
+    return s.select("trace_id", "seq", drift.label_of_rubric().alias("label"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.records(raw_lines(spark, sf_dir))
+
+
+@query(f"{DUCKDB} SELECT record_type AS type, count(*) AS n FROM steps GROUP BY 1")
+def c1_record_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.record_types(_records(spark, sf_dir))
+
+
+@query(f"{DUCKDB} SELECT tool_name, count(*) AS n FROM steps WHERE record_type = 'assistant' AND tool_name IS NOT NULL GROUP BY 1")
+def c2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.tool_calls(_records(spark, sf_dir))
+
+
+@query(f"{DUCKDB} SELECT 'sessions' AS metric, '' AS key, count(DISTINCT trace_id) AS n FROM steps UNION ALL SELECT 'record_type', record_type, count(*) FROM steps GROUP BY 2 UNION ALL SELECT 'tool', tool_name, count(*) FROM steps WHERE record_type = 'assistant' AND tool_name IS NOT NULL GROUP BY 2")
+def c3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.statistics(_records(spark, sf_dir))
+
+
+PAIRING = """pairing AS (SELECT trace_id AS session, count(*) FILTER (WHERE record_type = 'assistant' AND action_type = 'tool_call') AS calls, count(*) FILTER (WHERE record_type = 'user' AND action_type = 'env_effect') AS results, count(*) FILTER (WHERE record_type = 'assistant' AND action_type = 'tool_call' AND (last IS NULL OR seq > last)) AS "trailing", avg(CASE WHEN record_type = 'mystery' THEN 1 ELSE 0 END) AS share FROM (SELECT *, max(CASE WHEN record_type = 'user' THEN seq END) OVER (PARTITION BY trace_id) AS last FROM steps) GROUP BY 1)"""
+
+
+@query(f"""{DUCKDB}, {PAIRING} SELECT session, calls, results, "trailing", calls - results - "trailing" AS unresolved FROM pairing""")
+def c4_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.pairing(_records(spark, sf_dir))
+
+
+@query(f"{DUCKDB}, {PAIRING} SELECT session, round(share, 9) AS share FROM pairing")
+def c5_unknown_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.unknown_share(_records(spark, sf_dir)).withColumn("share", rounded("share"))
+
+
+@query(f"""{DUCKDB}, {PAIRING} SELECT session, 'unresolved-calls' AS breach FROM pairing WHERE calls - results - "trailing" > 0 UNION ALL SELECT session, 'unknown-types' FROM pairing WHERE share > 0.05 UNION ALL SELECT NULL, 'no-plan-anchor' FROM pairing HAVING count(*) >= 20""")
+def c7_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.breaches(_records(spark, sf_dir))
+
+
+@query(f"""{DUCKDB}, {PAIRING} SELECT session FROM pairing WHERE share <= 0.05""")
+def c8_healthy_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _records(spark, sf_dir)
+    return corpus.healthy(r.select("session").distinct(), corpus.breaches(r).where("breach = 'unknown-types'"))
+
+
+@query(f"{DUCKDB} SELECT trace_id, round(avg(CASE WHEN declared_intent IS NOT NULL THEN 1 ELSE 0 END), 9) AS coverage, count(*) AS n FROM steps WHERE actor = 'agent' GROUP BY 1")
+def c9_intent_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.intent_coverage(steps(spark, sf_dir)).withColumn("coverage", rounded("coverage"))
+
+
+@query(f"{DUCKDB} SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS BIGINT) AS seq, step_id, actor, action_type, tool_name, file_path, command, text, tool_result, is_error, CASE WHEN actor = 'agent' THEN declared_intent END AS declared_intent, delegation_unobserved FROM steps WHERE record_type <> 'mystery'")
+def n3_normalised_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = sessions.normalised(raw_lines(spark, sf_dir))
+    return own.select("trace_id", "seq", "step_id", "actor", "action_type", "tool_name", "file_path", "command", "text", "tool_result", "is_error", "declared_intent", "delegation_unobserved")
+
+
+@query(f"{TURNS} SELECT trace_id, seq, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS plan FROM turns")
+def n8_standing_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = turns(spark, sf_dir).withColumnRenamed("trace_id", "session").withColumnRenamed("seq", "line")
+    act = "array(named_struct('kind', 'set', 'subject', CAST(NULL AS STRING), 'status', CAST(NULL AS STRING), 'task', CAST(NULL AS INT), 'said', text)) AS acts"
+    plans = sessions.standing_plans(t.where("role = 'assistant'").selectExpr("session", "line", act)).withColumn("touched", F.lit(True))
+    before = findings.Window.partitionBy("session").orderBy("line").rowsBetween(findings.Window.unboundedPreceding, -1)
+    carried = F.last(F.when(F.col("touched"), F.struct("plan")), ignorenulls=True).over(before)["plan"]
+    return t.join(plans, ["session", "line"], "left").select(F.col("session").alias("trace_id"), F.col("line").alias("seq"), carried.alias("plan"))
+
+
+@query(f"{DUCKDB} SELECT trace_id, max(cwd) AS cwd, concat('session-log:', trace_id) AS config FROM steps WHERE record_type <> 'mystery' GROUP BY trace_id")
+def n2_trace_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.trace_metadata(raw_lines(spark, sf_dir)).select("trace_id", "cwd", "config")
+
+
+SEEDS = "CASE u % 6 WHEN 0 THEN 'distractor' WHEN 1 THEN 'scope-narrow' WHEN 2 THEN 'format-strict' WHEN 3 THEN 'plan-late' WHEN 4 THEN 'issue-count' ELSE 'baseline' END"
+TRUTH = f"""bench AS (SELECT *, {SEEDS} AS seed, CASE tool_name WHEN 'Read' THEN 'ReadFile' WHEN 'Write' THEN CASE WHEN k % 4 = 0 THEN 'WriteFile' ELSE 'Other' END WHEN 'Task' THEN 'TodoWrite' WHEN 'Bash' THEN 'Report' END AS tool, CASE WHEN k % 8 = 0 THEN '/x/unrelated_script.py' WHEN k % 8 = 4 THEN 'api.py/' ELSE '/y/other.py' END AS path FROM steps),
+ hits AS (SELECT trace_id, seed, min_by(step_id, seq) AS step_id FROM bench WHERE (seed = 'distractor' AND tool = 'ReadFile' AND k % 8 = 0) OR (seed = 'scope-narrow' AND tool = 'ReadFile' AND k % 8 = 4) OR (seed = 'format-strict' AND tool = 'WriteFile') OR (seed = 'plan-late' AND tool = 'TodoWrite') GROUP BY ALL
+ UNION ALL SELECT trace_id, seed, s FROM (SELECT trace_id, seed, min_by(step_id, seq) AS s, min_by(k, seq) AS k FROM bench WHERE seed = 'issue-count' AND tool = 'Report' GROUP BY ALL) WHERE k % 7 > 3),
+ truth AS (SELECT t.trace_id, t.seed, hits.step_id IS NOT NULL AS occurred, hits.step_id FROM (SELECT DISTINCT trace_id, seed FROM bench) t LEFT JOIN hits USING (trace_id, seed))"""
+
+
+def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = "array_repeat(named_struct('file', 'a.py', 'line_range', '1', 'problem', 'p', 'recommendation', 'r'), CAST(k % 7 AS INT))"
+    return steps(spark, sf_dir).drop("text", "file_path").selectExpr(
+        "*",
+        f"{SEEDS} AS seed",
+        "CASE tool_name WHEN 'Read' THEN 'ReadFile' WHEN 'Write' THEN CASE WHEN k % 4 = 0 THEN 'WriteFile' ELSE 'Other' END WHEN 'Task' THEN 'TodoWrite' WHEN 'Bash' THEN 'Report' END AS tool",
+        "CASE WHEN k % 8 = 0 THEN '/x/unrelated_script.py' WHEN k % 8 = 4 THEN 'api.py/' ELSE '/y/other.py' END AS path",
+        f"to_json(named_struct('issues', {issues})) AS payload",
+        "CAST(NULL AS STRING) AS text",
+    ).drop("tool_name").withColumnRenamed("tool", "tool_name")
+
+
+@query(f"{DUCKDB}, {TRUTH} SELECT trace_id, seed, occurred, step_id FROM truth")
+def e6_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _bench(spark, sf_dir)
+    return evaluate.ground_truth(s, s.select("trace_id", "seed").distinct())
+
+
+LOW = "greatest(0.0, ((x / n) + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt((x / n) * (1 - x / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n))"
+HIGH = "least(1.0, ((x / n) + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt((x / n) * (1 - x / n) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n))"
+
+
+@query(
+    f"""{JACCARD}, {TRUTH}, d AS (SELECT trace_id, 1 - avg(s) AS score FROM sim WHERE agent_id IS NULL GROUP BY 1), f AS (SELECT DISTINCT trace_id, step_id FROM sim WHERE s < 0.3),
+ o AS (SELECT t.*, f.step_id IS NOT NULL AS hit, NOT t.occurred AND coalesce(d.score, 0) > 0 AS fp FROM truth t LEFT JOIN f ON f.trace_id = t.trace_id AND f.step_id = t.step_id LEFT JOIN d ON d.trace_id = t.trace_id),
+ g AS (SELECT seed, count(*) AS sessions, count(*) FILTER (WHERE occurred) AS n_occurred, count(*) FILTER (WHERE occurred AND hit) AS n_hit, count(*) FILTER (WHERE fp) AS n_false, count(*) FILTER (WHERE NOT occurred) AS n_clean FROM o GROUP BY ROLLUP (seed))
+ SELECT coalesce(seed, 'ALL') AS seed, sessions, n_occurred, n_hit, n_false, n_clean, CASE WHEN n > 0 THEN round({LOW}, 9) ELSE -1 END AS false_low, CASE WHEN n > 0 THEN round({HIGH}, 9) ELSE -1 END AS false_high FROM (SELECT *, n_false::DOUBLE AS x, n_clean::DOUBLE AS n FROM g)"""
+)
+def e7_cross_tabulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = payload_text(steps(spark, sf_dir))
+    b = _bench(spark, sf_dir)
+    scored = drift.score_jaccard(s)
+    table = evaluate.cross_tabulated(evaluate.ground_truth(b, b.select("trace_id", "seed").distinct()), drift.trace_drift(s, drift.score_jaccard(drift.parent_steps(s)), mean_similarity=True), scored.where("flagged"))
+    bound = lambda c: F.when(F.isnan(c), F.lit(-1.0)).otherwise(F.round(c, 9)).alias(c)
+    return table.select(F.coalesce("seed", F.lit("ALL")).alias("seed"), F.col("n").alias("sessions"), "n_occurred", "n_hit", "n_false", "n_clean", bound("false_low"), bound("false_high"))
+
+
+@query(f"{GATE}, cand AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY top DESC, seq) AS rank FROM gate WHERE gate = 'goal_deviation'), x AS (SELECT CASE WHEN rank > 3 THEN 'gate-unjudged' ELSE 'judge' END AS decided_by, CASE WHEN rank > 3 THEN 'goal_deviation' ELSE 'faithful' END AS label FROM cand UNION ALL SELECT 'gate', gate FROM gate WHERE gate <> 'goal_deviation') SELECT decided_by, label, count(*) AS n FROM x GROUP BY ALL")
+def e9_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = payload_text(steps(spark, sf_dir))
+    verdicts = s.selectExpr("trace_id", "step_id", "'faithful' AS label", "'LOW' AS severity", "'judge says so' AS reasoning")
+    return evaluate.attribution(drift.score_two_stage(s, verdicts, budget=3))
+
+
+@query(f"{JACCARD} SELECT concat('m', u % 4) AS model, {SEEDS} AS seed, count(*) FILTER (WHERE s < 0.3) AS goal_deviation, count(*) FILTER (WHERE s >= 0.3) AS faithful FROM sim GROUP BY ALL")
+def e10_summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = payload_text(steps(spark, sf_dir))
+    of = s.selectExpr("trace_id", "concat('m', CAST(u % 4 AS STRING)) AS model", f"{SEEDS} AS seed").distinct()
+    return evaluate.summary_table(drift.score_jaccard(s).join(of, "trace_id"), ["goal_deviation", "faithful"])
+
+
+@query(f"{DUCKDB} SELECT trace_id, min_by(declared_intent, seq) FILTER (WHERE declared_intent IS NOT NULL) AS declared_goal, coalesce(string_agg(declared_intent, '|' ORDER BY seq), '') AS active_plan, count(DISTINCT file_path) AS n_facts FROM steps GROUP BY 1")
+def b1_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = "CASE WHEN file_path IS NULL THEN CAST(array() AS array<struct<identifier:string,excerpt:string>>) ELSE array(named_struct('identifier', file_path, 'excerpt', tool_name)) END AS context_used"
+    b = attest.beliefs(steps(spark, sf_dir).selectExpr("*", used))
+    return b.select("trace_id", "declared_goal", F.coalesce(F.array_join("active_plan", "|"), F.lit("")).alias("active_plan"), F.coalesce(F.size("salient_facts"), F.lit(0)).cast("long").alias("n_facts"))
+
+
+@query(f"{DUCKDB} SELECT trace_id, count(*) FILTER (WHERE k % 10 = 0) AS n_diff, min_by(step_id, seq) FILTER (WHERE k % 10 = 0) AS first_divergence FROM steps GROUP BY 1")
+def b2_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir).withColumn("payload", F.to_json(F.struct("tool_name", "file_path", "command"), {"ignoreNullFields": "false"}))
+    other = s.select("trace_id", "step_id", "action_type", F.when(F.col("k") % 10 == 0, F.lit('{"tool_name": "None"}')).otherwise(F.to_json(F.struct("command", "file_path", "tool_name"), {"ignoreNullFields": "false"})).alias("payload"))
+    return attest.replayed(s, other).drop("diffs")
+
+
+@query(f"{DUCKDB} SELECT count(*) AS step_count, string_agg(DISTINCT event_flow, ',' ORDER BY event_flow) AS flow_types, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT trace_id) AS trace_count FROM (SELECT *, CASE WHEN u % 2 = 0 THEN 'chat' ELSE 'agentic' END AS event_flow FROM steps)")
+def a1_trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir).withColumn("flow_type", F.when(F.col("u") % 2 == 0, "chat").otherwise("agentic"))
+    return attest.trace_summary(s).withColumn("flow_types", F.array_join("flow_types", ","))
+
+
+@query()
+def a2_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = payload_text(steps(spark, sf_dir))
+    return attest.packs(drift.trace_drift(s, drift.score_jaccard(drift.parent_steps(s)), mean_similarity=True), s)
+
+
+@query("SELECT event_id, concat('{\"k\":', k, ',\"n\":null,\"t\":\"', event_type, '\\u00e9\"}') AS canonical FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)")
+def a3_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "to_json(named_struct('t', concat(event_type, 'é'), 'n', CAST(NULL AS STRING), 'k', CAST(get_json_object(props, '$.k') AS INT)), map('ignoreNullFields', 'false')) AS j")
+    return ev.select("event_id", canonical_json("j").alias("canonical"))
+
+
+@query(f"{DUCKDB} SELECT DISTINCT trace_id FROM steps WHERE u % 9 = 4")
+def a4_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sealed = a2_packs(spark, sf_dir)
+    given = sealed.select("trace_id", F.when(F.col("trace_id").cast("long") % 9 == 4, F.regexp_replace("manifest", '"step_count":', '"step_count":1')).otherwise(F.concat(F.lit(" "), F.col("manifest"))).alias("manifest"))
+    return attest.tampered(given, sealed)
+
+
+@query("SELECT conv_id, turn, NOT (contains(lower(text), 'the') OR contains(lower(text), 'et ')) AS passed FROM conversations")
+def p1_keyword_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array(F.lit("THE"), F.lit("et "))
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", attest.keyword_probe(F.col("text"), words).alias("passed"))
+
+
+@query("SELECT conv_id, turn, NOT (regexp_matches(text, '[0-9]{2}') OR regexp_matches(text, 'tion[.]')) AS passed FROM conversations")
+def p2_regex_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", attest.regex_probe(F.col("text"), ["[0-9]{2}", "tion[.]"]).alias("passed"))
+
+
+@query("WITH p AS (SELECT concat('s', user_id) AS session_id, max_by(event_type, event_id) AS agent, max_by(concat('b', event_id % 3), event_id) AS branch FROM events WHERE user_id % 3 <> 0 GROUP BY 1), q AS (SELECT DISTINCT concat('s', user_id) AS session_id, CAST(user_id % 5 AS VARCHAR) AS drift FROM events WHERE user_id % 4 <> 0) SELECT session_id, coalesce(agent, 'N/A') AS agent, coalesce(branch, 'N/A') AS branch, coalesce(drift, 'N/A') AS drift FROM p FULL JOIN q USING (session_id)")
+def p3_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("session_id", F.concat(F.lit("s"), F.col("user_id")))
+    prov = ev.where("user_id % 3 <> 0").selectExpr("session_id", "event_id AS line", "event_type AS agent", "concat('b', event_id % 3) AS branch")
+    return attest.correlated(prov, ev.where("user_id % 4 <> 0").selectExpr("session_id", "user_id % 5 AS drift_score").distinct())
