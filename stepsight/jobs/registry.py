@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import CONCEPTS
 from ..functions.pyjson import canonical_json
 from ..operators import attest, corpus, drift, evaluate, findings, report
-from ..sources import sessions
+from ..sources import adapters, sessions
 from ..sources.testview import DUCKDB, TURNS, raw_lines, steps, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -449,3 +449,36 @@ def p3_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("session_id", F.concat(F.lit("s"), F.col("user_id")))
     prov = ev.where("user_id % 3 <> 0").selectExpr("session_id", "event_id AS line", "event_type AS agent", "concat('b', event_id % 3) AS branch")
     return attest.correlated(prov, ev.where("user_id % 4 <> 0").selectExpr("session_id", "user_id % 5 AS drift_score").distinct())
+
+
+@query(
+    f"""{DUCKDB} SELECT trace_id, seq - 1 AS seq, step_id, CASE WHEN tool_name IN ('Read', 'Bash') THEN 'tool' ELSE 'agent' END AS actor, declared_intent, CASE WHEN tool_name IN ('Read', 'Bash') THEN 'tool_call' WHEN tool_name = 'Task' THEN 'state_transition' ELSE 'utterance' END AS action_type,
+ CASE WHEN u % 3 = 0 THEN 'browser' ELSE 'generic' END AS flow_type, CASE WHEN tool_name = 'Read' THEN file_path END AS first_ref FROM steps"""
+)
+def n17_span_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir)
+    kind = "CASE WHEN tool_name = 'Read' THEN 'RETRIEVER' WHEN tool_name = 'Bash' THEN 'TOOL' WHEN tool_name = 'Task' THEN 'AGENT' ELSE 'LLM' END"
+    attributes = f"""map_filter(map('openinference.span.kind', {kind}, 'input.value', declared_intent, 'retrieval.documents', CASE WHEN tool_name = 'Read' THEN to_json(array(map('document.id', file_path, 'document.content', 'text'))) END), (k, v) -> v IS NOT NULL)"""
+    root = s.groupBy("trace_id", "u").agg(F.min("ts").alias("ts")).selectExpr("trace_id", "named_struct('seq', 0L, 'span_id', 'root', 'trace_id', trace_id, 'parent_span_id', CAST(NULL AS STRING), 'name', 'root', 'start_time', '2024-01-01T00:00:00Z', 'attributes', map('openinference.span.kind', CASE WHEN u % 3 = 0 THEN 'BROWSER_X' ELSE 'CHAIN' END)) AS x")
+    own = s.selectExpr("trace_id", f"named_struct('seq', seq, 'span_id', step_id, 'trace_id', trace_id, 'parent_span_id', 'root', 'name', coalesce(tool_name, 'chat'), 'start_time', '1700000000000000000', 'attributes', {attributes}) AS x")
+    sorted_spans = F.transform(F.array_sort(F.collect_list(F.struct(F.col("x.seq"), F.to_json("x").alias("span")))), lambda x: x["span"])
+    lists = own.unionByName(root).groupBy(F.col("trace_id").alias("source")).agg(F.concat(F.lit("["), F.array_join(sorted_spans, ","), F.lit("]")).alias("value"))
+    spans = adapters.exploded(lists, adapters.SPAN)
+    out = adapters.span_steps(spans).where("step_id <> 'root'").join(adapters.span_traces(spans).select("source", "flow_type"), "source")
+    return out.select("trace_id", (F.col("seq") - 1).alias("seq"), "step_id", "actor", "declared_intent", "action_type", "flow_type", F.get("context_used.identifier", F.lit(0)).alias("first_ref"))
+
+
+@query(f"{TURNS} SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS seq, CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS actor, CASE WHEN role = 'assistant' THEN nullif(text, '') END AS declared_intent, text FROM turns")
+def n20_chat_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    message = F.struct("turn", "role", F.col("text").alias("content"), F.col("conv_id").cast("string").alias("session_id"))
+    lists = c.groupBy(F.col("conv_id").alias("source")).agg(F.to_json(F.array_sort(F.collect_list(message))).alias("value"))
+    return adapters.chat_steps(adapters.exploded(lists, adapters.MESSAGE)).select("trace_id", "seq", "actor", "declared_intent", "text")
+
+
+@query(f"{DUCKDB} SELECT trace_id, seq - 1 AS seq, concat('ck-', step_id) AS step_id, declared_intent, CASE WHEN k % 4 = 0 THEN 'state_transition' WHEN k % 4 = 1 THEN 'utterance' WHEN k % 4 = 2 THEN 'tool_call' ELSE 'state_transition' END AS action_type FROM steps")
+def n19_checkpoint_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    writes = """CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN concat('{"agent":{"messages":[{"type":"ai","content":"c', k, '"}]}}') WHEN 2 THEN '{"tools":{"rows":1}}' ELSE '{"plan":{"messages":[{"type":"human","content":"x"}]}}' END"""
+    one = f"""named_struct('seq', seq, 'config', named_struct('configurable', named_struct('thread_id', trace_id)), 'checkpoint', named_struct('id', step_id, 'channel_values', to_json(named_struct('intent', declared_intent))), 'metadata', named_struct('step', seq, 'writes', {writes})) AS x"""
+    lists = steps(spark, sf_dir).selectExpr("trace_id AS source", one).groupBy("source").agg(F.to_json(F.array_sort(F.collect_list("x"))).alias("value"))
+    return adapters.checkpoint_steps(adapters.exploded(lists, adapters.CHECKPOINT), F.lit("2024-01-01").cast("timestamp")).select("trace_id", "seq", "step_id", "declared_intent", "action_type")
