@@ -65,7 +65,7 @@ class Model:
         self.number[own] = np.arange(len(own))
         self.marks = np.zeros((len(own), len(marks)), np.float32)
         for k, i in enumerate(marks):
-            self.marks[self.number[grams[i]], k] = 1 / np.sqrt(len(grams[i]))
+            self.marks[self.number[grams[i]], k] = 1 / np.sqrt(max(1, len(grams[i])))
         kernels = self.kernels(grams)
         values, vectors = np.linalg.eigh(kernels[marks].astype(float))
         keep = values > 1e-6 * values.max()

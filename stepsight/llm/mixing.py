@@ -14,7 +14,7 @@ columns are kept by mix() whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, stash
@@ -50,16 +50,20 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     )
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """Adds `_key` (of the source: sorts by code point, null last) and `_place` (hash of the id, 63 bits) to docs."""
-    key = F.coalesce(F.concat(F.lit("a"), F.col("source").cast("string")), F.lit("b"))
-    return docs.withColumn("_key", key).withColumn("_place", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), 1))
+def place() -> Column:
+    """Hash of a row's id, 63 bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), 1)
+
+
+def key() -> Column:
+    """Of a row's source: sorts by code point, null last."""
+    return F.coalesce(F.concat(F.lit("a"), F.col("source").cast("string")), F.lit("b"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, key, place, size of every row."""
     size = F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    return placed(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.col("_key").alias("key"), F.col("_place").alias("place"), size.alias("size"))
+    return docs.select("doc_id", "source", key().alias("key"), place().alias("place"), size.alias("size"))
 
 
 def thresholds(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -100,9 +104,10 @@ def taken(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    cuts = thresholds(stash(sizes(docs))).select(F.col("key").alias("_key"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    times = (F.col("_whole") + (F.col("_place") < F.col("_cut")).cast("int")).cast("int")
-    return placed(docs).join(cuts, "_key").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    times = (F.col("whole") + (F.col("place") < F.col("cut")).cast("int")).cast("int")
+    own = docs.select(key().alias("key"), place().alias("place"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    joined = own.join(thresholds(stash(sizes(docs))), "key")
+    return joined.select("doc", F.explode(F.array_repeat(F.lit(1), times))).select("doc.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

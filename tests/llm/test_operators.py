@@ -1,0 +1,328 @@
+"""Each operator against brute force or an exact round trip, and its defined results for odd input."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from stepsight.llm import common, embeddings, language, licenses, mixing, packing, quality, secret_scan, simhash, suffix_dedup, token_files
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h long, doc string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SYLLABLES = "th er on an re he in ed nd ha at en es of or".split()
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(SYLLABLES, rng.integers(1, 4))) for _ in range(n))
+
+
+def corpus():
+    """Texts with exact and near copies, shared passages, repeats, junk, nulls, empties, non-ASCII and one long text."""
+    rng = np.random.default_rng(3)
+    out = [prose(rng, int(n)) for n in rng.integers(60, 260, 30)]
+    out += [out[0], out[0], out[1] + " extra", out[2].replace(" th", " zz", 1)]
+    passage = prose(rng, 120)
+    out += [prose(rng, 40) + " " + passage + " " + prose(rng, 30), passage, prose(rng, 10) + "\n" + passage, "ab " * 400, "x" * 900, prose(rng, 9000)]
+    out += [None, "", "   \n\t ", "one", "Ünï cödé ß " * 60, "Released under the MIT License.", 'say token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" now', "a\x00b  c\n\n d\r\n", "### $$$ " * 80, "2"]
+    return out
+
+
+def table(spark, texts=None, sources=("s0", "s1", "s2", None)):
+    rows = [(i, t, "en" if i % 3 else "fr", sources[i % len(sources)], len(t or ""), "k", 7, "d") for i, t in enumerate(corpus() if texts is None else texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return common.stash(table(spark))
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def components_of(n, edges):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_components(spark):
+    rng = np.random.default_rng(1)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 460)] + [(500, 500)]
+    want = components_of(501, edges)
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: want[n] for e in edges for n in e}
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((300, 24))
+    near = base[:60] + 0.12 * rng.standard_normal((60, 24))
+    vectors = [list(map(float, v)) for v in np.vstack([base, near, base[:5], 3 * base[5:8]])]
+    rows = [(i, v, "x") for i, v in enumerate(vectors)] + [(900, None, "x"), (901, [0.0] * 24, "x"), (902, [1.0, None], "x"), (903, [float("nan")] * 24, "x"), (904, [], "x"), (905, [1.0], "x"), (906, [2.0], "x")]
+    got = {r["vec_id"]: r for r in embeddings.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node string")).collect()}
+    x = np.array(vectors)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = x @ x.T >= 0.95
+    want = components_of(len(x), [(i, j) for i, j in zip(*np.nonzero(linked)) if i < j])
+    assert [got[i]["n_links"] for i in range(len(x))] == list(linked.sum(1) - 1)
+    assert [got[i]["component_id"] for i in range(len(x))] == want
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(900, 905))
+    assert got[905]["n_links"] == 1 and got[906]["component_id"] == 905
+    assert len(got) == len(rows)
+    assert embeddings.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_calibrated_recall():
+    rng = np.random.default_rng(5)
+    a = embeddings.unit(rng.standard_normal((4000, 64)))
+    side = embeddings.unit(rng.standard_normal(a.shape) - 0)
+    side = embeddings.unit(side - (side * a).sum(1, keepdims=True) * a)
+    b = 0.9501 * a + np.sqrt(1 - 0.9501**2) * side
+    found = sum(((i == j).sum()) for k in range(0, 4000, 500) for i, j in embeddings.tile_links(a[k : k + 500], b[k : k + 500], False))
+    assert found >= 0.995 * 4000
+
+
+def test_simhash(spark, docs):
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    texts = corpus()
+
+    def brute(t):
+        w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        grams = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)] if w else []
+        h = [xxhash.xxh64(g.encode(), 42).intdigest() for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = [brute(t) for t in texts]
+    assert [got[i]["fp"] & (2**64 - 1) for i in range(len(texts))] == fps
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    assert [got[i]["component_id"] for i in range(len(texts))] == components_of(len(fps), links)
+    kept = simhash.one_per_group(docs.union(docs))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(components_of(len(fps), links)))
+    assert simhash.near_duplicates(empty(spark)).count() == simhash.one_per_group(empty(spark)).count() == 0
+
+
+def test_simhash_finds_all_close_fingerprints(spark):
+    rng = np.random.default_rng(8)
+    fps = [int(x) for x in rng.integers(-(2**63), 2**63, 150)]
+    for f in list(fps):
+        for k in (3, 4, 5):
+            for b in rng.choice(64, k, replace=False):
+                f ^= 1 << int(b)
+            fps.append(f - 2**64 if f >= 2**63 else f + 2**64 if f < -(2**63) else f)
+    fps = sorted({(f + 2**63) % 2**64 - 2**63 for f in fps})
+    unsigned = [f % 2**64 for f in fps]
+    want = components_of(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (unsigned[i] ^ unsigned[j]).bit_count() <= 4])
+    got = {r["fp"]: r["root"] for r in simhash.linked(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    groups = lambda roots: sorted(tuple(sorted(k for k, r in roots.items() if r == x)) for x in set(roots.values()))
+    assert groups(got) == groups({f: r for f, r in zip(fps, want)})
+
+
+def test_suffix_dedup(spark, docs):
+    texts = [(t or "").encode() for t in corpus()]
+    seen = collections.Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    got = {r["doc_id"]: r for r in suffix_dedup.removed(docs).collect()}
+    assert len(got) == len(texts)
+    for d, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if seen[t[i : i + 400]] > 1:
+                gone[i : i + 400] = True
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        rest = hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()
+        assert (got[d]["n_bytes"], got[d]["n_removed"], got[d]["n_spans"], got[d]["kept_sha256"]) == (len(t), gone.sum(), runs, rest)
+    assert suffix_dedup.removed(empty(spark), batches=1).count() == 0
+
+
+def test_mixing(spark, docs):
+    rows = mixing.taken(docs).collect()
+    n = {i: len(WORD.findall(t or "")) for i, t in enumerate(corpus())}
+    assert {r["doc_id"]: r["size"] for r in rows} == n
+    size = collections.Counter()
+    for r in rows:
+        size[r["source"]] += r["size"]
+    order = ["s0", "s1", "s2", None]
+    weight, target, left, active = dict(zip(order, (5, 2, 1, 5))), {}, 1.5 * sum(size.values()), set(order)
+    while over := [s for s in active if left * weight[s] / sum(weight[x] for x in active) > 2 * size[s]]:
+        for s in over:
+            target[s] = 2 * size[s]
+            left -= target[s]
+            active.remove(s)
+    target |= {s: left * weight[s] / sum(weight[x] for x in active) for s in active}
+    for s in order:
+        own = [r for r in rows if r["source"] == s]
+        assert own[0]["target"] == pytest.approx(target[s]) and own[0]["source_size"] == size[s]
+        assert abs(sum(r["taken"] for r in own) - target[s]) <= max(r["size"] for r in own)
+        assert all(r["taken"] <= 2 * r["size"] for r in own)
+    again = {r["doc_id"]: r["taken"] for r in mixing.taken(docs.repartition(3)).collect()}
+    assert again == {r["doc_id"]: r["taken"] for r in rows}
+    mixed = mixing.mix(docs)
+    copies = collections.Counter(r["doc_id"] for r in mixed.collect())
+    assert mixed.columns == docs.columns and all(copies[r["doc_id"]] * r["size"] == r["taken"] for r in rows)
+    assert mixing.taken(empty(spark)).count() == mixing.mix(empty(spark)).count() == 0
+    assert [r["taken"] for r in mixing.taken(table(spark, [None, ""])).collect()] == [0, 0]
+
+
+def test_secret_scan(spark, docs):
+    found = secret_scan.labelled(2000, seed=99)
+    scores = secret_scan.trained().score(np.array([secret_scan.features(f) for f, _ in found]))
+    assert ((scores >= 0.5) == np.array([s for _, s in found])).mean() > 0.97
+    hits = [r for r in secret_scan.scan(docs).collect() if r["is_secret"]]
+    assert [corpus()[r["doc_id"]][r["start"] : r["start"] + r["length"]] for r in hits] == ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        t = corpus()[r["doc_id"]]
+        assert r["text"] == (t.replace("24be64439e3e49cf46b2d7c90f3602a3d0b907ff", secret_scan.MASK) if t and "token" in t else t)
+        assert r["n_chars"] == len(r["text"] or "")
+    assert secret_scan.scan(empty(spark)).count() == secret_scan.redact(empty(spark)).count() == 0
+
+
+def encoded(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    t.encode_special_tokens = True
+    return [t.encode(x or "", add_special_tokens=False).ids for x in corpus()]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_packing(spark, docs):
+    rows = packing.pack(docs.union(docs.where("doc_id = 3").withColumn("doc_id", F.lit(1000)))).collect()
+    ids = dict(enumerate(encoded(packing.TOKENIZER)))
+    ids[1000] = ids[3]
+    pieces = collections.defaultdict(list)
+    for r in rows:
+        own = ids[r["doc_id"]] + [0]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == crc(own[r["start"] : r["start"] + r["length"]])
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+    for d, x in pieces.items():
+        assert [a for a, _ in sorted(x)] == list(np.cumsum([0, *(n for _, n in sorted(x))])[:-1]) and sum(n for _, n in x) == len(ids[d]) + 1
+    assert set(pieces) == set(ids)
+    sequences = collections.defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for x in sequences.values():
+        assert [a for a, _ in sorted(x)] == list(np.cumsum([0, *(n for _, n in sorted(x))])[:-1]) and sum(n for _, n in x) <= 1024
+    assert packing.pack(empty(spark)).count() == 0
+
+
+def test_patterns_place_every_length_once():
+    rng = np.random.default_rng(4)
+    histogram = {int(n): int(c) for n, c in zip(range(1, 1025), rng.integers(0, 5000, 1024))}
+    found = packing.patterns(histogram)
+    placed = collections.Counter()
+    for pattern, packs in found.items():
+        assert sum(pattern) <= 1024 and list(pattern) == sorted(pattern, reverse=True)
+        for n in pattern:
+            placed[n] += packs
+    assert placed == collections.Counter({n: c for n, c in histogram.items() if c})
+    room = sum(found.values()) * 1024
+    assert sum(n * c for n, c in histogram.items()) > 0.98 * room
+
+
+def test_token_files(spark, docs):
+    path = f"{common.shared_dir(spark)}/token-test"
+    token_files.write_tokens(docs, path)
+    stored = spark.read.parquet(path)
+    want = [x + [1] for x in encoded(token_files.TOKENIZER)]
+    assert {r["doc_id"]: r["ids"] for r in stored.collect()} == dict(enumerate(want))
+    at = {(r["part"], r["pos"]): r["start"] for r in token_files.starts(stored).collect()}
+    start = dict(enumerate(np.cumsum([0, *map(len, want)])))
+    for r in token_files.digests(stored).collect():
+        assert (r["n_tokens"], r["ids_crc32"], at[r["part"], r["pos"]]) == (len(want[r["doc_id"]]), crc(want[r["doc_id"]]), start[r["doc_id"]])
+    import glob
+
+    import pyarrow.parquet as pq
+
+    meta = pq.ParquetFile(sorted(glob.glob(f"{path}/*.parquet"))[0]).metadata.row_group(0)
+    columns = {meta.column(i).path_in_schema: meta.column(i) for i in range(meta.num_columns)}
+    assert any("DICTIONARY" in e for e in columns["ids.list.element"].encodings) and "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and columns["doc_id"].has_column_index
+    token_files.write_tokens(empty(spark), f"{path}-empty")
+    assert spark.read.parquet(f"{path}-empty").count() == 0
+
+
+def test_language(spark):
+    rng = np.random.default_rng(6)
+    kinds = {"aa": "ka lo mi ru te".split(), "bb": "sch en ung ei ver".split(), "cc": "ção ão es ar".split()}
+    rows = []
+    for i in range(600):
+        lang = list(kinds)[i % 3]
+        t = " ".join("".join(rng.choice(kinds[lang], 3)) for _ in range(30))
+        rows.append((i, t, lang if i % 7 else None, "s", 0, "k", 7, "d"))
+    rows += [(1000, None, "aa", "s", 0, "k", 7, "d"), (1001, "", "aa", "s", 0, "k", 7, "d"), (1002, "12 34 !", "aa", "s", 0, "k", 7, "d")]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r for r in language.predict(docs, language.fit(docs)).collect()}
+    held = [i for i in range(600) if got[i]["held_out"]]
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
+    assert len(held) > 100 and np.mean([got[i]["lang_pred"] == list(kinds)[i % 3] for i in held]) > 0.97
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (1000, 1001, 1002))
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert language.predict(empty(spark), language.fit(empty(spark))).count() == 0
+    assert {r["lang_pred"] for r in language.predict(docs, None).collect()} == {"und"}
+
+
+def test_kernel_is_the_presence_kernel():
+    texts = [b"Abc abd", b"abc  ABD xyz", "ñandú".encode()]
+    model = language.Model(texts, ["x", "y", "x"], landmarks=3)
+    grams = [set(language.present(t).tolist()) for t in texts]
+    k = model.kernels([language.present(t) for t in texts])
+    order = np.argsort([language.hash_of(t) for t in texts], kind="stable")
+    want = [[len(a & grams[j]) / np.sqrt(len(a) * len(grams[j])) for j in order] for a in grams]
+    assert np.allclose(k, want, atol=1e-6)
+
+
+def test_quality(spark, docs):
+    rows = {r["doc_id"]: r for r in quality.judge(docs, carry=["doc_id"]).select("doc.doc_id", *quality.BASE, "base_failed", "kept").collect()}
+    for i, t in enumerate(corpus()):
+        t = t or ""
+        w = WORD.findall(t)
+        grams = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        count = collections.Counter(grams)
+        covered = {j + k for j, g in enumerate(grams) if count[g] > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        r = rows[i]
+        assert tuple(r[c] for c in quality.BASE) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r["base_failed"] and r["kept"])
+    assert all(rows[i]["kept"] for i in range(34))
+    assert quality.keep_good(docs).columns == docs.columns
+    assert quality.judge(empty(spark)).count() == quality.keep_good(empty(spark)).count() == 0
+
+
+def test_quality_tells_junk_from_prose(spark):
+    rng = np.random.default_rng(9)
+    texts = [prose(rng, 150) for _ in range(200)] + [" ".join(w + "###" for w in prose(rng, 150).split()) for _ in range(30)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(table(spark, texts)).select("doc.doc_id", "kept").collect()}
+    assert all(kept[i] for i in range(200)) and not any(kept[i] for i in range(200, 230))
+
+
+def test_licenses(spark):
+    rng = np.random.default_rng(10)
+    mit = licenses.TEMPLATES["MIT"]
+    texts = [prose(rng, 50) + "\n" + mit + "\n" + prose(rng, 40), mit.upper(), mit[: len(mit) // 2], prose(rng, 300), "Released under the MIT License.", None, "", "under the", "x " * 30 + licenses.TEMPLATES["Apache-2.0"]]
+    texts += [mit.replace("without restriction", "with no limits at all")] + [t.lower() + " " + prose(rng, 20) for t in licenses.TEMPLATES.values()]
+    words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)}
+    want = {(i, k) for i, t in enumerate(texts) for k, v in licenses.TEMPLATES.items() if len(sets(t) & sets(v)) >= 0.8 * len(sets(v))}
+    rows = licenses.scan(table(spark, texts)).collect()
+    assert {(r["doc_id"], r["license"]) for r in rows} == want and len(rows) == len(want)
+    assert licenses.scan(empty(spark)).count() == 0
