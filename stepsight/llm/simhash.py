@@ -8,8 +8,7 @@ grid 1 each point and its neighbours one step up (enough for distance 1). Cells
 distance is checked in the join's condition, so the method is exact.
 
 Near copies would make pairs quadratic in a group's size. Only connectivity is asked for, hence two passes: links of each
-cell's members to the cell's smallest fingerprint, then, in cells that still hold several components, links between
-different components only.
+cell's members to the cell's smallest fingerprint, then links between different components only.
 
 Defined results: null or empty text, or no word: fingerprint zero, linked like any other; fewer words than the shingle's
 length: the whole sequence is the one shingle; repeated rows share a component; null doc_id: ignored when the smallest id is
@@ -60,32 +59,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def cells(points: DataFrame) -> DataFrame:
-    """One row (fp, cell) for each grid cell of each fingerprint; a cell is 16 bit counts of two bits each, times two, plus the grid."""
+    """One row (columns of points, cell) for each grid cell of each fingerprint; a cell is 16 bit counts of two bits each, times two, plus the grid."""
     steps = f"array({', '.join(f'{4**i}L' for i in range(16))})"
     up = "transform(filter({s}, s -> ({x} div s) % 4 < 2), s -> {x} + s)"
     down = "transform(filter({s}, s -> ({x} div s) % 4 > 0), s -> {x} - s)"
     around = {x: ", ".join([f"array({x})", up.format(s=steps, x=x)] + [down.format(s=steps, x=x)] * both) for x, both in (("lo", True), ("hi", False))}
     count = "({half} & 1431655765L) + (shiftrightunsigned({half}, 1) & 1431655765L)"
-    counted = points.selectExpr("fp", "fp & 4294967295L AS low", "shiftrightunsigned(fp, 32) AS high").selectExpr("fp", count.format(half="low") + " AS lo", count.format(half="high") + " AS hi")
-    return counted.selectExpr("fp", f"explode(concat(transform(concat({around['lo']}), c -> 2 * c), transform(concat({around['hi']}), c -> 2 * c + 1))) AS cell")
+    own = points.columns
+    counted = points.selectExpr(*own, "fp & 4294967295L AS low", "shiftrightunsigned(fp, 32) AS high").selectExpr(*own, count.format(half="low") + " AS lo", count.format(half="high") + " AS hi")
+    return counted.selectExpr(*own, f"explode(concat(transform(concat({around['lo']}), c -> 2 * c), transform(concat({around['hi']}), c -> 2 * c + 1))) AS cell")
 
 
 def linked(fps: DataFrame) -> DataFrame:
     """(fp, root) for the distinct fingerprints of `fps`: components of those at DISTANCE or fewer bits."""
-    points = fps.select("fp").distinct()
+    near = F.expr(f"bit_count(a ^ b) <= {DISTANCE}")
+    points = stash(fps.select("fp").distinct())
     placed = cells(points)
-    shared = placed.groupBy("cell").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top")).where("pivot <> top").select("cell", "pivot")
-    members = stash(placed.join(shared, "cell"))  # only cells with two fingerprints or more
-    near = f"bit_count(a ^ b) <= {DISTANCE}"
-    first = components(members.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).where(f"a <> b and {near}").distinct())
-    rooted = members.join(first.select(F.col("node").alias("fp"), "root"), "fp", "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-    rest = stash(rooted.join(mixed, "cell", "left_semi"))
-    a, b = (rest.select("cell", F.col("fp").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    second = a.join(b, (a["cell"] == b["cell"]) & (F.col("root_a") < F.col("root_b")) & F.expr(near)).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
-    merged = components(second).withColumnRenamed("root", "final")
-    of_first = points.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return of_first.join(merged.withColumnRenamed("node", "root"), "root", "left").select("fp", F.coalesce("final", "root").alias("root"))
+    pivots = placed.groupBy("cell").agg(F.min("fp").alias("b"))
+    to_pivot = placed.withColumnRenamed("fp", "a").join(pivots, "cell").where((F.col("a") != F.col("b")) & near)
+    first = components(to_pivot.select("a", "b").distinct())
+    rooted = stash(points.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    again = cells(rooted.select("fp", "root"))
+    a, b = (again.select(F.col("cell").alias(f"cell_{x}"), F.col("fp").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    across = a.join(b, (F.col("cell_a") == F.col("cell_b")) & (F.col("root_a") < F.col("root_b")) & near)
+    merged = components(across.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+    return rooted.join(merged.select(F.col("node").alias("root"), F.col("root").alias("final")), "root", "left").select("fp", F.coalesce("final", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -99,10 +97,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_per_group(docs: DataFrame) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id (of its repeats: the smallest text hash, then any one)."""
-    keep = near_duplicates(docs).groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_kh"))
-    own = docs.withColumn("_h", F.xxhash64("text"))
-    kept = own.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kh")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    keep = near_duplicates(docs).groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.h").alias("kept_h"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    kept = own.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left_semi")
+    return kept.dropDuplicates(["id", "h"]).select("doc.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
