@@ -179,7 +179,8 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = stash(own.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")))
     kind = classes.schema["embedding"].dataType.simpleString()
     base = f"embedding {kind}, node bigint, n bigint, dim int, p double"
-    tiles = stash(classes.mapInArrow(_project, base).repartitionByRange("dim", "p").sortWithinPartitions("dim", "p").mapInArrow(_cut, base + ", tile bigint"))
+    parts = max(1, -(-classes.count() // TILE))  # else small partitions would make small tiles, and more of them to meet
+    tiles = stash(classes.mapInArrow(_project, base).repartitionByRange(parts, "dim", "p").sortWithinPartitions("dim", "p").mapInArrow(_cut, base + ", tile bigint"))
     reach = REACH * math.sqrt(2 - 2 * cosine)
     span = tiles.groupBy("dim", "tile").agg(F.min("p").alias("low"), F.max("p").alias("high"))
     band = f"explode(sequence(CAST(floor(low / {reach}) AS INT), CAST(floor(high / {reach}) AS INT) + {{more}})) AS band"
