@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that one worker's cache holds at most (about 200 bytes each); beyond, it keeps only those of the latest batch.
-CACHE = 700_000
+#: New words that one worker's cache takes in (about 200 bytes each) before it keeps only those met again since it last did so.
+CACHE = 600_000
 #: Bytes of text that are cut into words at a time.
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 3_000_000
 #: Unicode white space, for RE2.
 BLANK = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A word of Latin letters, then signs: the tokenizers cut it between the two, and only lower-casing (if any) applies.
@@ -51,6 +51,7 @@ class Encoder:
         #: What stands for a character in the merge table, as the tokenizer itself shows it.
         self.table = {c: self._shown(chr(c)) for c in (32, *range(33, 127), *range(192, 256))}
         self.cache: dict[str, bytes] = {}
+        self.again: dict[str, bytes] = {}
 
     def _shown(self, text: str) -> str:
         return "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
@@ -109,12 +110,11 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, offsets) of successive slices of an Arrow array of texts; text i of a slice has ids[offsets[i]:offsets[i + 1]]. Null: none."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, "right")))
-            yield self._slice(texts.slice(at, to - at))
+            yield self._slice(pc.fill_null(texts.slice(at, to - at).cast(pa.large_string()), ""))
             at = to
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,11 +130,13 @@ class Encoder:
         cut = self._words(texts)
         coded = cut.flatten().dictionary_encode()
         known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.cache) > CACHE:
-            self.cache = {w: self.cache[w] for w in known if w in self.cache}
-        if new := [w for w in known if w not in self.cache]:
+        parts = list(map(self.cache.get, known))
+        if new := [w for w, x in zip(known, parts) if x is None]:
+            self.again.update((w, x) for w, x in zip(known, parts) if x is not None)
+            if len(self.cache) > CACHE:
+                self.cache, self.again = self.again, {}
             self._learn(new)
-        parts = [self.cache[w] for w in known]
+            parts = [self.cache[w] for w in known]
         flat = np.frombuffer(b"".join(parts), self.kind)
         n = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
         codes = coded.indices.to_numpy(zero_copy_only=False)
