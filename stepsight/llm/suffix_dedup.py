@@ -5,7 +5,7 @@
    levels merge, so a key is rewritten a number of times logarithmic in the number of batches.
 2. A segment (up to 369 runs of MATCH bytes around one sampled suffix) whose whole content occurs twice is repeated throughout.
    Of the other segments with a repeated key, only those sharing the key with different content can hold repeated runs:
-   one of each content is expanded to the hashes of its runs, and runs found at two places are repeated.
+   one of each content is cut into chunks of a few runs, by the same rule those into runs, and runs found twice are repeated.
 3. Bytes that repeated runs cover are removed; texts are read again only where a part of them goes.
 
 Keys and contents are 64-bit hashes of substrings. Every table is spread by hash and summed before it is shuffled; nothing is
@@ -25,13 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, stash
 from .suffixes import GRAM, MATCH, SIDE, Block, blocks, segments
 
 BATCHES = 4
+#: Runs that are looked at together before they are looked at one by one.
+CHUNK = 16
 EMPTY = hashlib.sha256(b"").hexdigest()
 SEGMENT = "struct<low:int,n:int,at:int,o:bigint,kl:bigint,kr:bigint>"
 
@@ -126,26 +128,39 @@ class IndexFamily:
         return found.distinct()
 
 
-def _runs(texts: DataFrame) -> DataFrame:
-    """o, rel (run's place in its segment), h (hash of its MATCH bytes) for texts with wanted segments."""
+def _chunks(texts: DataFrame) -> DataFrame:
+    """Chunks of the wanted segments of texts: up to CHUNK runs whose distance to the sampled suffix has the same quotient by CHUNK.
+
+    o, rel, n: the segment's content, the first run's place in it, and how many; core: the bytes that all runs of a whole such chunk
+    share; outer: all bytes of the runs; hs: one hash for each run."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
+            out: list[tuple[np.ndarray, ...]] = []
             for text, wanted in zip(b.column(0), b.column(1)):
                 data = np.frombuffer(_utf8(text), np.uint8)
-                out = []
                 for w in wanted.as_py():
                     low, n, at = w["low"], w["n"], w["at"]
                     cut = min(n, max(0, at - SIDE + 1 - low))
                     a, z = (0 if w["l"] else cut), (n if w["r"] else cut)
                     if a < z:
                         block = Block(data[low + a : low + z + MATCH - 1])
-                        out.append((np.full(z - a, w["o"]), np.arange(a, z), block.hashes(np.arange(z - a), MATCH, 4)))
-                if out:
-                    o, rel, h = (np.concatenate(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(o), pa.array(rel, pa.int32()), pa.array(h)], ["o", "rel", "h"])
+                        which = (at - low - np.arange(a, z)) // CHUNK
+                        first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+                        size = np.diff(np.append(first, z - a))
+                        core = block.hashes(at - low - a - which[first] * CHUNK, MATCH - CHUNK + 1, 5)
+                        out.append((np.full(len(first), w["o"]), first + a, size, core, block.hashes(first, size + MATCH - 1, 6), block.hashes(np.arange(z - a), MATCH, 4)))
+            if out:
+                o, rel, size, core, outer, h = (np.concatenate(x) for x in zip(*out))
+                hs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(h))
+                yield pa.RecordBatch.from_arrays([pa.array(o), pa.array(rel, pa.int32()), pa.array(size, pa.int32()), pa.array(core), pa.array(outer), hs], ["o", "rel", "n", "core", "outer", "hs"])
+
+    return texts.select("text", "wanted").mapInArrow(batches, "o bigint, rel int, n int, core bigint, outer bigint, hs array<bigint>")
+
 
-    return texts.select("text", "wanted").mapInArrow(batches, "o bigint, rel int, h bigint")
+def repeated(rows: DataFrame, column: str, spot: Column) -> DataFrame:
+    """Values of a column that occur at two spots (64-bit hashes) or more."""
+    return rows.groupBy(column).agg(F.min(spot).alias("p"), F.max(spot).alias("q")).where("p <> q").select(column)
 
 
 def _united(starts: DataFrame) -> DataFrame:
@@ -173,33 +188,41 @@ def removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed stretches) of every row of docs."""
     spark = docs.sparkSession
     d = stash(described(docs))
-    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s.kl").alias("key")), F.struct(F.lit(1).alias("side"), F.col("s.kr").alias("key"))))
-    sampled = d.select("rid", F.explode("segs").alias("s")).select("rid", "s.low", "s.n", "s.at", "s.o", side.alias("x")).select("rid", "low", "n", "at", "o", "x.*").where("key <> 0")
+    # A sampled suffix's place in one number: start of its segment, runs in it, distance of the suffix, side.
+    packed = "shiftleft(CAST(s.low AS BIGINT), 20) | shiftleft(CAST(s.n AS BIGINT), 10) | shiftleft(CAST(s.at - s.low AS BIGINT), 1)"
+    sides = "array(named_struct('loc', loc, 'key', kl), named_struct('loc', loc + 1, 'key', kr))"
+    sampled = d.selectExpr("rid", "explode(segs) AS s").selectExpr("rid", f"{packed} AS loc", "s.o", "s.kl", "s.kr").selectExpr("rid", "o", f"explode({sides}) AS x").selectExpr("rid", "o", "x.loc", "x.key").where("key <> 0")
+    unpacked = ["rid", "o", "key", "loc & 1 AS side", "CAST(shiftright(loc, 20) AS INT) AS low", "CAST(shiftright(loc, 10) & 1023 AS INT) AS n", "CAST(shiftright(loc, 20) + (shiftright(loc, 1) & 511) AS INT) AS at"]
     family = IndexFamily(spark)
     for i in range(batches):
         family.add(sampled.where(F.pmod(F.xxhash64("rid"), F.lit(batches)) == i).select("key"))
-    c = stash(sampled.join(stash(family.repeated()), "key"))
+    keys = stash(family.repeated())
+    c = stash(sampled.join(keys, "key").selectExpr(*unpacked))
     release(spark)
-    place = F.struct("rid", "low")
-    whole = c.groupBy("o").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("o")
-    mixed = c.groupBy("key").agg(F.min("o").alias("p"), F.max("o").alias("q")).where("p <> q").select("key")
-    reps = c.join(mixed, "key").groupBy("o").agg(F.min(F.struct("rid", "low", "n", "at")).alias("r"), F.max((F.col("side") == 0)).alias("l"), F.max((F.col("side") == 1)).alias("r_")).select("o", "r.*", "l", F.col("r_").alias("r"))
+    whole = stash(repeated(c, "o", F.xxhash64("rid", "low")))
+    mixed = repeated(c, "key", F.col("o"))
+    reps = c.join(mixed, "key").groupBy("o").agg(F.min(F.struct("rid", "low", "n", "at")).alias("p"), F.max(F.col("side") == 0).alias("l"), F.max(F.col("side") == 1).alias("r")).select("o", "p.*", "l", "r")
     wanted = stash(reps.groupBy("rid").agg(F.collect_list(F.struct("o", "low", "n", "at", "l", "r")).alias("wanted")))
+    release(spark)
     ids = d.select("rid", F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
     some = c.select("rid").distinct().join(ids, "rid")
     own = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
     texts = stash(own.join(some.select("_id", "_t").distinct(), same, "left_semi"))
     release(spark)
-    runs = stash(_runs(texts.join(wanted.join(ids, "rid"), same).select("text", "wanted")))
+    chunks = stash(_chunks(texts.join(wanted.join(ids, "rid"), same).select("text", "wanted")))
+    release(spark)
+    spot = F.xxhash64("o", "rel")
+    full = chunks.join(repeated(chunks, "outer", spot), "outer", "left_semi").select("o", "rel", "n")
+    open_ = chunks.join(repeated(chunks, "core", F.col("outer")), "core", "left_semi")
+    runs = stash(open_.select("o", F.posexplode("hs").alias("i", "h"), "rel").select("o", (F.col("rel") + F.col("i")).alias("rel"), "h"))
     release(spark)
-    spot = F.struct("o", "rel")
-    twice = runs.groupBy("h").agg(F.min(spot).alias("p"), F.max(spot).alias("q")).where("p <> q").select("h")
-    parts = runs.join(twice, "h").groupBy("o").agg(F.collect_set("rel").alias("rels"))  # at most MATCH of them
+    single = runs.join(repeated(runs, "h", spot), "h", "left_semi").select("o", "rel", F.lit(1).alias("n"))
+    parts = stash(full.unionByName(single).groupBy("o").agg(F.collect_list(F.struct("rel", "n")).alias("parts")))  # at most MATCH of them
     release(spark)
     segs = c.select("rid", "low", "n", "o").distinct()
     covered = segs.join(whole, "o").select("rid", F.col("low").cast("long").alias("a"), (F.col("low") + F.col("n") + (MATCH - 1)).cast("long").alias("z"))
-    partly = segs.join(whole, "o", "left_anti").join(parts, "o").select("rid", F.explode("rels").alias("rel"), "low").select("rid", (F.col("low") + F.col("rel")).cast("long").alias("a"), (F.col("low") + F.col("rel") + MATCH).cast("long").alias("z"))
+    partly = segs.join(whole, "o", "left_anti").join(parts, "o").select("rid", F.explode("parts").alias("x"), "low").select("rid", (F.col("low") + F.col("x.rel")).cast("long").alias("a"), (F.col("low") + F.col("x.rel") + F.col("x.n") + (MATCH - 1)).cast("long").alias("z"))
     spans = stash(_united(covered.union(partly)))
     judged = stash(d.select("rid", "doc_id", "t", "n_bytes", "sha256").join(spans, "rid", "left"))
     cut = judged.where("n_removed < n_bytes")
