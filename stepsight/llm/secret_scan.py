@@ -255,13 +255,13 @@ def redact(docs: DataFrame, forest: Forest | None = None, least: float = LEAST,
 
         return type(text)([one(t, p) for t, p in zip(text, path)], dtype=object)
 
-    possible = F.coalesce(F.col("text").rlike(POSSIBLE), F.lit(False))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    clean = docs.where(~possible).select(*columns)
-    found = docs.where(possible).withColumn("text", masked("text", F.col("source").cast("string")))
+    possible = F.when(F.col("text").rlike(POSSIBLE), F.col("text"))  # all other rows go to Python as nulls
+    text = F.coalesce(masked(possible, F.col("source").cast("string")), F.col("text"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), text.alias("masked"))
+    columns = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(found.select(*columns))
+        columns["n_chars"] = F.when(F.col("masked").eqNullSafe(F.col("doc.text")), F.col("doc.n_chars")).otherwise(F.length("masked")).cast(docs.schema["n_chars"].dataType)
+    return own.select(*(columns.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
