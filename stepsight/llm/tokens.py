@@ -41,7 +41,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Finds the texts with an added token, which the tokenizer cuts out before it looks for words.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added, self.any_case = "|".join(re.escape(t.content) for t in added), any(t.normalized for t in added)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.keeps_blanks = bool(self._plain([" "])[0])
@@ -103,10 +105,11 @@ class Encoder:
         return pc.split_pattern(pc.binary_join_element_wise(start, pc.replace_substring(texts, "\n", " \n"), pa.scalar("", pa.large_string())), " ")
 
     def _simple(self, texts: pa.Array) -> np.ndarray:
-        """Which texts _words can cut: where blanks count, those whose blanks stand alone and between other characters."""
+        """Which texts _words can cut: those without added tokens; where blanks count, whose blanks stand alone and between other characters."""
+        plain = ~pc.match_substring_regex(texts, self.added, ignore_case=self.any_case).to_numpy(zero_copy_only=False) if self.added else np.ones(len(texts), bool)
         if not self.keeps_blanks:
-            return np.ones(len(texts), bool)
-        return ~pc.match_substring_regex(texts, f"{BLANK}{BLANK}|^{BLANK}|{BLANK}$|^$|\x00").to_numpy(zero_copy_only=False)
+            return plain
+        return plain & ~pc.match_substring_regex(texts, f"{BLANK}{BLANK}|^{BLANK}|{BLANK}$|^$|\x00").to_numpy(zero_copy_only=False)
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, offsets) of successive slices of an Arrow array of texts; text i of a slice has ids[offsets[i]:offsets[i + 1]]. Null: none."""

@@ -326,3 +326,25 @@ def test_licenses(spark):
     rows = licenses.scan(table(spark, texts)).collect()
     assert {(r["doc_id"], r["license"]) for r in rows} == want and len(rows) == len(want)
     assert licenses.scan(empty(spark)).count() == 0
+
+
+def test_added_tokens_are_encoded_as_the_tokenizer_does(spark):
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from stepsight.llm import tokens
+
+    texts = ["one <|endoftext|> two", "<|startoftext|>", "a<|endoftext|>b  c\n<|startoftext|> d", "<|endoftext|><|endoftext|>", "x <|ENDOFTEXT|> y", "<|endoftext| >", "plain words only", "", None]
+    for name in (packing.TOKENIZER, token_files.TOKENIZER):
+        t = Tokenizer.from_file(public_tokenizers.path(name))
+        want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+        got = [ids[lo:hi].tolist() for ids, at in tokens.Encoder(public_tokenizers.path(name)).encode(pa.array(texts)) for lo, hi in zip(at[:-1], at[1:])]
+        assert got == want
+    docs = table(spark, texts)
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    assert {r["doc_id"]: r["ids_crc32"] for r in packing.pack(docs).collect()} == {i: crc(t.encode(x or "", add_special_tokens=False).ids + [0]) for i, x in enumerate(texts)}
+    path = f"{common.shared_dir(spark)}/token-added"
+    token_files.write_tokens(docs, path)
+    t = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
+    assert {r["doc_id"]: r["ids"] for r in spark.read.parquet(path).collect()} == {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in enumerate(texts)}
