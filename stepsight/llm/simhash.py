@@ -86,18 +86,23 @@ def linked(fps: DataFrame) -> DataFrame:
     return rooted.join(merged.select(F.col("node").alias("root"), F.col("root").alias("final")), "root", "left").select("fp", F.coalesce("final", "root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, h and component_id (smallest doc_id of the component) of every row of docs."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, h, root (a fingerprint that names the component) and component_id (its smallest doc_id) of every row of docs."""
     fps = stash(fingerprints(docs))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = stash(linked(classes))
     ids = roots.join(classes, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(roots.join(ids, "root").select("fp", "component_id"), "fp")
+    return fps.join(roots.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, h and component_id (smallest doc_id of the component; null where all are null) of every row of docs."""
+    return grouped(docs).select("fp", "doc_id", "h", "component_id")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id (of its repeats: the smallest text hash, then any one)."""
-    keep = near_duplicates(docs).groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.h").alias("kept_h"))
+    """Of each group of near copies the row with the smallest doc_id (nulls last; of its repeats: the smallest text hash, then any one)."""
+    keep = grouped(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.h").alias("kept_h"))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     kept = own.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left_semi")
     return kept.dropDuplicates(["id", "h"]).select("doc.*")

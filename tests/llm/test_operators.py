@@ -116,6 +116,15 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(empty(spark)).count() == simhash.one_per_group(empty(spark)).count() == 0
 
 
+def test_simhash_keeps_different_texts_without_doc_id(spark):
+    rng = np.random.default_rng(11)
+    texts = [prose(rng, 80) for _ in range(12)]
+    rows = [(None if i % 3 else i, t, "en", "s", len(t), "k", 7, "d") for i, t in enumerate(texts + texts[:6])]
+    kept = simhash.one_per_group(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r["text"] for r in kept) == sorted(texts)
+    assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == {0, 3, 6, 9}
+
+
 def test_simhash_finds_all_close_fingerprints(spark):
     rng = np.random.default_rng(8)
     fps = [int(x) for x in rng.integers(-(2**63), 2**63, 150)]
