@@ -4,8 +4,8 @@ Texts and templates become sequences of five-word shingle hashes (words lower-ca
 A template of s shingles belongs to the class c, the power of two from s up. A text's windows of that class hold 2c shingles
 and start every c/2, so a copy of the template, even one with half again as many words, lies whole in one of them, and a window
 that holds 0.8 of the template resembles it by 0.8 s / (2c + 0.2 s) > 0.18 or more. Each band is one minimum, so BANDS of them
-miss such a window with a chance below 0.82^BANDS = 0.0001. A window with no shingle of any template resembles none: only
-windows around such shingles get bands.
+miss such a window with a chance below 0.82^BANDS = 0.0001. A window with fewer shingles of its class's templates than 0.8 of the
+shortest one holds none of them: only windows with as many get bands.
 
 Retrieved pairs are then judged by the exact share of the template's shingles in the window.
 
@@ -16,6 +16,9 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,20 +28,36 @@ WORDS = 5
 LEAST = 0.8
 BANDS = 48
 
-# Short license notices and the texts that open license files.
+# License notices, the passages that tell a license from its relatives, and (license_texts/) whole licenses. No two
+# of different licenses share 0.8 of the shorter one's shingles, so a passage that differs in a word or a version is short.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
+    "MIT-notice-licensed": "Licensed under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0-notice": "GNU General Public License, version 2",
+    "GPL-3.0-notice": "GNU General Public License, version 3",
+    "LGPL-2.1-notice": "GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0-notice": "GNU Lesser General Public License, version 3",
+    "AGPL-3.0-notice": "GNU Affero General Public License, version 3",
     "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-2-Clause": "and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
+    "BSD-3-Clause": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    "GPL-3.0": "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "LGPL-2.1": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    "LGPL-3.0": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "AGPL-3.0": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "CC0-1.0-notice": "Licensed under CC0 1.0.",
 }
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+TEMPLATES |= {f"CC-{k}-{v}-short": f"under CC {k} {v}" for k in _CC for v in ("1.0", "2.0", "2.5", "3.0", "4.0")}
+TEMPLATES |= {f"CC-{k}-{v}-notice": f"This work is licensed under a Creative Commons {name} {v} {where} License." for k, name in _CC.items() for v, where in (("3.0", "Unported"), ("4.0", "International"))}
+BODIES = {f"{f.stem}-text": f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+KNOWN = TEMPLATES | BODIES
 
 
 def shingles(text: Column) -> Column:
@@ -56,23 +75,28 @@ def bands(s: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(s, lambda x: F.xxhash64(x, b))).alias("value")))
 
 
-def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES) -> DataFrame:
+def templates(spark: SparkSession, texts: dict[str, str] = KNOWN) -> DataFrame:
     """license, own (distinct shingles), class of every template with five words or more."""
     rows = spark.createDataFrame([*texts.items()], "license string, text string")
     return rows.select("license", F.array_distinct(shingles(F.col("text"))).alias("own")).where(F.size("own") > 0).withColumn("class", F.expr("CAST(power(2, ceil(log2(size(own)))) AS INT)"))
 
 
-def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, texts: dict[str, str] = KNOWN, least: float = LEAST) -> DataFrame:
     """doc_id, license, containment, start and end (shingle numbers of the first best window) of every license in every text."""
     spark = docs.sparkSession
     known = templates(spark, texts)
     rows = known.collect()  # as many as texts has
-    every = F.array(*(F.lit(x) for x in sorted({x for r in rows for x in r["own"]})))
-    classes = F.array(*(F.lit(c) for c in sorted({r["class"] for r in rows})))
+    of_class = {c: [r["own"] for r in rows if r["class"] == c] for c in sorted({r["class"] for r in rows})}
+    literal = lambda lists: F.expr(f"array({', '.join(f'{x}L' for x in sorted({x for own in lists for x in own}))})")
+    every = literal(r["own"] for r in rows)
     hashed = docs.select("doc_id", F.xxhash64("text").alias("t"), shingles(F.col("text")).alias("s"))
     hit = hashed.where(F.arrays_overlap("s", every))
-    at = F.filter(F.transform("s", lambda x, i: F.when(F.array_contains(every, x), i)), lambda i: i.isNotNull())
-    placed = stash(hit.select("doc_id", "t", "s", at.alias("at")).dropDuplicates(["doc_id", "t"]))
+    placed = stash(hit.select("doc_id", "t", "s").dropDuplicates(["doc_id", "t"]))
+
+    def hits(c: int) -> Column:
+        """class, need (fewest shingles of a window that holds enough of a template) and at (places of shingles of the class's templates)."""
+        at = let(F.array_intersect("s", literal(of_class[c])), lambda own: F.filter(F.transform("s", lambda x, i: F.when(F.array_contains(own, x), i)), lambda i: i.isNotNull()))
+        return F.struct(F.lit(c).alias("class"), F.lit(math.ceil(least * min(map(len, of_class[c])) - 1e-6)).alias("need"), at.alias("at"))
 
     def starts(c: Column) -> Column:
         """Starts of the windows of class c that hold one of the places in `at`."""
@@ -80,12 +104,13 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, least: float = LEAS
         first = lambda p: F.ceil(F.greatest(F.lit(0), p - 2 * c + 1) / step).cast("int")
         return F.array_distinct(F.flatten(F.transform("at", lambda p: F.transform(F.sequence(first(p), F.floor(p / step).cast("int")), lambda k: k * step))))
 
-    by_class = placed.withColumn("class", F.explode(classes))
-    windows = by_class.select("doc_id", "t", "s", "class", F.explode(starts(F.col("class"))).alias("start"))
-    windows = windows.select("doc_id", "t", "class", "start", F.array_distinct(F.slice("s", F.col("start") + 1, 2 * F.col("class"))).alias("window"))
+    by_class = placed.select("doc_id", "t", "s", F.explode(F.array(*map(hits, of_class))).alias("x")).select("doc_id", "t", "s", "x.*").where((F.size("at") > 0) & (F.size("at") >= F.col("need")))
+    windows = by_class.select("doc_id", "t", "s", "class", "need", "at", F.explode(starts(F.col("class"))).alias("start"))
+    inside = F.filter("at", lambda p: (p >= F.col("start")) & (p < F.col("start") + 2 * F.col("class")))
+    windows = windows.where(F.size(inside) >= F.col("need")).select("doc_id", "t", "class", "start", F.array_distinct(F.slice("s", F.col("start") + 1, 2 * F.col("class"))).alias("window"))
     banded = windows.select("*", F.explode(bands(F.col("window"))).alias("b")).select("doc_id", "t", "class", "start", "window", "b.*")
-    wanted = F.broadcast(known.select("license", "own", "class", F.explode(bands(F.col("own"))).alias("b")).select("license", "own", "class", "b.*"))  # BANDS rows a template
-    pairs = banded.join(wanted, ["class", "band", "value"])
+    wanted = F.broadcast(known.select("license", "class", F.explode(bands(F.col("own"))).alias("b")).select("license", "class", "b.*"))  # BANDS rows a template
+    pairs = banded.join(wanted, ["class", "band", "value"]).join(F.broadcast(known.select("license", "own")), "license")
     share = F.size(F.array_intersect("window", "own")) / F.size("own")
     judged = pairs.select("doc_id", "t", "license", "start", (F.col("start") + F.least(2 * F.col("class"), F.size("window"))).alias("end"), share.alias("containment")).where(F.col("containment") >= least)
     best = judged.groupBy("doc_id", "t", "license").agg(F.min(F.struct((-F.col("containment")).alias("c"), "start", "end")).alias("x"))

@@ -357,3 +357,46 @@ def test_added_tokens_are_encoded_as_the_tokenizer_does(spark):
     token_files.write_tokens(docs, path)
     t = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
     assert {r["doc_id"]: r["ids"] for r in spark.read.parquet(path).collect()} == {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in enumerate(texts)}
+
+
+CLAUSES = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of Acme Works nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.',
+]
+
+
+def test_licenses_are_told_apart(spark):
+    terms = "You can redistribute it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or any later version."
+    want = {
+        "Licensed under CC BY-NC 4.0.": {"CC-BY-NC-4.0-short"},
+        "Licensed under CC BY-NC-SA 4.0.": {"CC-BY-NC-SA-4.0-short"},
+        "Released under CC BY 3.0": {"CC-BY-3.0-short"},
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": {"CC-BY-NC-4.0-notice"},
+        " ".join(CLAUSES): {"BSD-3-Clause"},
+        CLAUSES[0] + " " + CLAUSES[2]: {"BSD-2-Clause"},
+        terms.format("General Public License", "2"): {"GPL-2.0"},
+        terms.format("General Public License", "3"): {"GPL-3.0"},
+        terms.format("Lesser General Public License", "3"): {"LGPL-3.0"},
+        terms.format("Affero General Public License", "3"): {"AGPL-3.0"},
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0-notice"},
+        "This work is licensed under the GNU General Public License, version 3.": {"GPL-3.0-notice"},
+    }
+    got = collections.defaultdict(set)
+    for r in licenses.scan(table(spark, list(want))).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_whole_licenses_are_found(spark):
+    rng = np.random.default_rng(12)
+    texts = [prose(rng, 700) + " " + t + " " + prose(rng, 900) for t in licenses.BODIES.values()]
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(table(spark, texts)).collect()}
+    assert {(i, k) for i, k in got if k in licenses.BODIES} == set(enumerate(licenses.BODIES)) and len(texts) == 7
+
+
+def test_licenses_finds_every_license_line_of_the_given_documents(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    line = re.compile("Licensed under CC BY-NC 4.0|Released under the MIT License|Licensed under the Apache License, Version 2.0|licensed under the GNU General Public License, version 3")
+    want = {r["doc_id"] for r in given.collect() if line.search(r["text"] or "")}
+    assert want and {r["doc_id"] for r in licenses.scan(given).collect()} == want
