@@ -1,14 +1,15 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A pattern finds strings that could be credentials: runs of credential letters with a digit in them, and quoted or assigned
-values after a telling name. A random forest, trained here from labelled findings, then judges each by its length, its
+Patterns find strings that could be credentials: runs of 16 credential letters or more with all that dots join to them, private
+key blocks, and quoted or assigned values after a telling name. A random forest, trained here from labelled findings, then judges each by its length, its
 character transitions, how much of it dictionary words cover, its path (the document's source) and the words around it.
 The trees are small arrays; each task scores its candidates with them, so no text leaves its row.
 
 Labelled findings: a table (before, value, after, path, secret). labelled() builds a bounded one (TRAINING rows) from seeded
 random credentials and look-alikes (digests, identifiers, numbers, placeholders); callers may pass their own.
 
-Defined results: null or empty text has no candidates; overlapping patterns count once, the leftmost longest; repeated rows are
+Defined results: null or empty text has no candidates; overlapping patterns count once: key blocks
+before named values before runs; repeated rows are
 scanned each; very long texts are scanned whole; an empty table gives no rows; redact() keeps all columns of docs, whatever
 their names, and updates n_chars if there is one.
 """
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 TRAINING, TREES, DEPTH = 6000, 40, 9
 LEAST = 0.5
 MASK = "[SECRET]"
-#: The same letters in Java and in Python: only ASCII classes.
-RUN = r"(?<![A-Za-z0-9_+/=\-.@])(?=[A-Za-z_+/=\-]{0,24}[0-9])[A-Za-z0-9_+/=\-]{16,}"
+#: Runs of credential letters; '=' only as padding, so that KEY=value is cut before its value.
+LETTERS = r"A-Za-z0-9_+/\-"
+RUN = rf"(?<![{LETTERS}])[{LETTERS}]{{16,}}={{0,2}}"
+PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:[^\-]|-(?!----)){0,20000}?-----END [A-Z0-9 ]{0,40}-----|(?:\s+[A-Za-z0-9+/=]{16,})*)"
 NAMED = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assw(?:or)?d|PASSWO?R?D|[Aa][Pp][Ii][_\-]?[Kk]ey|API_?KEY|[Pp]rivate[_\-]?[Kk]ey|[Aa]ccess[_\-]?[Kk]ey|ACCESS_KEY|[Cc]redential|[Aa]uth)[\"']?[ ]{0,2}[:=]{1,2}[ ]{0,2}[\"']?"
 VALUE = r"[A-Za-z0-9_+/=\-.!@#$%^&*]{8,}"
 # Names that announce a credential, and words that announce a harmless look-alike.
@@ -49,18 +52,54 @@ class Finding(NamedTuple):
     path: str
 
 
+def _dotted(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span widened by what dots join to it, as in SG.x.y or the three parts of a JWT."""
+    while m := _RIGHT.match(text, b):
+        b = m.end()
+    while a > 1 and text[a - 1] == "." and text[a - 2] in _LETTERS:
+        a -= 2
+        while a and text[a - 1] in _LETTERS:
+            a -= 1
+    return a, b
+
+
+def finding(text: str, a: int, b: int, path: str) -> Finding:
+    return Finding(text[max(0, a - 48) : a], text[a:b], text[b : b + 16], path)
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of every candidate of a text, in order, without overlaps."""
-    named = [(m.end(), v.end()) for m in _NAMED.finditer(text) if (v := _VALUE.match(text, m.end()))]
-    spans = sorted({*named, *(m.span() for m in _RUN.finditer(text))}, key=lambda s: (s[0], -s[1]))
-    done = -1
-    for a, b in spans:
-        if a >= done:
-            yield a, b
+    """(start, end) of every candidate of a text, in order, without overlaps: key blocks, then named values, then what runs have besides."""
+    taken: list[tuple[int, int]] = []
+    for spans in ([m.span() for m in _PEM.finditer(text)], sorted({(m.end(), v.end()) for m in _NAMED.finditer(text) if (v := _VALUE.match(text, m.end()))})):
+        kept, done, i = [], -1, 0
+        for a, b in spans:
+            while i < len(taken) and taken[i][1] <= a:
+                i += 1
+            if a >= done and not (i < len(taken) and taken[i][0] < b):
+                kept.append((a, b))
+                done = b
+        taken = sorted(taken + kept)
+    runs, done = [], -1
+    for m in _RUN.finditer(text):
+        if m.start() >= done:
+            a, b = _dotted(text, *m.span())
+            runs.append((max(a, done), b))
             done = b
+    out, i = list(taken), 0
+    for a, b in runs:
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        k = i
+        while k < len(taken) and taken[k][0] < b:
+            out.append((a, taken[k][0]))
+            a, k = max(a, taken[k][1]), k + 1
+        out.append((a, b))
+    rest = [(a, b) for a, b in out[len(taken) :] if b - a >= 16 and any(map(str.isalnum, text[a:b]))]
+    yield from sorted(taken + rest)
 
 
-_RUN, _NAMED, _VALUE = re.compile(RUN), re.compile(NAMED), re.compile(VALUE)
+_RUN, _NAMED, _VALUE, _PEM, _RIGHT = re.compile(RUN), re.compile(NAMED), re.compile(VALUE), re.compile(PEM), re.compile(rf"\.[{LETTERS}]+={{0,2}}")
+_LETTERS = frozenset(c for c in map(chr, range(128)) if re.match(f"[{LETTERS}]", c))
 
 
 def features(f: Finding) -> list[float]:
@@ -97,14 +136,18 @@ def features(f: Finding) -> list[float]:
         float(bool(re.fullmatch(r"(.)\1*|x+|\*+|(.{1,4})\2+", v))),
         v.count("-") / n,
         len(set(v)) / n,
+        v.count(".") / n,
+        float(v.startswith("-----BEGIN")),
+        float(f.before[-1:] == "@"),
+        max(map(len, re.findall(r"[a-z]+", v)), default=0),
     ]
 
 
 def labelled(rows: int = TRAINING, seed: int = 7) -> list[tuple[Finding, bool]]:
-    """Seeded labelled findings: half credentials in telling places, half look-alikes."""
+    """Seeded labelled findings, as candidates() extracts them: half credentials in telling places or of telling form, half look-alikes."""
     r = random.Random(seed)
     hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    names = ["token", "secret", "password", "api_key", "apikey", "access_key", "private_key", "auth_token", "client_secret", "TOKEN", "Password", "SECRET_KEY"]
+    names = ["token", "secret", "password", "api_key", "apikey", "access_key", "private_key", "auth_token", "client_secret", "TOKEN", "Password", "SECRET_KEY", "API_KEY", "DB_PASSWORD", "AUTH_TOKEN"]
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve qu ch au eu".split()
 
     def word() -> str:
@@ -116,13 +159,23 @@ def labelled(rows: int = TRAINING, seed: int = 7) -> list[tuple[Finding, bool]]:
     def some(alphabet: str, low: int, high: int) -> str:
         return "".join(r.choice(alphabet) for _ in range(r.randint(low, high)))
 
+    def dotted() -> str:
+        return r.choice([lambda: f"SG.{some(mixed, 22, 22)}.{some(mixed + '_-', 43, 43)}", lambda: f"eyJ{some(mixed, 20, 40)}.eyJ{some(mixed, 20, 200)}.{some(mixed + '_-', 43, 43)}", lambda: f"{some(mixed, 24, 24)}.{some(mixed, 6, 6)}.{some(mixed, 27, 27)}"])()
+
+    def pem() -> str:
+        kind = r.choice(["", "RSA ", "EC ", "OPENSSH "])
+        body = "\n".join(some(mixed + "+/", 64, 64) for _ in range(r.randint(2, 26)))
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+
     def secret() -> tuple[str, str, str]:
-        value = r.choice([lambda: some(hexes, 32, 64), lambda: some(hexes, 40, 40), lambda: some(hexes.upper(), 32, 40), lambda: some(mixed, 16, 48), lambda: some(mixed + "+/", 32, 60), lambda: r.choice(["sk_live_", "ghp_", "AKIA"]) + some(mixed, 16, 36), lambda: some(mixed + "!@#$%", 10, 20)])()
+        value = r.choice([lambda: some(hexes, 32, 64), lambda: some(hexes, 40, 40), lambda: some(hexes.upper(), 32, 40), lambda: some(mixed, 16, 48), lambda: some(mixed + "+/", 32, 60), lambda: r.choice(["sk_live_", "ghp_", "AKIA"]) + some(mixed, 16, 36), lambda: some(mixed + "!@#$%", 10, 20), dotted, lambda: some(mixed[:52], 20, 48)])()
+        if r.random() < 0.2:
+            return f"{text(4)} ", r.choice([pem, dotted, lambda: some(mixed, 32, 64), lambda: some(mixed[:52], 32, 64)])(), f" {text(3)}"
         quote = r.choice(['"', "'", ""])
         return f"{text(4)} {r.choice(names)}{r.choice([' = ', '=', ': ', ':'])}{quote}", value, f"{quote}{r.choice(['', '!!', '###', ';'])} {text(3)}"
 
     def other() -> tuple[str, str, str]:
-        kind = r.randrange(8)
+        kind = r.randrange(13)
         if kind == 0:
             return f"{text(3)} {r.choice(HARMLESS)}{r.choice([' ', ': ', '='])}", some(hexes, 32, 64), f" {text(3)}"
         if kind == 1:
@@ -137,12 +190,24 @@ def labelled(rows: int = TRAINING, seed: int = 7) -> list[tuple[Finding, bool]]:
             return f"{text(3)} ", word() + word() + some("0123456789", 1, 4) + word() + word(), f" {text(3)}"
         if kind == 6:
             return f"{text(2)} {r.choice(names)}: ", word() + word() + word(), f" {text(2)}"
+        if kind == 7:
+            return f"{text(3)} ", r.choice([str.lower, str.capitalize, str.upper])("".join(word() for _ in range(6))), f"{r.choice(['', ',', '.'])} {text(3)}"
+        if kind == 8:
+            return f"{text(3)} ", "".join(r.choice(DICTIONARY).capitalize() for _ in range(r.randint(3, 5))), f" {text(3)}"
+        if kind == 9:
+            return f"{text(2)} ", ".".join([r.choice(["www", "com", "org", word()]), "".join(word() for _ in range(5)), r.choice([*DICTIONARY, "com"]), r.choice(["example", "org", word()])]), f" {text(2)}"
+        if kind == 10:
+            return f"{text(2)} {word()}@", "-".join([word() + word(), word() + word(), word()]) + ".example.com", f" {text(2)}"
+        if kind == 11:
+            return f"{text(2)} ", r.choice(["-", "_", "/"]).join(word() for _ in range(r.randint(3, 7))), f" {text(2)}"
         return f"{text(3)} see ", "/".join(["a" + word(), word(), word() + some("0123456789", 1, 2), "index"]), f" {text(3)}"
 
-    out = []
-    for i in range(rows):
-        before, value, after = secret() if i % 2 else other()
-        out.append((Finding(before, value, after, f"src{r.randrange(40)}" if r.random() < 0.9 else "tests/data"), bool(i % 2)))
+    out: list[tuple[Finding, bool]] = []
+    while len(out) < rows:
+        wanted = bool(len(out) % 2)
+        before, value, after = secret() if wanted else other()
+        path, whole = f"src{r.randrange(40)}" if r.random() < 0.9 else "tests/data", before + value + after
+        out += [(finding(whole, a, b, path), wanted) for a, b in candidates(whole) if a < len(before) + len(value) and b > len(before)][:1]
     return out
 
 
@@ -212,12 +277,12 @@ def found_in(text: str, path: str, forest: Forest) -> list[tuple[int, int, float
     spans = list(candidates(text))
     if not spans:
         return []
-    x = np.array([features(Finding(text[max(0, a - 48) : a], text[a:b], text[b : b + 16], path)) for a, b in spans])
+    x = np.array([features(finding(text, a, b, path)) for a, b in spans])
     return [(a, b, float(p)) for (a, b), p in zip(spans, forest.score(x))]
 
 
 #: A row can have candidates only if this matches; Java's regex, before any text goes to Python.
-POSSIBLE = f"{RUN}|{NAMED}"
+POSSIBLE = f"[{LETTERS}]{{16}}|{NAMED}|-----BEGIN "
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, least: float = LEAST) -> DataFrame:
