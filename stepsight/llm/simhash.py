@@ -100,9 +100,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("fp", "doc_id", "h", "component_id")
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id (nulls last; of its repeats: the smallest text hash, then any one)."""
-    keep = grouped(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.h").alias("kept_h"))
+def one_per_group(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id (nulls last; of its repeats: the smallest text hash, then any one).
+    found: doc_id, h and root of every row, by default those of grouped()."""
+    keep = (grouped(docs) if found is None else found).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.h").alias("kept_h"))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     kept = own.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left_semi")
     return kept.dropDuplicates(["id", "h"]).select("doc.*")

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stepsight.llm import common, embeddings, language, licenses, mixing, packing, quality, secret_scan, simhash, suffix_dedup, token_files
+from stepsight.llm import common, embeddings, language, licenses, mixing, near_copies, packing, quality, secret_scan, simhash, suffix_dedup, token_files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h long, doc string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -415,3 +415,27 @@ def test_secrets_of_every_form_reach_the_forest_whole(spark):
     got = {r["doc_id"]: r["text"] for r in secret_scan.redact(table(spark, texts + plain)).collect()}
     assert [got[i] for i in range(len(texts))] == [t.replace(v, secret_scan.MASK) for t, v in zip(texts, values)]
     assert [got[len(texts) + i] for i in range(len(plain))] == plain
+
+
+def test_pipeline_links_all_near_copies(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(13)
+    texts = []
+    for _ in range(25):
+        base = prose(rng, int(rng.integers(60, 200))).split()
+        for k in (0, 1, 2, 3, 5, 9):
+            w = list(base)
+            for at in rng.choice(len(w), k, replace=False):
+                w[at] = "changed%d" % rng.integers(1000)
+            texts.append(" ".join(w))
+    texts += [None, "", " \n", "two words", "Two Words", texts[0]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if (len(a & b) >= 0.8 * len(a | b) if a or b else True)]
+    far = sum(bin(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).count("1") > 4 for i, j in links)
+    assert far > 20
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = stage(spark, table(spark, texts), "")
+    assert kept.columns == DOCS.replace(",", "").split()[::2]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(components_of(len(texts), links)))
+    assert stage(spark, empty(spark), "").count() == 0
