@@ -23,14 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, is computed once, survives lost executors."""
+def stash(df: DataFrame, *by: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder (a folder for each value of `by`) and reads it back: cuts lineage, is computed
+    once, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of the shared folder that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def words(text: Column) -> Column:
     """Array of the `[^\\x20\\x09-\\x0D]+` of a text; null: empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")

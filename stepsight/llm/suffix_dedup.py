@@ -1,18 +1,23 @@
-"""Exact removal of long repeated byte strings with a logarithmic family of suffix indexes.
-
-1. Each text's sampled suffixes (suffixes.py) go, batch by batch, into sorted indexes of (key of the suffix's first bytes,
-   count). A new batch is merge-scanned against every level for keys that both have, then becomes a level of size one; equal
-   levels merge, so a key is rewritten a number of times logarithmic in the number of batches.
-2. A segment (up to 369 runs of MATCH bytes around one sampled suffix) whose whole content occurs twice is repeated throughout.
-   Of the other segments with a repeated key, only those sharing the key with different content can hold repeated runs:
-   one of each content is cut into chunks of a few runs, by the same rule those into runs, and runs found twice are repeated.
+"""Exact removal of long repeated byte strings with a logarithmic family of sparse suffix arrays.
+
+1. From every run of MATCH bytes one suffix is sampled (suffixes.py), read to the right or, reversed, to the left: either way it
+   is cut where a run around it may end. A batch of documents gets a suffix array: its distinct suffixes, sorted over all
+   partitions by the names of their prefixes of three lengths (64-bit numbers of equal strings, as in prefix doubling), each with
+   how often it occurs and the smallest and largest content around it. A new array is merge-scanned against every level: of two
+   neighbours in the merged order the common prefix is read off the names, and one as long as the suffixes is a match. Arrays of
+   equal size merge in the same scan, so a suffix is rewritten a number of times logarithmic in the number of batches.
+2. A segment (up to 369 runs of MATCH bytes around one sampled suffix) that matches with the whole of its content is repeated
+   throughout. Of the other matching segments one of each content is cut into chunks of a few runs, by the same rule those into
+   runs, and runs found twice are repeated.
 3. Bytes that repeated runs cover are removed; texts are read again only where a part of them goes.
 
-Keys and contents are 64-bit hashes of substrings. Every table is spread by hash and summed before it is shuffled; nothing is
-collected.
+Names only nominate. What counts as equal in steps 2 and 3 is a 128-bit hash (XXH3) of the bytes themselves, so no structure of a
+text (as in Thue-Morse words) makes different strings equal. A suffix that very many documents share is one row from the first
+partial sum on; nothing is collected. A document's segments and spans meet in one row, as its text does.
 
-Defined results: null text is empty; texts below MATCH bytes are kept whole; repeated rows are documents of their own, so
-their long texts go; very long texts are worked on in blocks; an empty table gives no rows; further columns are ignored.
+Defined results: null text is empty; texts below MATCH bytes are kept whole; repeated rows (same doc_id, same text or not) are
+documents of their own, so their long texts go; of ties none stays: every copy of a repeated string goes; very long texts are worked
+on in blocks; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,64 +25,78 @@ from __future__ import annotations
 import gc
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stash
-from .suffixes import GRAM, MATCH, SIDE, Block, blocks, segments
+from .common import dropped, shared_dir, stash
+from .suffixes import GRAM, MATCH, PREFIXES, SIDE, Block, blocks, segments
 
 BATCHES = 4
 #: Runs that are looked at together before they are looked at one by one.
 CHUNK = 16
 EMPTY = hashlib.sha256(b"").hexdigest()
-SEGMENT = "struct<low:int,n:int,at:int,o:bigint,kl:bigint,kr:bigint>"
+#: First run, how many, where the sampled suffix starts; the content; names of the prefixes: the gram, then by side a longer one and the whole.
+SEGMENT = "struct<low:int,n:int,at:int,o:bigint,p:bigint,a:bigint,bl:bigint,kl:bigint,br:bigint,kr:bigint>"
+ENTRY = "a bigint, b bigint, key bigint, least struct<o:bigint,p:bigint>, most struct<o:bigint,p:bigint>, n bigint"
 
 
 def _utf8(x: pa.Scalar) -> bytes:
     return (x.as_py() or "").encode("utf-8", "surrogatepass")
 
 
+def _digests(parts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a 128-bit hash of each string."""
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
+
+
 def _sampled(text: bytes) -> list[np.ndarray]:
-    """Columns of SEGMENT over a whole text; a missing key is 0."""
+    """Columns of SEGMENT over a whole text; a name is 0 on a side without runs."""
     out = []
     for a, b in blocks(len(text)):
         data = np.frombuffer(text, np.uint8, b - a, a)
         block = Block(data)
         s = segments(data, block)
         left, right = s.low <= s.at - SIDE, s.low + s.n - 1 > s.at - SIDE
-        kl = np.where(left, block.hashes(np.where(left, s.at - SIDE, 0), SIDE + GRAM, 1), 0)
-        kr = np.where(right, block.hashes(np.where(right, s.at, 0), GRAM + SIDE + 1, 2), 0)
-        out.append((s.low + a, s.n, s.at + a, block.hashes(s.low, s.n + MATCH - 1, 3), kl, kr))
-    return [np.concatenate(x) for x in zip(*out)] or [np.empty(0, np.int64)] * 6
+        names = [block.hashes(s.at, GRAM, 1)]
+        for size in PREFIXES:  # to the left: from `size` bytes before the gram to its end
+            names.append(np.where(left, block.hashes(np.where(left, s.at - size, 0), size + GRAM, 2), 0))
+        for size in PREFIXES:
+            names.append(np.where(right, block.hashes(np.where(right, s.at, 0), GRAM + size + 1, 3), 0))
+        content = _digests(text[i:j] for i, j in zip((s.low + a).tolist(), (s.low + s.n + (MATCH - 1 + a)).tolist()))
+        out.append((s.low + a, s.n, s.at + a, *content, *names))
+    return [np.concatenate(x) for x in zip(*out)] or [np.empty(0, np.int64)] * 10
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """rid (unique), doc_id, t (hash of the text), n_bytes, sha256, segs of every row."""
+def described(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """rid (unique), batch, doc_id, t (hash of the text), n_bytes, sha256, segs of every row."""
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
+        batch = TaskContext.get().partitionId() % batches
         for b in it:
             for at in range(0, len(b), 500):
                 part = b.slice(at, 500)
                 texts = [_utf8(x) for x in part.column(2)]
                 columns = [_sampled(x) for x in texts]
                 offsets = pa.array(np.cumsum([0, *(len(c[0]) for c in columns)]), pa.int32())
-                kinds = [pa.int32()] * 3 + [pa.int64()] * 3
+                kinds = [pa.int32()] * 3 + [pa.int64()] * 7
                 flat = [pa.array(np.concatenate(x), k) for x, k in zip(zip(*columns), kinds)]
-                segs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, ["low", "n", "at", "o", "kl", "kr"]))
+                segs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(flat, ["low", "n", "at", "o", "p", "a", "bl", "kl", "br", "kr"]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid, rid + len(part))), part.column(0), part.column(1), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), segs],
-                    ["rid", "doc_id", "t", "n_bytes", "sha256", "segs"],
+                    [pa.array(np.arange(rid, rid + len(part))), pa.array(np.full(len(part), batch, np.int32)), part.column(0), part.column(1), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), segs],
+                    ["rid", "batch", "doc_id", "t", "n_bytes", "sha256", "segs"],
                 )
                 rid += len(part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(batches, f"rid bigint, doc_id {kind}, t bigint, n_bytes bigint, sha256 string, segs array<{SEGMENT}>")
+    return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(rows, f"rid bigint, batch int, doc_id {kind}, t bigint, n_bytes bigint, sha256 string, segs array<{SEGMENT}>")
 
 
 def release(spark: SparkSession) -> None:
@@ -86,59 +105,105 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _scanned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge-scan of sorted ENTRY rows: neighbours whose common prefix is the whole suffix become one, with their counts and contents."""
+    held: pa.Table | None = None  # the last suffix, which the next rows may go on with
+    for b in it:
+        if not len(b):
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        names = np.stack([t[c].to_numpy() for c in ("a", "b", "key")], 1)
+        lcp = np.cumprod(names[1:] == names[:-1], axis=1).sum(1)  # prefixes that neighbours share, of three
+        first = np.flatnonzero(np.concatenate([[True], lcp < 3]))
+        merged = _united_entries(t, first)
+        held = merged.slice(len(first) - 1)
+        yield from merged.slice(0, len(first) - 1).to_batches()
+    if held is not None:
+        yield from held.to_batches()
+
+
+def _united_entries(t: pa.Table, first: np.ndarray) -> pa.Table:
+    """One row for each stretch of rows that starts at `first`: sums of n, extremes of the contents."""
+    stretch = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
+    ends = {}
+    for side, at in (("least", first), ("most", np.append(first[1:], len(t)) - 1)):
+        o, p = (t[side].combine_chunks().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        which = np.lexsort((p, o, stretch))[at]
+        ends[side] = pa.StructArray.from_arrays([pa.array(o[which]), pa.array(p[which])], ["o", "p"])
+    names = {c: pa.array(t[c].to_numpy()[first]) for c in ("a", "b", "key")}
+    return pa.table({**names, **ends, "n": pa.array(np.add.reduceat(t["n"].to_numpy(), first))})
+
+
 class IndexFamily:
-    """Levels of sorted (key, n) tables in the shared folder; sizes are counted in batches."""
+    """Levels of sorted suffix arrays in the shared folder; sizes are counted in batches."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.levels = spark, []  # (size, path)
-        self.found: list[DataFrame] = []
+        self.matches: list[DataFrame] = []
 
-    def _write(self, index: DataFrame) -> str:
+    def _read(self, path: str) -> DataFrame:
+        return self.spark.read.schema(ENTRY).parquet(path)
+
+    def _scan(self, *arrays: DataFrame) -> DataFrame:
+        """The arrays in one order, equal suffixes united. Rows are distinct in each array, so ranges are even however common a suffix is."""
+        rows = arrays[0]
+        for other in arrays[1:]:
+            rows = rows.union(other)
+        return rows.repartitionByRange("a", "b", "key").sortWithinPartitions("a", "b", "key").mapInArrow(_scanned, ENTRY)
+
+    def _write(self, array: DataFrame) -> str:
         path = f"{shared_dir(self.spark)}/suffixes-{uuid.uuid4().hex}"
-        index.groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key").write.parquet(path)
+        array.write.parquet(path)
         return path
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema("key bigint, n bigint").parquet(path)
-
-    def add(self, keys: DataFrame) -> None:
-        """Indexes a batch of keys, notes those found before or twice in it, and merges equal levels."""
-        size, path = 1, self._write(keys.select("key", F.lit(1).alias("n")))
-        new = self._read(path)
-        hits = [new.where("n > 1").select("key")] + [new.join(self._read(p), "key", "left_semi").select("key") for _, p in self.levels]
-        found = hits[0]
-        for h in hits[1:]:
-            found = found.union(h)
-        self.found.append(stash(found.distinct()))
-        while self.levels and self.levels[-1][0] == size:
+    def _note(self, array: DataFrame) -> None:
+        self.matches.append(stash(array.where("n > 1").select("key", "least", "most")))
+
+    def add(self, suffixes: DataFrame) -> None:
+        """Gives a batch (a, b, key, o, p) its suffix array, notes matches within it and with every level, and merges equal levels."""
+        content = F.struct("o", "p")
+        distinct = suffixes.groupBy("a", "b", "key").agg(F.min(content).alias("least"), F.max(content).alias("most"), F.count("*").alias("n"))
+        size, path = 1, self._write(self._scan(distinct))
+        self._note(self._read(path))
+        once = F.lit(1).cast("long")
+        merging = 0  # as many of the last levels as the new one carries into
+        while merging < len(self.levels) and self.levels[-1 - merging][0] == 1 << merging:
+            merging += 1
+        for _, other in self.levels[: len(self.levels) - merging]:
+            self._note(self._scan(self._read(path).withColumn("n", once), self._read(other).withColumn("n", once)))
+        for _ in range(merging):
             _, other = self.levels.pop()
-            merged = self._write(self._read(path).union(self._read(other)))
-            for p in (path, other):
-                where = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-                where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            merged = self._write(self._scan(self._read(path), self._read(other)))
+            self._note(self._read(merged))
+            dropped(self.spark, path, other)
             size, path = size * 2, merged
         self.levels.append((size, path))
         release(self.spark)
 
     def repeated(self) -> DataFrame:
-        """Keys that occur twice or more in all batches together."""
-        found = self.found[0]
-        for f in self.found[1:]:
-            found = found.union(f)
-        return found.distinct()
+        """key, mixed (whether different contents share it) of the suffixes that occur twice or more in all batches together."""
+        found = self.matches[0]
+        for m in self.matches[1:]:
+            found = found.union(m)
+        return found.groupBy("key").agg((F.min("least") != F.max("most")).alias("mixed"))
+
+    def close(self) -> None:
+        dropped(self.spark, *(p for _, p in self.levels))
 
 
 def _chunks(texts: DataFrame) -> DataFrame:
     """Chunks of the wanted segments of texts: up to CHUNK runs whose distance to the sampled suffix has the same quotient by CHUNK.
 
-    o, rel, n: the segment's content, the first run's place in it, and how many; core: the bytes that all runs of a whole such chunk
-    share; outer: all bytes of the runs; hs: one hash for each run."""
+    o, p, rel, n: the segment's content, the first run's place in it, and how many; core: the bytes that all runs of a whole such
+    chunk share; outer: all bytes of the runs; hs: one hash for each run. Hashes of 128 bits are two numbers."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out: list[tuple[np.ndarray, ...]] = []
             for text, wanted in zip(b.column(0), b.column(1)):
-                data = np.frombuffer(_utf8(text), np.uint8)
+                raw = _utf8(text)
+                data = np.frombuffer(raw, np.uint8)
                 for w in wanted.as_py():
                     low, n, at = w["low"], w["n"], w["at"]
                     cut = min(n, max(0, at - SIDE + 1 - low))
@@ -149,18 +214,20 @@ def _chunks(texts: DataFrame) -> DataFrame:
                         first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
                         size = np.diff(np.append(first, z - a))
                         core = block.hashes(at - low - a - which[first] * CHUNK, MATCH - CHUNK + 1, 5)
-                        out.append((np.full(len(first), w["o"]), first + a, size, core, block.hashes(first, size + MATCH - 1, 6), block.hashes(np.arange(z - a), MATCH, 4)))
+                        outer = _digests(raw[i : i + k + MATCH - 1] for i, k in zip((first + low + a).tolist(), size.tolist()))
+                        runs = _digests(raw[i : i + MATCH] for i in range(low + a, low + z))
+                        out.append((np.full(len(first), w["o"]), np.full(len(first), w["p"]), first + a, size, core, *outer, *runs))
             if out:
-                o, rel, size, core, outer, h = (np.concatenate(x) for x in zip(*out))
-                hs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(h))
-                yield pa.RecordBatch.from_arrays([pa.array(o), pa.array(rel, pa.int32()), pa.array(size, pa.int32()), pa.array(core), pa.array(outer), hs], ["o", "rel", "n", "core", "outer", "hs"])
+                o, p, rel, size, core, outer, outer2, h, h2 = (np.concatenate(x) for x in zip(*out))
+                hs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.StructArray.from_arrays([pa.array(h), pa.array(h2)], ["h", "h2"]))
+                yield pa.RecordBatch.from_arrays([pa.array(o), pa.array(p), pa.array(rel, pa.int32()), pa.array(size, pa.int32()), pa.array(core), pa.array(outer), pa.array(outer2), hs], ["o", "p", "rel", "n", "core", "outer", "outer2", "hs"])
 
-    return texts.select("text", "wanted").mapInArrow(batches, "o bigint, rel int, n int, core bigint, outer bigint, hs array<bigint>")
+    return texts.select("text", "wanted").mapInArrow(batches, "o bigint, p bigint, rel int, n int, core bigint, outer bigint, outer2 bigint, hs array<struct<h:bigint,h2:bigint>>")
 
 
-def repeated(rows: DataFrame, column: str, spot: Column) -> DataFrame:
-    """Values of a column that occur at two spots (64-bit hashes) or more."""
-    return rows.groupBy(column).agg(F.min(spot).alias("p"), F.max(spot).alias("q")).where("p <> q").select(column)
+def repeated(rows: DataFrame, spot: Column, *columns: str) -> DataFrame:
+    """Values of columns that occur at two spots (64-bit hashes) or more."""
+    return rows.groupBy(*columns).agg(F.min(spot).alias("_p"), F.max(spot).alias("_q")).where("_p <> _q").select(*columns)
 
 
 def _united(starts: DataFrame) -> DataFrame:
@@ -187,22 +254,24 @@ def _united(starts: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed stretches) of every row of docs."""
     spark = docs.sparkSession
-    d = stash(described(docs))
+    d = stash(described(docs, batches), "batch")
     # A sampled suffix's place in one number: start of its segment, runs in it, distance of the suffix, side.
     packed = "shiftleft(CAST(s.low AS BIGINT), 20) | shiftleft(CAST(s.n AS BIGINT), 10) | shiftleft(CAST(s.at - s.low AS BIGINT), 1)"
-    sides = "array(named_struct('loc', loc, 'key', kl), named_struct('loc', loc + 1, 'key', kr))"
-    sampled = d.selectExpr("rid", "explode(segs) AS s").selectExpr("rid", f"{packed} AS loc", "s.o", "s.kl", "s.kr").selectExpr("rid", "o", f"explode({sides}) AS x").selectExpr("rid", "o", "x.loc", "x.key").where("key <> 0")
-    unpacked = ["rid", "o", "key", "loc & 1 AS side", "CAST(shiftright(loc, 20) AS INT) AS low", "CAST(shiftright(loc, 10) & 1023 AS INT) AS n", "CAST(shiftright(loc, 20) + (shiftright(loc, 1) & 511) AS INT) AS at"]
+    sides = "array(named_struct('loc', loc, 'b', s.bl, 'key', s.kl), named_struct('loc', loc + 1, 'b', s.br, 'key', s.kr))"
+    segs = d.selectExpr("batch", "rid", "explode(segs) AS s")
+    sampled = segs.selectExpr("batch", "rid", "s", f"{packed} AS loc").selectExpr("batch", "rid", "s.o", "s.p", "s.a", f"explode({sides}) AS x").selectExpr("batch", "rid", "o", "p", "a", "x.*").where("key <> 0")
+    unpacked = ["rid", "o", "p", "mixed", "loc & 1 AS side", "CAST(shiftright(loc, 20) AS INT) AS low", "CAST(shiftright(loc, 10) & 1023 AS INT) AS n", "CAST(shiftright(loc, 20) + (shiftright(loc, 1) & 511) AS INT) AS at"]
     family = IndexFamily(spark)
     for i in range(batches):
-        family.add(sampled.where(F.pmod(F.xxhash64("rid"), F.lit(batches)) == i).select("key"))
+        family.add(sampled.where(F.col("batch") == i).select("a", "b", "key", "o", "p"))
     keys = stash(family.repeated())
-    c = stash(sampled.join(keys, "key").selectExpr(*unpacked))
+    family.close()
+    c = stash(sampled.select("rid", "o", "p", "loc", "key").join(keys, "key").selectExpr(*unpacked))
     release(spark)
-    whole = stash(repeated(c, "o", F.xxhash64("rid", "low")))
-    mixed = repeated(c, "key", F.col("o"))
-    reps = c.join(mixed, "key").groupBy("o").agg(F.min(F.struct("rid", "low", "n", "at")).alias("p"), F.max(F.col("side") == 0).alias("l"), F.max(F.col("side") == 1).alias("r")).select("o", "p.*", "l", "r")
-    wanted = stash(reps.groupBy("rid").agg(F.collect_list(F.struct("o", "low", "n", "at", "l", "r")).alias("wanted")))
+    content = ["o", "p"]
+    whole = stash(repeated(c, F.xxhash64("rid", "low"), *content))
+    reps = c.where("mixed").groupBy(*content).agg(F.min(F.struct("rid", "low", "n", "at")).alias("x"), F.max(F.col("side") == 0).alias("l"), F.max(F.col("side") == 1).alias("r")).select(*content, "x.*", "l", "r")
+    wanted = stash(reps.groupBy("rid").agg(F.collect_list(F.struct("o", "p", "low", "n", "at", "l", "r")).alias("wanted")))
     release(spark)
     ids = d.select("rid", F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
     some = c.select("rid").distinct().join(ids, "rid")
@@ -212,17 +281,17 @@ def removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     release(spark)
     chunks = stash(_chunks(texts.join(wanted.join(ids, "rid"), same).select("text", "wanted")))
     release(spark)
-    spot = F.xxhash64("o", "rel")
-    full = chunks.join(repeated(chunks, "outer", spot), "outer", "left_semi").select("o", "rel", "n")
-    open_ = chunks.join(repeated(chunks, "core", F.col("outer")), "core", "left_semi")
-    runs = stash(open_.select("o", F.posexplode("hs").alias("i", "h"), "rel").select("o", (F.col("rel") + F.col("i")).alias("rel"), "h"))
+    spot = F.xxhash64("o", "p", "rel")
+    full = chunks.join(repeated(chunks, spot, "outer", "outer2"), ["outer", "outer2"], "left_semi").select("o", "p", "rel", "n")
+    open_ = chunks.join(repeated(chunks, F.xxhash64("outer", "outer2"), "core"), "core", "left_semi")
+    runs = stash(open_.select("o", "p", F.posexplode("hs").alias("i", "h"), "rel").select("o", "p", (F.col("rel") + F.col("i")).alias("rel"), "h.*"))
     release(spark)
-    single = runs.join(repeated(runs, "h", spot), "h", "left_semi").select("o", "rel", F.lit(1).alias("n"))
-    parts = stash(full.unionByName(single).groupBy("o").agg(F.collect_list(F.struct("rel", "n")).alias("parts")))  # at most MATCH of them
+    single = runs.join(repeated(runs, spot, "h", "h2"), ["h", "h2"], "left_semi").select("o", "p", "rel", F.lit(1).alias("n"))
+    parts = stash(full.unionByName(single).groupBy(*content).agg(F.collect_list(F.struct("rel", "n")).alias("parts")))  # at most MATCH of them
     release(spark)
-    segs = c.select("rid", "low", "n", "o").distinct()
-    covered = segs.join(whole, "o").select("rid", F.col("low").cast("long").alias("a"), (F.col("low") + F.col("n") + (MATCH - 1)).cast("long").alias("z"))
-    partly = segs.join(whole, "o", "left_anti").join(parts, "o").select("rid", F.explode("parts").alias("x"), "low").select("rid", (F.col("low") + F.col("x.rel")).cast("long").alias("a"), (F.col("low") + F.col("x.rel") + F.col("x.n") + (MATCH - 1)).cast("long").alias("z"))
+    places = c.select("rid", "low", "n", *content).distinct()
+    covered = places.join(whole, content).select("rid", F.col("low").cast("long").alias("a"), (F.col("low") + F.col("n") + (MATCH - 1)).cast("long").alias("z"))
+    partly = places.join(whole, content, "left_anti").join(parts, content).select("rid", F.explode("parts").alias("x"), "low").select("rid", (F.col("low") + F.col("x.rel")).cast("long").alias("a"), (F.col("low") + F.col("x.rel") + F.col("x.n") + (MATCH - 1)).cast("long").alias("z"))
     spans = stash(_united(covered.union(partly)))
     judged = stash(d.select("rid", "doc_id", "t", "n_bytes", "sha256").join(spans, "rid", "left"))
     cut = judged.where("n_removed < n_bytes")
@@ -240,7 +309,7 @@ def removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 digests.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests)], ["rid", "rest"])
 
-    out = judged.join(rest.mapInArrow(kept, "rid bigint, rest string"), "rid", "left")
+    out = judged.join(rest.mapInArrow(kept, "rid bigint, rest string").dropDuplicates(["rid"]), "rid", "left")  # repeated rows find each other's text
     digest = F.when(F.col("n_removed").isNull(), F.col("sha256")).when(F.col("n_removed") == F.col("n_bytes"), EMPTY).otherwise(F.col("rest"))
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"), digest.alias("kept_sha256"), "spans")
 

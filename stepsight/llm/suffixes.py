@@ -1,4 +1,4 @@
-"""Numpy part of the suffix-array dedup: sampled suffixes of a text and hashes of its substrings.
+"""Numpy part of the suffix-array dedup: sampled suffixes of a text and names of its substrings.
 
 From every run of MATCH bytes one suffix is sampled: the start of the run's smallest GRAM-byte string (the last one of equal
 ones). Equal runs sample the same suffix at the same place, so long matches are found among sampled suffixes alone.
@@ -15,6 +15,8 @@ MATCH = 400
 GRAM = 32
 #: A run of MATCH bytes has SIDE bytes or more before its sampled gram, or more than that after it.
 SIDE = (MATCH - GRAM) // 2
+#: How far the prefixes of a suffix that get names go beyond its gram.
+PREFIXES = (SIDE // 2, SIDE)
 #: Bytes that are looked at together; positions within fit the low bits of a sort key.
 BLOCK = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
