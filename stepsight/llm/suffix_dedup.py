@@ -43,7 +43,9 @@ CHUNK = 16
 EMPTY = hashlib.sha256(b"").hexdigest()
 #: First run, how many, where the sampled suffix starts; the content; names of the prefixes: the gram, then by side a longer one and the whole.
 SEGMENT = "struct<low:int,n:int,at:int,o:bigint,p:bigint,a:bigint,bl:bigint,kl:bigint,br:bigint,kr:bigint>"
-ENTRY = "a bigint, b bigint, key bigint, least struct<o:bigint,p:bigint>, most struct<o:bigint,p:bigint>, n bigint"
+#: A suffix by its names, the smallest and the largest content around it, and how often it occurs.
+COLUMNS = ["a", "b", "key", "least_o", "least_p", "most_o", "most_p", "n"]
+ENTRY = ", ".join(f"{c} bigint" for c in COLUMNS)
 
 
 def _utf8(x: pa.Scalar) -> bytes:
@@ -107,32 +109,24 @@ def release(spark: SparkSession) -> None:
 
 def _scanned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge-scan of sorted ENTRY rows: neighbours whose common prefix is the whole suffix become one, with their counts and contents."""
-    held: pa.Table | None = None  # the last suffix, which the next rows may go on with
+    held = np.empty((len(COLUMNS), 0), np.int64)  # the last suffix, which the next rows may go on with
     for b in it:
-        if not len(b):
-            continue
-        t = pa.Table.from_batches([b])
-        t = t if held is None else pa.concat_tables([held, t])
-        names = np.stack([t[c].to_numpy() for c in ("a", "b", "key")], 1)
-        lcp = np.cumprod(names[1:] == names[:-1], axis=1).sum(1)  # prefixes that neighbours share, of three
-        first = np.flatnonzero(np.concatenate([[True], lcp < 3]))
-        merged = _united_entries(t, first)
-        held = merged.slice(len(first) - 1)
-        yield from merged.slice(0, len(first) - 1).to_batches()
-    if held is not None:
-        yield from held.to_batches()
-
-
-def _united_entries(t: pa.Table, first: np.ndarray) -> pa.Table:
-    """One row for each stretch of rows that starts at `first`: sums of n, extremes of the contents."""
-    stretch = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
-    ends = {}
-    for side, at in (("least", first), ("most", np.append(first[1:], len(t)) - 1)):
-        o, p = (t[side].combine_chunks().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        which = np.lexsort((p, o, stretch))[at]
-        ends[side] = pa.StructArray.from_arrays([pa.array(o[which]), pa.array(p[which])], ["o", "p"])
-    names = {c: pa.array(t[c].to_numpy()[first]) for c in ("a", "b", "key")}
-    return pa.table({**names, **ends, "n": pa.array(np.add.reduceat(t["n"].to_numpy(), first))})
+        if len(b):
+            merged = _united_entries(np.hstack([held, np.stack([x.to_numpy() for x in b.columns])]))
+            held = merged[:, -1:]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, merged[:, :-1])), COLUMNS)
+    yield pa.RecordBatch.from_arrays(list(map(pa.array, held)), COLUMNS)
+
+
+def _united_entries(rows: np.ndarray) -> np.ndarray:
+    """COLUMNS of sorted rows, one for each suffix: extremes of the contents, sums of n."""
+    lcp = np.cumprod(rows[:3, 1:] == rows[:3, :-1], axis=0).sum(0)  # prefixes that neighbours share, of three
+    first = np.flatnonzero(np.concatenate([[True], lcp < 3]))
+    last = np.append(first[1:], rows.shape[1]) - 1
+    stretch = np.repeat(np.arange(len(first)), last - first + 1)
+    least = rows[3:5, np.lexsort((rows[4], rows[3], stretch))[first]]
+    most = rows[5:7, np.lexsort((rows[6], rows[5], stretch))[last]]
+    return np.vstack([rows[:3, first], least, most, np.add.reduceat(rows[7:], first, axis=1)])
 
 
 class IndexFamily:
@@ -158,12 +152,12 @@ class IndexFamily:
         return path
 
     def _note(self, array: DataFrame) -> None:
-        self.matches.append(stash(array.where("n > 1").select("key", "least", "most")))
+        self.matches.append(stash(array.where("n > 1").selectExpr("key", "struct(least_o AS o, least_p AS p) AS least", "struct(most_o AS o, most_p AS p) AS most")))
 
     def add(self, suffixes: DataFrame) -> None:
         """Gives a batch (a, b, key, o, p) its suffix array, notes matches within it and with every level, and merges equal levels."""
         content = F.struct("o", "p")
-        distinct = suffixes.groupBy("a", "b", "key").agg(F.min(content).alias("least"), F.max(content).alias("most"), F.count("*").alias("n"))
+        distinct = suffixes.groupBy("a", "b", "key").agg(F.min(content).alias("least"), F.max(content).alias("most"), F.count("*").alias("n")).selectExpr("a", "b", "key", "least.o AS least_o", "least.p AS least_p", "most.o AS most_o", "most.p AS most_p", "n")
         size, path = 1, self._write(self._scan(distinct))
         self._note(self._read(path))
         once = F.lit(1).cast("long")
