@@ -1,18 +1,20 @@
 """SimHash near-dedup through a segment-popcount embedding.
 
 A fingerprint's 64 bits fall into 32 segments of two bits; its embedding is the bit count of each. The Manhattan distance
-of two embeddings is a lower bound of the fingerprints' Hamming distance. If that is at most 4, the first half's bits differ
-in at most 2, or else the second half's in at most 1. So pairs meet in one of two grids of 16 bit counts:
-grid 0 holds each point and its neighbours one step up or down (two such balls meet whenever the distance is at most 2),
-grid 1 each point and its neighbours one step up (enough for distance 1). Cells are joined by equality and the Hamming
-distance is checked in the join's condition, so the method is exact.
+of two embeddings is a lower bound of the fingerprints' Hamming distance. The segments fall into three parts. If the distance is at
+most 4, the two parts with the smaller shares of it differ by 2 or less together, so the fingerprints meet in one of three grids,
+each over the 21 or 22 bit counts of two parts: a point lies in its own cell and in those one step up or down, and two such balls
+meet whenever the distance is at most 2. Cells are joined by equality and the Hamming distance is checked in the join's condition,
+so the method is exact. A cell of random fingerprints is told by about 30 bits: cells hold strangers only beyond some 10^8 texts.
+Cells with one fingerprint alone, nearly all, are left after one count.
 
 Near copies would make pairs quadratic in a group's size. Only connectivity is asked for, hence two passes: links of each
 cell's members to the cell's smallest fingerprint, then links between different components only.
 
 Defined results: null or empty text, or no word: fingerprint zero, linked like any other; fewer words than the shingle's
-length: the whole sequence is the one shingle; repeated rows share a component; null doc_id: ignored when the smallest id is
-taken; empty table: no rows; other columns are ignored by near_duplicates and kept by one_per_group.
+length: the whole sequence is the one shingle; a bit set in just half the hashes (a tie) is 0; very long texts are read whole, in
+pieces; repeated rows share a component; null doc_id: ignored when the smallest id is taken; empty table: no rows; other columns,
+whatever their names, are ignored by near_duplicates and kept by one_per_group.
 """
 
 from __future__ import annotations
@@ -58,16 +60,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(batches, f"doc_id {kind}, fp bigint, h bigint")
 
 
+#: Segments of each part: the two parts of a grid make its cells.
+PARTS = (range(0, 11), range(11, 22), range(22, 32))
+
+
 def cells(points: DataFrame) -> DataFrame:
-    """One row (columns of points, cell) for each grid cell of each fingerprint; a cell is 16 bit counts of two bits each, times two, plus the grid."""
-    steps = f"array({', '.join(f'{4**i}L' for i in range(16))})"
-    up = "transform(filter({s}, s -> ({x} div s) % 4 < 2), s -> {x} + s)"
-    down = "transform(filter({s}, s -> ({x} div s) % 4 > 0), s -> {x} - s)"
-    around = {x: ", ".join([f"array({x})", up.format(s=steps, x=x)] + [down.format(s=steps, x=x)] * both) for x, both in (("lo", True), ("hi", False))}
-    count = "({half} & 1431655765L) + (shiftrightunsigned({half}, 1) & 1431655765L)"
+    """One row (columns of points, cell) for each grid cell of each fingerprint. A cell's number has the bit counts in two bits each, the
+    places of the part that its grid leaves out all set (no count is 3); a step is between 0 and 1 or between 1 and 2."""
     own = points.columns
-    counted = points.selectExpr(*own, "fp & 4294967295L AS low", "shiftrightunsigned(fp, 32) AS high").selectExpr(*own, count.format(half="low") + " AS lo", count.format(half="high") + " AS hi")
-    return counted.selectExpr(*own, f"explode(concat(transform(concat({around['lo']}), c -> 2 * c), transform(concat({around['hi']}), c -> 2 * c + 1))) AS cell")
+    both, one = (f"((fp {sign} shiftrightunsigned(fp, 1)) & {0x5555555555555555}L)" for sign in "&^")
+    counted = points.selectExpr(*own, f"shiftleft({both}, 1) | {one} AS counts")
+    around = []
+    for part in PARTS:
+        left_out = sum(3 << 2 * i for i in part)
+        left_out -= (left_out >> 63) << 64
+        steps = f"array({', '.join(f'{1 << 2 * i}L' for other in PARTS if other is not part for i in other)})"
+        rest = f"(counts | {left_out}L)"
+        zero_one = f"transform(filter({steps}, s -> (shiftrightunsigned(counts, 1) & s) = 0), s -> {rest} ^ s)"
+        one_two = f"transform(filter({steps}, s -> ((counts | shiftrightunsigned(counts, 1)) & s) <> 0), s -> {rest} ^ (s | shiftleft(s, 1)))"
+        around += [f"array({rest})", zero_one, one_two]
+    return counted.selectExpr(*own, f"explode(concat({', '.join(around)})) AS cell")
 
 
 def linked(fps: DataFrame) -> DataFrame:
@@ -75,11 +87,13 @@ def linked(fps: DataFrame) -> DataFrame:
     near = F.expr(f"bit_count(a ^ b) <= {DISTANCE}")
     points = stash(fps.select("fp").distinct())
     placed = cells(points)
-    pivots = placed.groupBy("cell").agg(F.min("fp").alias("b"))
-    to_pivot = placed.withColumnRenamed("fp", "a").join(pivots, "cell").where((F.col("a") != F.col("b")) & near)
-    first = components(to_pivot.select("a", "b").distinct())
+    shared = placed.groupBy("cell").agg(F.min("fp").alias("b"), F.max("fp").alias("last")).where("b < last").select("cell", "b")
+    met = stash(placed.join(stash(shared), "cell"))
+    first = components(met.select(F.col("fp").alias("a"), "b").where((F.col("a") != F.col("b")) & near).distinct())
     rooted = stash(points.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
-    again = cells(rooted.select("fp", "root"))
+    again = met.select("fp", "cell").join(rooted, "fp")
+    mixed = stash(again.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell"))
+    again = stash(again.join(mixed, "cell"))
     a, b = (again.select(F.col("cell").alias(f"cell_{x}"), F.col("fp").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     across = a.join(b, (F.col("cell_a") == F.col("cell_b")) & (F.col("root_a") < F.col("root_b")) & near)
     merged = components(across.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
