@@ -83,31 +83,34 @@ def rules() -> dict[str, Column]:
 def fit(patterns: DataFrame, names: list[str], rounds: int = EM_ROUNDS) -> Column:
     """Posterior probability of being good, as a column over the votes in `names`, by expectation-maximisation.
 
-    patterns: rows of votes and `n`, how many documents cast them. The model has, for either class, a distribution over the
-    three votes of each rule. Each round is one aggregate over the pattern histogram; what reaches the driver is that
-    aggregate's single row of sums. The start takes any bad vote for a sign of a bad document. An empty table: the start.
+    patterns: rows of votes and `n`, how many documents cast them: at most 3^rules rows, whatever the corpus size, which are collected
+    once. The model has, for either class, a distribution over the three votes of each rule. The start takes any bad vote for a sign
+    of a bad document. An empty table: the start.
     """
-    p = F.when(F.array_contains(F.array(*names), -1), 0.2).otherwise(0.95)
+    rows = [(tuple(r[k] for k in names), r["n"]) for r in patterns.select(*names, "n").collect()]
+    total = sum(n for _, n in rows)
+    if not total:
+        return F.when(F.array_contains(F.array(*names), -1), 0.2).otherwise(0.95)
+    p = [0.2 if -1 in votes else 0.95 for votes, _ in rows]
     before = None
     for _ in range(rounds):
-        sums = [F.sum(F.col("n") * p).alias("good"), F.sum("n").alias("all")]
-        for k in names:
-            for v in (-1, 0, 1):
-                cast = F.when(F.col(k) == v, F.col("n")).otherwise(0)
-                sums += [F.sum(cast * p).alias(f"{k}_{v}_good"), F.sum(cast).alias(f"{k}_{v}_all")]
-        row = patterns.agg(*sums).first()
-        if not row["all"]:
-            break
-        good, bad = row["good"], row["all"] - row["good"]
-        score = F.lit(math.log((good + 1) / (bad + 1)))
-        for k in names:
-            ratio = {v: math.log((row[f"{k}_{v}_good"] + 1) / (good + 3)) - math.log((row[f"{k}_{v}_all"] - row[f"{k}_{v}_good"] + 1) / (bad + 3)) for v in (-1, 0, 1)}
-            score = score + F.when(F.col(k) == -1, ratio[-1]).when(F.col(k) == 1, ratio[1]).otherwise(ratio[0])
-        p = 1 / (1 + F.exp(-score))
-        if before is not None and abs(before - good) < 1e-6 * row["all"]:
+        good = sum(n * x for (_, n), x in zip(rows, p))
+        prior = math.log((good + 1) / (total - good + 1))
+        ratios: list[dict[int, float]] = []
+        for i in range(len(names)):
+            cast, well = {-1: 0.0, 0: 0.0, 1: 0.0}, {-1: 0.0, 0: 0.0, 1: 0.0}
+            for (votes, n), x in zip(rows, p):
+                cast[votes[i]] += n
+                well[votes[i]] += n * x
+            ratios.append({v: math.log((well[v] + 1) / (good + 3)) - math.log((cast[v] - well[v] + 1) / (total - good + 3)) for v in cast})
+        p = [1 / (1 + math.exp(-max(-700.0, prior + sum(r[v] for r, v in zip(ratios, votes))))) for votes, _ in rows]
+        if before is not None and abs(before - good) < 1e-6 * total:
             break
         before = good
-    return p
+    score = F.lit(prior)
+    for k, ratio in zip(names, ratios):
+        score = score + F.when(F.col(k) == -1, ratio[-1]).when(F.col(k) == 1, ratio[1]).otherwise(ratio[0])
+    return 1 / (1 + F.exp(-score))
 
 
 def judge(docs: DataFrame, least: float = 0.5, carry: list[str] = ["doc_id"]) -> DataFrame:
@@ -115,7 +118,7 @@ def judge(docs: DataFrame, least: float = 0.5, carry: list[str] = ["doc_id"]) ->
     named = rules()
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     voted = stash(features(docs, carry).select("doc", *BASE, failed.alias("base_failed"), *(c.cast("int").alias(k) for k, c in named.items())))
-    patterns = stash(voted.where("not base_failed").groupBy(*named).agg(F.count("*").alias("n")).coalesce(1))
+    patterns = voted.where("not base_failed").groupBy(*named).agg(F.count("*").alias("n"))
     return voted.withColumn("quality", fit(patterns, [*named])).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
 
 
