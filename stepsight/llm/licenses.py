@@ -1,22 +1,24 @@
 """License scan in DataFrame functions only: MinHash bands over overlapping windows retrieve templates, containment verifies.
 
 Texts and templates become sequences of five-word shingle hashes (words lower-cased, cut at anything but letters and digits).
-A template of s shingles belongs to the class c, the power of two from s up. A text's windows of that class hold 2c shingles
-and start every c/2, so a copy of the template, even one with half again as many words, lies whole in one of them, and a window
-that holds 0.8 of the template resembles it by 0.8 s / (2c + 0.2 s) > 0.18 or more. Each band is one minimum, so BANDS of them
-miss such a window with a chance below 0.82^BANDS = 0.0001. A window with fewer shingles of its class's templates than 0.8 of the
-shortest one holds none of them: only windows with as many get bands.
+Templates are a table of shingles; joined with the texts' shingles it leaves the few that a template has, and nothing else of a text
+is carried on. A template of s shingles belongs to the class c, the power of two from s up. A text's windows of that class hold 2c
+shingles and start every c/2, so a copy of the template, even one with half again as many words, lies whole in one of them. A
+window counts by the shingles in it that templates of its class have; with 0.8 of a template it resembles that template by
+0.8 s / (2c + 0.2 s) > 0.18 or more. Each band is one minimum, so BANDS of them miss such a window with a chance below
+0.82^BANDS = 0.0001. A window with fewer such shingles than 0.8 of the shortest template of its class holds none: only windows with
+as many get bands.
 
 Retrieved pairs are then judged by the exact share of the template's shingles in the window.
 
 Defined results: null or empty texts, or fewer than five words, match nothing; several windows of a text that match a template
-are one row, with the first of the best; repeated rows (same id, same text) are one row; very long texts are scanned whole; an
-empty table gives no rows; further columns are ignored.
+are one row, with the first of the best (ties: the earlier start); repeated rows (same id, same text) are one row, rows that repeat an
+id with another text are scanned each; null doc_id: like any other id; very long texts are scanned whole; an empty table gives no
+rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,8 @@ from .common import let, stash
 WORDS = 5
 LEAST = 0.8
 BANDS = 48
+#: Numbers in a template table up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST = 1_000_000
 
 # License notices, the passages that tell a license from its relatives, and (license_texts/) whole licenses. No two
 # of different licenses share 0.8 of the shorter one's shingles, so a passage that differs in a word or a version is short.
@@ -81,38 +85,34 @@ def templates(spark: SparkSession, texts: dict[str, str] = KNOWN) -> DataFrame:
     return rows.select("license", F.array_distinct(shingles(F.col("text"))).alias("own")).where(F.size("own") > 0).withColumn("class", F.expr("CAST(power(2, ceil(log2(size(own)))) AS INT)"))
 
 
+def _small(table: DataFrame, numbers: str = "1") -> DataFrame:
+    """A written table, to be broadcast if the numbers that it holds, counted, allow it."""
+    return F.broadcast(table) if (table.agg(F.sum(F.expr(numbers))).first()[0] or 0) <= BROADCAST else table
+
+
+def starts(c: Column) -> Column:
+    """Starts of the windows of class c that hold one of the hits in `at`."""
+    step = F.greatest(F.lit(1), (c / 2).cast("int"))
+    first = lambda h: F.ceil(F.greatest(F.lit(0), h["i"] - 2 * c + 1) / step).cast("int")
+    return F.array_distinct(F.flatten(F.transform("at", lambda h: F.transform(F.sequence(first(h), F.floor(h["i"] / step).cast("int")), lambda k: k * step))))
+
+
 def scan(docs: DataFrame, texts: dict[str, str] = KNOWN, least: float = LEAST) -> DataFrame:
     """doc_id, license, containment, start and end (shingle numbers of the first best window) of every license in every text."""
-    spark = docs.sparkSession
-    known = templates(spark, texts)
-    rows = known.collect()  # as many as texts has
-    of_class = {c: [r["own"] for r in rows if r["class"] == c] for c in sorted({r["class"] for r in rows})}
-    literal = lambda lists: F.expr(f"array({', '.join(f'{x}L' for x in sorted({x for own in lists for x in own}))})")
-    every = literal(r["own"] for r in rows)
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("t"), shingles(F.col("text")).alias("s"))
-    hit = hashed.where(F.arrays_overlap("s", every))
-    placed = stash(hit.select("doc_id", "t", "s").dropDuplicates(["doc_id", "t"]))
-
-    def hits(c: int) -> Column:
-        """class, need (fewest shingles of a window that holds enough of a template) and at (places of shingles of the class's templates)."""
-        at = let(F.array_intersect("s", literal(of_class[c])), lambda own: F.filter(F.transform("s", lambda x, i: F.when(F.array_contains(own, x), i)), lambda i: i.isNotNull()))
-        return F.struct(F.lit(c).alias("class"), F.lit(math.ceil(least * min(map(len, of_class[c])) - 1e-6)).alias("need"), at.alias("at"))
-
-    def starts(c: Column) -> Column:
-        """Starts of the windows of class c that hold one of the places in `at`."""
-        step = F.greatest(F.lit(1), (c / 2).cast("int"))
-        first = lambda p: F.ceil(F.greatest(F.lit(0), p - 2 * c + 1) / step).cast("int")
-        return F.array_distinct(F.flatten(F.transform("at", lambda p: F.transform(F.sequence(first(p), F.floor(p / step).cast("int")), lambda k: k * step))))
-
-    by_class = placed.select("doc_id", "t", "s", F.explode(F.array(*map(hits, of_class))).alias("x")).select("doc_id", "t", "s", "x.*").where((F.size("at") > 0) & (F.size("at") >= F.col("need")))
-    windows = by_class.select("doc_id", "t", "s", "class", "need", "at", F.explode(starts(F.col("class"))).alias("start"))
-    inside = F.filter("at", lambda p: (p >= F.col("start")) & (p < F.col("start") + 2 * F.col("class")))
-    windows = windows.where(F.size(inside) >= F.col("need")).select("doc_id", "t", "class", "start", F.array_distinct(F.slice("s", F.col("start") + 1, 2 * F.col("class"))).alias("window"))
-    banded = windows.select("*", F.explode(bands(F.col("window"))).alias("b")).select("doc_id", "t", "class", "start", "window", "b.*")
-    wanted = F.broadcast(known.select("license", "class", F.explode(bands(F.col("own"))).alias("b")).select("license", "class", "b.*"))  # BANDS rows a template
-    pairs = banded.join(wanted, ["class", "band", "value"]).join(F.broadcast(known.select("license", "own")), "license")
+    known = stash(templates(docs.sparkSession, texts))
+    need = known.groupBy("class").agg(F.ceil(least * F.min(F.size("own")) - 1e-6).alias("need"))
+    vocabulary = stash(known.select("class", F.explode("own").alias("x")).distinct().join(need, "class"))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(shingles(F.col("text"))).alias("i", "x"))
+    hits = hashed.join(_small(vocabulary), "x").groupBy("doc_id", "t", "class", "need").agg(F.sort_array(F.collect_set(F.struct("i", "x"))).alias("at"))
+    windows = hits.where(F.size("at") >= F.col("need")).select("doc_id", "t", "class", "need", "at", F.explode(starts(F.col("class"))).alias("start"))
+    inside = F.filter("at", lambda h: (h["i"] >= F.col("start")) & (h["i"] < F.col("start") + 2 * F.col("class")))
+    windows = windows.select("doc_id", "t", "class", "need", "start", inside.alias("inside")).where(F.size("inside") >= F.col("need"))
+    windows = windows.select("doc_id", "t", "class", "start", (F.element_at("inside", -1)["i"] + 1).alias("end"), F.array_distinct(F.col("inside.x")).alias("window"))
+    banded = stash(windows).select("*", F.explode(bands(F.col("window"))).alias("b")).select("doc_id", "t", "class", "start", "end", "window", "b.*")
+    wanted = stash(known.select("license", "class", F.explode(bands(F.col("own"))).alias("b")).select("license", "class", "b.*"))
+    pairs = banded.join(_small(wanted), ["class", "band", "value"]).join(_small(known.select("license", "own"), "size(own)"), "license")
     share = F.size(F.array_intersect("window", "own")) / F.size("own")
-    judged = pairs.select("doc_id", "t", "license", "start", (F.col("start") + F.least(2 * F.col("class"), F.size("window"))).alias("end"), share.alias("containment")).where(F.col("containment") >= least)
+    judged = pairs.select("doc_id", "t", "license", "start", "end", share.alias("containment")).where(F.col("containment") >= least)
     best = judged.groupBy("doc_id", "t", "license").agg(F.min(F.struct((-F.col("containment")).alias("c"), "start", "end")).alias("x"))
     return best.select("doc_id", "license", (-F.col("x.c")).alias("containment"), F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"))
 
