@@ -5,12 +5,13 @@ two texts is the number of n-grams both have over the root of the product of the
 its kernels with LANDMARKS texts, whitened; one-versus-rest ridge regression on that map scores each language. A landmark's
 n-grams are a row of ones, so the kernels of a batch of texts are one matrix product of presences, and their scores another.
 
-The model is fitted on at most SAMPLE texts of each language (chosen by a hash of the id), on the driver: a bounded sample of
-labelled rows. Every text, whole, is then scored where it lies.
+The model is fitted on the driver on a bounded sample of labelled rows, chosen by a hash of the id: at most SAMPLE texts of each
+language, and fewer of each, but one at least, where there are more than BUDGET / SAMPLE languages. Landmarks are taken from the
+languages in turn, so a rare language has its own. Every text, whole, is then scored where it lies.
 
 Defined results: null text, or no letter: `und` with score 0; no labelled row at all: `und` for all; ties: the language first
-in code-point order; repeated rows are scored each; very long texts are read in full, in pieces; an empty table gives no rows;
-further columns are ignored.
+in code-point order; repeated rows are scored each; null doc_id: not held out, and its hash is that of an empty id; very long texts
+are read in full, in pieces; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Labelled texts of a language that the model is fitted on at most, landmarks in all, and languages at most.
-SAMPLE, LANDMARKS, LANGUAGES = 300, 192, 200
+from .common import stash
+
+#: Labelled texts that the model is fitted on at most, of a language and in all; landmarks in all, but one for each language at least.
+SAMPLE, BUDGET, LANDMARKS = 300, 60_000, 192
 LENGTHS = (1, 2, 3)
 RIDGE = 1e-2
 #: n-grams are told apart by a hash of so many bits; those of one or two bytes never collide with each other.
@@ -58,8 +61,7 @@ class Model:
     def __init__(self, texts: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> None:
         self.languages = sorted(set(labels))
         grams = [present(t) for t in texts]
-        order = np.argsort([hash_of(t) for t in texts], kind="stable")
-        marks = [int(i) for i in order[:landmarks]]
+        marks = landmark_rows(texts, labels, landmarks)
         own = np.unique(np.concatenate([grams[i] for i in marks]))  # other n-grams are in no landmark
         self.number = np.full(1 << BITS, -1, np.int32)
         self.number[own] = np.arange(len(own))
@@ -97,6 +99,16 @@ class Model:
         return [self.languages[i] for i in best], (share / share.sum(axis=1, keepdims=True))[np.arange(len(best)), best].astype(float)
 
 
+def landmark_rows(texts: list[bytes], labels: list[str], landmarks: int = LANDMARKS) -> list[int]:
+    """The languages' texts in turn, each language's in the order of their hashes, until there are enough and one of each."""
+    turn: dict[str, int] = {}
+    placed = []
+    for i in sorted(range(len(texts)), key=lambda i: (hash_of(texts[i]), i)):
+        turn[labels[i]] = turn.get(labels[i], -1) + 1
+        placed.append((turn[labels[i]], hash_of(texts[i]), i))
+    return [i for _, _, i in sorted(placed)[: max(landmarks, len(turn))]]
+
+
 def hash_of(text: bytes) -> int:
     import xxhash
 
@@ -107,22 +119,23 @@ def is_held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == FOLD
 
 
-def labelled_sample(docs: DataFrame, each: int = SAMPLE) -> DataFrame:
+def labelled_sample(docs: DataFrame, each: int = SAMPLE, budget: int = BUDGET) -> DataFrame:
     """text, lang of at most `each` rows of every language that are not held out: those with the smallest hash of the id.
 
-    A first pass counts rows by language and keeps only hashes below the share that gives about twice as many as needed, so no
-    language is sorted whole.
+    A first pass counts rows by language and keeps only hashes below the share that gives about twice as many as needed (and some
+    more, lest a small number be missed by chance), so no language is sorted whole.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).select("doc_id", "lang", "text")
     place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), 11) / F.lit(float(1 << 53))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    near = usable.withColumn("place", place).join(counts, "lang").where(F.col("place") * F.col("n") <= 2 * each)
+    counts = stash(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    each = max(1, min(each, budget // max(1, counts.count())))
+    near = usable.withColumn("place", place).join(counts, "lang").where(F.col("place") * F.col("n") <= 2 * each + 30)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", F.xxhash64("text")))
     return near.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text")
 
 
 def fit(docs: DataFrame) -> Model | None:
-    rows = labelled_sample(docs).collect()  # at most SAMPLE * LANGUAGES
+    rows = labelled_sample(docs).collect()  # at most BUDGET, or one for each language
     rows = sorted((r["lang"], r["text"]) for r in rows)
     return Model([_bytes(t) for _, t in rows], [k for k, _ in rows]) if rows else None
 
