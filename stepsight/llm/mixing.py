@@ -7,9 +7,10 @@ spread over buckets and pre-aggregated before any shuffle.
 
 A target above the source's size takes every document once and, by the threshold, some twice: budgets nest.
 
-Defined results: null text has size 0 and is taken 0 words (mix() drops it, as it adds none); null source is a source of its
-own, last; rows that repeat a doc_id of a source share its hash and are taken alike; an empty table gives no rows; further
-columns are kept by mix() whatever their names.
+Defined results: a null or empty text, or one without a word, has size 0 and is taken 0 words; mix() drops it, as it adds nothing to
+the mix; null source is a source of its own, last; rows that repeat a doc_id share its hash (ties of places) and are taken alike; a
+very long text that no budget ends within is taken if less than half of it lies beyond; an empty table gives no rows; further
+columns are kept by mix(), whatever their names.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def taken(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     times = (F.col("whole") + (F.col("place") < F.col("cut")).cast("int")).cast("int")
-    own = docs.select(key().alias("key"), place().alias("place"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    own = docs.where(F.col("text").rlike(f"[^{SPACE}]")).select(key().alias("key"), place().alias("place"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     joined = own.join(thresholds(stash(sizes(docs))), "key")
     return joined.select("doc", F.explode(F.array_repeat(F.lit(1), times))).select("doc.*")
 
