@@ -5,16 +5,17 @@ half-width WINDOW centred at the other. Vectors at the cosine threshold differ b
 collisions is binomial with a known chance: the count that a pair must reach is calibrated for RECALL at that worst case.
 Pairs that reach it are verified by their cosine in double precision.
 
-Vectors are sorted by the first projection and cut into tiles of at most TILE; only tiles whose ranges come within reach of
-each other meet, each two in one task. There, projections are sorted into prefix bitmaps, a window is the exclusive-or of two
-of them, and collisions of a query with 64 vectors at a time are added up in bit-sliced counters. Exact copies are one class
-beforehand. A task returns sums of links and a spanning forest, never its pairs, so a large group costs rows in proportion
+Vectors are sorted by the first projection and, by their rank there, cut into tiles of TILE, a row each; only tiles whose ranges
+come within reach of each other meet, each two in one task. There, every projection is sorted into prefix bitmaps, a window is the
+exclusive-or of two of them, and collisions of a query with 64 vectors at a time are added up in bit-sliced counters. Exact copies
+are one class beforehand. A task returns sums of links and a spanning forest, never its pairs, so a large group costs rows in proportion
 to its members. In high dimensions one projection rules out only part of the tile pairs: the number of comparisons stays
-quadratic (about a nanosecond each), the number of rows does not.
+quadratic (about a nanosecond each); rows are two for each pair of tiles, some 10^7 times fewer than pairs of vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without an id, link
-with nothing; vectors of different dimensions do not link; repeated rows link with each other; an empty table gives no rows;
-further columns are ignored.
+with nothing; vectors of different dimensions do not link; a cosine of just the threshold (a tie) links; repeated rows, also of one
+vec_id, link with each other; very long vectors make smaller tiles; an empty table gives no rows; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, stash
@@ -34,6 +35,8 @@ PROJECTIONS = 32
 WINDOW = 0.45
 RECALL = 0.9999
 TILE = 4096
+#: Numbers that a tile holds at most.
+NUMBERS = 1 << 22
 SEED = 11
 #: Buckets of a projection and their width: projections of unit vectors lie within -4 and 4 but for a few, which clip.
 BUCKETS, WIDTH = 256, 1 / 32
@@ -114,21 +117,22 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, cosine: float = COSINE,
             yield i[good], j[good]
 
 
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    lists = column.combine_chunks()
+def _vectors(lists: pa.ListArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Of two tiles (or one with itself): rows (a, links) and rows (a, b) of a spanning forest."""
-    first = table["side"].to_numpy() == 0
-    node, size = table["node"].to_numpy(), table["n"].to_numpy()
-    same = bool(first.all())
-    x = unit(_vectors(table["embedding"]))
-    left = np.flatnonzero(first)
-    right = left if same else np.flatnonzero(~first)
+    sides = table["side"].to_numpy()
+    parts = [table["rows"].combine_chunks().slice(int(i), 1).flatten() for i in np.argsort(sides)]
+    held = pa.concat_arrays(parts)
+    node, size = (held.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n"))
+    same = len(parts) == 1
+    x = unit(_vectors(held.field("embedding")))
+    left = np.arange(len(parts[0]))
+    right = left if same else np.arange(len(parts[0]), len(held))
     links, label = np.zeros(len(node), np.int64), np.arange(len(node))
-    for i, j in tile_links(x[left], x[right], same) if len(right) else ():
+    for i, j in tile_links(x[left], x[right], same):
         i, j = left[i], right[j]
         np.add.at(links, i, size[j])
         np.add.at(links, j, size[i])
@@ -147,17 +151,14 @@ def _meet(table: pa.Table) -> pa.Table:
     )
 
 
-def _cut(batches):
-    """Numbers tiles of at most TILE rows within a sorted partition; a tile holds one dimension."""
-    part, tile, rows, dim = TaskContext.get().partitionId(), 0, 0, None
+def _numbered(batches):
+    """Adds the place of each row among those of its dimension in a sorted partition."""
+    part, seen = TaskContext.get().partitionId(), {}
     for b in batches:
-        out = np.empty(len(b), np.int64)
+        pos = np.empty(len(b), np.int64)
         for k, d in enumerate(b.column("dim").to_numpy()):
-            if rows >= TILE or dim not in (None, d):
-                tile, rows = tile + 1, 0
-            rows, dim = rows + 1, d
-            out[k] = (part << 32) + tile
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "tile"])
+            pos[k] = seen[d] = seen.get(d, -1) + 1
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(b), part, np.int64)), pa.array(pos)], [*b.schema.names, "part", "pos"])
 
 
 def _project(batches):
@@ -179,16 +180,20 @@ def links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = stash(own.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")))
     kind = classes.schema["embedding"].dataType.simpleString()
     base = f"embedding {kind}, node bigint, n bigint, dim int, p double"
-    parts = max(1, -(-classes.count() // TILE))  # else small partitions would make small tiles, and more of them to meet
-    tiles = stash(classes.mapInArrow(_project, base).repartitionByRange(parts, "dim", "p").sortWithinPartitions("dim", "p").mapInArrow(_cut, base + ", tile bigint"))
+    ordered = stash(classes.mapInArrow(_project, base).repartitionByRange("dim", "p").sortWithinPartitions("dim", "p").mapInArrow(_numbered, base + ", part bigint, pos bigint"))
+    parts = ordered.groupBy("dim", "part").agg(F.count("*").alias("k"))
+    before = parts.withColumn("before", F.sum("k").over(Window.partitionBy("dim").orderBy("part")) - F.col("k")).drop("k")  # a row for each partition
+    ranked = ordered.join(before, ["dim", "part"]).withColumn("tile", F.expr(f"(before + pos) div least({TILE}, greatest(1, {NUMBERS} div dim))"))
+    tiles = stash(ranked.groupBy("dim", "tile").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.collect_list(F.struct("node", "n", "embedding")).alias("rows")))  # TILE at most
     reach = REACH * math.sqrt(2 - 2 * cosine)
-    span = tiles.groupBy("dim", "tile").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    span = tiles.select("dim", "tile", "low", "high")
     band = f"explode(sequence(CAST(floor(low / {reach}) AS INT), CAST(floor(high / {reach}) AS INT) + {{more}})) AS band"
     a, b = span.selectExpr("dim", "tile AS s", "high AS top", band.format(more=1)), span.selectExpr("dim", "tile AS t", "low AS bottom", band.format(more=0))
     # Tiles ascend with the first projection, so the earlier one's top and the later one's bottom decide.
-    pairs = stash(a.join(b, ["dim", "band"]).where(f"s <= t AND bottom - top <= {reach}").select("s", "t").distinct())
-    sides = pairs.select("s", "t", F.explode(F.when(F.col("s") == F.col("t"), F.array(F.struct(F.col("s").alias("tile"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("s").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("t").alias("tile"), F.lit(1).alias("side"))))).alias("x")).select("s", "t", "x.*")
-    met = tiles.select("tile", "node", "n", "embedding").join(sides, "tile").groupBy("s", "t").applyInArrow(_meet, "a bigint, b bigint, links bigint")
+    pairs = stash(a.join(b, ["dim", "band"]).where(f"s <= t AND bottom - top <= {reach}").select("dim", "s", "t").distinct())
+    both = "CASE WHEN s = t THEN array(named_struct('tile', s, 'side', 0)) ELSE array(named_struct('tile', s, 'side', 0), named_struct('tile', t, 'side', 1)) END"
+    sides = pairs.selectExpr("dim", "s", "t", f"inline({both})")
+    met = tiles.select("dim", "tile", "rows").join(sides, ["dim", "tile"]).select("dim", "s", "t", "side", "rows").groupBy("dim", "s", "t").applyInArrow(_meet, "a bigint, b bigint, links bigint")
     found = stash(met)
     summed = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.where("links = 0").select("a", "b"))
