@@ -73,8 +73,17 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes words in runs with a mark between; where the marks can't be told, one by one."""
-        bodies = [self._body(w) for w in new]
+        """Encodes words: those of ASCII letters by the merges at once; of others those that LATIN matches by the merges, and the rest in
+        runs with a mark between; where the marks can't be told, one by one."""
+        merge, code, cache = self.tokenizer.model.tokenize, self.code, self.cache
+        lead = self.table[32] if self.keeps_blanks else ""
+        rest = []
+        for w in new:
+            if w.isascii() and w.isalpha():
+                cache[w] = array(code, [t.id for t in merge(lead + (w.lower() if self.lower else w))]).tobytes()
+            else:
+                rest.append(w)
+        bodies = [self._body(w) for w in rest]
         found = {i: ids for i, x in enumerate(bodies) if (ids := self._latin(x)) is not None}
         even = [i for i, x in enumerate(bodies) if i not in found and "\x1e" not in x]
         runs = [even[i : i + 2000] for i in range(0, len(even), 2000)]
@@ -85,10 +94,10 @@ class Encoder:
             if len(self.marks) == 1 and len(at) == len(run) - 1:
                 data = ids.tobytes()
                 found.update((i, data[a * size : b * size]) for i, a, b in zip(run, [0, *(x + 1 for x in at)], [*at, len(ids)]))
-        odd = [i for i in range(len(new)) if i not in found]
+        odd = [i for i in range(len(rest)) if i not in found]
         found.update((i, np.array(ids, self.kind).tobytes()) for i, ids in zip(odd, self._plain([bodies[i] for i in odd])))
         line_end = np.array(self.marks, self.kind).tobytes()
-        self.cache.update((w, line_end + found[i] if self.keeps_blanks and w[:1] == "\n" else found[i]) for i, w in enumerate(new))
+        cache.update((w, line_end + found[i] if self.keeps_blanks and w[:1] == "\n" else found[i]) for i, w in enumerate(rest))
 
     def _body(self, word: str) -> str:
         """What to encode for a word: where blanks count, one follows a blank unless it starts a text or a line."""
