@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, shared_dir, stash
+from .common import dropped, shared_dir
 from .suffixes import GRAM, MATCH, PREFIXES, SIDE, Block, blocks, segments
 
 BATCHES = 4
@@ -43,8 +43,9 @@ CHUNK = 16
 EMPTY = hashlib.sha256(b"").hexdigest()
 #: First run, how many, where the sampled suffix starts; the content; names of the prefixes: the gram, then by side a longer one and the whole.
 SEGMENT = "struct<low:int,n:int,at:int,o:bigint,p:bigint,a:bigint,bl:bigint,kl:bigint,br:bigint,kr:bigint>"
-#: A suffix by its names, the smallest and the largest content around it, and how often it occurs.
-COLUMNS = ["a", "b", "key", "least_o", "least_p", "most_o", "most_p", "n"]
+#: A suffix by its names, the smallest and the largest content around it (half their hashes), how often it occurs, and whether it came
+#: from two arrays in the last scan.
+COLUMNS = ["a", "b", "key", "least", "most", "n", "met"]
 ENTRY = ", ".join(f"{c} bigint" for c in COLUMNS)
 
 
@@ -122,75 +123,83 @@ def _united_entries(rows: np.ndarray) -> np.ndarray:
     """COLUMNS of sorted rows, one for each suffix: extremes of the contents, sums of n."""
     lcp = np.cumprod(rows[:3, 1:] == rows[:3, :-1], axis=0).sum(0)  # prefixes that neighbours share, of three
     first = np.flatnonzero(np.concatenate([[True], lcp < 3]))
-    last = np.append(first[1:], rows.shape[1]) - 1
-    stretch = np.repeat(np.arange(len(first)), last - first + 1)
-    least = rows[3:5, np.lexsort((rows[4], rows[3], stretch))[first]]
-    most = rows[5:7, np.lexsort((rows[6], rows[5], stretch))[last]]
-    return np.vstack([rows[:3, first], least, most, np.add.reduceat(rows[7:], first, axis=1)])
+    met = np.maximum.reduceat(rows[6], first) | (np.diff(np.append(first, rows.shape[1])) > 1)
+    return np.vstack([rows[:3, first], np.minimum.reduceat(rows[3], first), np.maximum.reduceat(rows[4], first), np.add.reduceat(rows[5], first), met])
 
 
-class IndexFamily:
-    """Levels of sorted suffix arrays in the shared folder; sizes are counted in batches."""
+class Tables:
+    """Named tables in a folder of their own within the shared one; those that are done with are deleted before the next are written."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.levels = spark, []  # (size, path)
-        self.matches: list[DataFrame] = []
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/suffix-dedup-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame, *by: str) -> DataFrame:
+        df.write.partitionBy(*by).parquet(f"{self.folder}/{name}") if by else df.write.parquet(f"{self.folder}/{name}")
+        release(self.spark)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        dropped(self.spark, *(f"{self.folder}/{n}" for n in names))
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(ENTRY).parquet(path)
+
+class IndexFamily:
+    """Levels of sorted suffix arrays; sizes are counted in batches."""
+
+    def __init__(self, tables: Tables) -> None:
+        self.tables, self.made = tables, 0
+        self.levels: list[tuple[int, str, DataFrame]] = []
+        self.matches: dict[str, DataFrame] = {}
 
     def _scan(self, *arrays: DataFrame) -> DataFrame:
         """The arrays in one order, equal suffixes united. Rows are distinct in each array, so ranges are even however common a suffix is."""
         rows = arrays[0]
         for other in arrays[1:]:
             rows = rows.union(other)
-        return rows.repartitionByRange("a", "b", "key").sortWithinPartitions("a", "b", "key").mapInArrow(_scanned, ENTRY)
+        return rows.withColumn("met", F.lit(0).cast("long")).repartitionByRange("a", "b", "key").sortWithinPartitions("a", "b", "key").mapInArrow(_scanned, ENTRY)
 
-    def _write(self, array: DataFrame) -> str:
-        path = f"{shared_dir(self.spark)}/suffixes-{uuid.uuid4().hex}"
-        array.write.parquet(path)
-        return path
+    def _level(self, size: int, array: DataFrame) -> tuple[int, str, DataFrame]:
+        self.made += 1
+        return size, f"level-{self.made}", self.tables.put(f"level-{self.made}", array)
 
-    def _note(self, array: DataFrame) -> None:
-        self.matches.append(stash(array.where("n > 1").selectExpr("key", "struct(least_o AS o, least_p AS p) AS least", "struct(most_o AS o, most_p AS p) AS most")))
+    def _note(self, array: DataFrame, which: str) -> None:
+        name = f"matches-{len(self.matches)}"
+        self.matches[name] = self.tables.put(name, array.where(which).select("key", "least", "most"))
 
     def add(self, suffixes: DataFrame) -> None:
-        """Gives a batch (a, b, key, o, p) its suffix array, notes matches within it and with every level, and merges equal levels."""
-        content = F.struct("o", "p")
-        distinct = suffixes.groupBy("a", "b", "key").agg(F.min(content).alias("least"), F.max(content).alias("most"), F.count("*").alias("n")).selectExpr("a", "b", "key", "least.o AS least_o", "least.p AS least_p", "most.o AS most_o", "most.p AS most_p", "n")
-        size, path = 1, self._write(self._scan(distinct))
-        self._note(self._read(path))
-        once = F.lit(1).cast("long")
+        """Gives a batch (a, b, key, o) its suffix array, notes matches within it and with every level, and merges equal levels."""
+        distinct = suffixes.groupBy("a", "b", "key").agg(F.min("o").alias("least"), F.max("o").alias("most"), F.count("*").alias("n"))
+        new = self._level(1, self._scan(distinct))
+        self._note(new[2], "n > 1")
         merging = 0  # as many of the last levels as the new one carries into
         while merging < len(self.levels) and self.levels[-1 - merging][0] == 1 << merging:
             merging += 1
-        for _, other in self.levels[: len(self.levels) - merging]:
-            self._note(self._scan(self._read(path).withColumn("n", once), self._read(other).withColumn("n", once)))
+        for _, _, other in self.levels[: len(self.levels) - merging]:
+            self._note(self._scan(new[2], other), "met = 1")
         for _ in range(merging):
-            _, other = self.levels.pop()
-            merged = self._write(self._scan(self._read(path), self._read(other)))
-            self._note(self._read(merged))
-            dropped(self.spark, path, other)
-            size, path = size * 2, merged
-        self.levels.append((size, path))
-        release(self.spark)
+            size, name, other = self.levels.pop()
+            merged = self._level(2 * size, self._scan(new[2], other))
+            self._note(merged[2], "met = 1")
+            self.tables.drop(new[1], name)
+            new = merged
+        self.levels.append(new)
 
     def repeated(self) -> DataFrame:
         """key, mixed (whether different contents share it) of the suffixes that occur twice or more in all batches together."""
-        found = self.matches[0]
-        for m in self.matches[1:]:
-            found = found.union(m)
+        found = None
+        for m in self.matches.values():
+            found = m if found is None else found.union(m)
         return found.groupBy("key").agg((F.min("least") != F.max("most")).alias("mixed"))
 
     def close(self) -> None:
-        dropped(self.spark, *(p for _, p in self.levels))
+        self.tables.drop(*(name for _, name, _ in self.levels), *self.matches)
 
 
 def _chunks(texts: DataFrame) -> DataFrame:
     """Chunks of the wanted segments of texts: up to CHUNK runs whose distance to the sampled suffix has the same quotient by CHUNK.
 
     o, p, rel, n: the segment's content, the first run's place in it, and how many; core: the bytes that all runs of a whole such
-    chunk share; outer: all bytes of the runs; hs: one hash for each run. Hashes of 128 bits are two numbers."""
+    chunk share; outer, outer2: all bytes of the runs; hs: a 64-bit hash of each run. Equal runs have equal cores, so core and hash tell
+    runs apart."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -209,14 +218,14 @@ def _chunks(texts: DataFrame) -> DataFrame:
                         size = np.diff(np.append(first, z - a))
                         core = block.hashes(at - low - a - which[first] * CHUNK, MATCH - CHUNK + 1, 5)
                         outer = _digests(raw[i : i + k + MATCH - 1] for i, k in zip((first + low + a).tolist(), size.tolist()))
-                        runs = _digests(raw[i : i + MATCH] for i in range(low + a, low + z))
-                        out.append((np.full(len(first), w["o"]), np.full(len(first), w["p"]), first + a, size, core, *outer, *runs))
+                        runs = np.array([xxhash.xxh3_64_intdigest(raw[i : i + MATCH]) for i in range(low + a, low + z)], np.uint64).view(np.int64)
+                        out.append((np.full(len(first), w["o"]), np.full(len(first), w["p"]), first + a, size, core, *outer, runs))
             if out:
-                o, p, rel, size, core, outer, outer2, h, h2 = (np.concatenate(x) for x in zip(*out))
-                hs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.StructArray.from_arrays([pa.array(h), pa.array(h2)], ["h", "h2"]))
+                o, p, rel, size, core, outer, outer2, h = (np.concatenate(x) for x in zip(*out))
+                hs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(h))
                 yield pa.RecordBatch.from_arrays([pa.array(o), pa.array(p), pa.array(rel, pa.int32()), pa.array(size, pa.int32()), pa.array(core), pa.array(outer), pa.array(outer2), hs], ["o", "p", "rel", "n", "core", "outer", "outer2", "hs"])
 
-    return texts.select("text", "wanted").mapInArrow(batches, "o bigint, p bigint, rel int, n int, core bigint, outer bigint, outer2 bigint, hs array<struct<h:bigint,h2:bigint>>")
+    return texts.select("text", "wanted").mapInArrow(batches, "o bigint, p bigint, rel int, n int, core bigint, outer bigint, outer2 bigint, hs array<bigint>")
 
 
 def repeated(rows: DataFrame, spot: Column, *columns: str) -> DataFrame:
@@ -247,47 +256,47 @@ def _united(starts: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed stretches) of every row of docs."""
-    spark = docs.sparkSession
-    d = stash(described(docs, batches), "batch")
+    tables = Tables(docs.sparkSession)
+    put = tables.put
+    raw = put("raw", described(docs, batches), "batch")
     # A sampled suffix's place in one number: start of its segment, runs in it, distance of the suffix, side.
     packed = "shiftleft(CAST(s.low AS BIGINT), 20) | shiftleft(CAST(s.n AS BIGINT), 10) | shiftleft(CAST(s.at - s.low AS BIGINT), 1)"
     sides = "array(named_struct('loc', loc, 'b', s.bl, 'key', s.kl), named_struct('loc', loc + 1, 'b', s.br, 'key', s.kr))"
-    segs = d.selectExpr("batch", "rid", "explode(segs) AS s")
+    segs = raw.selectExpr("batch", "rid", "explode(segs) AS s")
     sampled = segs.selectExpr("batch", "rid", "s", f"{packed} AS loc").selectExpr("batch", "rid", "s.o", "s.p", "s.a", f"explode({sides}) AS x").selectExpr("batch", "rid", "o", "p", "a", "x.*").where("key <> 0")
     unpacked = ["rid", "o", "p", "mixed", "loc & 1 AS side", "CAST(shiftright(loc, 20) AS INT) AS low", "CAST(shiftright(loc, 10) & 1023 AS INT) AS n", "CAST(shiftright(loc, 20) + (shiftright(loc, 1) & 511) AS INT) AS at"]
-    family = IndexFamily(spark)
+    family = IndexFamily(tables)
     for i in range(batches):
-        family.add(sampled.where(F.col("batch") == i).select("a", "b", "key", "o", "p"))
-    keys = stash(family.repeated())
+        family.add(sampled.where(F.col("batch") == i).select("a", "b", "key", "o"))
+    keys = put("keys", family.repeated())
     family.close()
-    c = stash(sampled.select("rid", "o", "p", "loc", "key").join(keys, "key").selectExpr(*unpacked))
-    release(spark)
+    c = put("c", sampled.select("rid", "o", "p", "loc", "key").join(keys, "key").selectExpr(*unpacked))
+    d = put("d", raw.select("rid", "doc_id", "t", "n_bytes", "sha256"))
+    tables.drop("raw", "keys")
     content = ["o", "p"]
-    whole = stash(repeated(c, F.xxhash64("rid", "low"), *content))
+    whole = put("whole", repeated(c, F.xxhash64("rid", "low"), *content))
     reps = c.where("mixed").groupBy(*content).agg(F.min(F.struct("rid", "low", "n", "at")).alias("x"), F.max(F.col("side") == 0).alias("l"), F.max(F.col("side") == 1).alias("r")).select(*content, "x.*", "l", "r")
-    wanted = stash(reps.groupBy("rid").agg(F.collect_list(F.struct("o", "p", "low", "n", "at", "l", "r")).alias("wanted")))
-    release(spark)
+    wanted = put("wanted", reps.groupBy("rid").agg(F.collect_list(F.struct("o", "p", "low", "n", "at", "l", "r")).alias("wanted")))
     ids = d.select("rid", F.col("doc_id").alias("_id"), F.col("t").alias("_t"))
     some = c.select("rid").distinct().join(ids, "rid")
     own = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
-    texts = stash(own.join(some.select("_id", "_t").distinct(), same, "left_semi"))
-    release(spark)
-    chunks = stash(_chunks(texts.join(wanted.join(ids, "rid"), same).select("text", "wanted")))
-    release(spark)
+    texts = put("texts", own.join(some.select("_id", "_t").distinct(), same, "left_semi"))
+    chunks = put("chunks", _chunks(texts.join(wanted.join(ids, "rid"), same).select("text", "wanted")))
     spot = F.xxhash64("o", "p", "rel")
-    full = chunks.join(repeated(chunks, spot, "outer", "outer2"), ["outer", "outer2"], "left_semi").select("o", "p", "rel", "n")
+    full = put("full", chunks.join(repeated(chunks, spot, "outer", "outer2"), ["outer", "outer2"], "left_semi").select("o", "p", "rel", "n"))
     open_ = chunks.join(repeated(chunks, F.xxhash64("outer", "outer2"), "core"), "core", "left_semi")
-    runs = stash(open_.select("o", "p", F.posexplode("hs").alias("i", "h"), "rel").select("o", "p", (F.col("rel") + F.col("i")).alias("rel"), "h.*"))
-    release(spark)
-    single = runs.join(repeated(runs, spot, "h", "h2"), ["h", "h2"], "left_semi").select("o", "p", "rel", F.lit(1).alias("n"))
-    parts = stash(full.unionByName(single).groupBy(*content).agg(F.collect_list(F.struct("rel", "n")).alias("parts")))  # at most MATCH of them
-    release(spark)
+    runs = put("runs", open_.select("o", "p", "core", F.posexplode("hs").alias("i", "h"), "rel").select("o", "p", "core", (F.col("rel") + F.col("i")).alias("rel"), "h"))
+    tables.drop("chunks")
+    single = runs.join(repeated(runs, spot, "core", "h"), ["core", "h"], "left_semi").select("o", "p", "rel", F.lit(1).alias("n"))
+    parts = put("parts", full.unionByName(single).groupBy(*content).agg(F.collect_list(F.struct("rel", "n")).alias("parts")))  # at most MATCH of them
+    tables.drop("full", "runs")
     places = c.select("rid", "low", "n", *content).distinct()
     covered = places.join(whole, content).select("rid", F.col("low").cast("long").alias("a"), (F.col("low") + F.col("n") + (MATCH - 1)).cast("long").alias("z"))
     partly = places.join(whole, content, "left_anti").join(parts, content).select("rid", F.explode("parts").alias("x"), "low").select("rid", (F.col("low") + F.col("x.rel")).cast("long").alias("a"), (F.col("low") + F.col("x.rel") + F.col("x.n") + (MATCH - 1)).cast("long").alias("z"))
-    spans = stash(_united(covered.union(partly)))
-    judged = stash(d.select("rid", "doc_id", "t", "n_bytes", "sha256").join(spans, "rid", "left"))
+    spans = put("spans", _united(covered.union(partly)))
+    judged = put("judged", d.join(spans, "rid", "left"))
+    tables.drop("c", "whole", "parts", "wanted", "spans")
     cut = judged.where("n_removed < n_bytes")
     rest = cut.select("rid", F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "spans").join(texts, same).select("rid", "text", "spans")
 
