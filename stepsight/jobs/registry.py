@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import CONCEPTS
 from ..functions.pyjson import canonical_json
+from ..functions.tables import arranged, shared_dir
 from ..operators import attest, corpus, drift, evaluate, findings, report
-from ..sources import adapters, sessions
+from ..sources import adapters, documents, sessions
 from ..sources.testview import DUCKDB, TURNS, raw_lines, steps, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,8 +33,7 @@ def flat(df: DataFrame) -> DataFrame:
     return df.withColumn("step_ids", F.array_join("step_ids", ","))
 
 
-def payload_text(df: DataFrame) -> DataFrame:
-    return df.withColumn("payload_text", F.concat("tool_name", F.lit(" "), F.coalesce("file_path", "command", F.lit(""))))
+payload_text = drift.with_payload_text
 
 
 def rounded(c: Column | str) -> Column:
@@ -42,30 +43,36 @@ def rounded(c: Column | str) -> Column:
 VERIFY = "regexp_matches(coalesce(command, ''), '\\b(pytest|unittest|jest|vitest|ruff|flake8|eslint|mypy|tox)\\b|\\bnpm\\s+(test|run\\s+test)\\b|\\bgo\\s+test\\b|\\bcargo\\s+test\\b|\\bmake\\s+(test|lint)\\b', 'i')"
 COMMIT = "regexp_matches(coalesce(command, ''), '\\bgit\\s+commit\\b', 'i')"
 EDITOR = "tool_name IN ('Write', 'Edit', 'NotebookEdit')"
-FINDING = "'{rule}' AS rule_id, '{severity}' AS severity"
-SCOPE = f"""SELECT trace_id, {FINDING.format(rule="scope-escape", severity="high")}, seq, step_id AS step_ids, concat(tool_name, ' ', file_path) AS detail FROM steps
+FINDING = "'{rule}' AS rule_id, '{severity}' AS severity, '{title}' AS title"
+SCOPE = f"""SELECT trace_id, {FINDING.format(rule="scope-escape", severity="high", title="Write outside allowed roots")}, seq, step_id AS step_ids,
+ concat('{{"file_path":"', file_path, '","roots":["', cwd, '"],"tool":"', tool_name, '"}}') AS evidence, concat('file_path=''', file_path, ''', roots=[''', cwd, '''], tool=''', tool_name, '''') AS shown FROM steps
  WHERE {EDITOR} AND cwd IS NOT NULL AND NOT (file_path = cwd OR starts_with(file_path, cwd || '/') OR starts_with(file_path, '/tmp/'))"""
-CHURN = f"""SELECT trace_id, {FINDING.format(rule="churn-burst", severity="medium")}, min(seq) AS seq, string_agg(step_id, ',' ORDER BY seq) AS step_ids, concat(file_path, ' ', count(*)) AS detail FROM (
+CHURN = f"""SELECT trace_id, {FINDING.format(rule="churn-burst", severity="medium", title="Repeated edits with no verification")}, min(seq) AS seq, string_agg(step_id, ',' ORDER BY seq) AS step_ids,
+ concat('{{"file_path":"', file_path, '","run_length":', count(*), '}}') AS evidence, concat('file_path=''', file_path, ''', run_length=', count(*)) AS shown FROM (
  SELECT *, sum(CASE WHEN tool_name = 'Read' THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, file_path ORDER BY seq) AS re FROM (
  SELECT *, sum(CASE WHEN tool_name = 'Bash' AND {VERIFY} THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY seq) AS ve FROM steps) WHERE file_path IS NOT NULL)
  WHERE {EDITOR} GROUP BY trace_id, file_path, ve, re HAVING count(*) >= 4"""
-COMMITS = f"""SELECT trace_id, {FINDING.format(rule="commit-without-tests", severity="medium")}, seq, step_id AS step_ids, command AS detail FROM (
+COMMITS = f"""SELECT trace_id, {FINDING.format(rule="commit-without-tests", severity="medium", title="Commit with no prior verification")}, seq, step_id AS step_ids,
+ concat('{{"command":"', command, '"}}') AS evidence, concat('command=''', command, '''') AS shown FROM (
  SELECT *, max(CASE WHEN {VERIFY} THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, epoch ORDER BY seq) AS seen FROM (
  SELECT *, coalesce(sum(CASE WHEN {COMMIT} THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM steps WHERE tool_name = 'Bash'))
  WHERE {COMMIT} AND seen = 0"""
-TRIPS = """SELECT trace_id, concat('tripwire:', name) AS rule_id, 'high' AS severity, seq, step_id AS step_ids, command AS detail FROM steps, (VALUES
+TRIPS = """SELECT trace_id, concat('tripwire:', name) AS rule_id, 'high' AS severity, concat('Tripwire matched: ', name) AS title, seq, step_id AS step_ids,
+ concat('{"command":"', command, '","name":"', name, '"}') AS evidence, concat('command=''', command, ''', name=''', name, '''') AS shown FROM steps, (VALUES
  ('destructive-rm', '\\brm\\s+(-\\w*r\\w*f\\w*|-\\w*f\\w*r\\w*)\\b'), ('force-push', '\\bgit\\s+push\\b[^\\n]*(--force\\b|-f\\b)'), ('db-migration', '\\b(alembic\\s+upgrade|manage\\.py\\s+migrate|django-admin\\s+migrate|rails\\s+db:migrate|prisma\\s+migrate\\s+deploy)\\b'),
  ('env-write', '(^|[\\s;&|])(>>?|\\btee\\b)[^\\n]{0,40}\\.env(\\.[a-zA-Z0-9_]+)?(\\s|$|[''"])'), ('docker-compose-down', '\\bdocker[\\s-]compose\\b[^\\n]*\\bdown\\b'), ('kubectl-delete', '\\bkubectl\\s+delete\\b'), ('drop-table', '\\bDROP\\s+TABLE\\b')) AS p(name, pattern)
  WHERE tool_name = 'Bash' AND regexp_matches(command, pattern, 'i')"""
-ERRORS = f"""SELECT trace_id, {FINDING.format(rule="error-cluster", severity="medium")}, min(seq) AS seq, string_agg(step_id, ',' ORDER BY seq) FILTER (WHERE is_error) AS step_ids, CAST(count(*) FILTER (WHERE is_error) AS VARCHAR) AS detail FROM (
+ERRORS = f"""SELECT trace_id, {FINDING.format(rule="error-cluster", severity="medium", title="Cluster of consecutive tool errors")}, min(seq) AS seq, string_agg(step_id, ',' ORDER BY seq) FILTER (WHERE is_error) AS step_ids,
+ concat('{{"error_count":', count(*) FILTER (WHERE is_error), ',"window_size":5}}') AS evidence, concat('error_count=', count(*) FILTER (WHERE is_error), ', window_size=5') AS shown FROM (
  SELECT *, sum(CASE WHEN covered AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY seq) AS island FROM (
  SELECT *, lag(covered) OVER (PARTITION BY trace_id ORDER BY seq) AS before FROM (
  SELECT *, coalesce(max(CASE WHEN q THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0) = 1 AS covered FROM (
  SELECT *, pos <= greatest(n - 5, 0) AND errs >= 3 AS q FROM (
  SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1 AS pos, count(*) OVER (PARTITION BY trace_id) AS n, sum(CASE WHEN is_error THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS errs FROM steps WHERE action_type = 'env_effect')))))
  WHERE covered GROUP BY trace_id, island HAVING count(*) FILTER (WHERE is_error) > 0"""
-DELEGATIONS = f"SELECT trace_id, {FINDING.format(rule='delegation-unobserved', severity='info')}, seq, step_id AS step_ids, tool_name AS detail FROM steps WHERE delegation_unobserved"
-ABANDONED = f"""SELECT w.trace_id, {FINDING.format(rule="abandoned-artifact", severity="low")}, w.seq, w.step_id AS step_ids, w.file_path AS detail FROM steps w WHERE w.tool_name = 'Write' AND NOT EXISTS (
+DELEGATIONS = f"""SELECT trace_id, {FINDING.format(rule="delegation-unobserved", severity="info", title="Unobserved delegation")}, seq, step_id AS step_ids, concat('{{"tool":"', tool_name, '"}}') AS evidence, concat('tool=''', tool_name, '''') AS shown FROM steps WHERE delegation_unobserved"""
+ABANDONED = f"""SELECT w.trace_id, {FINDING.format(rule="abandoned-artifact", severity="low", title="Written file never referenced again")}, w.seq, w.step_id AS step_ids,
+ concat('{{"basename":"', regexp_extract(w.file_path, '[^/]*$'), '","file_path":"', w.file_path, '"}}') AS evidence, concat('basename=''', regexp_extract(w.file_path, '[^/]*$'), ''', file_path=''', w.file_path, '''') AS shown FROM steps w WHERE w.tool_name = 'Write' AND NOT EXISTS (
  SELECT 1 FROM steps m WHERE m.trace_id = w.trace_id AND m.seq > w.seq AND contains(CASE WHEN m.tool_name IN ('Edit', 'Read', 'NotebookEdit') THEN m.file_path WHEN m.tool_name = 'Bash' THEN m.command WHEN m.action_type = 'env_effect' THEN m.tool_result ELSE '' END, regexp_extract(w.file_path, '[^/]*$')))"""
 ALL = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (SCOPE, CHURN, COMMITS, TRIPS, ERRORS, DELEGATIONS, ABANDONED))
 
@@ -82,7 +89,7 @@ def f3_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.roots_of(s.select(F.concat("cwd", F.lit("/src/../lib//x")).alias("cwd")), repo_roots)
 
 
-@query(f"{DUCKDB} SELECT DISTINCT trace_id, 'scope-escape' AS rule_id FROM steps WHERE cwd IS NULL")
+@query(f"{DUCKDB} SELECT DISTINCT trace_id, 'scope-escape' AS rule_id, 'no config.roots and no trace.metadata[''cwd''] available to establish allowed write roots' AS reason FROM steps WHERE cwd IS NULL")
 def f3_not_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.not_checked(steps(spark, sf_dir))
 
@@ -127,10 +134,19 @@ def f11_severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.severity_counts(findings.analyze(steps(spark, sf_dir)))
 
 
-@query("SELECT tenant, key, value, layer FROM (SELECT *, row_number() OVER (PARTITION BY tenant, key ORDER BY layer DESC) AS r FROM (SELECT user_id AS tenant, event_type AS key, max(value) AS value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS layer FROM events GROUP BY ALL)) WHERE r = 1")
+RULES = """rules AS (SELECT DISTINCT tenant, layer, CASE event_type WHEN 'signup' THEN 'tripwire_patterns' WHEN 'view' THEN 'roots' ELSE event_type END AS key,
+ CASE WHEN event_type = 'signup' THEN concat('{"n', layer % 3, '":"p', layer, '"}') WHEN event_type = 'view' AND layer % 2 = 0 THEN '"auto"' WHEN event_type = 'view' THEN concat('["/r', layer, '"]') ELSE CAST(layer AS STRING) END AS value"""
+
+
+@query(
+    f"""WITH {RULES.replace("AS STRING", "AS VARCHAR")} FROM (SELECT user_id AS tenant, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS layer FROM events)), r AS (SELECT *, row_number() OVER (PARTITION BY tenant, key ORDER BY layer DESC) AS r FROM rules),
+ p AS (SELECT tenant, concat('{{', string_agg(x, ',' ORDER BY name), '}}') AS value FROM (SELECT tenant, concat('n', layer % 3) AS name, concat('"n', layer % 3, '":"p', max(layer), '"') AS x FROM rules WHERE key = 'tripwire_patterns' GROUP BY tenant, layer % 3) GROUP BY 1)
+ SELECT tenant, key, CASE WHEN key = 'tripwire_patterns' THEN p.value WHEN r.value = '"auto"' THEN 'null' ELSE r.value END AS value, layer FROM r LEFT JOIN p USING (tenant) WHERE r = 1"""
+)
 def f12_layered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rules = ev.groupBy(F.col("user_id").alias("tenant"), F.get_json_object("props", "$.k").cast("long").alias("layer"), F.col("event_type").alias("key")).agg(F.max("value").alias("value"))
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id AS tenant", "event_type", "CAST(get_json_object(props, '$.k') AS BIGINT) AS layer")
+    ev.createOrReplaceTempView("rule_events")
+    rules = spark.sql(f"WITH {RULES} FROM rule_events) SELECT * FROM rules")
     return findings.layered(rules)
 
 
@@ -155,10 +171,10 @@ def f14_policy_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRIP = "CASE " + " ".join(f"WHEN tool_name = 'Bash' AND regexp_matches(command, '{p}') THEN '{n}'" for n, p in (("destructive-rm", "\\brm\\s+-rf"), ("force-push", "git push --force"), ("env-write", ">> \\.env$"))) + " END"
 TIMELINE = f"""own AS (SELECT *, {TRIP} AS trip, coalesce(tool_name IN ('Edit', 'NotebookEdit'), false) AS edit FROM steps WHERE NOT (action_type = 'env_effect' AND NOT is_error)),
  isl AS (SELECT *, sum(CASE WHEN edit AND coalesce(pe, false) THEN 0 ELSE 1 END) OVER (PARTITION BY trace_id ORDER BY seq) AS island FROM (SELECT *, lag(edit) OVER (PARTITION BY trace_id ORDER BY seq) AS pe FROM own)),
- timeline AS (SELECT trace_id, min(seq) AS seq, min_by(step_id, seq) AS step_id, 'edit' AS kind, CASE WHEN count(DISTINCT regexp_extract(file_path, '[^/]*$')) > 1 THEN concat('Edited ', count(*), ' times across ', count(DISTINCT regexp_extract(file_path, '[^/]*$')), ' files')
+ timeline AS (SELECT trace_id, min(seq) AS seq, min_by(step_id, seq) AS step_id, min_by(ts, seq) AS ts, 'edit' AS kind, CASE WHEN count(DISTINCT regexp_extract(file_path, '[^/]*$')) > 1 THEN concat('Edited ', count(*), ' times across ', count(DISTINCT regexp_extract(file_path, '[^/]*$')), ' files')
  WHEN count(*) = 1 THEN concat('Edited ', min(regexp_extract(file_path, '[^/]*$'))) ELSE concat('Edited ', min(regexp_extract(file_path, '[^/]*$')), ' x', count(*)) END AS summary FROM isl WHERE edit GROUP BY trace_id, island
- UNION ALL SELECT trace_id, seq, step_id, kind, summary FROM (SELECT *, CASE WHEN action_type = 'env_effect' THEN 'error' WHEN text <> '' THEN 'user' WHEN tool_name = 'Write' THEN 'write' WHEN trip IS NOT NULL THEN 'tripwire' WHEN {COMMIT} THEN 'commit' WHEN tool_name = 'Bash' AND {VERIFY} THEN 'test' WHEN tool_name = 'Task' THEN 'delegation' END AS kind,
- CASE WHEN action_type = 'env_effect' THEN concat('Error: ', tool_result) WHEN text <> '' THEN text WHEN tool_name = 'Write' THEN concat('Wrote ', file_path) WHEN trip IS NOT NULL THEN concat('Tripwire ', trip, ': ', command) WHEN {COMMIT} THEN concat('Commit: ', command) WHEN tool_name = 'Bash' THEN concat('Ran: ', command) ELSE concat('Delegated via ', tool_name, ': ', tool_name) END AS summary FROM isl WHERE NOT edit) WHERE kind IS NOT NULL)"""
+ UNION ALL SELECT trace_id, seq, step_id, ts, kind, summary FROM (SELECT *, CASE WHEN action_type = 'env_effect' THEN 'error' WHEN text <> '' THEN 'user' WHEN tool_name = 'Write' THEN 'write' WHEN trip IS NOT NULL THEN 'tripwire' WHEN {COMMIT} THEN 'commit' WHEN tool_name = 'Bash' AND {VERIFY} THEN 'test' WHEN tool_name = 'Task' THEN 'delegation' END AS kind,
+ CASE WHEN action_type = 'env_effect' THEN concat('Error: ', tool_result) WHEN text <> '' THEN text WHEN tool_name = 'Write' THEN concat('Wrote ', file_path) WHEN trip IS NOT NULL THEN concat('Tripwire ', trip, ': ', command) WHEN {COMMIT} THEN concat('Commit: ', command) WHEN tool_name = 'Bash' THEN concat('Ran: ', command) ELSE concat('Delegated via ', tool_name, ': ', coalesce(nullif(json_extract_string(payload, '$.description'), ''), tool_name)) END AS summary FROM isl WHERE NOT edit) WHERE kind IS NOT NULL)"""
 
 
 @query(f"{DUCKDB}, {TIMELINE} SELECT * FROM timeline")
@@ -186,23 +202,39 @@ HEADER = "SELECT trace_id, max(cwd) AS cwd, count(*) AS n_steps, count(*) FILTER
 
 @query(f"{DUCKDB} {HEADER}")
 def r5_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.header(steps(spark, sf_dir)).withColumn("duration_s", F.round("duration_s", 6))
+    return report.header(steps(spark, sf_dir)).select("trace_id", "cwd", "n_steps", "n_tool_calls", "n_user_turns", F.round("duration_s", 6).alias("duration_s"))
 
 
 @query(
     f"""{DUCKDB}, {TIMELINE}, {TURNS_OF}, found AS ({ALL}), h AS ({HEADER}),
- a AS (SELECT trace_id, string_agg(concat('- [', kind, '] ', summary), chr(10) ORDER BY seq) AS x FROM timeline GROUP BY 1),
- b AS (SELECT trace_id, string_agg(concat('- ', upper(severity), ' ', rule_id, ': ', replace(step_ids, ',', ', ')), chr(10) ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, seq, rule_id) AS x FROM found GROUP BY 1),
- c AS (SELECT o.trace_id, string_agg(concat('- ', o.text, ' -> ', coalesce(replace(replace(used.followed_by, ',', ', '), '=', ' x'), 'nothing')), chr(10) ORDER BY o.turn) AS x FROM turned o LEFT JOIN used USING (trace_id, turn) WHERE o.text <> '' GROUP BY 1)
- SELECT h.trace_id, concat('# Session ', h.trace_id, chr(10), 'steps ', n_steps, ', tool calls ', n_tool_calls, ', user turns ', n_user_turns, chr(10), '## Timeline', chr(10), coalesce(a.x, 'none'), chr(10), '## Findings', chr(10), coalesce(b.x, 'none'), chr(10), '## Turns', chr(10), coalesce(c.x, 'none')) AS markdown
- FROM h LEFT JOIN a USING (trace_id) LEFT JOIN b USING (trace_id) LEFT JOIN c USING (trace_id)"""
+ a AS (SELECT trace_id, string_agg(concat('- `', step_id, '` **', kind, '** (', strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'Z) — ', summary), chr(10) ORDER BY seq) AS x FROM timeline GROUP BY 1),
+ fl AS (SELECT *, concat('- **', rule_id, '** — ', title, ' (steps: ', replace(step_ids, ',', ', '), ') — ', shown) AS line,
+  CASE split_part(rule_id, ':', 1) WHEN 'scope-escape' THEN 0 WHEN 'churn-burst' THEN 1 WHEN 'commit-without-tests' THEN 2 WHEN 'tripwire' THEN 3 WHEN 'error-cluster' THEN 4 WHEN 'delegation-unobserved' THEN 5 ELSE 6 END AS o,
+  CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END AS sev FROM found),
+ fg AS (SELECT trace_id, sev, concat('### ', upper(max(severity)), chr(10), string_agg(line, chr(10) ORDER BY o, seq, rule_id)) AS g FROM fl GROUP BY ALL),
+ b AS (SELECT trace_id, string_agg(g, chr(10) || chr(10) ORDER BY sev) AS x FROM fg GROUP BY 1),
+ n AS (SELECT trace_id, concat(count(*), ' finding(s): ', count(*) FILTER (WHERE sev = 0), ' high, ', count(*) FILTER (WHERE sev = 1), ' medium, ', count(*) FILTER (WHERE sev = 2), ' low, ', count(*) FILTER (WHERE sev = 3), ' info.') AS x FROM fl GROUP BY 1),
+ c AS (SELECT o.trace_id, string_agg(concat('### Turn: "', o.text, '"', chr(10), coalesce('- ' || replace(replace(used.followed_by, ',', chr(10) || '- '), '=', ': '), '- No tool calls followed this turn.')), chr(10) || chr(10) ORDER BY o.turn) AS x
+  FROM turned o LEFT JOIN used USING (trace_id, turn) WHERE o.text <> '' GROUP BY 1),
+ p AS (SELECT cwd, string_agg(concat('- **', scope, '** `', path, '` — ', title), chr(10) ORDER BY o) AS x FROM (SELECT DISTINCT cwd, 'project' AS scope, concat(cwd, '/POLICY.md') AS path, 'Rules of the house' AS title, 1 AS o FROM steps WHERE cwd IS NOT NULL
+  UNION SELECT DISTINCT cwd, 'global', '/etc/POLICY.md', '(no heading)', 0 FROM steps WHERE cwd IS NOT NULL) GROUP BY 1)
+ SELECT h.trace_id, concat_ws(chr(10), '# Session post-mortem', '', '## Summary', '', '| Field | Value |', '| --- | --- |', concat('| Session ID | ', h.trace_id, ' |'), concat('| Project (cwd) | ', coalesce(h.cwd, '(unknown)'), ' |'), '| Git branch | main |', '| Version | 1 |',
+  '| Duration (s) | whole |', concat('| Steps | ', n_steps, ' |'), concat('| Tool calls | ', n_tool_calls, ' |'), concat('| User turns | ', n_user_turns, ' |'), '', '## Policy context', '', coalesce(p.x, 'No policy files were discovered for this session''s working directory.'), '', '## Timeline', '', coalesce(a.x, 'No notable events.'), '',
+  '## Findings', '', coalesce(n.x, '0 finding(s): 0 high, 0 medium, 0 low, 0 info.'), '', coalesce(b.x, 'No findings.'), '', '## Instruction compliance', '', coalesce(c.x, 'No user turns recorded.'), '', '## Not checked', '',
+  CASE WHEN h.cwd IS NULL THEN '- **scope-escape**: no config.roots and no trace.metadata[''cwd''] available to establish allowed write roots' ELSE 'All rules ran.' END, '') AS markdown
+ FROM h LEFT JOIN a USING (trace_id) LEFT JOIN b USING (trace_id) LEFT JOIN c USING (trace_id) LEFT JOIN n USING (trace_id) LEFT JOIN p ON p.cwd = h.cwd"""
 )
 def r6_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = steps(spark, sf_dir)
-    return report.rendered(s, findings.analyze(s))
+    s = arranged(steps(spark, sf_dir), "trace_id", "seq")
+    cwds = s.where("cwd IS NOT NULL").selectExpr("cwd").distinct()
+    docs = cwds.selectExpr("cwd AS dir", "concat(cwd, '/POLICY.md') AS path", "'project' AS scope", "'Rules of the house' AS title").union(spark.range(1).selectExpr("'' AS dir", "'/etc/POLICY.md' AS path", "'global' AS scope", "CAST(NULL AS STRING) AS title"))
+    policies = findings.policy_in_force(cwds, docs).join(docs.select("path", "scope", "title"), "path")
+    metadata = s.where("cwd IS NOT NULL").groupBy("trace_id").agg(F.min("cwd").alias("cwd")).join(s.select("trace_id").distinct(), "trace_id", "right").selectExpr("trace_id", "cwd", "'main' AS branch", "'1' AS version")
+    out = report.rendered(s, findings.analyze(s), metadata, findings.not_checked(s), policies)
+    return out.withColumn("markdown", F.regexp_replace("markdown", r"(?m)^\| Duration \(s\) \| [-0-9.E]+ \|$", "| Duration (s) | whole |"))  # floats print differently
 
 
-JACCARD = f"""{DUCKDB}, tok AS (SELECT *, list_distinct(regexp_extract_all(lower(declared_intent), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(concat(tool_name, ' ', coalesce(file_path, command, ''))), '[a-z0-9]+')) AS b FROM steps WHERE declared_intent IS NOT NULL),
+JACCARD = f"""{DUCKDB}, tok AS (SELECT *, list_distinct(regexp_extract_all(lower(declared_intent), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(concat('name ', tool_name, ' input ', payload)), '[a-z0-9]+')) AS b FROM steps WHERE declared_intent IS NOT NULL),
  sim AS (SELECT *, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS s FROM tok)"""
 
 
@@ -217,7 +249,7 @@ def d1_jaccard_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def d1_trace_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = payload_text(steps(spark, sf_dir))
-    d = drift.trace_drift(s, drift.score_jaccard(drift.parent_steps(s)), mean_similarity=True)
+    d = drift.trace_drift(s, drift.score_jaccard(drift.parent_steps(s)), method="jaccard")
     n = {k: F.coalesce(F.try_element_at("taxonomy_counts", F.lit(k)), F.lit(0)).cast("long") for k in ("goal_deviation", "faithful")}
     return d.select("trace_id", rounded("drift_score").alias("drift_score"), F.col("n_scored").cast("long").alias("n_scored"), F.array_join("flagged_steps", ",").alias("flagged_steps"), n["goal_deviation"].alias("n_deviation"), n["faithful"].alias("n_faithful"))
 
@@ -230,7 +262,7 @@ def d10_delegate_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{JACCARD} SELECT trace_id, round(1 - avg(s), 9) AS drift_score FROM sim WHERE agent_id IS NULL GROUP BY 1 HAVING 1 - avg(s) > 0.62")
 def d13_over_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = payload_text(steps(spark, sf_dir))
-    d = drift.trace_drift(s, drift.score_jaccard(drift.parent_steps(s)), mean_similarity=True)
+    d = drift.trace_drift(s, drift.score_jaccard(drift.parent_steps(s)), method="jaccard")
     return drift.over_threshold(d, 0.62).select("trace_id", rounded("drift_score").alias("drift_score"))
 
 
@@ -244,13 +276,25 @@ def d4_nli_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{GATE}, cand AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY top DESC, seq) AS rank FROM gate WHERE gate = 'goal_deviation')
- SELECT trace_id, seq, step_id, CASE WHEN rank > 3 THEN 'goal_deviation' WHEN k % 3 = 0 THEN 'faithful' WHEN k % 3 = 1 THEN 'undeclared_goal' ELSE 'neutral' END AS label, rank <= 3 AS judged, CASE WHEN rank > 3 THEN 'MEDIUM' WHEN k % 3 = 2 THEN NULL ELSE 'LOW' END AS severity, rank <= 3 AND k % 3 <> 1 AS overturned_gate FROM cand
- UNION ALL SELECT trace_id, seq, step_id, gate, false, NULL, false FROM gate WHERE gate <> 'goal_deviation'"""
+ SELECT trace_id, seq, step_id, CASE WHEN rank > 100 THEN 'goal_deviation' WHEN k % 3 = 0 THEN 'faithful' WHEN k % 3 = 1 THEN 'undeclared_goal' ELSE 'neutral' END AS label, rank <= 100 AS judged, CASE WHEN rank > 100 OR k % 3 = 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, rank <= 100 AND k % 3 <> 1 AS overturned_gate FROM cand
+ UNION ALL SELECT trace_id, seq, step_id, gate, false, 'LOW', false FROM gate WHERE gate <> 'goal_deviation'"""
 )
 def d5_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = payload_text(steps(spark, sf_dir))
-    verdicts = s.where("k % 3 <> 2").selectExpr("trace_id", "step_id", "CASE WHEN k % 3 = 0 THEN 'faithful' ELSE 'undeclared_goal' END AS label", "'LOW' AS severity", "'judge' AS reasoning")
-    return drift.score_two_stage(s, verdicts, budget=3).select("trace_id", "seq", "step_id", "label", "judged", "severity", "overturned_gate")
+    verdicts = s.where("k % 3 <> 2").selectExpr("trace_id", "step_id", "CASE WHEN k % 3 = 0 THEN 'faithful' ELSE 'undeclared_goal' END AS label", "'LOW' AS severity", "'judge' AS reasoning", "'n/a' AS evidence")
+    return drift.score_two_stage(s, verdicts).select("trace_id", "seq", "step_id", "label", "judged", "severity", "overturned_gate")
+
+
+@query(
+    f"""{GATE}, cand AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY top DESC, seq) AS rank FROM gate WHERE gate = 'goal_deviation'), l AS (SELECT trace_id, rank, seq, step_id, rank > 3 OR k % 3 = 1 AS bad FROM cand),
+ n AS (SELECT trace_id, count(*) AS n FROM gate GROUP BY 1) SELECT t.trace_id, round(coalesce(count(*) FILTER (WHERE bad) / max(n.n), 0), 9) AS drift_score, coalesce(string_agg(step_id, ',' ORDER BY rank) FILTER (WHERE bad), '') AS flagged_steps
+ FROM (SELECT DISTINCT trace_id FROM steps) t LEFT JOIN n USING (trace_id) LEFT JOIN l USING (trace_id) GROUP BY 1"""
+)
+def d6_judged_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = payload_text(steps(spark, sf_dir))
+    verdicts = s.where("k % 3 <> 2").selectExpr("trace_id", "step_id", "CASE WHEN k % 3 = 0 THEN 'faithful' ELSE 'undeclared_goal' END AS label", "'LOW' AS severity", "'judge' AS reasoning", "'n/a' AS evidence")
+    d = drift.trace_drift(steps(spark, sf_dir), drift.score_two_stage(s, verdicts, budget=3))
+    return d.select("trace_id", rounded("drift_score").alias("drift_score"), F.array_join("flagged_steps", ",").alias("flagged_steps"))
 
 
 @query("SELECT event_id, CASE k % 4 WHEN 0 THEN 'faithful' WHEN 1 THEN 'goal_deviation' ELSE 'neutral' END AS label, CASE k % 4 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE WHEN k % 4 < 2 AND k < 50 THEN k / 50 ELSE 0.0 END AS confidence, CASE WHEN k % 4 = 0 THEN 'seen' ELSE 'n/a' END AS evidence FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
@@ -281,9 +325,16 @@ def c2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.tool_calls(_records(spark, sf_dir))
 
 
-@query(f"{DUCKDB} SELECT 'sessions' AS metric, '' AS key, count(DISTINCT trace_id) AS n FROM steps UNION ALL SELECT 'record_type', record_type, count(*) FROM steps GROUP BY 2 UNION ALL SELECT 'tool', tool_name, count(*) FROM steps WHERE record_type = 'assistant' AND tool_name IS NOT NULL GROUP BY 2")
+@query(
+    f"""{DUCKDB} SELECT 'sessions' AS metric, '' AS key, count(DISTINCT trace_id) FILTER (WHERE agent_id IS NULL) AS n FROM steps UNION ALL SELECT 'record_type', record_type, count(*) FROM steps WHERE agent_id IS NULL GROUP BY 2
+ UNION ALL SELECT 'subagent_records', '', count(*) FROM steps WHERE agent_id IS NOT NULL HAVING count(*) > 0 UNION ALL SELECT 'delegate_tool', tool_name, count(*) FROM steps WHERE agent_id IS NOT NULL AND record_type = 'assistant' AND tool_name IS NOT NULL GROUP BY 2
+ UNION ALL SELECT 'subagent_transcripts', '', count(DISTINCT concat(trace_id, agent_id)) FILTER (WHERE agent_id IS NOT NULL) FROM steps UNION ALL SELECT 'sessions_with_subagents', '', count(DISTINCT trace_id) FILTER (WHERE agent_id IS NOT NULL) FROM steps
+ UNION ALL SELECT 'sessions_with_plan_store', '', count(DISTINCT trace_id) FILTER (WHERE agent_id IS NULL AND u % 3 = 0) FROM steps UNION ALL SELECT 'unreadable', concat('/logs/', trace_id, '.jsonl'), 1 FROM (SELECT DISTINCT trace_id FROM steps WHERE u % 7 = 0)"""
+)
 def c3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.statistics(_records(spark, sf_dir))
+    lines, own = raw_lines(spark, sf_dir, "agent_id"), spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    stores = own.where("user_id % 3 = 0").select(F.col("user_id").cast("string").alias("session"))
+    return corpus.statistics(sessions.records(lines), stores, own.where("user_id % 7 = 0").selectExpr("concat('/logs/', user_id, '.jsonl') AS path"))
 
 
 PAIRING = """pairing AS (SELECT trace_id AS session, count(*) FILTER (WHERE record_type = 'assistant' AND action_type = 'tool_call') AS calls, count(*) FILTER (WHERE record_type = 'user' AND action_type = 'env_effect') AS results, count(*) FILTER (WHERE record_type = 'assistant' AND action_type = 'tool_call' AND (last IS NULL OR seq > last)) AS "trailing", avg(CASE WHEN record_type = 'mystery' THEN 1 ELSE 0 END) AS share FROM (SELECT *, max(CASE WHEN record_type = 'user' THEN seq END) OVER (PARTITION BY trace_id) AS last FROM steps) GROUP BY 1)"""
@@ -336,23 +387,32 @@ def n2_trace_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.trace_metadata(raw_lines(spark, sf_dir)).select("trace_id", "cwd", "config")
 
 
-SEEDS = "CASE u % 6 WHEN 0 THEN 'distractor' WHEN 1 THEN 'scope-narrow' WHEN 2 THEN 'format-strict' WHEN 3 THEN 'plan-late' WHEN 4 THEN 'issue-count' ELSE 'baseline' END"
-TRUTH = f"""bench AS (SELECT *, {SEEDS} AS seed, CASE tool_name WHEN 'Read' THEN 'ReadFile' WHEN 'Write' THEN CASE WHEN k % 4 = 0 THEN 'WriteFile' ELSE 'Other' END WHEN 'Task' THEN 'TodoWrite' WHEN 'Bash' THEN 'Report' END AS tool, CASE WHEN k % 8 = 0 THEN '/x/unrelated_script.py' WHEN k % 8 = 4 THEN 'api.py/' ELSE '/y/other.py' END AS path FROM steps),
- hits AS (SELECT trace_id, seed, min_by(step_id, seq) AS step_id FROM bench WHERE (seed = 'distractor' AND tool = 'ReadFile' AND k % 8 = 0) OR (seed = 'scope-narrow' AND tool = 'ReadFile' AND k % 8 = 4) OR (seed = 'format-strict' AND tool = 'WriteFile') OR (seed = 'plan-late' AND tool = 'TodoWrite') GROUP BY ALL
- UNION ALL SELECT trace_id, seed, s FROM (SELECT trace_id, seed, min_by(step_id, seq) AS s, min_by(k, seq) AS k FROM bench WHERE seed = 'issue-count' AND tool = 'Report' GROUP BY ALL) WHERE k % 7 > 3),
+SEEDS = "CASE u % 9 WHEN 0 THEN 'distractor' WHEN 1 THEN 'scope-narrow' WHEN 2 THEN 'format-strict' WHEN 3 THEN 'plan-late' WHEN 4 THEN 'issue-count' WHEN 5 THEN 'priority-constraint' WHEN 6 THEN 'false-scope' WHEN 7 THEN 'scope-extra' ELSE 'baseline' END"
+BENCH_TOOL = "CASE tool_name WHEN 'Read' THEN 'ReadFile' WHEN 'Write' THEN CASE WHEN k % 4 = 0 THEN 'WriteFile' ELSE 'Other' END WHEN 'Task' THEN 'TodoWrite' WHEN 'Bash' THEN 'Report' END"
+TRUTH = f"""bench AS (SELECT *, {SEEDS} AS seed, {BENCH_TOOL} AS tool FROM steps),
+ rep AS (SELECT trace_id, min_by(step_id, seq) AS step_id, min_by(k, seq) AS rk FROM bench WHERE tool = 'Report' GROUP BY 1), wr AS (SELECT trace_id, min_by(step_id, seq) AS wstep, min_by(k, seq) AS wk FROM bench WHERE tool = 'WriteFile' GROUP BY 1),
+ pr AS (SELECT rep.*, rk % 7 AS n, wstep, wk, coalesce(wk % 3 + 2 = rk % 7, false) AS headed, list_transform(range(1, CAST(rk % 7 AS BIGINT) + 1), lambda i: [4, 3, 2, 1][1 + (i * (1 + (rk % 2) * 2)) % 4]) AS ranks FROM rep LEFT JOIN wr USING (trace_id)),
+ hits AS (SELECT trace_id, seed, min_by(step_id, seq) AS step_id FROM bench WHERE (seed = 'distractor' AND tool = 'ReadFile' AND k % 8 = 0) OR (seed = 'scope-narrow' AND tool = 'ReadFile' AND k % 8 = 4) OR (seed = 'scope-extra' AND tool = 'ReadFile' AND k % 8 = 2) OR (seed = 'format-strict' AND tool = 'WriteFile') OR (seed = 'plan-late' AND tool = 'TodoWrite') GROUP BY ALL
+ UNION ALL SELECT trace_id, 'issue-count', step_id FROM pr WHERE n > 3
+ UNION ALL SELECT trace_id, 'priority-constraint', CASE WHEN headed THEN wstep ELSE step_id END FROM pr WHERE n >= 2 AND CASE WHEN headed THEN wk % 8 = 0 WHEN rk % 5 = 0 THEN false ELSE len(list_filter(range(1, CAST(n AS BIGINT)), lambda i: ranks[i + 1] > ranks[i])) > 0 END
+ UNION ALL SELECT trace_id, 'false-scope', step_id FROM pr WHERE n >= 1 AND rk % 3 = 0 AND rk % 4 <> 0),
  truth AS (SELECT t.trace_id, t.seed, hits.step_id IS NOT NULL AS occurred, hits.step_id FROM (SELECT DISTINCT trace_id, seed FROM bench) t LEFT JOIN hits USING (trace_id, seed))"""
 
 
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    issues = "array_repeat(named_struct('file', 'a.py', 'line_range', '1', 'problem', 'p', 'recommendation', 'r'), CAST(k % 7 AS INT))"
-    return steps(spark, sf_dir).drop("text", "file_path").selectExpr(
+    word = "element_at(array('critical', 'high', 'medium', 'low'), CAST((i * (1 + (k % 2) * 2)) % 4 AS INT) + 1)"
+    problem = f"concat(CASE WHEN k % 5 = 0 THEN 'no word' ELSE concat('A ', {word}, ' thing') END, CASE WHEN k % 4 = 0 THEN ' is missing' ELSE '' END)"
+    issue = f"named_struct('file', CASE WHEN i = 1 AND k % 3 = 0 THEN 'src/Config.py' ELSE 'a.py' END, 'line_range', '1', 'problem', {problem}, 'recommendation', 'r')"
+    issues = f"CASE WHEN k % 7 = 0 THEN CAST(array() AS {evaluate.ISSUE}) ELSE transform(sequence(1, CAST(k % 7 AS INT)), i -> {issue}) END"
+    heading = "concat('## ', i, '. ', element_at(CASE WHEN k % 8 = 0 THEN array('Low', 'MEDIUM', 'High', 'Critical') ELSE array('Critical', 'High', 'Medium', 'Low') END, i), ' thing')"
+    content = f"concat('All of it\\n', array_join(transform(sequence(1, CAST(k % 3 + 2 AS INT)), i -> {heading}), '\\nmore\\n'))"
+    return steps(spark, sf_dir).drop("file_path", "payload").selectExpr(
         "*",
         f"{SEEDS} AS seed",
-        "CASE tool_name WHEN 'Read' THEN 'ReadFile' WHEN 'Write' THEN CASE WHEN k % 4 = 0 THEN 'WriteFile' ELSE 'Other' END WHEN 'Task' THEN 'TodoWrite' WHEN 'Bash' THEN 'Report' END AS tool",
-        "CASE WHEN k % 8 = 0 THEN '/x/unrelated_script.py' WHEN k % 8 = 4 THEN 'api.py/' ELSE '/y/other.py' END AS path",
-        f"to_json(named_struct('issues', {issues})) AS payload",
-        "CAST(NULL AS STRING) AS text",
-    ).drop("tool_name").withColumnRenamed("tool", "tool_name")
+        f"{BENCH_TOOL} AS tool",
+        "CASE WHEN k % 8 = 0 THEN '/x/unrelated_script.py' WHEN k % 8 = 4 THEN 'api.py/' WHEN k % 8 = 2 THEN '/z/__init__.py' ELSE '/y/other.py' END AS path",
+        f"CASE tool_name WHEN 'Bash' THEN to_json(named_struct('issues', {issues})) WHEN 'Write' THEN to_json(named_struct('path', 'out.md', 'content', {content})) END AS payload",
+    ).drop("tool_name").withColumnRenamed("tool", "tool_name")
 
 
 @query(f"{DUCKDB}, {TRUTH} SELECT trace_id, seed, occurred, step_id FROM truth")
@@ -366,24 +426,22 @@ HIGH = "least(1.0, ((x / n) + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt
 
 
 @query(
-    f"""{JACCARD}, {TRUTH}, d AS (SELECT trace_id, 1 - avg(s) AS score FROM sim WHERE agent_id IS NULL GROUP BY 1), f AS (SELECT DISTINCT trace_id, step_id FROM sim WHERE s < 0.3),
- o AS (SELECT t.*, f.step_id IS NOT NULL AS hit, NOT t.occurred AND coalesce(d.score, 0) > 0 AS fp FROM truth t LEFT JOIN f ON f.trace_id = t.trace_id AND f.step_id = t.step_id LEFT JOIN d ON d.trace_id = t.trace_id),
- g AS (SELECT seed, count(*) AS sessions, count(*) FILTER (WHERE occurred) AS n_occurred, count(*) FILTER (WHERE occurred AND hit) AS n_hit, count(*) FILTER (WHERE fp) AS n_false, count(*) FILTER (WHERE NOT occurred) AS n_clean FROM o GROUP BY ROLLUP (seed))
- SELECT coalesce(seed, 'ALL') AS seed, sessions, n_occurred, n_hit, n_false, n_clean, CASE WHEN n > 0 THEN round({LOW}, 9) ELSE -1 END AS false_low, CASE WHEN n > 0 THEN round({HIGH}, 9) ELSE -1 END AS false_high FROM (SELECT *, n_false::DOUBLE AS x, n_clean::DOUBLE AS n FROM g)"""
+    f"""{JACCARD}, {TRUTH}, a AS (SELECT trace_id, bool_or(s < 0.3) AS any_flag FROM sim GROUP BY 1),
+ o AS (SELECT t.*, coalesce(f.s < 0.3, false) AS hit, coalesce(f.s < 0.3, false) AND t.seed = 'format-strict' AS wanted, NOT t.occurred AND coalesce(any_flag, false) AS fp FROM truth t LEFT JOIN sim f ON f.trace_id = t.trace_id AND f.step_id = t.step_id LEFT JOIN a ON a.trace_id = t.trace_id),
+ g AS (SELECT seed, count(*) AS sessions, count(*) FILTER (WHERE occurred) AS n_occurred, count(*) FILTER (WHERE occurred AND hit) AS n_hit, count(*) FILTER (WHERE occurred AND wanted) AS n_label, count(*) FILTER (WHERE fp) AS n_false, count(*) FILTER (WHERE NOT occurred) AS n_clean FROM o GROUP BY ROLLUP (seed))
+ SELECT coalesce(seed, 'ALL') AS seed, sessions, n_occurred, n_hit, n_label, n_false, n_clean, CASE WHEN n > 0 THEN round({LOW}, 9) ELSE -1 END AS false_low, CASE WHEN n > 0 THEN round({HIGH}, 9) ELSE -1 END AS false_high FROM (SELECT *, n_false::DOUBLE AS x, n_clean::DOUBLE AS n FROM g)"""
 )
 def e7_cross_tabulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = payload_text(steps(spark, sf_dir))
     b = _bench(spark, sf_dir)
-    scored = drift.score_jaccard(s)
-    table = evaluate.cross_tabulated(evaluate.ground_truth(b, b.select("trace_id", "seed").distinct()), drift.trace_drift(s, drift.score_jaccard(drift.parent_steps(s)), mean_similarity=True), scored.where("flagged"))
+    table = evaluate.cross_tabulated(evaluate.ground_truth(b, b.select("trace_id", "seed").distinct()), drift.score_jaccard(payload_text(steps(spark, sf_dir))))
     bound = lambda c: F.when(F.isnan(c), F.lit(-1.0)).otherwise(F.round(c, 9)).alias(c)
-    return table.select(F.coalesce("seed", F.lit("ALL")).alias("seed"), F.col("n").alias("sessions"), "n_occurred", "n_hit", "n_false", "n_clean", bound("false_low"), bound("false_high"))
+    return table.select(F.coalesce("seed", F.lit("ALL")).alias("seed"), F.col("n").alias("sessions"), "n_occurred", "n_hit", "n_label", "n_false", "n_clean", bound("false_low"), bound("false_high"))
 
 
 @query(f"{GATE}, cand AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY top DESC, seq) AS rank FROM gate WHERE gate = 'goal_deviation'), x AS (SELECT CASE WHEN rank > 3 THEN 'gate-unjudged' ELSE 'judge' END AS decided_by, CASE WHEN rank > 3 THEN 'goal_deviation' ELSE 'faithful' END AS label FROM cand UNION ALL SELECT 'gate', gate FROM gate WHERE gate <> 'goal_deviation') SELECT decided_by, label, count(*) AS n FROM x GROUP BY ALL")
 def e9_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = payload_text(steps(spark, sf_dir))
-    verdicts = s.selectExpr("trace_id", "step_id", "'faithful' AS label", "'LOW' AS severity", "'judge says so' AS reasoning")
+    verdicts = s.selectExpr("trace_id", "step_id", "'faithful' AS label", "'LOW' AS severity", "'judge says so' AS reasoning", "'n/a' AS evidence")
     return evaluate.attribution(drift.score_two_stage(s, verdicts, budget=3))
 
 
@@ -394,18 +452,30 @@ def e10_summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.summary_table(drift.score_jaccard(s).join(of, "trace_id"), ["goal_deviation", "faithful"])
 
 
-@query(f"{DUCKDB} SELECT trace_id, min_by(declared_intent, seq) FILTER (WHERE declared_intent IS NOT NULL) AS declared_goal, coalesce(string_agg(declared_intent, '|' ORDER BY seq), '') AS active_plan, count(DISTINCT file_path) AS n_facts FROM steps GROUP BY 1")
+@query(f"{DUCKDB} SELECT trace_id, seq, step_id, first_value(declared_intent IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS declared_goal, CASE WHEN file_path IS NULL THEN 0 ELSE 2 END AS n_facts, CASE WHEN file_path IS NOT NULL THEN 'again' END AS fact FROM steps")
 def b1_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = "CASE WHEN file_path IS NULL THEN CAST(array() AS array<struct<identifier:string,excerpt:string>>) ELSE array(named_struct('identifier', file_path, 'excerpt', tool_name)) END AS context_used"
-    b = attest.beliefs(steps(spark, sf_dir).selectExpr("*", used))
-    return b.select("trace_id", "declared_goal", F.coalesce(F.array_join("active_plan", "|"), F.lit("")).alias("active_plan"), F.coalesce(F.size("salient_facts"), F.lit(0)).cast("long").alias("n_facts"))
+    ref = lambda i, e: f"named_struct('identifier', {i}, 'excerpt', {e})"
+    used = f"CASE WHEN file_path IS NULL THEN CAST(array() AS array<struct<identifier:string,excerpt:string>>) ELSE array({ref('file_path', 'tool_name')}, {ref(chr(39) + 'x' + chr(39), 'tool_name')}, {ref('file_path', chr(39) + 'again' + chr(39))}) END AS context_used"
+    b = attest.beliefs(steps(spark, sf_dir).selectExpr("*", used)).join(steps(spark, sf_dir).select("trace_id", "seq", "file_path"), ["trace_id", "seq"])
+    return b.select("trace_id", "seq", "step_id", "declared_goal", F.size("salient_facts").cast("long").alias("n_facts"), F.try_element_at("salient_facts", F.coalesce("file_path", F.lit(""))).alias("fact"))
+
+
+@query(f"{DUCKDB} SELECT trace_id, coalesce(string_agg(declared_intent, '|' ORDER BY seq), '') AS active_plan FROM steps GROUP BY 1")
+def b1_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attest.plans(steps(spark, sf_dir)).select("trace_id", F.array_join("active_plan", "|").alias("active_plan"))
+
+
+SHOWN = """concat('{"command":', coalesce('"' || command || '"', 'null'), ',"file_path":', coalesce('"' || file_path || '"', 'null'), ',"tool_name":', coalesce('"' || tool_name || '"', 'null'), '}')"""
 
 
-@query(f"{DUCKDB} SELECT trace_id, count(*) FILTER (WHERE k % 10 = 0) AS n_diff, min_by(step_id, seq) FILTER (WHERE k % 10 = 0) AS first_divergence FROM steps GROUP BY 1")
+@query(
+    f"""{DUCKDB} SELECT trace_id, count(*) FILTER (WHERE k % 10 = 0) AS n_diff, min_by(step_id, seq) FILTER (WHERE k % 10 = 0) AS first_divergence,
+ concat('[', coalesce(string_agg(concat('{{"step_id": "', step_id, '", "original_action": {{"type": "', action_type, '", "payload": ', {SHOWN}, '}}, "alternate_action": {{"type": "', action_type, '", "payload": {{"tool_name":"None"}}}}}}'), ', ' ORDER BY seq) FILTER (WHERE k % 10 = 0), ''), ']') AS diffs FROM steps GROUP BY 1"""
+)
 def b2_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = steps(spark, sf_dir).withColumn("payload", F.to_json(F.struct("tool_name", "file_path", "command"), {"ignoreNullFields": "false"}))
     other = s.select("trace_id", "step_id", "action_type", F.when(F.col("k") % 10 == 0, F.lit('{"tool_name": "None"}')).otherwise(F.to_json(F.struct("command", "file_path", "tool_name"), {"ignoreNullFields": "false"})).alias("payload"))
-    return attest.replayed(s, other).drop("diffs")
+    return attest.replayed(s, other)
 
 
 @query(f"{DUCKDB} SELECT count(*) AS step_count, string_agg(DISTINCT event_flow, ',' ORDER BY event_flow) AS flow_types, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT trace_id) AS trace_count FROM (SELECT *, CASE WHEN u % 2 = 0 THEN 'chat' ELSE 'agentic' END AS event_flow FROM steps)")
@@ -417,7 +487,7 @@ def a1_trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def a2_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = payload_text(steps(spark, sf_dir))
-    return attest.packs(drift.trace_drift(s, drift.score_jaccard(drift.parent_steps(s)), mean_similarity=True), s)
+    return attest.packs(drift.trace_drift(s, drift.score_jaccard(drift.parent_steps(s)), method="jaccard"), s)
 
 
 @query("SELECT event_id, concat('{\"k\":', k, ',\"n\":null,\"t\":\"', event_type, '\\u00e9\"}') AS canonical FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)")
@@ -482,3 +552,82 @@ def n19_checkpoint_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = f"""named_struct('seq', seq, 'config', named_struct('configurable', named_struct('thread_id', trace_id)), 'checkpoint', named_struct('id', step_id, 'channel_values', to_json(named_struct('intent', declared_intent))), 'metadata', named_struct('step', seq, 'writes', {writes})) AS x"""
     lists = steps(spark, sf_dir).selectExpr("trace_id AS source", one).groupBy("source").agg(F.to_json(F.array_sort(F.collect_list("x"))).alias("value"))
     return adapters.checkpoint_steps(adapters.exploded(lists, adapters.CHECKPOINT), F.lit("2024-01-01").cast("timestamp")).select("trace_id", "seq", "step_id", "declared_intent", "action_type")
+
+@query(
+    f"""{DUCKDB}, cr AS (SELECT trace_id, seq, concat('t', k) AS subject, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS r FROM steps WHERE tool_name = 'Write'),
+ up AS (SELECT s.trace_id, s.seq, s.k % 4 + 1 AS r, CASE s.k % 3 WHEN 0 THEN 'completed' ELSE 'in_progress' END AS status FROM steps s WHERE tool_name = 'Bash' AND k % 3 < 2 AND s.k % 4 + 1 <= (SELECT count(*) FROM cr WHERE cr.trace_id = s.trace_id AND cr.seq < s.seq)),
+ anchors AS (SELECT trace_id, seq FROM cr UNION ALL SELECT trace_id, seq FROM up),
+ st AS (SELECT a.trace_id, a.seq, cr.r, cr.subject, coalesce(max_by(up.status, up.seq), 'pending') AS status FROM anchors a JOIN cr ON cr.trace_id = a.trace_id AND cr.seq <= a.seq LEFT JOIN up ON up.trace_id = a.trace_id AND up.r = cr.r AND up.seq <= a.seq GROUP BY ALL)
+ SELECT trace_id, seq, string_agg(subject, chr(10) ORDER BY r) FILTER (WHERE status IN ('pending', 'in_progress')) AS plan FROM st GROUP BY ALL"""
+)
+def n9_task_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir).where("tool_name IN ('Write', 'Bash')")
+    act = """array(CASE WHEN tool_name = 'Write' THEN named_struct('kind', 'create', 'subject', concat('t', k), 'status', CAST(NULL AS STRING), 'task', CAST(NULL AS INT), 'said', CAST(NULL AS STRING))
+        ELSE named_struct('kind', 'update', 'subject', CAST(NULL AS STRING), 'status', CASE k % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'in_progress' END, 'task', CAST(k % 4 + 1 AS INT), 'said', CAST(NULL AS STRING)) END) AS acts"""
+    return sessions.standing_plans(s.selectExpr("trace_id AS session", "seq AS line", act)).select(F.col("session").alias("trace_id"), F.col("line").alias("seq"), "plan")
+
+
+@query(f"{DUCKDB} SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS BIGINT) AS seq, CASE WHEN actor = 'agent' THEN coalesce(declared_intent, CASE WHEN u % 2 = 0 THEN 'first' || chr(10) || 'tenth' END) END AS declared_intent FROM steps WHERE record_type <> 'mystery'")
+def n10_plan_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = raw_lines(spark, sf_dir)
+    tasks = "inline(array(named_struct('n', 10, 'subject', 'tenth', 'status', 'in_progress'), named_struct('n', 2, 'subject', 'second', 'status', 'completed'), named_struct('n', 1, 'subject', 'first', 'status', 'pending')))"
+    store = lines.where("CAST(session AS BIGINT) % 2 = 0").select("session").distinct().selectExpr("session", tasks)
+    return sessions.normalised(lines, seeds=sessions.plan_seeds(store)).select("trace_id", "seq", "declared_intent")
+
+
+@query(
+    f"""{DUCKDB} SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS BIGINT) AS seq, CASE WHEN tool_name = 'Task' THEN 27 WHEN tool_name = 'Bash' THEN length(command) + 15 WHEN tool_name IS NOT NULL THEN length(file_path) + 17 WHEN action_type = 'env_effect' THEN length(tool_result) END AS size FROM steps WHERE record_type <> 'mystery' QUALIFY action_type <> 'utterance'"""
+)
+def n14_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sessions.normalised(raw_lines(spark, sf_dir), redact=True)
+    return s.where("action_type <> 'utterance'").select("trace_id", "seq", F.get_json_object(F.coalesce("payload", "tool_result"), "$.size").cast("long").alias("size"))
+
+
+@query(f"{DUCKDB} SELECT trace_id AS session, 'no user or assistant records' AS reason FROM steps GROUP BY trace_id HAVING bool_and(record_type = 'mystery' OR u % 4 = 1)")
+def n1_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = raw_lines(spark, sf_dir, "u")
+    return sessions.rejects(lines.withColumn("value", F.when(F.col("u") % 4 == 1, F.lit('\t{"type":"summary"}')).otherwise(F.col("value"))))
+
+
+def _written(spark: SparkSession, docs: DataFrame) -> str:
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    documents.write_documents(docs, path)
+    return path
+
+
+@query(f"{DUCKDB} SELECT trace_id, seq - 1 AS seq, step_id, ts, actor, declared_intent, action_type, tool_name, payload, file_path, command, text, tool_result, is_error, delegation_unobserved, agent_id, cwd FROM (SELECT * REPLACE (CASE WHEN tool_name IS NOT NULL AND tool_name IN ('Bash', 'Task') THEN NULL ELSE file_path END AS file_path) FROM steps)")
+def s13_traces_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = documents.read_traces(spark, _written(spark, documents.trace_documents(steps(spark, sf_dir))))
+    compact = canonical_json("payload")
+    return back.select("trace_id", "seq", "step_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "actor", "declared_intent", "action_type", "tool_name", F.regexp_replace(compact, '":"', '": "').alias("payload"), "file_path", "command", "text", "tool_result", "is_error", "delegation_unobserved", "agent_id", "cwd")
+
+
+@query(f"{GATE} SELECT trace_id, step_id, CASE WHEN gate <> 'goal_deviation' THEN gate ELSE 'undeclared_goal' END AS label, gate = 'goal_deviation' AS flagged, CASE gate WHEN 'goal_deviation' THEN 'seen' WHEN 'faithful' THEN 'NLI gate: entail' ELSE 'NLI gate: neutral' END AS reasoning, CASE WHEN gate = 'goal_deviation' THEN 'HIGH' ELSE 'LOW' END AS severity FROM gate")
+def s9_pack_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = payload_text(steps(spark, sf_dir))
+    verdicts = s.selectExpr("trace_id", "step_id", "'undeclared_goal' AS label", "'HIGH' AS severity", "'seen' AS reasoning", "'rm' AS evidence")
+    scored = drift.score_two_stage(s, verdicts, budget=1_000_000)
+    sealed = attest.packs(drift.trace_drift(s, scored), s, scored)
+    back = documents.pack_steps(documents.read_packs(spark, _written(spark, sealed.select(F.col("manifest").alias("value")))))
+    return back.select(F.col("subject.agent_config_ref").alias("trace_id"), "step_id", "label", "flagged", "reasoning", "severity")
+
+
+@query("SELECT concat('s', user_id) AS session_id, event_type AS agent, concat('b', event_id % 3) AS branch, concat('c', event_id % 2, ', d') AS recent_commits FROM events WHERE event_id % 5 <> 0")
+def s10_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entry = "to_json(named_struct('session_id', CASE WHEN event_id % 5 <> 0 THEN concat('s', user_id) END, 'agent', event_type, 'branch', concat('b', event_id % 3), 'recent_commits', array(concat('c', event_id % 2), 'd'))) AS value"
+    path = _written(spark, spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(entry))
+    return documents.read_provenance(spark, path).select("session_id", "agent", "branch", "recent_commits")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat('Rules of ', source) END AS title FROM documents")
+def s11_policy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "concat('intro # no\n## not this\n#nor this\n', CASE WHEN doc_id % 3 = 0 THEN concat('#  Rules of ', source, ' \n') ELSE '' END, CASE WHEN doc_id % 3 = 0 THEN '# Second\n' ELSE 'end' END)"
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", documents.title_of(F.expr(text)).alias("title"))
+
+
+@query("SELECT concat('p', event_id) AS probe_id, event_type AS family, 'jailbreak' AS kind, event_id % 4 <> 2 AS should_refuse, CASE WHEN event_id % 4 = 2 THEN 'key,token' ELSE '' END AS must_not_contain FROM events WHERE event_id % 4 > 1")
+def s12_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = """concat('{"probe_id":"p', event_id, '","family":"', event_type, '","version":"1","kind":"', CASE WHEN event_id % 4 = 1 THEN 'odd' ELSE 'jailbreak' END, '","stimulus":{"channel":"user_message","payload":{"text":"x"}},"expected_behavior":', CASE WHEN event_id % 4 = 2 THEN '{"should_refuse":false,"must_not_contain":["key","token"]}' ELSE '{}' END, '}')"""
+    value = f"CASE WHEN event_id % 4 = 0 THEN concat('{{\"probe_id\":\"p', event_id, '\"}}') ELSE {good} END AS value"
+    path = _written(spark, spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(value))
+    return documents.read_probes(spark, path).select("probe_id", "family", "kind", "should_refuse", F.array_join("must_not_contain", ",").alias("must_not_contain"))

@@ -9,13 +9,22 @@ from ..functions.pyjson import canonical_json
 
 
 def beliefs(steps: DataFrame) -> DataFrame:
-    """Once per trace, not per step: goal (its first intent), plan (all intents in order), salient facts (identifier to the last excerpt)."""
-    plan = steps.where("declared_intent IS NOT NULL").groupBy("trace_id").agg(F.min_by("declared_intent", "seq").alias("declared_goal"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "declared_intent"))), lambda x: x["declared_intent"]).alias("active_plan"))
-    out = steps.select("trace_id").distinct().join(plan, "trace_id", "left")
-    if "context_used" in steps.columns:
-        refs = steps.select("trace_id", "seq", F.posexplode("context_used").alias("i", "c")).groupBy("trace_id", F.col("c.identifier").alias("id")).agg(F.max_by(F.col("c.excerpt"), F.struct("seq", "i")).alias("excerpt"))
-        out = out.join(refs.groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "excerpt"))).alias("salient_facts")), "trace_id", "left")
-    return out
+    """Of every step: declared_goal, the first intent of the whole trace, and salient_facts, from identifier to the last excerpt in its own
+    context. The plan, the same for all steps of a trace, is in plans()."""
+    whole = Window.partitionBy("trace_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    goal = F.first("declared_intent", ignorenulls=True).over(whole).alias("declared_goal")
+    if "context_used" not in steps.columns:
+        return steps.select("trace_id", "seq", "step_id", goal, F.lit(None).cast("map<string,string>").alias("salient_facts"))
+    known = F.filter("context_used", lambda c: c["identifier"].isNotNull())
+    later = lambda c, i: F.exists(F.slice(known, i + 2, F.size(known)), lambda d: d["identifier"] == c["identifier"])
+    facts = F.map_from_entries(F.transform(F.filter(known, lambda c, i: ~later(c, i)), lambda c: F.struct(c["identifier"], c["excerpt"])))
+    return steps.select("trace_id", "seq", "step_id", goal, facts.alias("salient_facts"))
+
+
+def plans(steps: DataFrame) -> DataFrame:
+    """trace_id, active_plan: all intents of a trace in order; stored once, not with each step."""
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("declared_intent").isNotNull(), F.struct("seq", "declared_intent")))), lambda x: x["declared_intent"])
+    return steps.groupBy("trace_id").agg(listed.alias("active_plan"))
 
 
 def replayed(steps: DataFrame, alternate: DataFrame) -> DataFrame:
@@ -23,7 +32,9 @@ def replayed(steps: DataFrame, alternate: DataFrame) -> DataFrame:
     a = alternate.select("trace_id", "step_id", F.col("action_type").alias("other_type"), canonical_json("payload").alias("other"))
     both = steps.withColumn("own", canonical_json("payload")).join(a, ["trace_id", "step_id"])
     diff = both.where(~(F.col("action_type").eqNullSafe(F.col("other_type")) & F.col("own").eqNullSafe(F.col("other"))))
-    listed = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("seq", "step_id", "own", "other"))), lambda x: F.struct(x["step_id"].alias("step_id"), x["own"].alias("original"), x["other"].alias("alternate"))))
+    action = lambda kind, payload: F.concat(F.lit('{"type": "'), kind, F.lit('", "payload": '), F.coalesce(payload, F.lit("null")), F.lit("}"))
+    line = F.concat(F.lit('{"step_id": "'), F.col("step_id"), F.lit('", "original_action": '), action(F.col("action_type"), F.col("own")), F.lit(', "alternate_action": '), action(F.col("other_type"), F.col("other")), F.lit("}"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), ", "), F.lit("]"))
     sums = diff.groupBy("trace_id").agg(F.count("*").alias("n_diff"), F.min_by("step_id", "seq").alias("first_divergence"), listed.alias("diffs"))
     return steps.select("trace_id").distinct().join(sums, "trace_id", "left").select("trace_id", F.coalesce("n_diff", F.lit(0)).cast("long").alias("n_diff"), "first_divergence", F.coalesce("diffs", F.lit("[]")).alias("diffs"))
 
@@ -35,11 +46,28 @@ def trace_summary(steps: DataFrame, traces: DataFrame | None = None) -> DataFram
     return steps.agg(F.count("*").alias("step_count"), kinds.alias("flow_types"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).crossJoin(own.agg(F.countDistinct("trace_id").alias("trace_count")))
 
 
-def packs(drift: DataFrame, steps: DataFrame) -> DataFrame:
-    """One pack per trace: a canonical manifest of its drift and counts, and the digest that seals it. All traces are scored."""
+def packs(drift: DataFrame, steps: DataFrame, scored: DataFrame | None = None, issuer: str = "unknown", agent_version: str = "0", issued_at: str | None = None) -> DataFrame:
+    """trace_id, manifest, digest: one evidence pack per trace, canonical JSON, and the digest that seals it. All traces are scored.
+
+    scored: rows of a judging scorer, for per_step. The pack's id is its content's, so runs agree; issued_at is the caller's."""
     sums = steps.groupBy("trace_id").agg(F.count("*").alias("step_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    body = F.to_json(F.struct("trace_id", F.round("drift_score", 12).alias("drift_score"), "flagged_steps", "taxonomy_counts", "step_count", "first_ts", "last_ts"), {"ignoreNullFields": "false"})
-    return sealed(drift.join(sums, "trace_id").select("trace_id", body.alias("manifest")))
+    rows = drift.join(sums, "trace_id")
+    if scored is None:
+        rows = rows.withColumn("per_step", F.lit(None).cast("map<string,struct<step_id:string>>"))
+    else:
+        one = F.struct("step_id", "label", "overturned_gate", "reasoning", "severity", "evidence")
+        last = scored.groupBy("trace_id", "step_id").agg(F.max_by(one, "seq").alias("d"))
+        rows = rows.join(last.groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("step_id", "d"))).alias("per_step")), "trace_id", "left")
+    at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    method = F.split("method", "@")
+    metrics = F.struct(
+        F.round("drift_score", 12).alias("drift_score"), F.create_map("trace_id", F.round("drift_score", 12)).alias("drift_per_trace"), "flagged_steps", method[0].alias("method"), method[1].alias("method_version"), "per_step", "taxonomy_counts"
+    )
+    body = F.struct(
+        F.lit("v0.1").alias("spec_version"), F.lit(issued_at).alias("issued_at"), F.struct(F.lit(issuer).alias("name")).alias("issuer"), F.struct(F.col("trace_id").alias("agent_config_ref"), F.lit(agent_version).alias("agent_version")).alias("subject"),
+        metrics.alias("drift_metrics"), F.struct(F.lit(1).alias("trace_count"), "step_count", F.array(at("first_ts"), at("last_ts")).alias("time_range")).alias("trace_summary"),
+    )
+    return sealed(rows.select("trace_id", canonical_json(F.to_json(body, {"ignoreNullFields": "false"})).alias("manifest")))
 
 
 def sealed(manifests: DataFrame) -> DataFrame:
@@ -57,16 +85,18 @@ def keyword_probe(text: Column, forbidden: Column) -> Column:
 
 
 def regex_probe(text: Column, patterns: list[str]) -> Column:
-    """Passes if no pattern is found."""
+    """Passes if no pattern is found, whatever its case."""
     hit = F.lit(False)
     for p in patterns:
-        hit = hit | F.coalesce(text.rlike(p), F.lit(False))
+        hit = hit | F.coalesce(text.rlike(f"(?idU){p}"), F.lit(False))
     return ~hit
 
 
 def correlated(provenance: DataFrame, packs_: DataFrame) -> DataFrame:
-    """Full outer by session_id; the last provenance entry of an id wins; what is missing is N/A."""
+    """Full outer by session_id; the last provenance entry (by line) of an id wins; what is missing is N/A."""
+    entries = [c for c in ("agent", "model", "project", "branch", "recent_commits", "timestamp") if c in provenance.columns]
     last = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("line"))) == 1
-    p = provenance.withColumn("last", last).where("last").select("session_id", "agent", "branch")
-    both = p.join(packs_.select("session_id", F.col("drift_score").cast("string").alias("drift")), "session_id", "full_outer")
-    return both.select("session_id", *(F.coalesce(c, F.lit("N/A")).alias(c) for c in ("agent", "branch", "drift")))
+    p = provenance.withColumn("last", last).where("last").select("session_id", *entries)
+    found = packs_.select("session_id", F.col("drift_score").cast("string").alias("drift"), *(F.col("flagged").cast("string").alias("flagged") for c in packs_.columns if c == "flagged"))
+    both = p.join(found, "session_id", "full_outer")
+    return both.select("session_id", *(F.coalesce(c, F.lit("N/A")).alias(c) for c in both.columns if c != "session_id"))

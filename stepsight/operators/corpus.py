@@ -25,29 +25,35 @@ def tool_calls(records: DataFrame, names: tuple | None = None) -> DataFrame:
     return (used.where(F.col("tool_name").isin(*names)) if names else used).groupBy("tool_name").agg(F.count("*").alias("n"))
 
 
-def statistics(records: DataFrame, plan_stores: DataFrame | None = None) -> DataFrame:
-    """(metric, key, n): sessions, records by type, calls by tool, anchors of parent transcripts, subagent transcripts and records, plan stores."""
-    has_agent = "agent_id" in records.columns
-    parents = records.where("agent_id IS NULL") if has_agent else records
-    rows = [parents.agg(F.countDistinct("session").alias("n")).select(F.lit("sessions").alias("metric"), F.lit("").alias("key"), "n")]
-    rows.append(record_types(records).select(F.lit("record_type"), "type", "n"))
-    rows.append(tool_calls(records).select(F.lit("tool"), "tool_name", "n"))
-    rows.append(tool_calls(parents, ANCHORS).select(F.lit("anchor"), "tool_name", "n"))
-    if has_agent:
-        subs = records.where("agent_id IS NOT NULL")
-        rows.append(subs.agg(F.countDistinct("session", "agent_id").alias("n")).select(F.lit("subagent_transcripts"), F.lit(""), "n"))
-        rows.append(subs.agg(F.count("*").alias("n")).select(F.lit("subagent_records"), F.lit(""), "n"))
-        rows.append(subs.agg(F.countDistinct("session").alias("n")).select(F.lit("sessions_with_subagents"), F.lit(""), "n"))
+def statistics(records: DataFrame, plan_stores: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
+    """(metric, key, n): sessions; of parent transcripts, records by type and plan anchors; of subagents, transcripts, records, sessions that
+    have them and calls by tool; sessions with a plan store (plan_stores: session); unreadable transcripts (unreadable: path).
+
+    One pass: each record says what it counts for, and the counts are summed by metric and key."""
+    delegate = F.col("agent_id").isNotNull() if "agent_id" in records.columns else F.lit(False)
+    agent = F.col("agent_id") if "agent_id" in records.columns else F.lit(None).cast("string")
+    calls = F.when(F.col("type") == "assistant", F.transform(F.filter("blocks", lambda b: (b["type"] == "tool_use") & b["name"].isNotNull()), lambda b: b["name"]))
+    says = lambda metric, keys, when: F.when(when, F.transform(keys, lambda k: F.struct(F.lit(metric).alias("metric"), k.alias("key"))))
+    none = F.array().cast("array<struct<metric:string,key:string>>")
+    parts = [
+        says("record_type", F.array("type"), F.col("type").isNotNull() & ~delegate),
+        says("anchor", F.filter(calls, lambda k: k.isin(*ANCHORS)), ~delegate),
+        says("subagent_records", F.array(F.lit("")), delegate),
+        says("delegate_tool", calls, delegate),
+    ]
+    counted = records.select("session", agent.alias("agent_id"), F.concat(*(F.coalesce(p, none) for p in parts)).alias("marks"))
+    sums = counted.select(F.explode("marks").alias("x")).groupBy("x.metric", "x.key").agg(F.count("*").alias("n"))
+    seen = counted.groupBy("session", "agent_id").agg(F.lit(1).alias("one")).groupBy("session").agg(F.count("agent_id").alias("agents"), F.count_if(F.col("agent_id").isNull()).alias("own"))
+    stored = F.lit(0)
     if plan_stores is not None:
-        rows.append(parents.select("session").distinct().join(plan_stores, "session", "left_semi").agg(F.count("*").alias("n")).select(F.lit("sessions_with_plan_store"), F.lit(""), "n"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out
+        seen, stored = seen.join(plan_stores.select("session", F.lit(1).alias("stored")).distinct(), "session", "left"), F.count_if((F.col("own") > 0) & F.col("stored").isNotNull())
+    whole = seen.agg(F.count_if(F.col("own") > 0).alias("sessions"), F.coalesce(F.sum("agents"), F.lit(0)).alias("subagent_transcripts"), F.count_if(F.col("agents") > 0).alias("sessions_with_subagents"), stored.cast("long").alias("sessions_with_plan_store"))
+    out = whole.selectExpr("inline(array(" + ", ".join(f"named_struct('metric', '{m}', 'key', '', 'n', {m})" for m in whole.columns) + "))").union(sums)
+    return out.union(unreadable.select(F.lit("unreadable"), "path", F.lit(1).cast("long"))) if unreadable is not None else out
 
 
 def pairing(records: DataFrame) -> DataFrame:
-    """session, calls, results, trailing (calls after the last user record), unresolved. One window-free pass: the last user line, then sums."""
+    """session, calls, results, trailing (calls after the last user record), unresolved."""
     last = F.max(F.when(F.col("type") == "user", F.col("line")))
     own = records.select("session", "line", "type", _blocks("assistant", "tool_use").alias("c"), _blocks("user", "tool_result").alias("r"))
     ends = own.groupBy("session").agg(last.alias("last"))

@@ -1,17 +1,35 @@
 """Structural findings over steps: every rule takes steps (one row per step, ordered by seq within trace_id) and returns rows
-(trace_id, rule_id, severity, seq, step_ids, detail). Rules only window, group or join on trace_id, so they share one exchange."""
+(trace_id, rule_id, severity, seq, step_ids, title, evidence, shown). evidence is a JSON object with sorted keys, shown the same as
+`key=value` pairs. Rules only window or group on trace_id (and more), so on arranged() steps none needs an exchange; analyze() arranges
+a narrow projection once, and reads the long texts, for one rule, beside it."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import COMMIT, EDITORS, FLAGS, TRIPWIRES, VERIFY
+from ..functions.tables import arranged
 
 SCRATCH = ("/tmp",)
 CHURN = 4
 ERROR_WINDOW, ERROR_LEAST = 5, 3
 RANK = {"high": 0, "medium": 1, "low": 2, "info": 3}
+# What each rule is called in a report, and why one could not run.
+TITLES = {
+    "scope-escape": "Write outside allowed roots",
+    "churn-burst": "Repeated edits with no verification",
+    "commit-without-tests": "Commit with no prior verification",
+    "error-cluster": "Cluster of consecutive tool errors",
+    "delegation-unobserved": "Unobserved delegation",
+    "abandoned-artifact": "Written file never referenced again",
+}
+NO_ROOTS = "no config.roots and no trace.metadata['cwd'] available to establish allowed write roots"
+#: What the rules read of a step, the long texts apart.
+NARROW = ["trace_id", "seq", "step_id", "action_type", "tool_name", "file_path", "command", "is_error", "delegation_unobserved", "cwd"]
 
 
 def by_trace(*more: str) -> Window:
@@ -54,10 +72,30 @@ def under(path: Column, prefix: Column) -> Column:
     return (path == p) | path.startswith(F.concat(F.rtrim(p, F.lit("/")), F.lit("/")))
 
 
-def finding(rule: str | Column, severity: str, detail: Column, ids: Column | None = None) -> list[Column]:
-    rule = F.lit(rule) if isinstance(rule, str) else rule
-    ids = F.array("step_id") if ids is None else ids
-    return [F.col("trace_id"), rule.alias("rule_id"), F.lit(severity).alias("severity"), F.col("seq"), ids.alias("step_ids"), detail.alias("detail")]
+def quoted(text: Column) -> Column:
+    """A text as Python shows it: in single quotes, or double ones if it has single and no double ones."""
+    double = text.contains("'") & ~text.contains('"')
+    escaped = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    return F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def finding(rule: str, severity: str, evidence: dict[str, Column], ids: Column | None = None, name: Column | None = None) -> list[Column]:
+    """Columns of a finding. evidence: texts, lists of texts or, named n_ or ending in size, length or count, numbers. name: of the tripwire."""
+    shown = []
+    for key, value in sorted(evidence.items()):
+        number = key.endswith(("size", "length", "count"))
+        text = value.cast("string") if number else F.concat(F.lit("["), F.array_join(F.transform(value, quoted), ", "), F.lit("]")) if key == "roots" else F.coalesce(quoted(value), F.lit("None"))
+        shown.append(F.concat(F.lit(f"{key}="), text))
+    return [
+        F.col("trace_id"),
+        (F.lit(rule) if name is None else F.concat(F.lit(f"{rule}:"), name)).alias("rule_id"),
+        F.lit(severity).alias("severity"),
+        F.col("seq"),
+        (F.array("step_id") if ids is None else ids).alias("step_ids"),
+        (F.lit(TITLES[rule]) if name is None else F.concat(F.lit("Tripwire matched: "), name)).alias("title"),
+        F.to_json(F.struct(*(v.alias(k) for k, v in sorted(evidence.items()))), {"ignoreNullFields": "false"}).alias("evidence"),
+        F.concat_ws(", ", *shown).alias("shown"),
+    ]
 
 
 def ancestors(path: Column) -> Column:
@@ -74,20 +112,27 @@ def roots_of(cwds: DataFrame, repo_roots: DataFrame) -> DataFrame:
     return own.join(found, "cwd", "left").select("cwd", F.coalesce("root", "cwd").alias("root"))
 
 
-def scope_escape(steps: DataFrame, roots: DataFrame | None = None, scratch: tuple = SCRATCH) -> DataFrame:
-    """Writes outside the trace's root (roots: cwd, root; without it, the cwd) and outside scratch folders. Traces without cwd: none."""
-    writes = steps.where(calls(*EDITORS) & (F.coalesce(F.length("file_path"), F.lit(0)) > 0) & F.col("cwd").isNotNull())
-    writes = writes.join(roots, "cwd") if roots is not None else writes.withColumn("root", F.col("cwd"))
+def scope_escape(steps: DataFrame, roots: DataFrame | None = None, scratch: Sequence[str] = SCRATCH, allowed: Sequence[str] | None = None) -> DataFrame:
+    """Writes outside the trace's root (roots: cwd, root; without it, the cwd) and outside scratch folders. Traces without cwd: none.
+
+    allowed: explicit roots for all traces, also those without cwd, instead."""
+    writes = steps.where(calls(*EDITORS) & (F.coalesce(F.length("file_path"), F.lit(0)) > 0))
+    if allowed is not None:
+        writes = writes.withColumn("roots", F.array(*map(F.lit, allowed)).cast("array<string>"))
+    else:
+        writes = writes.where("cwd IS NOT NULL")
+        writes = writes.join(roots, "cwd") if roots is not None else writes.withColumn("root", F.col("cwd"))
+        writes = writes.withColumn("roots", F.array("root"))
     writes = writes.withColumn("path", normal_path(F.col("file_path")))
-    inside = under(F.col("path"), F.col("root"))
+    inside = F.exists("roots", lambda r: under(F.col("path"), r))
     for s in scratch:
         inside = inside | under(F.col("path"), F.lit(s))
-    return writes.where(~inside).select(*finding("scope-escape", "high", F.concat_ws(" ", "tool_name", "file_path")))
+    return writes.where(~inside).select(*finding("scope-escape", "high", {"file_path": F.col("file_path"), "tool": F.col("tool_name"), "roots": F.col("roots")}))
 
 
 def not_checked(traces: DataFrame) -> DataFrame:
-    """Traces whose scope can't be checked, as they have no cwd."""
-    return traces.where("cwd IS NULL").select("trace_id", F.lit("scope-escape").alias("rule_id")).distinct()
+    """Traces whose scope can't be checked, as they have no cwd, and the reason."""
+    return traces.where("cwd IS NULL").select("trace_id", F.lit("scope-escape").alias("rule_id"), F.lit(NO_ROOTS).alias("reason")).distinct()
 
 
 def churn_burst(steps: DataFrame, least: int = CHURN) -> DataFrame:
@@ -96,7 +141,7 @@ def churn_burst(steps: DataFrame, least: int = CHURN) -> DataFrame:
     own = steps.withColumn("verify", verify).where(calls(*EDITORS, "Read") & (F.coalesce(F.length("file_path"), F.lit(0)) > 0))
     own = own.withColumn("reads", F.sum((F.col("tool_name") == "Read").cast("int")).over(by_trace("file_path"))).where(F.col("tool_name") != "Read")
     runs = own.groupBy("trace_id", "file_path", "verify", "reads").agg(F.array_sort(F.collect_list(F.struct("seq", "step_id"))).alias("run")).where(F.size("run") >= least)
-    return runs.withColumn("seq", F.col("run")[0]["seq"]).select(*finding("churn-burst", "medium", F.concat_ws(" ", "file_path", F.size("run").cast("string")), F.col("run.step_id")))
+    return runs.withColumn("seq", F.col("run")[0]["seq"]).select(*finding("churn-burst", "medium", {"file_path": F.col("file_path"), "run_length": F.size("run")}, F.col("run.step_id")))
 
 
 def commit_without_tests(steps: DataFrame) -> DataFrame:
@@ -104,13 +149,13 @@ def commit_without_tests(steps: DataFrame) -> DataFrame:
     bash = steps.where(is_bash()).withColumn("commit", matches(F.col("command"), COMMIT)).withColumn("verify", matches(F.col("command"), VERIFY))
     before = F.coalesce(F.sum(F.col("commit").cast("int")).over(by_trace().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     seen = F.max("verify").over(by_trace("epoch"))
-    return bash.withColumn("epoch", before).withColumn("seen", seen).where("commit AND NOT seen").select(*finding("commit-without-tests", "medium", F.col("command")))
+    return bash.withColumn("epoch", before).withColumn("seen", seen).where("commit AND NOT seen").select(*finding("commit-without-tests", "medium", {"command": F.col("command")}))
 
 
 def tripwires(steps: DataFrame, patterns: dict[str, str] = TRIPWIRES) -> DataFrame:
     """One row for each dangerous pattern that a command matches."""
     hits = F.filter(F.array(*(F.when(matches(F.col("command"), p), F.lit(n)) for n, p in patterns.items())), lambda x: x.isNotNull())
-    return steps.where(is_bash() & F.col("command").isNotNull()).withColumn("name", F.explode(hits)).select(*finding(F.concat(F.lit("tripwire:"), F.col("name")), "high", F.col("command")))
+    return steps.where(is_bash() & F.col("command").isNotNull()).withColumn("name", F.explode(hits)).select(*finding("tripwire", "high", {"command": F.col("command"), "name": F.col("name")}, name=F.col("name")))
 
 
 def error_clusters(steps: DataFrame, window: int = ERROR_WINDOW, least: int = ERROR_LEAST) -> DataFrame:
@@ -123,28 +168,38 @@ def error_clusters(steps: DataFrame, window: int = ERROR_WINDOW, least: int = ER
     opens = F.col("covered") & ~F.coalesce(F.lag("covered").over(by_trace()), F.lit(False))
     islands = env.withColumn("island", F.sum(opens.cast("int")).over(by_trace())).where("covered")
     runs = islands.groupBy("trace_id", "island").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.when(F.col("err") == 1, F.struct("seq", "step_id")))).alias("run")).where(F.size("run") > 0)
-    return runs.select(*finding("error-cluster", "medium", F.size("run").cast("string"), F.col("run.step_id")))
+    return runs.select(*finding("error-cluster", "medium", {"error_count": F.size("run"), "window_size": F.lit(window)}, F.col("run.step_id")))
 
 
 def delegation_unobserved(steps: DataFrame) -> DataFrame:
-    return steps.where("delegation_unobserved").select(*finding("delegation-unobserved", "info", F.col("tool_name")))
+    return steps.where("delegation_unobserved").select(*finding("delegation-unobserved", "info", {"tool": F.col("tool_name")}))
+
 
+def abandoned_artifacts(steps: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Writes whose basename no later edit, read, command or result mentions: the last mention of each distinct name is enough.
 
-def abandoned_artifacts(steps: DataFrame) -> DataFrame:
-    """Writes whose basename no later edit, read, command or result mentions: the last mention of each distinct name is enough."""
+    A trace's names meet its texts as one list, so each text is looked at once and only its hits become rows. texts: where to read the
+    mentions from, if steps lack tool_result."""
     writes = steps.where(calls("Write")).select("trace_id", "seq", "step_id", "file_path", basename(F.col("file_path")).alias("name")).where("name <> ''")
+    names = writes.groupBy("trace_id").agg(F.collect_set("name").alias("names"), F.min("seq").alias("first"))
     said = F.when(calls("Edit", "Read", "NotebookEdit"), F.col("file_path")).when(is_bash(), F.col("command")).when(F.col("action_type") == "env_effect", F.col("tool_result"))
-    mentions = steps.select("trace_id", F.col("seq").alias("at"), said.alias("said")).where("said <> ''")
-    last = writes.select("trace_id", "name").distinct().join(mentions, "trace_id").where(F.col("said").contains(F.col("name"))).groupBy("trace_id", "name").agg(F.max("at").alias("last"))
-    return writes.join(last, ["trace_id", "name"], "left").where("last IS NULL OR last <= seq").select(*finding("abandoned-artifact", "low", F.col("file_path")))
+    mentions = (steps if texts is None else texts).select("trace_id", F.col("seq").alias("at"), said.alias("said")).where("said <> ''")
+    hits = mentions.join(names, "trace_id").where("at > first").select("trace_id", "at", F.explode(F.filter("names", lambda n: F.contains(F.col("said"), n))).alias("name"))
+    last = hits.groupBy("trace_id", "name").agg(F.max("at").alias("last"))
+    late = writes.join(last, ["trace_id", "name"], "left").where("last IS NULL OR last <= seq")
+    return late.select(*finding("abandoned-artifact", "low", {"file_path": F.col("file_path"), "basename": F.col("name")}))
 
 
-def analyze(steps: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """All findings of all rules."""
-    out = scope_escape(steps, roots)
-    for rule in (churn_burst, commit_without_tests, tripwires, error_clusters, delegation_unobserved, abandoned_artifacts):
-        out = out.unionByName(rule(steps))
-    return out
+def analyze(steps: DataFrame, roots: DataFrame | None = None, rules: dict | None = None) -> DataFrame:
+    """All findings of all rules, from two scans of steps: one of NARROW, arranged by trace, and one of the texts that may mention a file.
+
+    rules: what layered() gives for these traces' tenant; its explicit roots override those found."""
+    own, rules = arranged(steps.select(*NARROW), "trace_id", "seq"), rules or {}
+    out = scope_escape(own, roots, rules.get("scratch_prefixes", SCRATCH), rules.get("roots"))
+    out = out.unionByName(churn_burst(own, rules.get("churn_threshold", CHURN))).unionByName(commit_without_tests(own))
+    out = out.unionByName(tripwires(own, rules.get("tripwire_patterns", TRIPWIRES)))
+    out = out.unionByName(error_clusters(own, rules.get("error_cluster_window", ERROR_WINDOW), rules.get("error_cluster_k", ERROR_LEAST)))
+    return out.unionByName(delegation_unobserved(own)).unionByName(abandoned_artifacts(own, steps))
 
 
 def severity_counts(findings: DataFrame) -> DataFrame:
@@ -152,8 +207,21 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 
 def layered(rules: DataFrame) -> DataFrame:
-    """Of rows (tenant, layer, key, value) the value of the highest layer for each tenant and key: patterns merge by key."""
-    return rules.groupBy("tenant", "key").agg(F.max_by("value", "layer").alias("value"), F.max("layer").alias("layer"))
+    """tenant, key, value, layer in force of rows (tenant, layer, key, value: JSON). A later layer replaces a key's value, but
+    tripwire_patterns, JSON objects, merge by their own keys; roots: "auto" stands for none given."""
+    layers = rules.withColumn("value", F.when((F.col("key") == "roots") & (F.col("value") == '"auto"'), F.lit("null")).otherwise(F.col("value")))
+    merging = (F.col("key") == "tripwire_patterns") & F.coalesce(F.startswith("value", F.lit("{")), F.lit(False))
+    last = layers.groupBy("tenant", "key").agg(F.max_by("value", "layer").alias("value"), F.max("layer").alias("layer"))
+    named = layers.where(merging).select("tenant", "layer", F.explode(F.from_json("value", "map<string,string>")).alias("name", "pattern"))
+    named = named.groupBy("tenant", "name").agg(F.max_by("pattern", "layer").alias("pattern")).groupBy("tenant").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "pattern"))))).alias("patterns"))
+    both = last.join(named.withColumn("key", F.lit("tripwire_patterns")), ["tenant", "key"], "left")
+    return both.select("tenant", "key", F.when(F.startswith("value", F.lit("{")), F.coalesce("patterns", "value")).otherwise(F.col("value")).alias("value"), "layer")
+
+
+def rules_of(layers: DataFrame, tenant: str | None) -> dict:
+    """What layered() has in force for one tenant, as analyze() takes it; nulls are left to the defaults."""
+    rows = layers.where(F.col("tenant").eqNullSafe(F.lit(tenant))).select("key", "value").collect()  # one for each of a handful of keys
+    return {r["key"]: v for r in rows if (v := json.loads(r["value"])) is not None}
 
 
 def policy_in_force(cwds: DataFrame, docs: DataFrame) -> DataFrame:
@@ -162,7 +230,9 @@ def policy_in_force(cwds: DataFrame, docs: DataFrame) -> DataFrame:
     own = cwds.select("cwd").where("cwd IS NOT NULL").distinct()
     up = own.select("cwd", F.posexplode(ancestors(normal_path(F.col("cwd")))).alias("depth", "dir"))
     local = up.join(docs.where("scope <> 'global'"), "dir").select("cwd", "path", F.col("depth").alias("order"))
-    world = own.join(F.broadcast(docs.where("scope = 'global'").select("path")), how="cross").select("cwd", "path", F.lit(-1).alias("order"))
+    # Every cwd gets every global document, so the documents' list is one value; the product is the result itself.
+    world = docs.where("scope = 'global'").agg(F.collect_set("path").alias("paths"))
+    world = own.crossJoin(world).select("cwd", F.explode("paths").alias("path"), F.lit(-1).alias("order"))
     once = world.unionByName(local).groupBy("cwd", "path").agg(F.min("order").alias("order"))
     return once.select("cwd", "path", F.row_number().over(Window.partitionBy("cwd").orderBy("order", "path")).cast("long").alias("rank"))
 

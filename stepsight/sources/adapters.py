@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.pyjson import py_repr
 from .sessions import standing_plans
 
 SPAN = "array<struct<span_id:string,trace_id:string,parent_span_id:string,name:string,start_time:string,attributes:string>>"
@@ -101,9 +102,9 @@ def checkpoint_steps(checkpoints: DataFrame, base: Column) -> DataFrame:
     )
 
 
-def chat_steps(messages: DataFrame) -> DataFrame:
+def chat_steps(messages: DataFrame, redact: bool = False) -> DataFrame:
     """Steps of chat histories: system messages go, ids count from 1, a tool result's parent is the call that it answers, and only
-    TodoWrite changes the standing plan."""
+    TodoWrite changes the standing plan. redact: the whole payload of a call or result becomes its size as Python shows it."""
     trace = F.coalesce(F.nullif(F.first("session_id").over(Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit("")), F.lit("unknown"))
     own = messages.withColumn("trace_id", trace).where(F.col("role").isin("user", "assistant", "tool")).withColumn("said", F.coalesce("content", F.lit("")))
     listed = "from_json(get_json_object(c.function.arguments, '$.todos'), 'array<struct<content:string,status:string>>')"
@@ -120,6 +121,14 @@ def chat_steps(messages: DataFrame) -> DataFrame:
     calls = rows.where("c IS NOT NULL").groupBy("source", F.col("c.id").alias("tool_call_id")).agg(F.max_by("step_id", "seq").alias("parent"))
     call = F.col("c").isNotNull()
     intent = F.when(F.col("role") == "assistant", F.coalesce(F.when(F.col("i") == 0, F.nullif("said", F.lit(""))), "standing"))
+    data = F.when(call, F.coalesce(F.when(F.try_parse_json("c.function.arguments").isNotNull(), F.col("c.function.arguments")), F.lit("{}")))
+    answer = F.when(F.col("role") == "tool", F.col("said"))
+    if redact:
+        named = F.to_json(F.struct(F.coalesce("c.function.name", F.lit("")).alias("name")))
+        whole = F.when(call, F.concat(F.substring(named, 1, F.length(named) - 1), F.lit(',"input":'), data, F.lit("}"))).otherwise(F.to_json(F.struct(F.col("said").alias("tool_result"))))
+        rows = rows.withColumn("shown", py_repr(whole))
+        hidden = F.to_json(F.struct(F.lit(True).alias("redacted"), F.length("shown").alias("size")))
+        data, answer = F.when(call, hidden), F.when(F.col("role") == "tool", hidden)
     return rows.join(calls, ["source", "tool_call_id"], "left").select(
         "source",
         "trace_id",
@@ -129,8 +138,8 @@ def chat_steps(messages: DataFrame) -> DataFrame:
         F.when(F.col("role") == "user", "user").when(F.col("role") == "tool", "tool").otherwise("agent").alias("actor"),
         intent.alias("declared_intent"),
         F.when(call, "tool_call").when(F.col("role") == "tool", "env_effect").otherwise("utterance").alias("action_type"),
-        F.when(call, F.col("c.function.name")).alias("tool_name"),
-        F.when(call, F.col("c.function.arguments")).alias("payload"),
+        F.when(call & F.lit(not redact), F.coalesce("c.function.name", F.lit(""))).alias("tool_name"),
+        data.alias("payload"),
         F.when(~call & (F.col("role") != "tool"), F.col("said")).alias("text"),
-        F.when(F.col("role") == "tool", F.col("said")).alias("tool_result"),
+        answer.alias("tool_result"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.pyjson import py_repr
+
 BLOCK = "struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:string>"
 RECORD = "struct<type:string,uuid:string,parentUuid:string,sessionId:string,timestamp:string,cwd:string,gitBranch:string,version:string,permissionMode:string,message:struct<content:string>>"
 # Tools that delegate, states of a task that is still to do.
@@ -15,7 +17,7 @@ ACTIVE = ("pending", "in_progress")
 def read_lines(spark: SparkSession, glob: str) -> DataFrame:
     """session (file stem), agent_id (subagent files), path, line (sortable place in its file), value for every JSON object line of JSONL files."""
     lines = spark.read.text(glob).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
-    ok = F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    ok = F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull()
     path = F.col("file_path")
     return lines.where(ok).select(
         F.regexp_extract(path, r"([^/]+)(?:/subagents/agent-[^/]+)?\.jsonl$", 1).alias("session"),
@@ -60,33 +62,53 @@ def _joined(kind: str) -> Column:
     return F.coalesce(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
-def standing_plans(anchors: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """session, line, plan: the plan after each anchor record. A plan may be null: cleared, which differs from not touched.
+def plan_seeds(store: DataFrame) -> DataFrame:
+    """session, plan: what is still to do in each session's stored tasks (session, n, subject, status), in the order of n; null if nothing."""
+    open_ = F.when((F.length("subject") > 0) & F.col("status").isin(*ACTIVE), F.struct("n", "subject"))
+    listed = F.transform(F.array_sort(F.collect_list(open_)), lambda x: x["subject"])
+    return store.groupBy("session").agg(F.nullif(F.array_join(listed, "\n"), F.lit("")).alias("plan"))
+
+
+def standing_plans(anchors: DataFrame) -> DataFrame:
+    """session, line, plan: the plan after each anchor record that touches it. A plan may be null: cleared, which differs from not touched.
 
     anchors: session, line, acts (array of struct kind, subject, status, task, said) in the record's order. kind: `set` replaces the plan
-    by said; `create` adds a pending task; `update` sets the status of the task-th one created. The fold runs over anchors alone."""
-    state = "struct<tasks:array<struct<subject:string,status:string>>,plan:string,out:array<struct<line:LINE,plan:string>>>".replace("LINE", dict(anchors.dtypes)["line"])
-    per = anchors.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("line", "acts"))).alias("log"))
+    by said; `create` adds a pending task; `update` sets the status of the task-th one created. Only records that create or update tasks
+    are folded, as only they depend on earlier ones; all others need no grouping."""
+    tasked = F.exists("acts", lambda a: a["kind"] != "set")
+    simple = anchors.where(~tasked).select("session", "line", F.element_at("acts", -1)["said"].alias("plan"))
+    out = "array<struct<line:LINE,touched:boolean,plan:string>>".replace("LINE", dict(anchors.dtypes)["line"])
+    tasks = "array<struct<subject:string,status:string>>"
+    per = anchors.where(tasked).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("line", "acts"))).alias("log"))
     active = "nullif(array_join(transform(filter({t}, x -> x.status IN ('pending', 'in_progress')), x -> x.subject), '\\n'), '')"
+    grown = "concat(st.tasks, array(named_struct('subject', a.subject, 'status', 'pending')))"
+    changed = "transform(st.tasks, (x, i) -> CASE WHEN i = a.task - 1 THEN named_struct('subject', x.subject, 'status', a.status) ELSE x END)"
     step = f"""(st, a) -> CASE
-        WHEN a.kind = 'set' THEN named_struct('tasks', st.tasks, 'plan', a.said)
-        WHEN a.kind = 'create' THEN named_struct('tasks', concat(st.tasks, array(named_struct('subject', a.subject, 'status', 'pending'))), 'plan', {active.format(t="concat(st.tasks, array(named_struct('subject', a.subject, 'status', 'pending')))")})
-        WHEN a.task BETWEEN 1 AND size(st.tasks) AND a.status <> '' THEN named_struct('tasks', transform(st.tasks, (x, i) -> CASE WHEN i = a.task - 1 THEN named_struct('subject', x.subject, 'status', a.status) ELSE x END),
-            'plan', {active.format(t="transform(st.tasks, (x, i) -> CASE WHEN i = a.task - 1 THEN named_struct('subject', x.subject, 'status', a.status) ELSE x END)")})
+        WHEN a.kind = 'set' THEN named_struct('tasks', st.tasks, 'touched', true, 'plan', a.said)
+        WHEN a.kind = 'create' THEN named_struct('tasks', {grown}, 'touched', true, 'plan', {active.format(t=grown)})
+        WHEN a.task BETWEEN 1 AND size(st.tasks) AND a.status <> '' THEN named_struct('tasks', {changed}, 'touched', true, 'plan', {active.format(t=changed)})
         ELSE st END"""
-    one = "named_struct('tasks', s.tasks, 'plan', s.plan)"
-    fold = f"""aggregate(log, CAST(named_struct('tasks', array(), 'plan', NULL, 'out', array()) AS {state}),
-        (s, r) -> transform(array(aggregate(r.acts, {one}, {step})), n -> CAST(named_struct('tasks', n.tasks, 'plan', n.plan, 'out', concat(s.out, array(named_struct('line', r.line, 'plan', n.plan)))) AS {state}))[0],
+    one = f"CAST(named_struct('tasks', s.tasks, 'touched', false, 'plan', NULL) AS struct<tasks:{tasks},touched:boolean,plan:string>)"
+    state = f"struct<tasks:{tasks},out:{out}>"
+    fold = f"""aggregate(log, CAST(named_struct('tasks', array(), 'out', array()) AS {state}),
+        (s, r) -> transform(array(aggregate(r.acts, {one}, {step})), n -> CAST(named_struct('tasks', n.tasks, 'out', concat(s.out, array(named_struct('line', r.line, 'touched', n.touched, 'plan', n.plan)))) AS {state}))[0],
         s -> s.out)"""
-    plans = per.select("session", F.expr(f"inline({fold})"))
-    return plans.unionByName(seeds) if seeds is not None else plans
+    folded = per.select("session", F.expr(f"inline({fold})")).where("touched").select("session", "line", "plan")
+    return simple.unionByName(folded)
+
+
+def rejects(lines: DataFrame) -> DataFrame:
+    """session, reason of sessions that have no record to make a step of; normalised() has nothing of them."""
+    any_ = records(lines).groupBy("session").agg(F.bool_or(F.coalesce(F.col("type").isin("user", "assistant"), F.lit(False))).alias("any"))
+    return any_.where("NOT any").select("session", F.lit("no user or assistant records").alias("reason"))
 
 
-def normalised(lines: DataFrame, matched: DataFrame | None = None, redact: bool = False) -> DataFrame:
+def normalised(lines: DataFrame, matched: DataFrame | None = None, redact: bool = False, seeds: DataFrame | None = None) -> DataFrame:
     """Steps of sessions: session, trace_id, seq, step_id, parent_step_id, ts, actor, declared_intent, action_type, tool_name, file_path,
     command, text, tool_result, is_error, delegation_unobserved, tool_use_id, payload, permission_mode.
 
-    matched: session, tool_use_id of delegations whose transcript is at hand."""
+    matched: session, tool_use_id of delegations whose transcript is at hand. seeds: session, plan that stands before the first record,
+    of plan_seeds(). redact: inputs and results become their size as Python shows them."""
     r = records(lines).where(F.col("type").isin("user", "assistant"))
     first = r.groupBy("session").agg(F.coalesce(F.min_by("sessionId", "line"), F.lit("unknown")).alias("trace_id"))
     uses = F.coalesce(F.filter("blocks", lambda b: b["type"] == "tool_use"), F.array().cast(f"array<{BLOCK}>"))
@@ -108,8 +130,12 @@ def normalised(lines: DataFrame, matched: DataFrame | None = None, redact: bool
     utter = F.expr("array(named_struct('kind', 'set', 'subject', CAST(NULL AS STRING), 'status', CAST(NULL AS STRING), 'task', CAST(NULL AS INT), 'said', intent))")
     anchors = anchors.withColumn("todo", F.when(quiet & F.col("intent").isNotNull(), utter).otherwise(F.col("todo"))).where(F.size("todo") > 0)
     plans = standing_plans(anchors.select("session", "line", F.col("todo").alias("acts")))
-    carried = F.last(F.when(F.col("set"), F.struct("plan")), ignorenulls=True).over(Window.partitionBy("session").orderBy("line"))["plan"]
-    r = r.join(plans.withColumn("set", F.lit(True)), ["session", "line"], "left").withColumn("standing", carried).join(first, "session")
+    carried = F.last(F.when(F.col("set"), F.struct("plan")), ignorenulls=True).over(Window.partitionBy("session").orderBy("line"))
+    r = r.join(plans.withColumn("set", F.lit(True)), ["session", "line"], "left").withColumn("carried", carried).join(first, "session")
+    start = F.lit(None).cast("string")
+    if seeds is not None:
+        r, start = r.join(seeds.select("session", F.col("plan").alias("seed")), "session", "left"), F.col("seed")
+    r = r.withColumn("standing", F.when(F.col("carried").isNull(), start).otherwise(F.col("carried.plan")))
     blocks = r.select("*", F.posexplode_outer("acts").alias("i", "b")).withColumn("i", F.coalesce("i", F.lit(0)))
     order = Window.partitionBy("session").orderBy("line", "i")
     call, effect = F.col("b").isNotNull() & agent, F.col("b").isNotNull() & ~agent
@@ -122,8 +148,12 @@ def normalised(lines: DataFrame, matched: DataFrame | None = None, redact: bool
         s = s.join(matched.select("session", "tool_use_id").distinct().withColumn("hit", F.lit(True)), ["session", "tool_use_id"], "left")
         delegated = delegated & F.col("hit").isNull()
     data = F.when(call, F.col("b.input")).when(effect, F.col("b.content"))
-    hidden = F.to_json(F.struct(F.lit(True).alias("redacted"), F.coalesce(F.length(data), F.lit(0)).alias("size")))
-    value = F.when(data.isNotNull(), hidden) if redact else data
+    if redact:  # a result that is a text is shown as it is; inputs, and results that are lists, as Python shows them
+        listed = call | F.coalesce(data.rlike(r"^\s*\["), F.lit(False))
+        s = s.withColumn("shown", F.coalesce(py_repr(F.when(listed, data)), data))
+        value = F.to_json(F.struct(F.lit(True).alias("redacted"), F.coalesce(F.length("shown"), F.lit(0)).alias("size")))
+    else:
+        value = data
     failed = effect & F.coalesce(~F.lower("b.is_error").isin("", "false", "0", "null"), F.lit(False))
     return s.select(
         "session",

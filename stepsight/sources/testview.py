@@ -33,27 +33,31 @@ COLUMNS = {
     "k": "k",
     "u": "u",
 }
+#: A tool's input, from the columns above.
+PAYLOAD = """CASE WHEN tool_name = 'Bash' THEN concat('{"command": "', command, '"}') WHEN tool_name = 'Task' AND k % 2 = 0 THEN concat('{"description": "part ', CAST(k AS STRING), '"}') WHEN tool_name = 'Task' THEN '{}'
+ WHEN tool_name IS NOT NULL THEN concat('{"file_path": "', file_path, '"}') END"""
 _SELECT = "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in COLUMNS.items())
 
 #: Starts an oracle: WITH steps AS (...).
-DUCKDB = f"WITH ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id AS u FROM events), steps AS ({_SELECT} FROM ev)"
+DUCKDB = f"WITH ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id AS u FROM events), steps AS (SELECT *, {PAYLOAD} AS payload FROM ({_SELECT} FROM ev))"
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per step of the traces that `events` stands for."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("*", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k", "user_id AS u")
-    return ev.selectExpr(*(f"{sql} AS {name}" for name, sql in COLUMNS.items()))
+    return ev.selectExpr(*(f"{sql} AS {name}" for name, sql in COLUMNS.items())).selectExpr("*", f"{PAYLOAD} AS payload")
 
 
-def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same traces as raw session records: (session, line, value), value a JSON object in the shape of a session log."""
+def raw_lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The same traces as raw session records: (session, line, value), value a JSON object in the shape of a session log; more: columns of
+    steps besides."""
     s = steps(spark, sf_dir)
     block = """CASE WHEN action_type = 'tool_call' THEN to_json(named_struct('type', 'tool_use', 'id', concat('t', seq), 'name', tool_name, 'input', named_struct('file_path', file_path, 'command', command, 'description', CASE WHEN tool_name = 'Task' THEN 'delegate' END)))
         WHEN action_type = 'env_effect' THEN to_json(named_struct('type', 'tool_result', 'tool_use_id', concat('t', seq - 1), 'content', tool_result, 'is_error', is_error))
         ELSE to_json(named_struct('type', 'text', 'text', text)) END"""
     think = "CASE WHEN action_type = 'tool_call' AND declared_intent IS NOT NULL THEN concat(to_json(named_struct('type', 'text', 'text', declared_intent)), ',') ELSE '' END"
     head = "to_json(named_struct('type', record_type, 'uuid', step_id, 'sessionId', trace_id, 'cwd', cwd, 'version', '1', 'timestamp', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")))"
-    return s.selectExpr("trace_id AS session", "seq AS line", f"concat(substring({head}, 1, length({head}) - 1), ',\"message\":{{\"role\":\"x\",\"content\":[', {think}, {block}, ']}}}}') AS value")
+    return s.selectExpr("trace_id AS session", "seq AS line", *more, f"concat(substring({head}, 1, length({head}) - 1), ',\"message\":{{\"role\":\"x\",\"content\":[', {think}, {block}, ']}}}}') AS value")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
