@@ -290,13 +290,16 @@ def removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     tables.drop("chunks")
     single = runs.join(repeated(runs, spot, "core", "h"), ["core", "h"], "left_semi").select("o", "p", "rel", F.lit(1).alias("n"))
     parts = put("parts", full.unionByName(single).groupBy(*content).agg(F.collect_list(F.struct("rel", "n")).alias("parts")))  # at most MATCH of them
-    tables.drop("full", "runs")
-    places = c.select("rid", "low", "n", *content).distinct()
-    covered = places.join(whole, content).select("rid", F.col("low").cast("long").alias("a"), (F.col("low") + F.col("n") + (MATCH - 1)).cast("long").alias("z"))
-    partly = places.join(whole, content, "left_anti").join(parts, content).select("rid", F.explode("parts").alias("x"), "low").select("rid", (F.col("low") + F.col("x.rel")).cast("long").alias("a"), (F.col("low") + F.col("x.rel") + F.col("x.n") + (MATCH - 1)).cast("long").alias("z"))
-    spans = put("spans", _united(covered.union(partly)))
+    # A content's repeated stretches, null for all of it; one join, so that a content that very many places have is split over tasks.
+    partly = parts.join(whole, content, "left_anti").select(*content, "parts")
+    marks = put("marks", partly.unionByName(whole.withColumn("parts", F.lit(None).cast(parts.schema["parts"].dataType))))
+    tables.drop("full", "runs", "parts", "whole")
+    places = put("places", c.select("rid", "low", "n", *content).distinct())
+    stretches = F.explode(F.coalesce("parts", F.array(F.struct(F.lit(0).alias("rel"), "n"))))
+    covered = places.join(marks, content).select("rid", "low", stretches.alias("x")).select("rid", (F.col("low") + F.col("x.rel")).cast("long").alias("a"), (F.col("low") + F.col("x.rel") + F.col("x.n") + (MATCH - 1)).cast("long").alias("z"))
+    spans = put("spans", _united(covered))
     judged = put("judged", d.join(spans, "rid", "left"))
-    tables.drop("c", "whole", "parts", "wanted", "spans")
+    tables.drop("c", "places", "marks", "wanted", "spans")
     cut = judged.where("n_removed < n_bytes")
     rest = cut.select("rid", F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "spans").join(texts, same).select("rid", "text", "spans")
 
