@@ -188,7 +188,7 @@ def test_mixing(spark, docs):
 
 def test_secret_scan(spark, docs):
     found = secret_scan.labelled(2000, seed=99)
-    scores = secret_scan.trained().score(np.array([secret_scan.features(f) for f, _ in found]))
+    scores = secret_scan.trained().score([f for f, _ in found])
     assert ((scores >= 0.5) == np.array([s for _, s in found])).mean() > 0.97
     hits = [r for r in secret_scan.scan(docs).collect() if r["is_secret"]]
     assert [corpus()[r["doc_id"]][r["start"] : r["start"] + r["length"]] for r in hits] == ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"]
