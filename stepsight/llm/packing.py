@@ -27,8 +27,10 @@ from .tokens import crc32, encoder
 LENGTH = 1024
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Hash groups that the pieces of one length are ranked in.
-GROUPS = 256
+#: Pieces of one hash group, about: those of one length and group are ranked in one task.
+GROUP = 50_000
+#: Intervals of ranks up to which they are broadcast; they are bounded by the lengths, not by the corpus.
+INTERVALS = 200_000
 PIECE = "doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 Pattern = tuple[int, ...]
 
@@ -94,7 +96,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     spark = docs.sparkSession
     cut = stash(pieces(docs, path or tokenizer_path(TOKENIZER), length, end))
-    group = F.pmod(F.xxhash64("doc_id", "start"), F.lit(GROUPS))
+    group = F.pmod(F.xxhash64("doc_id", "start"), F.lit(cut.count() // GROUP + 16))
     counts = stash(cut.groupBy("length", group.alias("group")).agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows
     table = places(patterns(histogram, length))
@@ -102,7 +104,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     own = F.row_number().over(Window.partitionBy("length", "group").orderBy(F.xxhash64("start", "doc_id"), "doc_id", "start"))
     ranked = cut.withColumn("group", group).withColumn("own", own).join(before, ["length", "group"]).withColumn("rank", F.col("before") + F.col("own") - 1)
     spans = spark.createDataFrame(table, "length bigint, low bigint, high bigint, first bigint, offset bigint")
-    at = ranked.join(F.broadcast(spans), "length").where(F.col("rank").between(F.col("low"), F.col("high")))
+    at = ranked.join(F.broadcast(spans) if len(table) <= INTERVALS else spans, "length").where(F.col("rank").between(F.col("low"), F.col("high")))
     return at.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
 
 
