@@ -350,6 +350,16 @@ def c5_unknown_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.unknown_share(_records(spark, sf_dir)).withColumn("share", rounded("share"))
 
 
+@query(
+    f"""{DUCKDB}, own AS (SELECT trace_id, agent_id, max(u) AS u, avg(CASE WHEN record_type = 'mystery' THEN 1 ELSE 0 END) AS share FROM steps WHERE agent_id IS NOT NULL GROUP BY ALL),
+ j AS (SELECT trace_id AS session, agent_id, CASE WHEN u % 5 = 0 THEN 'no-meta' WHEN agent_id = 'a0' AND u % 2 = 0 THEN 'no-join-key' WHEN share > 0.05 THEN 'unknown-types' END AS breach FROM own) SELECT * FROM j WHERE breach IS NOT NULL"""
+)
+def c6_subagent_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = raw_lines(spark, sf_dir, "agent_id", "u").where("agent_id IS NOT NULL")
+    meta = lines.where("u % 5 <> 0").selectExpr("session", "agent_id", "CASE WHEN NOT (agent_id = 'a0' AND u % 2 = 0) THEN 't1' END AS tool_use_id").distinct()
+    return corpus.subagent_breaches(lines, meta, sessions.records(lines))
+
+
 @query(f"""{DUCKDB}, {PAIRING} SELECT session, 'unresolved-calls' AS breach FROM pairing WHERE calls - results - "trailing" > 0 UNION ALL SELECT session, 'unknown-types' FROM pairing WHERE share > 0.05 UNION ALL SELECT NULL, 'no-plan-anchor' FROM pairing HAVING count(*) >= 20""")
 def c7_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.breaches(_records(spark, sf_dir))
@@ -366,10 +376,10 @@ def c9_intent_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.intent_coverage(steps(spark, sf_dir)).withColumn("coverage", rounded("coverage"))
 
 
-@query(f"{DUCKDB} SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS BIGINT) AS seq, step_id, actor, action_type, tool_name, file_path, command, text, tool_result, is_error, CASE WHEN actor = 'agent' THEN declared_intent END AS declared_intent, delegation_unobserved FROM steps WHERE record_type <> 'mystery'")
+@query(f"{DUCKDB} SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS BIGINT) AS seq, step_id, actor, action_type, tool_name, file_path, command, text, tool_result, is_error, CASE WHEN actor = 'agent' THEN declared_intent END AS declared_intent, delegation_unobserved, date_trunc('millisecond', ts) AS ts FROM steps WHERE record_type <> 'mystery'")
 def n3_normalised_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = sessions.normalised(raw_lines(spark, sf_dir))
-    return own.select("trace_id", "seq", "step_id", "actor", "action_type", "tool_name", "file_path", "command", "text", "tool_result", "is_error", "declared_intent", "delegation_unobserved")
+    return own.select("trace_id", "seq", "step_id", "actor", "action_type", "tool_name", "file_path", "command", "text", "tool_result", "is_error", "declared_intent", "delegation_unobserved", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query(f"{TURNS} SELECT trace_id, seq, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS plan FROM turns")
@@ -484,10 +494,23 @@ def a1_trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attest.trace_summary(s).withColumn("flow_types", F.array_join("flow_types", ","))
 
 
-@query()
+def _sealed_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir)
+    scored = drift.score_jaccard(drift.parent_steps(payload_text(s)))
+    return attest.packs(drift.trace_drift(s, scored, method="jaccard"), s)
+
+
+@query(
+    f"""{JACCARD}, n AS (SELECT trace_id, count(*) AS step_count, min(ts) AS first_ts FROM steps GROUP BY 1) SELECT n.trace_id, round(coalesce(1 - avg(s), 0), 9) AS drift_score, count(*) FILTER (WHERE s < 0.3) AS n_flagged, max(step_count) AS step_count, strftime(max(first_ts), '%Y-%m-%dT%H:%M:%S') AS first_ts, true AS sealed
+ FROM n LEFT JOIN (SELECT * FROM sim WHERE agent_id IS NULL) USING (trace_id) GROUP BY 1"""
+)
 def a2_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = payload_text(steps(spark, sf_dir))
-    return attest.packs(drift.trace_drift(s, drift.score_jaccard(drift.parent_steps(s)), method="jaccard"), s)
+    field = lambda path, kind: F.get_json_object("manifest", f"$.{path}").cast(kind)
+    flagged = F.size(F.from_json(F.get_json_object("manifest", "$.drift_metrics.flagged_steps"), "array<string>")).cast("long")
+    return _sealed_packs(spark, sf_dir).select(
+        "trace_id", rounded(field("drift_metrics.drift_score", "double")).alias("drift_score"), flagged.alias("n_flagged"), field("trace_summary.step_count", "long").alias("step_count"),
+        F.substring(field("trace_summary.time_range[0]", "string"), 1, 19).alias("first_ts"), (F.sha2("manifest", 256) == F.col("digest")).alias("sealed"),
+    )
 
 
 @query("SELECT event_id, concat('{\"k\":', k, ',\"n\":null,\"t\":\"', event_type, '\\u00e9\"}') AS canonical FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events)")
@@ -498,7 +521,7 @@ def a3_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{DUCKDB} SELECT DISTINCT trace_id FROM steps WHERE u % 9 = 4")
 def a4_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sealed = a2_packs(spark, sf_dir)
+    sealed = _sealed_packs(spark, sf_dir)
     given = sealed.select("trace_id", F.when(F.col("trace_id").cast("long") % 9 == 4, F.regexp_replace("manifest", '"step_count":', '"step_count":1')).otherwise(F.concat(F.lit(" "), F.col("manifest"))).alias("manifest"))
     return attest.tampered(given, sealed)
 
@@ -523,19 +546,19 @@ def p3_correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{DUCKDB} SELECT trace_id, seq - 1 AS seq, step_id, CASE WHEN tool_name IN ('Read', 'Bash') THEN 'tool' ELSE 'agent' END AS actor, declared_intent, CASE WHEN tool_name IN ('Read', 'Bash') THEN 'tool_call' WHEN tool_name = 'Task' THEN 'state_transition' ELSE 'utterance' END AS action_type,
- CASE WHEN u % 3 = 0 THEN 'browser' ELSE 'generic' END AS flow_type, CASE WHEN tool_name = 'Read' THEN file_path END AS first_ref FROM steps"""
+ CASE WHEN u % 3 = 0 THEN 'browser' ELSE 'generic' END AS flow_type, CASE WHEN tool_name = 'Read' THEN file_path END AS first_ref, CASE WHEN tool_name = 'Read' THEN rpad(concat('text ', file_path), 100, 'x') END AS excerpt, TIMESTAMP '2023-11-14 22:13:20' AS ts FROM steps"""
 )
 def n17_span_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = steps(spark, sf_dir)
     kind = "CASE WHEN tool_name = 'Read' THEN 'RETRIEVER' WHEN tool_name = 'Bash' THEN 'TOOL' WHEN tool_name = 'Task' THEN 'AGENT' ELSE 'LLM' END"
-    attributes = f"""map_filter(map('openinference.span.kind', {kind}, 'input.value', declared_intent, 'retrieval.documents', CASE WHEN tool_name = 'Read' THEN to_json(array(map('document.id', file_path, 'document.content', 'text'))) END), (k, v) -> v IS NOT NULL)"""
+    attributes = f"""map_filter(map('openinference.span.kind', {kind}, 'input.value', declared_intent, 'retrieval.documents', CASE WHEN tool_name = 'Read' THEN to_json(array(map('document.id', file_path, 'document.content', rpad(concat('text ', file_path), 150, 'x')))) END), (k, v) -> v IS NOT NULL)"""
     root = s.groupBy("trace_id", "u").agg(F.min("ts").alias("ts")).selectExpr("trace_id", "named_struct('seq', 0L, 'span_id', 'root', 'trace_id', trace_id, 'parent_span_id', CAST(NULL AS STRING), 'name', 'root', 'start_time', '2024-01-01T00:00:00Z', 'attributes', map('openinference.span.kind', CASE WHEN u % 3 = 0 THEN 'BROWSER_X' ELSE 'CHAIN' END)) AS x")
     own = s.selectExpr("trace_id", f"named_struct('seq', seq, 'span_id', step_id, 'trace_id', trace_id, 'parent_span_id', 'root', 'name', coalesce(tool_name, 'chat'), 'start_time', '1700000000000000000', 'attributes', {attributes}) AS x")
     sorted_spans = F.transform(F.array_sort(F.collect_list(F.struct(F.col("x.seq"), F.to_json("x").alias("span")))), lambda x: x["span"])
     lists = own.unionByName(root).groupBy(F.col("trace_id").alias("source")).agg(F.concat(F.lit("["), F.array_join(sorted_spans, ","), F.lit("]")).alias("value"))
     spans = adapters.exploded(lists, adapters.SPAN)
     out = adapters.span_steps(spans).where("step_id <> 'root'").join(adapters.span_traces(spans).select("source", "flow_type"), "source")
-    return out.select("trace_id", (F.col("seq") - 1).alias("seq"), "step_id", "actor", "declared_intent", "action_type", "flow_type", F.get("context_used.identifier", F.lit(0)).alias("first_ref"))
+    return out.select("trace_id", (F.col("seq") - 1).alias("seq"), "step_id", "actor", "declared_intent", "action_type", "flow_type", F.get("context_used.identifier", F.lit(0)).alias("first_ref"), F.get("context_used.excerpt", F.lit(0)).alias("excerpt"), F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query(f"{TURNS} SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS seq, CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS actor, CASE WHEN role = 'assistant' THEN nullif(text, '') END AS declared_intent, text FROM turns")
@@ -553,6 +576,24 @@ def n19_checkpoint_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = steps(spark, sf_dir).selectExpr("trace_id AS source", one).groupBy("source").agg(F.to_json(F.array_sort(F.collect_list("x"))).alias("value"))
     return adapters.checkpoint_steps(adapters.exploded(lists, adapters.CHECKPOINT), F.lit("2024-01-01").cast("timestamp")).select("trace_id", "seq", "step_id", "declared_intent", "action_type")
 
+@query(
+    f"""{DUCKDB}, par AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS s FROM steps WHERE record_type <> 'mystery'), n AS (SELECT trace_id, count(*) AS n FROM par GROUP BY 1),
+ own AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY s) AS r FROM par WHERE tool_name = 'Task' AND k % 2 = 0)
+ SELECT trace_id, CAST(s AS BIGINT) AS seq, step_id, '' AS parent_step_id, coalesce(CASE WHEN actor = 'agent' THEN declared_intent END, '') AS declared_intent, '' AS agent_id, delegation_unobserved AND k % 2 = 1 AS delegation_unobserved FROM par
+ UNION ALL SELECT trace_id, CAST(n + 2 * (r - 1) + i AS BIGINT), concat('d', seq, '-', i), step_id, CASE i WHEN 2 THEN 'brief' ELSE '' END, concat('x', seq), false FROM own JOIN n USING (trace_id), (VALUES (1), (2)) AS v(i)"""
+)
+def n12_delegates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parents, s = raw_lines(spark, sf_dir), steps(spark, sf_dir).where("tool_name = 'Task' AND k % 2 = 0 AND record_type <> 'mystery'")
+    meta = s.selectExpr("trace_id AS session", "concat('x', seq) AS agent_id", "concat('t', seq) AS tool_use_id", "'brief' AS description")
+    line = lambda i, kind, content: f"named_struct('line', {i}, 'value', concat('{{\"type\":\"{kind}\",\"sessionId\":\"y\",\"uuid\":\"d', seq, '-{i}\",\"message\":{{\"content\":{content}}}}}'))"
+    call = '[{"type":"tool_use","id":"q","name":"Bash","input":{"command":"pwd"}}]'.replace('"', '\"')
+    sub = s.selectExpr("trace_id AS session", "concat('x', seq) AS agent_id", f"inline(array({line(1, 'user', chr(34) + 'please' + chr(34))}, {line(2, 'assistant', call)}))")
+    own = sessions.normalised(parents, matched=meta)
+    links = sessions.delegate_links(own, meta)
+    both = sessions.with_delegates(own, sessions.delegate_steps(sub, links), links)
+    return both.select("trace_id", "seq", "step_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("parent_step_id", "declared_intent", "agent_id")), "delegation_unobserved")
+
+
 @query(
     f"""{DUCKDB}, cr AS (SELECT trace_id, seq, concat('t', k) AS subject, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS r FROM steps WHERE tool_name = 'Write'),
  up AS (SELECT s.trace_id, s.seq, s.k % 4 + 1 AS r, CASE s.k % 3 WHEN 0 THEN 'completed' ELSE 'in_progress' END AS status FROM steps s WHERE tool_name = 'Bash' AND k % 3 < 2 AND s.k % 4 + 1 <= (SELECT count(*) FROM cr WHERE cr.trace_id = s.trace_id AND cr.seq < s.seq)),

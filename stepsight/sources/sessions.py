@@ -197,12 +197,18 @@ def delegate_links(steps: DataFrame, meta: DataFrame) -> DataFrame:
     return calls.join(sidecars, ["session", "tool_use_id"]).select("session", "agent_id", "tool_use_id", F.col("step_id").alias("owner"), F.col("seq").alias("owner_seq"), F.col("trace_id").alias("owner_trace"), brief.alias("brief"))
 
 
-def with_delegates(parents: DataFrame, delegates: DataFrame, links: DataFrame) -> DataFrame:
-    """Parent steps, then each linked delegate's steps in the order of their owners; their intent starts from the brief.
+def delegate_steps(lines: DataFrame, links: DataFrame, redact: bool = False) -> DataFrame:
+    """Steps of linked subagent transcripts (lines: session, agent_id, line, value), each normalised by itself; the brief stands as plan
+    before its first record."""
+    key = F.to_json(F.struct("session", "agent_id")).alias("session")
+    own = normalised(lines.select(key, "line", "value"), redact=redact, seeds=links.select(key, F.col("brief").alias("plan")))
+    return own.withColumn("agent_id", F.get_json_object("session", "$.agent_id")).withColumn("session", F.get_json_object("session", "$.session"))
+
 
-    delegates: steps of normalised() with agent_id."""
-    own = delegates.drop("trace_id").join(links.select("session", "agent_id", "owner", "owner_seq", "owner_trace", "brief"), ["session", "agent_id"])
-    own = own.withColumn("parent_step_id", F.when(F.col("seq") == 1, F.col("owner")).otherwise(F.coalesce("parent_step_id", "owner"))).withColumn("declared_intent", F.when(F.col("actor") == "agent", F.coalesce("declared_intent", "brief")))
+def with_delegates(parents: DataFrame, delegates: DataFrame, links: DataFrame) -> DataFrame:
+    """Parent steps, then each linked delegate's steps (of delegate_steps()) in the order of their owners."""
+    own = delegates.drop("trace_id").join(links.select("session", "agent_id", "owner", "owner_seq", "owner_trace"), ["session", "agent_id"])
+    own = own.withColumn("parent_step_id", F.when(F.col("seq") == 1, F.col("owner")).otherwise(F.coalesce("parent_step_id", "owner")))
     both = parents.withColumn("agent_id", F.lit(None).cast("string")).withColumn("part", F.struct(F.lit(0).cast("long").alias("o"), F.lit("").alias("a"))).unionByName(
         own.withColumn("trace_id", F.col("owner_trace")).withColumn("part", F.struct(F.col("owner_seq").alias("o"), F.col("agent_id").alias("a"))).select(*parents.columns, "agent_id", "part")
     )

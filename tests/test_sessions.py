@@ -77,7 +77,7 @@ def test_delegates(spark, corpus_dir):
     parents = sessions.normalised(lines, matched=meta)
     links = sessions.delegate_links(parents, meta)
     assert [(x["agent_id"], x["owner"], x["brief"]) for x in links.collect()] == [("x", "a5", "brief\n\nplease")]
-    both = sessions.with_delegates(parents, sessions.normalised(sub.where("agent_id = 'x'")).withColumn("agent_id", __import__("pyspark").sql.functions.lit("x")), links).collect()
+    both = sessions.with_delegates(parents, sessions.delegate_steps(sub, links), links).collect()
     own = [r for r in both if r["agent_id"] == "x"]
     assert [(r["step_id"], r["parent_step_id"], r["declared_intent"]) for r in sorted(own, key=lambda r: r["seq"])] == [("x1", "a5", None), ("x2", "a5", "brief\n\nplease")]
     assert min(r["seq"] for r in own) > max(r["seq"] for r in both if r["agent_id"] is None)
