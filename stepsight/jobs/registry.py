@@ -532,7 +532,7 @@ def p1_keyword_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", attest.keyword_probe(F.col("text"), words).alias("passed"))
 
 
-@query("SELECT conv_id, turn, NOT (regexp_matches(text, '[0-9]{2}') OR regexp_matches(text, 'tion[.]')) AS passed FROM conversations")
+@query("SELECT conv_id, turn, NOT (regexp_matches(text, '[0-9]{2}', 'i') OR regexp_matches(text, 'tion[.]', 'i')) AS passed FROM conversations")
 def p2_regex_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", attest.regex_probe(F.col("text"), ["[0-9]{2}", "tion[.]"]).alias("passed"))
 
