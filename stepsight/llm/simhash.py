@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(batches, f"doc_id {kind}, fp bigint, h bigint")
 
 
-#: Fingerprints that one task places in cells.
+#: Fingerprints that one task places in cells at most, about.
 SPREAD = 50_000
 #: Segments of each part: the two parts of a grid make its cells.
 PARTS = (range(0, 11), range(11, 22), range(22, 32))
@@ -88,7 +88,8 @@ def linked(fps: DataFrame) -> DataFrame:
     """(fp, root) for the distinct fingerprints of `fps`: components of those at DISTANCE or fewer bits."""
     near = F.expr(f"bit_count(a ^ b) <= {DISTANCE}")
     points = stash(fps.select("fp").distinct())
-    placed = cells(points.repartition(max(1, points.count() // SPREAD), "fp"))  # a point makes about a hundred rows
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.count() // SPREAD)
+    placed = cells(points.repartition(parts, "fp"))  # a point makes about a hundred rows
     shared = placed.groupBy("cell").agg(F.min("fp").alias("b"), F.max("fp").alias("last")).where("b < last").select("cell", "b")
     met = stash(placed.join(stash(shared).hint("merge"), "cell"))  # these grow with the fingerprints: never broadcast
     first = components(met.select(F.col("fp").alias("a"), "b").where((F.col("a") != F.col("b")) & near).distinct())
