@@ -103,7 +103,8 @@ def described(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of tables that are written out and no longer referred to."""
+    """Lets Spark delete the shuffle files of tables that are written out and no longer referred to: it does so when the driver collects
+    garbage, which it seldom needs to by itself."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -135,11 +136,12 @@ class Tables:
 
     def put(self, name: str, df: DataFrame, *by: str) -> DataFrame:
         df.write.partitionBy(*by).parquet(f"{self.folder}/{name}") if by else df.write.parquet(f"{self.folder}/{name}")
-        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Deletes tables, and lets Spark delete the shuffle files of what was written before."""
         dropped(self.spark, *(f"{self.folder}/{n}" for n in names))
+        release(self.spark)
 
 
 class IndexFamily:
@@ -182,6 +184,8 @@ class IndexFamily:
             self.tables.drop(new[1], name)
             new = merged
         self.levels.append(new)
+        if not merging:
+            release(self.tables.spark)
 
     def repeated(self) -> DataFrame:
         """key, mixed (whether different contents share it) of the suffixes that occur twice or more in all batches together."""
@@ -282,6 +286,7 @@ def removed(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     own = docs.select("doc_id", F.xxhash64("text").alias("t"), F.col("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
     texts = put("texts", own.join(some.select("_id", "_t").distinct(), same, "left_semi"))
+    release(docs.sparkSession)
     chunks = put("chunks", _chunks(texts.join(wanted.join(ids, "rid"), same).select("text", "wanted")))
     spot = F.xxhash64("o", "p", "rel")
     full = put("full", chunks.join(repeated(chunks, spot, "outer", "outer2"), ["outer", "outer2"], "left_semi").select("o", "p", "rel", "n"))
