@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import op1_embedding_near_dedup
+from .exact_dedup import OP12_SQL, op12_exact_dedup
 from .language import op8_language
 from .licenses import op10_license_scans
 from .mixing import op4_mixing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_quality_rules,
         op10_license_scans,
+        op12_exact_dedup,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_exact_dedup": OP12_SQL}
