@@ -12,6 +12,7 @@ from .language import op8_language
 from .licenses import op10_license_scans
 from .mixing import op4_mixing
 from .packing import op6_packing
+from .periodic_runs import op13_periodic_runs
 from .quality import op9_quality_rules
 from .secret_scan import op5_secret_scans
 from .simhash import op2_simhash
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_license_scans,
         op12_exact_dedup,
+        op13_periodic_runs,
     )
 }
 SQL: dict[str, str] = {"op12_exact_dedup": OP12_SQL}
