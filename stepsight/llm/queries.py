@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import op1_embedding_near_dedup
 from .exact_dedup import OP12_SQL, op12_exact_dedup
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .language import op8_language
 from .licenses import op10_license_scans
 from .mixing import op4_mixing
@@ -32,8 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_quality_rules,
         op10_license_scans,
+        op11_hard_negatives,
         op12_exact_dedup,
         op13_periodic_runs,
     )
 }
-SQL: dict[str, str] = {"op12_exact_dedup": OP12_SQL}
+SQL: dict[str, str] = {"op11_hard_negatives": OP11_SQL, "op12_exact_dedup": OP12_SQL}
