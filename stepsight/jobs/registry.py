@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CONCEPTS
 from ..functions.pyjson import canonical_json
-from ..functions.tables import arranged, shared_dir
+from ..functions.scans import arranged
+from ..functions.tables import shared_dir
 from ..operators import attest, corpus, drift, evaluate, findings, report
 from ..sources import adapters, documents, sessions
 from ..sources.testview import DUCKDB, TURNS, raw_lines, steps, turns
@@ -225,7 +226,7 @@ def r5_header(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM h LEFT JOIN a USING (trace_id) LEFT JOIN b USING (trace_id) LEFT JOIN c USING (trace_id) LEFT JOIN n USING (trace_id) LEFT JOIN p ON p.cwd = h.cwd"""
 )
 def r6_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = arranged(steps(spark, sf_dir), "trace_id", "seq")
+    s = arranged(steps(spark, sf_dir), ["trace_id"])
     cwds = s.where("cwd IS NOT NULL").selectExpr("cwd").distinct()
     docs = cwds.selectExpr("cwd AS dir", "concat(cwd, '/POLICY.md') AS path", "'project' AS scope", "'Rules of the house' AS title").union(spark.range(1).selectExpr("'' AS dir", "'/etc/POLICY.md' AS path", "'global' AS scope", "CAST(NULL AS STRING) AS title"))
     policies = findings.policy_in_force(cwds, docs).join(docs.select("path", "scope", "title"), "path")
@@ -387,7 +388,7 @@ def n8_standing_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = turns(spark, sf_dir).withColumnRenamed("trace_id", "session").withColumnRenamed("seq", "line")
     act = "array(named_struct('kind', 'set', 'subject', CAST(NULL AS STRING), 'status', CAST(NULL AS STRING), 'task', CAST(NULL AS INT), 'said', text)) AS acts"
     plans = sessions.standing_plans(t.where("role = 'assistant'").selectExpr("session", "line", act)).withColumn("touched", F.lit(True))
-    before = findings.Window.partitionBy("session").orderBy("line").rowsBetween(findings.Window.unboundedPreceding, -1)
+    before = Window.partitionBy("session").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     carried = F.last(F.when(F.col("touched"), F.struct("plan")), ignorenulls=True).over(before)["plan"]
     return t.join(plans, ["session", "line"], "left").select(F.col("session").alias("trace_id"), F.col("line").alias("seq"), carried.alias("plan"))
 

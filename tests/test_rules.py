@@ -6,6 +6,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
+from stepsight.functions import scans
 from stepsight.operators import findings, report
 
 SCHEMA = "trace_id string, seq long, step_id string, actor string, action_type string, tool_name string, file_path string, command string, text string, tool_result string, is_error boolean, delegation_unobserved boolean, cwd string, ts timestamp, payload string"
@@ -69,17 +70,18 @@ def commits(rows):
     return sorted(out)
 
 
-def clusters(rows):
+def clusters(rows, window=5, least=3):
     out = []
     for trace in by_trace(rows):
         env = [s for s in trace if s[4] == "env_effect"]
         n = len(env)
         hit = set()
-        for a in range(max(1, n - 4)):
-            if sum(s[10] for s in env[a : a + 5]) >= 3:
-                hit |= set(range(a, min(n, a + 5)))
+        for a in [0] if n <= window else range(n - window + 1):
+            if n and sum(s[10] for s in env[a : a + window]) >= least:
+                hit |= set(range(a, min(n, a + window)))
         for _, run in groupby(enumerate(sorted(hit)), key=lambda x: x[1] - x[0]):
-            out.append((trace[0][0], ",".join(env[i][2] for _, i in run if env[i][10])))
+            if failed := [env[i][2] for _, i in run if env[i][10]]:
+                out.append((trace[0][0], ",".join(failed)))
     return sorted(out)
 
 
@@ -112,6 +114,73 @@ def test_rules_equal_loops(spark, seed):
         assert sorted((e["trace_id"], e["step_id"]) for e in edits) == [x[:2] for x in edit_runs(rows)]
 
 
+def long_session(seed, n=900):
+    """One session, and a few short ones beside it."""
+    rows = [(r[0].replace("t", "s"), *r[1:]) for r in random_steps(seed, 3)]
+    r = random.Random(seed)
+    pool = [s for s in random_steps(seed + 100, 60)]
+    return rows + [("long", i + 1, f"long-{i + 1}", *r.choice(pool)[3:]) for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_long_sessions_are_many_chunks(spark, monkeypatch, size):
+    """The same rows whatever the chunks, and no task with more of a session than a chunk."""
+    monkeypatch.setattr(scans, "CHUNK", size)
+    rows = long_session(5)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = {r: sorted((x["trace_id"], ",".join(x["step_ids"])) for x in f(df).collect()) for r, f in (("churn", findings.churn_burst), ("commit", findings.commit_without_tests), ("error", findings.error_clusters))}
+    assert found["churn"] == churn(rows) and found["commit"] == commits(rows) and found["error"] == clusters(rows)
+    assert sorted((e["trace_id"], e["step_id"], e["summary"]) for e in report.timeline(df).where("kind = 'edit'").collect()) == sorted((t, i, s) for t, i, s in edit_summaries(rows))
+    turns = {(t["trace_id"], t["turn"]): t["followed_by"] for t in report.turns(df).collect()}
+    assert turns == turns_of(rows)
+    arranged = scans.arranged(df, ["trace_id"])
+    parts = arranged.groupBy("trace_id", "chunk").count().collect()
+    assert max(p["count"] for p in parts) <= size and len(parts) >= 900 // size
+    arranged.unpersist()
+
+
+def edit_summaries(rows):
+    for t, i, n in edit_runs(rows):
+        own = [s for s in by_trace([r for r in rows if r[0] == t])[0]]
+        at = [s[2] for s in own].index(i)
+        names = {s[6].split("/")[-1] for s in [x for x in own[at:] if not (x[4] == "env_effect" and not x[10])][:n]}
+        yield t, i, f"Edited {n} times across {len(names)} files" if len(names) > 1 else f"Edited {min(names)}" + (f" x{n}" if n > 1 else "")
+
+
+def turns_of(rows):
+    out = {}
+    for trace in by_trace(rows):
+        turn = 0
+        for s in trace:
+            if s[3] == "user":
+                turn += 1
+                out[s[0], turn] = {}
+            elif turn and s[3] == "agent" and s[4] == "tool_call":
+                out[s[0], turn][s[5]] = out[s[0], turn].get(s[5], 0) + 1
+    return out
+
+
+@pytest.mark.parametrize(("window", "least"), [(1, 1), (3, 1), (4, 4), (9, 2), (5, 6), (3, 0), (0, 1), (50, 3)])
+def test_error_windows_of_any_length(spark, monkeypatch, window, least):
+    monkeypatch.setattr(scans, "CHUNK", 11)
+    rows = long_session(6, 200)
+    got = sorted((x["trace_id"], ",".join(x["step_ids"])) for x in findings.error_clusters(spark.createDataFrame(rows, SCHEMA), window, least).collect())
+    assert got == clusters(rows, window, least)
+
+
+def test_running_values_by_force(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(k, i, r.choice([None, 1, 2, 3])) for k in "abc" for i in range(r.randint(1, 60))]
+    for size in (1, 5, 100):
+        monkeypatch.setattr(scans, "CHUNK", size)
+        df = scans.chunked(spark.createDataFrame(rows, "k string, seq long, v int"))
+        marks = {f"{kind}_{before}": scans.Mark(kind, F.col("v"), before) for kind in ("sum", "max", "last") for before in (False, True)}
+        for x in scans.running(df, ["k"], marks).collect():
+            for before in (False, True):
+                own = [v for k, i, v in rows if k == x["k"] and (i < x["seq"] if before else i <= x["seq"]) and v is not None]
+                assert (x[f"sum_{before}"], x[f"max_{before}"], x[f"last_{before}"]) == (sum(own), max(own, default=None), own[-1] if own else None)
+
+
 def test_planted_session_has_exactly_its_findings(spark):
     rows = [step("p", i + 1, *x) for i, x in enumerate([
         ("user", "go"), ("Write", "/w/new.md"), ("Edit", "/other/x.py"), ("Bash", "git commit -m a"), ("Bash", "rm -rf build"), ("Task",),
@@ -133,6 +202,28 @@ def test_normal_path(spark, path):
     assert spark.range(1).select(findings.normal_path(F.lit(path)).alias("p")).first()["p"] == posixpath.normpath(path)
 
 
+@pytest.mark.parametrize("few", [0, 3, 32])
+def test_mentions_by_an_automaton_or_one_by_one(spark, monkeypatch, few):
+    """Names within names and texts, many names in one trace, chunks: the same as a search for each name in each later text."""
+    monkeypatch.setattr(findings, "FEW_NAMES", few)
+    monkeypatch.setattr(scans, "CHUNK", 13)
+    r = random.Random(11)
+    rows = []
+    for t in range(4):
+        for i in range(80):
+            name = r.choice(["a.md", "aa.md", "b", "é.py", "x'y", "a.m", f"n{r.randint(0, 60)}.txt"])
+            kind = r.choice(["Write", "Write", "Read", "Edit", "Bash", "result", "user"])
+            rows.append(step(f"t{t}", i, kind, f"cat z{name}z; ls" if kind in ("Bash", "result") else f"/w/{name}"))
+    want = []
+    for trace in by_trace(rows):
+        for i, s in enumerate(trace):
+            name = (s[6] or "").split("/")[-1]
+            if s[5] == "Write" and not any(name in (x[6] or "" if x[5] in ("Read", "Edit") else x[7] or "" if x[5] == "Bash" else x[9] or "") for x in trace[i + 1 :] if x[5] != "Write"):
+                want.append(s[2])
+    got = findings.abandoned_artifacts(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert sorted(x["step_ids"][0] for x in got) == sorted(want) and want
+
+
 def test_header_and_turns_of_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert report.header(empty).count() == report.turns(empty).count() == findings.analyze(empty).count() == 0
@@ -149,12 +240,20 @@ def test_rules_of_a_tenant_change_the_findings(spark):
     assert sorted(f["rule_id"] for f in findings.analyze(df, rules=yours).collect()) == ["tripwire:destructive-rm"]
 
 
-def test_findings_share_one_exchange_of_steps(spark):
-    df = findings.analyze(spark.createDataFrame(random_steps(3), SCHEMA))
+def shuffled(spark, df):
+    """Rows that all stages of df's job write to shuffles."""
+    store, lists = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList
+    stages = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(lists(), False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), lists()))}
+    before = stages()
     df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan ==")[0]
-    own = [x for x in final.split("\n") if "Exchange hashpartitioning(trace_id" in x and "ENSURE_REQUIREMENTS" in x]
-    assert len(own) <= 3  # the texts that may mention a file, their hits, and the written names
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_findings_share_one_exchange_of_steps(spark):
+    rows = random_steps(3, 200)
+    df = findings.analyze(spark.createDataFrame(rows, SCHEMA).repartition(4).cache())
+    assert shuffled(spark, df) < 4 * len(rows)  # the steps, texts that may mention a file, results beside clusters, and for the rest totals, runs and errors
 
 
 def test_shown_evidence_is_python_text(spark):
