@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pyjson import py_repr
+from ..functions.scans import Mark, arranged, chunked, running
 
 BLOCK = "struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:string>"
 RECORD = "struct<type:string,uuid:string,parentUuid:string,sessionId:string,timestamp:string,cwd:string,gitBranch:string,version:string,permissionMode:string,message:struct<content:string>>"
@@ -69,32 +74,57 @@ def plan_seeds(store: DataFrame) -> DataFrame:
     return store.groupBy("session").agg(F.nullif(F.array_join(listed, "\n"), F.lit("")).alias("plan"))
 
 
+def _active_text(subjects: list[str], active: list[int]) -> str | None:
+    return "\n".join(subjects[i] for i in active) or None
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task records, by session and in order, to the plan after each that touches it. What is held is one session's tasks, not its records."""
+    of, subjects, active, text = None, [], [], None
+    for b in batches:
+        rows, plans = [], []
+        for at, (session, acts) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+            if session != of or of is None:
+                of, subjects, active, text = session, [], [], None
+            touched, plan = False, None
+            for act in acts:
+                task, status = (act["task"] or 0) - 1, act["status"]
+                if act["kind"] == "set":
+                    touched, plan = True, act["said"]
+                    continue
+                if act["kind"] == "create":
+                    active.append(len(subjects))
+                    subjects.append(act["subject"])
+                elif act["kind"] == "update" and 0 <= task < len(subjects) and status:
+                    k = bisect_left(active, task)
+                    there = k < len(active) and active[k] == task
+                    if there == (status in ACTIVE):
+                        touched, plan = True, _active_text(subjects, active) if text is None else text
+                        continue
+                    active.pop(k) if there else insort(active, task)
+                else:
+                    continue
+                text = _active_text(subjects, active)
+                touched, plan = True, text
+            if touched:
+                rows.append(at)
+                plans.append(plan)
+        kept = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(kept), b.column(1).take(kept), pa.array(plans, pa.string())], ["session", "line", "plan"])
+
+
 def standing_plans(anchors: DataFrame) -> DataFrame:
     """session, line, plan: the plan after each anchor record that touches it. A plan may be null: cleared, which differs from not touched.
 
     anchors: session, line, acts (array of struct kind, subject, status, task, said) in the record's order. kind: `set` replaces the plan
     by said; `create` adds a pending task; `update` sets the status of the task-th one created. Only records that create or update tasks
-    are folded, as only they depend on earlier ones; all others need no grouping."""
+    depend on earlier ones: they are sorted by session and folded as they stream by, in time linear in records and plans; all others need
+    neither order nor exchange."""
     tasked = F.exists("acts", lambda a: a["kind"] != "set")
     simple = anchors.where(~tasked).select("session", "line", F.element_at("acts", -1)["said"].alias("plan"))
-    out = "array<struct<line:LINE,touched:boolean,plan:string>>".replace("LINE", dict(anchors.dtypes)["line"])
-    tasks = "array<struct<subject:string,status:string>>"
-    per = anchors.where(tasked).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("line", "acts"))).alias("log"))
-    active = "nullif(array_join(transform(filter({t}, x -> x.status IN ('pending', 'in_progress')), x -> x.subject), '\\n'), '')"
-    grown = "concat(st.tasks, array(named_struct('subject', a.subject, 'status', 'pending')))"
-    changed = "transform(st.tasks, (x, i) -> CASE WHEN i = a.task - 1 THEN named_struct('subject', x.subject, 'status', a.status) ELSE x END)"
-    step = f"""(st, a) -> CASE
-        WHEN a.kind = 'set' THEN named_struct('tasks', st.tasks, 'touched', true, 'plan', a.said)
-        WHEN a.kind = 'create' THEN named_struct('tasks', {grown}, 'touched', true, 'plan', {active.format(t=grown)})
-        WHEN a.task BETWEEN 1 AND size(st.tasks) AND a.status <> '' THEN named_struct('tasks', {changed}, 'touched', true, 'plan', {active.format(t=changed)})
-        ELSE st END"""
-    one = f"CAST(named_struct('tasks', s.tasks, 'touched', false, 'plan', NULL) AS struct<tasks:{tasks},touched:boolean,plan:string>)"
-    state = f"struct<tasks:{tasks},out:{out}>"
-    fold = f"""aggregate(log, CAST(named_struct('tasks', array(), 'out', array()) AS {state}),
-        (s, r) -> transform(array(aggregate(r.acts, {one}, {step})), n -> CAST(named_struct('tasks', n.tasks, 'out', concat(s.out, array(named_struct('line', r.line, 'touched', n.touched, 'plan', n.plan)))) AS {state}))[0],
-        s -> s.out)"""
-    folded = per.select("session", F.expr(f"inline({fold})")).where("touched").select("session", "line", "plan")
-    return simple.unionByName(folded)
+    line = dict(anchors.dtypes)["line"]
+    ordered = anchors.where(tasked).select("session", "line", "acts").repartition("session").sortWithinPartitions("session", "line")
+    return simple.unionByName(ordered.mapInArrow(_fold, f"session string, line {line}, plan string"))
 
 
 def rejects(lines: DataFrame) -> DataFrame:
@@ -104,12 +134,14 @@ def rejects(lines: DataFrame) -> DataFrame:
 
 
 def normalised(lines: DataFrame, matched: DataFrame | None = None, redact: bool = False, seeds: DataFrame | None = None) -> DataFrame:
-    """Steps of sessions: session, trace_id, seq, step_id, parent_step_id, ts, actor, declared_intent, action_type, tool_name, file_path,
-    command, text, tool_result, is_error, delegation_unobserved, tool_use_id, payload, permission_mode.
+    """Steps of sessions: session, trace_key, trace_id, seq, step_id, parent_step_id, ts, actor, declared_intent, action_type, tool_name,
+    file_path, command, text, tool_result, is_error, delegation_unobserved, tool_use_id, payload, permission_mode.
 
+    trace_id is what the session calls itself, `unknown` if it doesn't; trace_key is its transcript's, so sessions never merge. A record is
+    parsed and moved once; its standing plan and place are carried along the session chunk by chunk.
     matched: session, tool_use_id of delegations whose transcript is at hand. seeds: session, plan that stands before the first record,
     of plan_seeds(). redact: inputs and results become their size as Python shows them."""
-    r = records(lines).where(F.col("type").isin("user", "assistant"))
+    r = arranged(records(lines).where(F.col("type").isin("user", "assistant")), ["session"], "line")
     first = r.groupBy("session").agg(F.coalesce(F.min_by("sessionId", "line"), F.lit("unknown")).alias("trace_id"))
     uses = F.coalesce(F.filter("blocks", lambda b: b["type"] == "tool_use"), F.array().cast(f"array<{BLOCK}>"))
     results = F.coalesce(F.filter("blocks", lambda b: b["type"] == "tool_result"), F.array().cast(f"array<{BLOCK}>"))
@@ -130,20 +162,25 @@ def normalised(lines: DataFrame, matched: DataFrame | None = None, redact: bool
     utter = F.expr("array(named_struct('kind', 'set', 'subject', CAST(NULL AS STRING), 'status', CAST(NULL AS STRING), 'task', CAST(NULL AS INT), 'said', intent))")
     anchors = anchors.withColumn("todo", F.when(quiet & F.col("intent").isNotNull(), utter).otherwise(F.col("todo"))).where(F.size("todo") > 0)
     plans = standing_plans(anchors.select("session", "line", F.col("todo").alias("acts")))
-    carried = F.last(F.when(F.col("set"), F.struct("plan")), ignorenulls=True).over(Window.partitionBy("session").orderBy("line"))
-    r = r.join(plans.withColumn("set", F.lit(True)), ["session", "line"], "left").withColumn("carried", carried).join(first, "session")
+    plans = plans if "struct" not in dict(r.dtypes)["line"] else plans.select("session", F.expr(f"CAST(line AS {dict(r.dtypes)['line']})").alias("line"), "plan")
+    r = r.join(chunked(plans, "line").withColumn("set", F.lit(True)), ["session", "chunk", "line"], "left")
+    marks = {"carried": Mark("last", F.when(F.col("set"), F.struct("plan"))), "before": Mark("sum", F.greatest(F.size("acts"), F.lit(1)), before=True)}
+    r = running(r, ["session"], marks, "line").join(first, "session")
     start = F.lit(None).cast("string")
     if seeds is not None:
         r, start = r.join(seeds.select("session", F.col("plan").alias("seed")), "session", "left"), F.col("seed")
     r = r.withColumn("standing", F.when(F.col("carried").isNull(), start).otherwise(F.col("carried.plan")))
     blocks = r.select("*", F.posexplode_outer("acts").alias("i", "b")).withColumn("i", F.coalesce("i", F.lit(0)))
-    order = Window.partitionBy("session").orderBy("line", "i")
     call, effect = F.col("b").isNotNull() & agent, F.col("b").isNotNull() & ~agent
-    base = F.coalesce(F.nullif("uuid", F.lit("")), F.concat("trace_id", F.lit("-"), F.col("i").cast("string")))
-    step_id = F.when((F.col("i") > 0) & (F.coalesce(F.length("uuid"), F.lit(0)) > 0), F.concat(base, F.lit("-"), F.col("i").cast("string"))).otherwise(base)
+
+    def step_id(i: Column) -> Column:
+        """Of a record's i-th step: its uuid, else the trace's id and i; from the second on followed by i."""
+        base = F.coalesce(F.nullif("uuid", F.lit("")), F.concat("trace_id", F.lit("-"), i.cast("string")))
+        return F.when(i > 0, F.concat(base, F.lit("-"), i.cast("string"))).otherwise(base)
+
     text = F.when(F.col("b").isNotNull(), None).when(agent, F.col("said")).otherwise(F.coalesce("plain", "said"))
     delegated = call & F.coalesce(F.col("b.name").isin(*DELEGATES), F.lit(False))
-    s = blocks.withColumn("step_id", step_id).withColumn("tool_use_id", F.when(call, F.col("b.id")))
+    s = blocks.withColumn("step_id", step_id(F.col("i"))).withColumn("tool_use_id", F.when(call, F.col("b.id")))
     if matched is not None:
         s = s.join(matched.select("session", "tool_use_id").distinct().withColumn("hit", F.lit(True)), ["session", "tool_use_id"], "left")
         delegated = delegated & F.col("hit").isNull()
@@ -157,10 +194,11 @@ def normalised(lines: DataFrame, matched: DataFrame | None = None, redact: bool
     failed = effect & F.coalesce(~F.lower("b.is_error").isin("", "false", "0", "null"), F.lit(False))
     return s.select(
         "session",
+        F.col("session").alias("trace_key"),
         "trace_id",
-        F.row_number().over(order).cast("long").alias("seq"),
+        (F.col("before") + F.col("i") + 1).cast("long").alias("seq"),
         "step_id",
-        F.when(F.col("i") == 0, F.nullif("parentUuid", F.lit(""))).otherwise(F.lag("step_id").over(order)).alias("parent_step_id"),
+        F.when(F.col("i") == 0, F.nullif("parentUuid", F.lit(""))).otherwise(step_id(F.col("i") - 1)).alias("parent_step_id"),
         F.try_to_timestamp("timestamp").alias("ts"),
         F.when(agent, "agent").when(effect, "tool").otherwise("user").alias("actor"),
         F.when(agent, F.coalesce(F.when(F.col("i") == 0, F.col("intent")), "standing")).alias("declared_intent"),
@@ -179,12 +217,12 @@ def normalised(lines: DataFrame, matched: DataFrame | None = None, redact: bool
     )
 
 
-def trace_metadata(lines: DataFrame) -> DataFrame:
-    """session, trace_id, config, cwd, branch, version of each session's first substantive record; sessions without one are absent."""
+def trace_metadata(lines: DataFrame, prefix: str = "session-log:") -> DataFrame:
+    """session, trace_key, trace_id, config (prefix and id), cwd, branch, version of each session's first substantive record; sessions without one are absent."""
     r = records(lines).where(F.col("type").isin("user", "assistant"))
     first = r.groupBy("session").agg(F.min_by(F.struct("sessionId", "cwd", "gitBranch", "version"), "line").alias("m"))
     trace = F.coalesce("m.sessionId", F.lit("unknown"))
-    return first.select("session", trace.alias("trace_id"), F.concat(F.lit("session-log:"), trace).alias("config"), F.col("m.cwd").alias("cwd"), F.col("m.gitBranch").alias("branch"), F.col("m.version").alias("version"))
+    return first.select("session", F.col("session").alias("trace_key"), trace.alias("trace_id"), F.concat(F.lit(prefix), trace).alias("config"), F.col("m.cwd").alias("cwd"), F.col("m.gitBranch").alias("branch"), F.col("m.version").alias("version"))
 
 
 def delegate_links(steps: DataFrame, meta: DataFrame) -> DataFrame:
@@ -202,7 +240,7 @@ def delegate_steps(lines: DataFrame, links: DataFrame, redact: bool = False) ->
     before its first record."""
     key = F.to_json(F.struct("session", "agent_id")).alias("session")
     own = normalised(lines.select(key, "line", "value"), redact=redact, seeds=links.select(key, F.col("brief").alias("plan")))
-    return own.withColumn("agent_id", F.get_json_object("session", "$.agent_id")).withColumn("session", F.get_json_object("session", "$.session"))
+    return own.withColumn("agent_id", F.get_json_object("session", "$.agent_id")).withColumn("session", F.get_json_object("session", "$.session")).withColumn("trace_key", F.col("session"))
 
 
 def with_delegates(parents: DataFrame, delegates: DataFrame, links: DataFrame) -> DataFrame:
@@ -212,4 +250,6 @@ def with_delegates(parents: DataFrame, delegates: DataFrame, links: DataFrame) -
     both = parents.withColumn("agent_id", F.lit(None).cast("string")).withColumn("part", F.struct(F.lit(0).cast("long").alias("o"), F.lit("").alias("a"))).unionByName(
         own.withColumn("trace_id", F.col("owner_trace")).withColumn("part", F.struct(F.col("owner_seq").alias("o"), F.col("agent_id").alias("a"))).select(*parents.columns, "agent_id", "part")
     )
-    return both.withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy("part", "seq")).cast("long")).drop("part")
+    sizes = both.groupBy("session", "part").agg(F.count("*").alias("n"))
+    before = sizes.select("session", "part", (F.sum("n").over(Window.partitionBy("session").orderBy("part")) - F.col("n")).alias("before"))  # a row a transcript
+    return both.join(before, ["session", "part"]).withColumn("seq", F.col("before") + F.col("seq")).drop("part", "before")
