@@ -6,68 +6,96 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pyjson import canonical_json
+from ..functions.scans import keys_of
+
+#: Columns of a probe's result and of a jurisdiction claim in a pack.
+PROBE_RESULT = "probe_id:string,probe_family:string,probe_version:string,succeeded:boolean,severity:string,finding:string"
+CLAIM = "regime:string,article:string,claim:string"
 
 
 def beliefs(steps: DataFrame) -> DataFrame:
     """Of every step: declared_goal, the first intent of the whole trace, and salient_facts, from identifier to the last excerpt in its own
     context. The plan, the same for all steps of a trace, is in plans()."""
-    whole = Window.partitionBy("trace_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.partitionBy(*keys_of(steps)).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     goal = F.first("declared_intent", ignorenulls=True).over(whole).alias("declared_goal")
     if "context_used" not in steps.columns:
-        return steps.select("trace_id", "seq", "step_id", goal, F.lit(None).cast("map<string,string>").alias("salient_facts"))
+        return steps.select(*keys_of(steps), "seq", "step_id", goal, F.lit(None).cast("map<string,string>").alias("salient_facts"))
     known = F.filter("context_used", lambda c: c["identifier"].isNotNull())
     later = lambda c, i: F.exists(F.slice(known, i + 2, F.size(known)), lambda d: d["identifier"] == c["identifier"])
     facts = F.map_from_entries(F.transform(F.filter(known, lambda c, i: ~later(c, i)), lambda c: F.struct(c["identifier"], c["excerpt"])))
-    return steps.select("trace_id", "seq", "step_id", goal, facts.alias("salient_facts"))
+    return steps.select(*keys_of(steps), "seq", "step_id", goal, facts.alias("salient_facts"))
 
 
 def plans(steps: DataFrame) -> DataFrame:
     """trace_id, active_plan: all intents of a trace in order; stored once, not with each step."""
     listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("declared_intent").isNotNull(), F.struct("seq", "declared_intent")))), lambda x: x["declared_intent"])
-    return steps.groupBy("trace_id").agg(listed.alias("active_plan"))
+    return steps.groupBy(*keys_of(steps)).agg(listed.alias("active_plan"))
 
 
 def replayed(steps: DataFrame, alternate: DataFrame) -> DataFrame:
     """trace_id, n_diff, first_divergence, diffs (JSON) against alternate (trace_id, step_id, action_type, payload)."""
-    a = alternate.select("trace_id", "step_id", F.col("action_type").alias("other_type"), canonical_json("payload").alias("other"))
-    both = steps.withColumn("own", canonical_json("payload")).join(a, ["trace_id", "step_id"])
+    keys = keys_of(steps)
+    a = alternate.select(*keys, "step_id", F.col("action_type").alias("other_type"), canonical_json("payload").alias("other"))
+    both = steps.withColumn("own", canonical_json("payload")).join(a, [*keys, "step_id"])
     diff = both.where(~(F.col("action_type").eqNullSafe(F.col("other_type")) & F.col("own").eqNullSafe(F.col("other"))))
     action = lambda kind, payload: F.concat(F.lit('{"type": "'), kind, F.lit('", "payload": '), F.coalesce(payload, F.lit("null")), F.lit("}"))
     line = F.concat(F.lit('{"step_id": "'), F.col("step_id"), F.lit('", "original_action": '), action(F.col("action_type"), F.col("own")), F.lit(', "alternate_action": '), action(F.col("other_type"), F.col("other")), F.lit("}"))
     listed = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda x: x["line"]), ", "), F.lit("]"))
-    sums = diff.groupBy("trace_id").agg(F.count("*").alias("n_diff"), F.min_by("step_id", "seq").alias("first_divergence"), listed.alias("diffs"))
-    return steps.select("trace_id").distinct().join(sums, "trace_id", "left").select("trace_id", F.coalesce("n_diff", F.lit(0)).cast("long").alias("n_diff"), "first_divergence", F.coalesce("diffs", F.lit("[]")).alias("diffs"))
+    sums = diff.groupBy(*keys).agg(F.count("*").alias("n_diff"), F.min_by("step_id", "seq").alias("first_divergence"), listed.alias("diffs"))
+    return steps.select(*keys).distinct().join(sums, keys, "left").select(*keys, F.coalesce("n_diff", F.lit(0)).cast("long").alias("n_diff"), "first_divergence", F.coalesce("diffs", F.lit("[]")).alias("diffs"))
 
 
 def trace_summary(steps: DataFrame, traces: DataFrame | None = None) -> DataFrame:
     """One row: traces, steps, flow types in order, first and last time; zeros and nulls for no traces."""
     kinds = F.array_sort(F.collect_set("flow_type")) if "flow_type" in steps.columns else F.array().cast("array<string>")
     own = traces if traces is not None else steps
-    return steps.agg(F.count("*").alias("step_count"), kinds.alias("flow_types"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).crossJoin(own.agg(F.countDistinct("trace_id").alias("trace_count")))
+    return steps.agg(F.count("*").alias("step_count"), kinds.alias("flow_types"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).crossJoin(own.agg(F.countDistinct(keys_of(own)[0]).alias("trace_count")))
 
 
-def packs(drift: DataFrame, steps: DataFrame, scored: DataFrame | None = None, issuer: str = "unknown", agent_version: str = "0", issued_at: str | None = None) -> DataFrame:
+def packs(drift: DataFrame, steps: DataFrame, scored: DataFrame | None = None, issuer: str = "unknown", agent_version: str = "0", issued_at: str | None = None, probes: DataFrame | None = None, claims: DataFrame | None = None, replays: DataFrame | None = None) -> DataFrame:
     """trace_id, manifest, digest: one evidence pack per trace, canonical JSON, and the digest that seals it. All traces are scored.
 
-    scored: rows of a judging scorer, for per_step. The pack's id is its content's, so runs agree; issued_at is the caller's."""
-    sums = steps.groupBy("trace_id").agg(F.count("*").alias("step_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    rows = drift.join(sums, "trace_id")
+    scored: rows of a judging scorer, for per_step. probes: results (probe_id, probe_family, probe_version, succeeded, severity, finding) by
+    trace; claims: jurisdiction claims (regime, article, claim) by trace; replays: of replayed(), with the `policy` they followed. steps'
+    flow_type, tenant_id and agent_config_ref, where there are such columns, say what was run and for whom. The pack's id is its content's,
+    so runs agree; issued_at is the caller's."""
+    keys = keys_of(drift)
+    has = lambda c: F.col(c) if c in steps.columns else F.lit(None).cast("string")
+    sums = steps.groupBy(*keys).agg(F.count("*").alias("step_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_sort(F.collect_set(has("flow_type"))).alias("flow_types"), F.max(has("tenant_id")).alias("tenant_id"), F.max(has("agent_config_ref")).alias("config"))
+    rows = drift.join(sums, keys)
     if scored is None:
         rows = rows.withColumn("per_step", F.lit(None).cast("map<string,struct<step_id:string>>"))
     else:
         one = F.struct("step_id", "label", "overturned_gate", "reasoning", "severity", "evidence")
-        last = scored.groupBy("trace_id", "step_id").agg(F.max_by(one, "seq").alias("d"))
-        rows = rows.join(last.groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("step_id", "d"))).alias("per_step")), "trace_id", "left")
+        written = F.struct(F.coalesce("rank", F.lit(-1)).alias("rank"), "seq") if "rank" in scored.columns else F.col("seq")
+        last = scored.groupBy(*keys, "step_id").agg(F.max_by(one, written).alias("d"))
+        rows = rows.join(last.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("step_id", "d"))).alias("per_step")), keys, "left")
+    for name, table, columns, order in (("probe_results", probes, PROBE_RESULT, "probe_id"), ("jurisdiction_claims", claims, CLAIM, "article")):
+        if table is None:
+            rows = rows.withColumn(name, F.expr(f"CAST(array() AS array<struct<{columns}>>)"))
+        else:
+            own = [F.col(c.split(":")[0]) for c in columns.split(",")]
+            listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("by"), F.struct(*own).alias("x")))), lambda x: x["x"])
+            rows = rows.join(table.groupBy(*(k for k in keys if k in table.columns)).agg(listed.alias(name)), [k for k in keys if k in table.columns], "left")
+            rows = rows.withColumn(name, F.coalesce(name, F.expr(f"CAST(array() AS array<struct<{columns}>>)")))
+    replay = "original_trace_id:string,counterfactual_policy:string,diff_summary:string,divergence_step:string"
+    none = F.expr(f"CAST(array() AS array<struct<{replay}>>)")
+    if replays is None:
+        rows = rows.withColumn("counterfactual_diffs", none)
+    else:
+        one = F.struct(F.col("trace_id").alias("original_trace_id"), F.col("policy").alias("counterfactual_policy"), F.col("diffs").alias("diff_summary"), F.col("first_divergence").alias("divergence_step"))
+        rows = rows.join(replays.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("counterfactual_diffs")), keys, "left").withColumn("counterfactual_diffs", F.coalesce("counterfactual_diffs", none))
     at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     method = F.split("method", "@")
+    mark = F.col("fingerprint") if "fingerprint" in drift.columns else F.lit(None).cast("struct<method:string>")
     metrics = F.struct(
-        F.round("drift_score", 12).alias("drift_score"), F.create_map("trace_id", F.round("drift_score", 12)).alias("drift_per_trace"), "flagged_steps", method[0].alias("method"), method[1].alias("method_version"), "per_step", "taxonomy_counts"
+        F.round("drift_score", 12).alias("drift_score"), F.create_map("trace_id", F.round("drift_score", 12)).alias("drift_per_trace"), "flagged_steps", method[0].alias("method"), method[1].alias("method_version"), "per_step", mark.alias("scorer_fingerprint"), "taxonomy_counts"
     )
     body = F.struct(
-        F.lit("v0.1").alias("spec_version"), F.lit(issued_at).alias("issued_at"), F.struct(F.lit(issuer).alias("name")).alias("issuer"), F.struct(F.col("trace_id").alias("agent_config_ref"), F.lit(agent_version).alias("agent_version")).alias("subject"),
-        metrics.alias("drift_metrics"), F.struct(F.lit(1).alias("trace_count"), "step_count", F.array(at("first_ts"), at("last_ts")).alias("time_range")).alias("trace_summary"),
+        F.lit("v0.1").alias("spec_version"), F.lit(issued_at).alias("issued_at"), F.struct(F.lit(issuer).alias("name")).alias("issuer"), F.struct(F.coalesce("config", "trace_id").alias("agent_config_ref"), F.lit(agent_version).alias("agent_version"), "tenant_id").alias("subject"),
+        "jurisdiction_claims", "probe_results", metrics.alias("drift_metrics"), "counterfactual_diffs", F.struct(F.lit(1).alias("trace_count"), "step_count", "flow_types", F.array(at("first_ts"), at("last_ts")).alias("time_range")).alias("trace_summary"),
     )
-    return sealed(rows.select("trace_id", canonical_json(F.to_json(body, {"ignoreNullFields": "false"})).alias("manifest")))
+    return sealed(rows.select(*keys, canonical_json(F.to_json(body, {"ignoreNullFields": "false"})).alias("manifest")))
 
 
 def sealed(manifests: DataFrame) -> DataFrame:
@@ -76,7 +104,8 @@ def sealed(manifests: DataFrame) -> DataFrame:
 
 def tampered(given: DataFrame, sealed_: DataFrame) -> DataFrame:
     """trace_id of packs whose manifest, canonical again, does not give the stored digest."""
-    return sealed(given).join(sealed_.select("trace_id", F.col("digest").alias("stored")), "trace_id").where("digest <> stored").select("trace_id")
+    keys = keys_of(sealed_)
+    return sealed(given).join(sealed_.select(*keys, F.col("digest").alias("stored")), keys).where("digest <> stored").select(*keys)
 
 
 def keyword_probe(text: Column, forbidden: Column) -> Column:

@@ -1,5 +1,5 @@
 """Drift of actions from declared intents. Scorers take steps with `declared_intent` and `payload_text` and return one row per scored step:
-trace_id, seq, step_id, label, flagged, severity, reasoning; trace_drift() sums them up."""
+trace_id (and trace_key where steps have one), seq, step_id, label, flagged, severity, reasoning; trace_drift() sums them up."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pyjson import py_repr
+from ..functions.scans import keys_of
+from ..functions.tables import exists
 
 THRESHOLD = 0.3
 SUB_GOALS = 12
@@ -58,7 +60,7 @@ def _json_text(text: Column) -> Column:
 
 
 def _keys(df: DataFrame) -> list[str]:
-    return [c for c in ("trace_id", "agent_id", "seq", "step_id") if c in df.columns]
+    return [c for c in ("trace_key", "trace_id", "agent_id", "seq", "step_id") if c in df.columns]
 
 
 def sub_goals(intent: Column, most: int = SUB_GOALS) -> Column:
@@ -79,20 +81,46 @@ def lexical_predictor(pairs: pd.DataFrame) -> pd.DataFrame:
 Predictor = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def gated(steps: DataFrame, predictor: Predictor = lexical_predictor) -> DataFrame:
-    """Scored steps with any_entail, any_contra (argmax over the three, the first of equal ones) and top_contra over their sub-goals.
+#: Columns of a store of predictions: a folder for each model.
+PREDICTION = "key string, contra double, entail double, neutral double, model string"
+
+
+def _pair_key() -> Column:
+    """What a pair of texts is stored by; null and empty premises are told apart."""
+    return F.sha2(F.concat(F.coalesce(F.length("premise").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("premise", F.lit("")), F.lit("|"), "hypothesis"), 256)
+
+
+def predicted(pairs: DataFrame, predictor: Predictor, store: str | None = None, model: str = "lexical") -> DataFrame:
+    """key, contra, entail, neutral of distinct pairs (key, premise, hypothesis), predicted in batches of pairs of like length.
 
-    Each distinct (premise, hypothesis) is predicted once, in batches."""
-    goals = steps.where("declared_intent IS NOT NULL").select(*_keys(steps), F.col("payload_text").alias("premise"), F.explode(sub_goals(F.col("declared_intent"))).alias("hypothesis"))
+    store: folder of earlier predictions by model. Only pairs that it lacks are predicted, and are added to it."""
+    spark = pairs.sparkSession
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pairs in it:
-            yield pd.concat([pairs.reset_index(drop=True), predictor(pairs).reset_index(drop=True)], axis=1)
+        for own in it:
+            yield pd.concat([own[["key"]].reset_index(drop=True), predictor(own[["premise", "hypothesis"]]).reset_index(drop=True)], axis=1)
+
+    def inferred(own: DataFrame) -> DataFrame:
+        size = F.coalesce(F.length("premise"), F.lit(0)) + F.length("hypothesis")
+        return own.sortWithinPartitions(size).mapInPandas(batches, "key string, contra double, entail double, neutral double")
+
+    if store is None:
+        return inferred(pairs)
+    read = lambda: spark.read.schema(PREDICTION).parquet(store).where(F.col("model") == model).drop("model")
+    new = pairs.join(read(), "key", "left_anti") if exists(spark, store) else pairs
+    inferred(new).withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(store)
+    return read().join(pairs.select("key"), "key", "left_semi")
+
+
+def gated(steps: DataFrame, predictor: Predictor = lexical_predictor, store: str | None = None, model: str = "lexical") -> DataFrame:
+    """Scored steps with any_entail, any_contra (argmax over the three, the first of equal ones) and top_contra over their sub-goals.
 
-    predicted = goals.select("premise", "hypothesis").distinct().mapInPandas(batches, "premise string, hypothesis string, contra double, entail double, neutral double")
+    Each distinct (premise, hypothesis) is predicted once, and with a store (see predicted()) once for all runs."""
+    goals = steps.where("declared_intent IS NOT NULL").select(*_keys(steps), F.col("payload_text").alias("premise"), F.explode(sub_goals(F.col("declared_intent"))).alias("hypothesis")).withColumn("key", _pair_key())
+    found = predicted(goals.select("key", "premise", "hypothesis").dropDuplicates(["key"]), predictor, store, model)
     contra = (F.col("contra") >= F.col("entail")) & (F.col("contra") >= F.col("neutral"))
     entail = ~contra & (F.col("entail") >= F.col("neutral"))
-    joined = goals.join(predicted.withColumnRenamed("premise", "p").withColumnRenamed("hypothesis", "h"), F.col("premise").eqNullSafe(F.col("p")) & (F.col("hypothesis") == F.col("h")))
+    joined = goals.select(*_keys(steps), "key").join(found, "key")
     return joined.groupBy(*_keys(steps)).agg(F.bool_or(entail).alias("any_entail"), F.bool_or(contra).alias("any_contra"), F.max("contra").alias("top_contra"))
 
 
@@ -100,20 +128,20 @@ def gate_label() -> Column:
     return F.when(F.col("any_entail"), "faithful").when(F.col("any_contra"), "goal_deviation").otherwise("neutral")
 
 
-def score_nli(steps: DataFrame, predictor: Predictor = lexical_predictor) -> DataFrame:
+def score_nli(steps: DataFrame, predictor: Predictor = lexical_predictor, store: str | None = None, model: str = "lexical") -> DataFrame:
     """Any sub-goal entailed: faithful; else any contradicted: goal_deviation; else neutral."""
-    g = gated(steps, predictor).withColumn("label", gate_label())
+    g = gated(steps, predictor, store, model).withColumn("label", gate_label())
     return g.select(*_keys(g), "label", (F.col("label") == "goal_deviation").alias("flagged"))
 
 
-def score_two_stage(steps: DataFrame, verdicts: DataFrame, budget: int = BUDGET, predictor: Predictor = lexical_predictor) -> DataFrame:
+def score_two_stage(steps: DataFrame, verdicts: DataFrame, budget: int = BUDGET, predictor: Predictor = lexical_predictor, store: str | None = None, model: str = "lexical") -> DataFrame:
     """The gate's contradictions, ranked by their highest contradiction and then by place; the first `budget` of each trace take the
     label of verdicts (trace_id, step_id, label, severity, reasoning, evidence), the others count as unjudged deviations. A missing
     verdict is what an unreadable reply gives: neutral, MEDIUM."""
-    g = gated(steps, predictor).withColumn("gate", gate_label())
-    rank = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc("top_contra"), "seq"))
+    g = gated(steps, predictor, store, model).withColumn("gate", gate_label())
+    rank = F.row_number().over(Window.partitionBy(*keys_of(g)).orderBy(F.desc("top_contra"), "seq"))
     cand = g.where("gate = 'goal_deviation'").withColumn("rank", rank)
-    judged = cand.join(verdicts, ["trace_id", "step_id"], "left")
+    judged = cand.join(verdicts, [*(k for k in keys_of(g) if k in verdicts.columns), "step_id"], "left")
     sent = F.col("rank") <= budget
     label = F.when(sent, F.coalesce("label", F.lit("neutral"))).otherwise("goal_deviation")
     severity, reasoning, evidence = (F.when(sent, F.coalesce(c, F.lit(none))).otherwise(rest) for c, none, rest in (("severity", "MEDIUM", "MEDIUM"), ("reasoning", "", UNJUDGED), ("evidence", "n/a", "n/a")))
@@ -124,23 +152,30 @@ def score_two_stage(steps: DataFrame, verdicts: DataFrame, budget: int = BUDGET,
     return rows.unionByName(rest).withColumn("flagged", drift).withColumn("overturned_gate", F.col("judged") & ~drift)
 
 
-def trace_drift(traces: DataFrame, scored: DataFrame, method: str = "two-stage") -> DataFrame:
-    """One row for every trace of traces: drift_score, n_scored, flagged_steps, taxonomy_counts, method. No scored step: 0.
+def trace_drift(traces: DataFrame, scored: DataFrame, method: str = "two-stage", models: dict[str, str | float] | None = None) -> DataFrame:
+    """One row for every trace of traces: drift_score, n_scored, flagged_steps, taxonomy_counts, method, fingerprint. No scored step: 0.
 
-    Repeated step ids count once among the flagged ones (the last), and each in the denominator. Flagged steps come in their order, those
-    of a judge in the order of its ranking."""
-    order = F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), "seq", "step_id") if "rank" in scored.columns else F.struct("seq", "step_id")
-    last = scored.withColumn("last", F.row_number().over(Window.partitionBy("trace_id", "step_id").orderBy(F.desc("seq"))) == 1)
-    total = 1 - F.avg("similarity") if method == "jaccard" else F.count_if(F.col("last") & F.col("flagged")) / F.count("*")
-    sums = last.groupBy("trace_id").agg(total.alias("score"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("last") & F.col("flagged"), order))).alias("f"))
-    labels = scored.groupBy("trace_id", "label").agg(F.count("*").alias("n")).groupBy("trace_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("taxonomy_counts"))
-    out = traces.select("trace_id").distinct().join(sums, "trace_id", "left").join(labels, "trace_id", "left")
-    return out.select("trace_id", F.coalesce("score", F.lit(0.0)).alias("drift_score"), F.coalesce("n", F.lit(0)).alias("n_scored"), F.coalesce(F.col("f.step_id"), F.expr("cast(array() as array<string>)")).alias("flagged_steps"), "taxonomy_counts", F.lit(f"{METHODS[method]}@{VERSIONS[method]}").alias("method"))
+    A judge's rows are by step id: of repeated ids the one that it wrote last counts, once among the flagged ones and the taxonomy counts,
+    and each in the denominator; a row of its ranking is written after all others. Flagged steps come in their order, those of a judge in
+    the order of its ranking. models: nli_model, nli_revision, judge_model, judge_temperature, for the fingerprint of a judge's scores."""
+    judged, keys = "rank" in scored.columns, keys_of(scored)
+    order = F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), "seq", "step_id") if judged else F.struct("seq", "step_id")
+    written = [F.desc(F.coalesce("rank", F.lit(-1)))] if judged else []
+    last = scored.withColumn("last", F.row_number().over(Window.partitionBy(*keys, "step_id").orderBy(*written, F.desc("seq"))) == 1)
+    counts = F.col("flagged") & (F.col("last") if judged else F.lit(True))
+    total = 1 - F.avg("similarity") if method == "jaccard" else F.count_if(counts) / F.count("*")
+    sums = last.groupBy(*keys).agg(total.alias("score"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(counts, order))).alias("f"))
+    labels = last.where("last").groupBy(*keys, "label").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("taxonomy_counts"))
+    out = traces.select(*keys).distinct().join(sums, keys, "left").join(labels, keys, "left")
+    given = lambda c, kind="string": F.lit((models or {}).get(c)).cast(kind).alias(c)
+    of = F.struct(F.lit(METHODS[method]).alias("method"), F.lit(VERSIONS[method]).alias("method_version"), *(given(c) for c in ("nli_model", "nli_revision", "judge_model")), given("judge_temperature", "double"))
+    fingerprint = F.when(F.lit(method == "two-stage"), of).alias("fingerprint")
+    return out.select(*keys, F.coalesce("score", F.lit(0.0)).alias("drift_score"), F.coalesce("n", F.lit(0)).alias("n_scored"), F.coalesce(F.col("f.step_id"), F.expr("cast(array() as array<string>)")).alias("flagged_steps"), "taxonomy_counts", F.lit(f"{METHODS[method]}@{VERSIONS[method]}").alias("method"), fingerprint)
 
 
 def delegate_drift(scored: DataFrame) -> DataFrame:
     """Mean drift of each delegate, from scored steps with similarity."""
-    return scored.where("agent_id <> ''").groupBy("trace_id", "agent_id").agg((1 - F.avg("similarity")).alias("drift_score"), F.count("*").alias("n_scored"))
+    return scored.where("agent_id <> ''").groupBy(*keys_of(scored), "agent_id").agg((1 - F.avg("similarity")).alias("drift_score"), F.count("*").alias("n_scored"))
 
 
 SCORERS = {"jaccard": score_jaccard, "nli": score_nli, "two-stage": score_two_stage}
@@ -162,7 +197,7 @@ def parsed_replies(replies: DataFrame) -> DataFrame:
     body = F.regexp_extract("reply", r"(?s)\{[^{}]*\}", 0)
     r = replies.withColumn("r", F.from_json(F.when(body == "", None).otherwise(body), "label string, severity string, confidence double, reasoning string, evidence string"))
     label = F.when(F.col("r.label").isin(*JUDGED), F.col("r.label")).otherwise("neutral")
-    severity = F.when(F.upper("r.severity").isin(*SEVERITIES), F.upper("r.severity")).when(label == "faithful", "LOW").otherwise("MEDIUM")
+    severity = F.when(F.col("r.severity").isin(*SEVERITIES), F.col("r.severity")).when(label == "faithful", "LOW").otherwise("MEDIUM")
     confidence = F.when(F.col("r.confidence").between(0, 1), F.col("r.confidence")).otherwise(0.0)
     evidence = F.when(F.coalesce(F.length("r.evidence"), F.lit(0)) > 0, F.col("r.evidence")).otherwise("n/a")
     return r.withColumns({"label": label, "severity": severity, "confidence": confidence, "reasoning": F.coalesce("r.reasoning", F.lit("")), "evidence": evidence}).drop("r")

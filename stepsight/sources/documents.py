@@ -46,16 +46,25 @@ def _truth(text: Column) -> Column:
     return F.coalesce(~F.lower(text).isin("", "false", "0", "null", "[]", "{}"), F.lit(False))
 
 
+def _run(i: int, document: str) -> Column:
+    """The model (1) or seed (2) in the path <model>/<seed>/<document>.json; null for other paths."""
+    return F.nullif(F.regexp_extract("source", rf"([^/]+)/([^/]+)/{document}\.json$", i), F.lit(""))
+
+
 def parse_traces(values: DataFrame) -> DataFrame:
-    """Steps of normalised traces, one row each, with what the rules read of a step pulled out; seq is the place in the trace."""
-    t = _objects(values, TRACE).select("source", "x.*").where("trace_id IS NOT NULL AND steps IS NOT NULL")
-    s = t.select("trace_id", "tenant_id", "flow_type", "agent_config_ref", "source_adapter", F.col("metadata").alias("m"), F.posexplode("steps").alias("pos", "s"))
+    """Steps of normalised traces, one row each, with what the rules and the evaluation read of a step pulled out; seq is the place in the
+    trace. trace_key is the document's place, as trace ids repeat; model and seed come from a <model>/<seed>/trace.json path, if there is one."""
+    t = _objects(values, TRACE).select("source", F.concat_ws("#", "source", "pos").alias("trace_key"), _run(1, "trace").alias("model"), _run(2, "trace").alias("seed"), "x.*").where("trace_id IS NOT NULL AND steps IS NOT NULL")
+    s = t.select("trace_key", "model", "seed", "trace_id", "tenant_id", "flow_type", "agent_config_ref", "source_adapter", F.col("metadata").alias("m"), F.posexplode("steps").alias("pos", "s"))
     own = ("step_id", "parent_step_id", "timestamp", "actor", "declared_intent", "action", "context_used", "metadata")
     s = s.select("*", *(f"s.{c}" for c in own)).withColumn("p", F.col("action.payload"))
     call = F.col("action.type") == "tool_call"
     return s.select(
         F.col("m").alias("trace_metadata"),
         *(c for c in ("tenant_id", "flow_type", "agent_config_ref", "source_adapter")),
+        "trace_key",
+        "model",
+        "seed",
         "trace_id",
         F.col("pos").cast("long").alias("seq"),
         "step_id",
@@ -68,6 +77,7 @@ def parse_traces(values: DataFrame) -> DataFrame:
         F.when(call, _field("p", "input")).alias("payload"),
         F.when(call, _field("p", "input", "file_path")).alias("file_path"),
         F.when(call, _field("p", "input", "command")).alias("command"),
+        F.when(call, F.coalesce(_field("p", "input", "path"), F.lit(""))).alias("path"),
         F.when(~call, _field("p", "text")).alias("text"),
         F.when(~call, _field("p", "tool_result")).alias("tool_result"),
         (_truth(_field("p", "is_error")) | _truth(_field("metadata", "is_error"))).alias("is_error"),
@@ -104,9 +114,8 @@ def trace_documents(steps: DataFrame) -> DataFrame:
 
 def parse_packs(values: DataFrame) -> DataFrame:
     """source, pos and the fields of evidence packs. model and seed come from a <model>/<seed>/pack.json path, where there is one."""
-    place = lambda i: F.nullif(F.regexp_extract("source", r"([^/]+)/([^/]+)/pack\.json$", i), F.lit(""))
     p = _objects(values, PACK).where("x.drift_metrics IS NOT NULL")
-    return p.select("source", "pos", place(1).alias("model"), place(2).alias("seed"), "x.pack_id", "x.subject", "x.drift_metrics.*", "x.trace_summary")
+    return p.select("source", "pos", _run(1, "pack").alias("model"), _run(2, "pack").alias("seed"), "x.pack_id", "x.subject", "x.drift_metrics.*", "x.trace_summary")
 
 
 def read_packs(spark: SparkSession, glob: str) -> DataFrame:
