@@ -13,7 +13,7 @@ from ..functions.pyjson import canonical_json
 from ..functions.scans import arranged
 from ..functions.tables import shared_dir
 from ..operators import attest, corpus, drift, evaluate, findings, report
-from ..sources import adapters, documents, sessions
+from ..sources import adapters, documents, ledger, sessions
 from ..sources.testview import DUCKDB, TURNS, raw_lines, steps, turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -673,3 +673,184 @@ def s12_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = f"CASE WHEN event_id % 4 = 0 THEN concat('{{\"probe_id\":\"p', event_id, '\"}}') ELSE {good} END AS value"
     path = _written(spark, spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(value))
     return documents.read_probes(spark, path).select("probe_id", "family", "kind", "should_refuse", F.array_join("must_not_contain", ",").alias("must_not_contain"))
+
+#: Rules of the tenants, a tenant a user: one kind of rules for each u % 5, over two layers; some have none.
+TENANT_RULES = """SELECT DISTINCT u, CAST(u AS STRING) AS tenant, x.layer, x.key, x.value FROM (SELECT DISTINCT u FROM steps) LATERAL VIEW explode(CASE u % 5
+ WHEN 1 THEN array(named_struct('layer', 1, 'key', 'churn_threshold', 'value', '9'), named_struct('layer', 2, 'key', 'churn_threshold', 'value', '2'), named_struct('layer', 1, 'key', 'error_cluster_window', 'value', '3'), named_struct('layer', 1, 'key', 'error_cluster_k', 'value', '2'))
+ WHEN 2 THEN array(named_struct('layer', 1, 'key', 'roots', 'value', '["/work"]'), named_struct('layer', 1, 'key', 'scratch_prefixes', 'value', '["/var", "/opt"]'))
+ WHEN 3 THEN array(named_struct('layer', 1, 'key', 'tripwire_patterns', 'value', '{"print":"old","force-push":"git push --never"}'), named_struct('layer', 2, 'key', 'tripwire_patterns', 'value', '{"print":"CAT\\\\\\\\s+new7"}'))
+ WHEN 4 THEN array(named_struct('layer', 1, 'key', 'roots', 'value', '["/nowhere"]'), named_struct('layer', 2, 'key', 'roots', 'value', '"auto"'), named_struct('layer', 1, 'key', 'error_cluster_window', 'value', '9'), named_struct('layer', 1, 'key', 'error_cluster_k', 'value', '4'), named_struct('layer', 1, 'key', 'churn_threshold', 'value', '"many"'))
+ ELSE array(named_struct('layer', 1, 'key', 'other', 'value', '1')) END) t AS x"""
+LIMITED = "t AS (SELECT *, CASE WHEN u % 5 = 1 THEN 2 ELSE 4 END AS thr, CASE u % 5 WHEN 1 THEN 3 WHEN 4 THEN 9 ELSE 5 END AS w, CASE u % 5 WHEN 1 THEN 2 WHEN 4 THEN 4 ELSE 3 END AS least, CASE WHEN u % 5 = 2 THEN '/work' ELSE cwd END AS root FROM steps)"
+TENANT_SCOPE = f"""SELECT trace_id, {FINDING.format(rule="scope-escape", severity="high", title="Write outside allowed roots")}, seq, step_id AS step_ids,
+ concat('{{"file_path":"', file_path, '","roots":["', root, '"],"tool":"', tool_name, '"}}') AS evidence, concat('file_path=''', file_path, ''', roots=[''', root, '''], tool=''', tool_name, '''') AS shown FROM t
+ WHERE {EDITOR} AND root IS NOT NULL AND NOT (file_path = root OR starts_with(file_path, root || '/') OR (u % 5 <> 2 AND starts_with(file_path, '/tmp/')))"""
+TENANT_ERRORS = f"""SELECT trace_id, {FINDING.format(rule="error-cluster", severity="medium", title="Cluster of consecutive tool errors")}, min(seq) AS seq, string_agg(step_id, ',' ORDER BY seq) FILTER (WHERE is_error) AS step_ids,
+ concat('{{"error_count":', count(*) FILTER (WHERE is_error), ',"window_size":', max(w), '}}') AS evidence, concat('error_count=', count(*) FILTER (WHERE is_error), ', window_size=', max(w)) AS shown FROM (
+ SELECT *, pos - row_number() OVER (PARTITION BY trace_id ORDER BY pos) AS island FROM env e WHERE EXISTS (SELECT 1 FROM starts s WHERE s.trace_id = e.trace_id AND e.pos BETWEEN s.pos AND s.pos + s.w - 1)) GROUP BY trace_id, island HAVING count(*) FILTER (WHERE is_error) > 0"""
+TENANT_TRIPS = f"SELECT * FROM ({TRIPS}) WHERE NOT (rule_id = 'tripwire:force-push' AND CAST(trace_id AS INT) % 5 = 3) UNION ALL " + """SELECT trace_id, 'tripwire:print', 'high', 'Tripwire matched: print', seq, step_id, concat('{"command":"', command, '","name":"print"}'), concat('command=''', command, ''', name=''print''') FROM t WHERE u % 5 = 3 AND regexp_matches(command, 'cat\\s+new7')"""
+TENANT_CHURN = CHURN.replace("FROM steps", "FROM t").replace("HAVING count(*) >= 4", "HAVING count(*) >= max(thr)")
+
+
+@query(
+    f"""{DUCKDB}, {LIMITED}, env AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1 AS pos, count(*) OVER (PARTITION BY trace_id) AS n FROM t WHERE action_type = 'env_effect'),
+ starts AS (SELECT a.trace_id, a.pos, max(a.w) AS w FROM env a JOIN env b ON a.trace_id = b.trace_id AND b.pos BETWEEN a.pos AND a.pos + a.w - 1 WHERE a.pos <= greatest(a.n - a.w, 0) GROUP BY a.trace_id, a.pos HAVING count(*) FILTER (WHERE b.is_error) >= max(a.least))
+ {" UNION ALL ".join(f"SELECT * FROM ({x})" for x in (TENANT_SCOPE, TENANT_CHURN, COMMITS, TENANT_TRIPS, TENANT_ERRORS, DELEGATIONS, ABANDONED))}"""
+)
+def f12_tenant_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = steps(spark, sf_dir).withColumn("tenant", F.col("u").cast("string"))
+    s.createOrReplaceTempView("tenant_steps")
+    layers = spark.sql(TENANT_RULES.replace("FROM steps", "FROM tenant_steps")).drop("u")
+    return flat(findings.analyze(s, rules=findings.in_force(findings.layered(layers))))
+
+
+#: The steps of sessions as their transcripts have them: unknown records gone, places counted anew.
+RENUMBERED = DUCKDB.replace(", steps AS (", ", all_steps AS (") + ", steps AS (SELECT * REPLACE (row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS seq) FROM all_steps WHERE record_type <> 'mystery')"
+
+
+@query(f"{RENUMBERED} SELECT trace_id AS trace_key, CASE WHEN CAST(trace_id AS INT) % 3 = 0 THEN trace_id ELSE 'unknown' END AS trace_id, * EXCLUDE (trace_id) FROM ({ALL})")
+def n2_unknown_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the sessions don't say who they are; they are sessions of their own all the same."""
+    nameless = F.when(F.col("u") % 3 == 0, F.col("value")).otherwise(F.regexp_replace("value", '"sessionId":"[^"]*",', ""))
+    return flat(findings.analyze(sessions.normalised(raw_lines(spark, sf_dir, "u").withColumn("value", nameless).drop("u"))))
+
+
+@query(
+    f"""{RENUMBERED}, i AS (SELECT *, CASE WHEN tool_name = 'Bash' THEN 2 ELSE 1 END AS n, CASE WHEN k % 2 = 0 THEN step_id END AS uuid FROM steps), b AS (SELECT *, unnest(range(n)) AS nth FROM i),
+ ids AS (SELECT *, coalesce(uuid, concat(trace_id, '-', nth)) || CASE WHEN nth > 0 THEN concat('-', nth) ELSE '' END AS sid, coalesce(uuid, concat(trace_id, '-', nth - 1)) || CASE WHEN nth > 1 THEN concat('-', nth - 1) ELSE '' END AS above FROM b)
+ SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY seq, nth) AS seq, sid AS step_id, CASE WHEN nth > 0 THEN above ELSE concat('p', step_id) END AS parent_step_id FROM ids"""
+)
+def n5_step_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the records have no uuid; records of a shell command call it twice."""
+    bare = F.when(F.col("k") % 2 == 0, F.col("value")).otherwise(F.regexp_replace("value", '"uuid":"[^"]*",', ""))
+    twice = F.regexp_replace(bare, r'(\{"type":"tool_use","id":"t[0-9]+","name":"Bash".*\})\]\}\}$', "$1,$1]}}")
+    above = F.regexp_replace(twice, r'^\{', F.concat(F.lit('{"parentUuid":"p'), "step_id", F.lit('",')))
+    return sessions.normalised(raw_lines(spark, sf_dir, "k", "step_id").withColumn("value", above).drop("k", "step_id")).select("trace_id", "seq", "step_id", "parent_step_id")
+
+
+@query(
+    f"""{DUCKDB}, cwds AS (SELECT DISTINCT cwd FROM steps WHERE cwd IS NOT NULL), docs AS (SELECT cwd, concat(cwd, p) AS path, o FROM cwds, (VALUES ('/POLICY.md', 1), ('/.house/POLICY.md', 2), ('/.house/rules/a.md', 3), ('/.house/rules/b.md', 4)) AS v(p, o)
+ UNION ALL SELECT cwd, concat('/work', p), o FROM cwds, (VALUES ('/POLICY.md', 5), ('/.house/POLICY.md', 6), ('/.house/rules/0.md', 7)) AS v(p, o) UNION ALL SELECT cwd, '/etc/.house/POLICY.md', 0 FROM cwds)
+ SELECT cwd, path, row_number() OVER (PARTITION BY cwd ORDER BY o) AS rank FROM docs"""
+)
+def f14_policy_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cwds = steps(spark, sf_dir).where("cwd IS NOT NULL").select("cwd").distinct()
+    doc = lambda dir, path, scope: f"named_struct('dir', {dir}, 'path', concat({dir}, '{path}'), 'scope', '{scope}')"
+    own = [doc("cwd", "/.house/rules/b.md", "rules"), doc("cwd", "/.house/rules/a.md", "rules"), doc("cwd", "/.house/POLICY.md", "project"), doc("cwd", "/POLICY.md", "project")]
+    above = [doc("'/work'", "/.house/rules/0.md", "rules"), doc("'/work'", "/POLICY.md", "project"), doc("'/work'", "/.house/POLICY.md", "project"), doc("'/etc'", "/.house/POLICY.md", "global")]
+    return findings.policy_in_force(cwds, cwds.selectExpr(f"inline(array({', '.join(own + above)}))").distinct())
+
+
+@query("SELECT event_id, CASE WHEN k % 2 = 0 THEN 'goal_deviation' ELSE 'faithful' END AS label, CASE k % 6 WHEN 0 THEN 'LOW' WHEN 1 THEN 'HIGH' WHEN 3 THEN 'LOW' WHEN 5 THEN 'LOW' ELSE 'MEDIUM' END AS severity FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+def d7_exact_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A severity counts only as it is written in the list: `low` and `High` are none."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k")
+    reply = """concat('{"label":"', CASE WHEN k % 2 = 0 THEN 'goal_deviation' ELSE 'faithful' END, '","severity":"', element_at(array('LOW', 'HIGH', 'low', 'High', 'odd', ''), CAST(k % 6 AS INT) + 1), '"}') AS reply"""
+    return drift.parsed_replies(ev.selectExpr("event_id", reply)).select("event_id", "label", "severity")
+
+
+SCORED = f"""{GATE}, ranked AS (SELECT *, concat(trace_id, '-', seq % 9) AS sid, CASE WHEN gate = 'goal_deviation' THEN row_number() OVER (PARTITION BY trace_id, gate = 'goal_deviation' ORDER BY top DESC, seq) ELSE -1 END AS rank FROM gate),
+ written AS (SELECT *, CASE WHEN gate <> 'goal_deviation' THEN gate WHEN rank > 5 THEN 'goal_deviation' ELSE 'faithful' END AS label, row_number() OVER (PARTITION BY trace_id, sid ORDER BY rank DESC, seq DESC) = 1 AS last FROM ranked)"""
+
+
+@query(
+    f"""{SCORED} SELECT t.trace_id, round(coalesce(count(*) FILTER (WHERE last AND label = 'goal_deviation') / count(label), 0), 9) AS drift_score, coalesce(string_agg(sid, ',' ORDER BY rank) FILTER (WHERE last AND label = 'goal_deviation'), '') AS flagged_steps,
+ count(*) FILTER (WHERE last AND label = 'faithful') AS n_faithful, count(*) FILTER (WHERE last AND label = 'neutral') AS n_neutral, count(*) FILTER (WHERE last AND label = 'goal_deviation') AS n_deviation, 'gate-1' AS nli_model FROM (SELECT DISTINCT trace_id FROM steps) t LEFT JOIN written USING (trace_id) GROUP BY 1"""
+)
+def d11_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine step ids a trace: of rows with one id, that which the judge writes last counts."""
+    s = payload_text(steps(spark, sf_dir)).withColumn("step_id", F.concat("trace_id", F.lit("-"), F.col("seq") % 9))
+    verdicts = s.selectExpr("trace_id", "step_id", "'faithful' AS label", "'LOW' AS severity", "'judge' AS reasoning", "'n/a' AS evidence").distinct()
+    d = drift.trace_drift(steps(spark, sf_dir), drift.score_two_stage(s, verdicts, budget=5), models={"nli_model": "gate-1"})
+    n = {k: F.coalesce(F.try_element_at("taxonomy_counts", F.lit(k)), F.lit(0)).cast("long").alias(f"n_{short}") for k, short in (("faithful", "faithful"), ("neutral", "neutral"), ("goal_deviation", "deviation"))}
+    return d.select("trace_id", rounded("drift_score").alias("drift_score"), F.array_join("flagged_steps", ",").alias("flagged_steps"), *n.values(), F.col("fingerprint.nli_model").alias("nli_model"))
+
+
+@query(SQL["d4_nli_lexical"])
+def d4_stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of half the steps are stored; a second run infers the rest, and a third nothing: its model would call all neutral."""
+    s, store = payload_text(steps(spark, sf_dir)), f"{shared_dir(spark)}/predictions-{uuid.uuid4().hex}"
+    drift.score_nli(s.where("k % 2 = 0"), store=store, model="m").count()
+    drift.score_nli(s, store=store, model="m").count()
+    neutral = lambda pairs: pairs[[]].assign(contra=0.0, entail=0.0, neutral=1.0)
+    return drift.score_nli(s, neutral, store, "m").select("trace_id", "seq", "step_id", "label", "flagged")
+
+
+#: Runs of a benchmark: a model for each user, whose traces and steps are all called alike.
+_RUN = "concat('m', CAST(u AS STRING))"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the runs, as parse_traces() has them from <model>/<seed>/trace.json."""
+    b = _bench(spark, sf_dir).withColumn("step_id", F.concat(F.lit("unknown-step-"), "seq")).withColumn("trace_key", F.concat_ws("/", F.expr(_RUN), "seed")).withColumn("trace_id", F.lit("unknown"))
+    b = b.withColumn("payload", F.when(F.col("tool_name") == "ReadFile", F.to_json(F.struct("path"))).otherwise(F.col("payload")))
+    docs = documents.trace_documents(b).select(F.concat(F.lit("/runs/"), "trace_key", F.lit("/trace.json")).alias("source"), "value")
+    return evaluate.by_run(documents.parse_traces(docs))
+
+
+@query(f"{DUCKDB}, {TRUTH} SELECT concat('m', t.trace_id, '/', t.seed) AS trace_key, t.seed, t.occurred, concat('unknown-step-', s.seq) AS step_id FROM truth t LEFT JOIN steps s ON s.trace_id = t.trace_id AND s.step_id = t.step_id")
+def e6_truth_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _runs(spark, sf_dir)
+    return evaluate.ground_truth(s, s.select("trace_key", "trace_id", "seed").distinct()).select("trace_key", "seed", "occurred", F.when(F.col("occurred"), F.col("step_id")).otherwise("unknown-step-").alias("step_id"))
+
+
+def _packs_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored steps of the runs, as pack_steps() has them from <model>/<seed>/pack.json: the first five contradictions of each went to a judge."""
+    s = payload_text(steps(spark, sf_dir)).selectExpr("*", f"concat({_RUN}, '/', {SEEDS}) AS trace_key").withColumn("step_id", F.concat(F.lit("unknown-step-"), "seq")).withColumn("trace_id", F.lit("unknown"))
+    verdicts = s.selectExpr("trace_key", "step_id", "'undeclared_goal' AS label", "'HIGH' AS severity", "'seen' AS reasoning", "'rm' AS evidence")
+    scored = drift.score_two_stage(s, verdicts, budget=5)
+    sealed = attest.packs(drift.trace_drift(s, scored), s, scored)
+    packs = documents.parse_packs(sealed.select(F.concat(F.lit("/runs/"), "trace_key", F.lit("/pack.json")).alias("source"), F.col("manifest").alias("value")))
+    return evaluate.by_run(documents.pack_steps(packs))
+
+
+JUDGED = f"""{GATE}, {TRUTH}, g5 AS (SELECT *, row_number() OVER (PARTITION BY trace_id, gate ORDER BY top DESC, seq) AS rank FROM gate), j AS (SELECT *, CASE WHEN gate <> 'goal_deviation' THEN gate WHEN rank <= 5 THEN 'undeclared_goal' ELSE 'goal_deviation' END AS label, gate = 'goal_deviation' AS flagged FROM g5)"""
+
+
+@query(
+    f"""{JUDGED}, a AS (SELECT trace_id, bool_or(flagged) AS any_flag FROM j GROUP BY 1),
+ o AS (SELECT t.*, coalesce(j.flagged, false) AS hit, coalesce(j.label = CASE WHEN t.seed IN ('distractor', 'scope-narrow', 'scope-extra', 'plan-late', 'false-scope') THEN 'undeclared_goal' WHEN t.seed = 'format-strict' THEN 'goal_deviation' END, false) AS wanted, NOT t.occurred AND coalesce(any_flag, false) AS fp FROM truth t LEFT JOIN j USING (trace_id, step_id) LEFT JOIN a USING (trace_id))
+ SELECT coalesce(seed, 'ALL') AS seed, count(*) AS sessions, count(*) FILTER (WHERE occurred) AS n_occurred, count(*) FILTER (WHERE occurred AND hit) AS n_hit, count(*) FILTER (WHERE occurred AND wanted) AS n_label, count(*) FILTER (WHERE fp) AS n_false, count(*) FILTER (WHERE NOT occurred) AS n_clean FROM o GROUP BY ROLLUP (seed)"""
+)
+def e7_runs_cross_tabulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _runs(spark, sf_dir)
+    table = evaluate.cross_tabulated(evaluate.ground_truth(s, s.select("trace_key", "trace_id", "seed").distinct()), _packs_of_runs(spark, sf_dir))
+    return table.select(F.coalesce("seed", F.lit("ALL")).alias("seed"), F.col("n").alias("sessions"), "n_occurred", "n_hit", "n_label", "n_false", "n_clean")
+
+
+@query(
+    f"""{JUDGED} SELECT concat('m', t.trace_id, '/', t.seed) AS trace_key, t.seed, j.label IS NOT NULL AS gate_fired, coalesce(j.gate = 'goal_deviation', false) AS judge_called, coalesce(j.gate = 'goal_deviation' AND j.rank <= 5, false) AS judge_decided, coalesce(j.label, '') AS label FROM truth t LEFT JOIN j USING (trace_id, step_id) WHERE t.occurred"""
+)
+def e9_offence_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _runs(spark, sf_dir)
+    found = evaluate.offence_attribution(evaluate.ground_truth(s, s.select("trace_key", "trace_id", "seed").distinct()), _packs_of_runs(spark, sf_dir))
+    return found.select("trace_key", "seed", "gate_fired", "judge_called", "judge_decided", F.coalesce("label", F.lit("")).alias("label"))
+
+
+@query(f"{DUCKDB} SELECT trace_id AS session, count(*) AS n FROM steps WHERE u % 3 < 2 GROUP BY 1")
+def s1_unread_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the transcripts is read and noted; the others come later and are what a second run reads."""
+    lines, folder = raw_lines(spark, sf_dir, "u"), f"{shared_dir(spark)}/transcripts-{uuid.uuid4().hex}"
+    book = f"{folder}/ledger"
+
+    def written(own: DataFrame) -> None:
+        own.select("session", "value").repartition("session").write.mode("append").partitionBy("session").text(f"{folder}/logs")
+
+    written(lines.where("u % 3 = 2"))
+    first, entries = ledger.read_unread(spark, f"{folder}/logs", book)
+    first.count()
+    ledger.noted(entries.persist(), book)
+    written(lines.where("u % 3 < 2"))
+    again, _ = ledger.read_unread(spark, f"{folder}/logs", book)
+    return again.select(F.regexp_extract("path", "session=([^/]+)/", 1).alias("session")).groupBy("session").agg(F.count("*").alias("n"))
+
+
+@query(f"{DUCKDB} SELECT trace_id, seq - 1 AS seq, step_id, declared_intent, tool_name FROM steps")
+def s13_sharded_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of any length as documents of at most 16 steps each, written by adapter and read back."""
+    s = steps(spark, sf_dir).withColumn("trace_key", F.concat(F.lit("key-"), "trace_id"))
+    docs = documents.trace_documents(s, 16).withColumn("source_adapter", F.concat(F.lit("a"), F.col("trace_id").cast("int") % 3))
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    documents.write_documents(docs, path, by="source_adapter")
+    back = documents.read_traces(spark, path)
+    return back.where("trace_key = concat('key-', trace_id)").select("trace_id", "seq", "step_id", "declared_intent", "tool_name")

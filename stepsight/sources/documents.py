@@ -7,12 +7,15 @@ them as lines, which the readers take back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scans import keys_of
+
 REFS = "array<struct<source:string,identifier:string,excerpt:string>>"
 STEP = f"struct<step_id:string,parent_step_id:string,trace_id:string,timestamp:string,actor:string,declared_intent:string,action:struct<type:string,payload:string>,context_used:{REFS},metadata:string>"
-TRACE = f"struct<trace_id:string,tenant_id:string,flow_type:string,agent_config_ref:string,source_adapter:string,metadata:string,steps:array<{STEP}>>"
+SHARD = "struct<key:string,first:bigint>"
+TRACE = f"struct<trace_id:string,tenant_id:string,flow_type:string,agent_config_ref:string,source_adapter:string,metadata:string,shard:{SHARD},steps:array<{STEP}>>"
 STEP_DRIFT = "struct<step_id:string,label:string,overturned_gate:boolean,reasoning:string,severity:string,evidence:string>"
 DRIFT = f"struct<drift_score:double,flagged_steps:array<string>,method:string,method_version:string,per_step:map<string,{STEP_DRIFT}>,taxonomy_counts:map<string,bigint>>"
 PACK = f"struct<pack_id:string,subject:struct<agent_config_ref:string,agent_version:string,tenant_id:string>,drift_metrics:{DRIFT},trace_summary:struct<trace_count:bigint,step_count:bigint,flow_types:array<string>,time_range:array<string>>>"
@@ -53,9 +56,9 @@ def _run(i: int, document: str) -> Column:
 
 def parse_traces(values: DataFrame) -> DataFrame:
     """Steps of normalised traces, one row each, with what the rules and the evaluation read of a step pulled out; seq is the place in the
-    trace. trace_key is the document's place, as trace ids repeat; model and seed come from a <model>/<seed>/trace.json path, if there is one."""
-    t = _objects(values, TRACE).select("source", F.concat_ws("#", "source", "pos").alias("trace_key"), _run(1, "trace").alias("model"), _run(2, "trace").alias("seed"), "x.*").where("trace_id IS NOT NULL AND steps IS NOT NULL")
-    s = t.select("trace_key", "model", "seed", "trace_id", "tenant_id", "flow_type", "agent_config_ref", "source_adapter", F.col("metadata").alias("m"), F.posexplode("steps").alias("pos", "s"))
+    trace. trace_key is the document's place, as trace ids repeat, or what the shards of one trace have in common; model and seed come from a <model>/<seed>/trace.json path, if there is one."""
+    t = _objects(values, TRACE).select("source", F.coalesce("x.shard.key", F.concat_ws("#", "source", "pos")).alias("trace_key"), F.coalesce("x.shard.first", F.lit(0)).alias("first"), _run(1, "trace").alias("model"), _run(2, "trace").alias("seed"), "x.*").where("trace_id IS NOT NULL AND steps IS NOT NULL")
+    s = t.select("trace_key", "first", "model", "seed", "trace_id", "tenant_id", "flow_type", "agent_config_ref", "source_adapter", F.col("metadata").alias("m"), F.posexplode("steps").alias("pos", "s"))
     own = ("step_id", "parent_step_id", "timestamp", "actor", "declared_intent", "action", "context_used", "metadata")
     s = s.select("*", *(f"s.{c}" for c in own)).withColumn("p", F.col("action.payload"))
     call = F.col("action.type") == "tool_call"
@@ -66,7 +69,7 @@ def parse_traces(values: DataFrame) -> DataFrame:
         "model",
         "seed",
         "trace_id",
-        F.col("pos").cast("long").alias("seq"),
+        (F.col("first") + F.col("pos")).alias("seq"),
         "step_id",
         "parent_step_id",
         F.try_to_timestamp("timestamp").alias("ts"),
@@ -93,8 +96,12 @@ def read_traces(spark: SparkSession, glob: str) -> DataFrame:
     return parse_traces(read_values(spark, glob))
 
 
-def trace_documents(steps: DataFrame) -> DataFrame:
-    """trace_id, value: one JSON document for each trace, its steps in order. Columns that steps lack are left out or null."""
+def trace_documents(steps: DataFrame, shard: int | None = None) -> DataFrame:
+    """trace_id (and trace_key, where steps have one), value: one JSON document for each trace, its steps in order. Columns that steps lack
+    are left out or null.
+
+    shard: a trace of any length becomes documents of at most about so many steps, by ranges of seq, each with the trace's key and the
+    number of steps before it; parse_traces() puts them together again, in whatever order they are read."""
     has = lambda c, kind="string": F.col(c) if c in steps.columns else F.lit(None).cast(kind)
     raw = F.coalesce(has("payload"), F.lit("null"))
     text = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(has(c).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1), F.lit("null"))
@@ -106,10 +113,18 @@ def trace_documents(steps: DataFrame) -> DataFrame:
     notes = F.to_json(F.struct(F.when(F.coalesce(has("delegation_unobserved", "boolean"), F.lit(False)), True).alias("delegation_unobserved"), has("agent_id").alias("agent_id"), has("permission_mode").alias("permission_mode")))
     head = F.to_json(F.struct("step_id", has("parent_step_id").alias("parent_step_id"), "trace_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"), "actor", "declared_intent", has("context_used", REFS).alias("context_used")), KEEP_NULLS)
     step = F.concat(F.substring(head, 1, F.length(head) - 1), F.lit(',"action":{"type":"'), F.col("action_type"), F.lit('","payload":'), payload, F.lit('},"metadata":'), notes, F.lit("}"))
-    per = steps.select("trace_id", "seq", has("cwd").alias("cwd"), has("flow_type").alias("flow_type"), has("source_adapter").alias("source_adapter"), has("agent_config_ref").alias("agent_config_ref"), has("tenant_id").alias("tenant_id"), step.alias("step"))
-    grouped = per.groupBy("trace_id").agg(F.max("cwd").alias("cwd"), *(F.max(c).alias(c) for c in ("flow_type", "source_adapter", "agent_config_ref", "tenant_id")), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "step"))), lambda x: x["step"]), ",").alias("all"))
-    top = F.to_json(F.struct("trace_id", "tenant_id", F.coalesce("flow_type", F.lit("generic")).alias("flow_type"), F.coalesce("agent_config_ref", F.lit("unknown")).alias("agent_config_ref"), F.coalesce("source_adapter", F.lit("table")).alias("source_adapter"), F.struct("cwd").alias("metadata")), KEEP_NULLS)
-    return grouped.select("trace_id", F.concat(F.substring(top, 1, F.length(top) - 1), F.lit(',"steps":['), F.col("all"), F.lit("]}")).alias("value"))
+    keys = keys_of(steps)
+    by = [*keys, "shard"]
+    split = F.floor(F.col("seq") / shard) if shard else F.lit(0)
+    per = steps.select(*keys, split.cast("long").alias("shard"), "seq", has("cwd").alias("cwd"), has("flow_type").alias("flow_type"), has("source_adapter").alias("source_adapter"), has("agent_config_ref").alias("agent_config_ref"), has("tenant_id").alias("tenant_id"), step.alias("step"))
+    grouped = per.groupBy(*by).agg(F.count("*").alias("n"), F.max("cwd").alias("cwd"), *(F.max(c).alias(c) for c in ("flow_type", "source_adapter", "agent_config_ref", "tenant_id")), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "step"))), lambda x: x["step"]), ",").alias("all"))
+    if shard:
+        before = F.sum("n").over(Window.partitionBy(*keys).orderBy("shard")) - F.col("n")  # a row a document
+        grouped = grouped.withColumn("part", F.struct(F.col(keys[0]).alias("key"), before.alias("first")))
+    else:
+        grouped = grouped.withColumn("part", F.lit(None).cast(SHARD))
+    top = F.to_json(F.struct("trace_id", F.col("part").alias("shard"), "tenant_id", F.coalesce("flow_type", F.lit("generic")).alias("flow_type"), F.coalesce("agent_config_ref", F.lit("unknown")).alias("agent_config_ref"), F.coalesce("source_adapter", F.lit("table")).alias("source_adapter"), F.struct("cwd").alias("metadata")), KEEP_NULLS)
+    return grouped.select(*keys, F.concat(F.substring(top, 1, F.length(top) - 1), F.lit(',"steps":['), F.col("all"), F.lit("]}")).alias("value"))
 
 
 def parse_packs(values: DataFrame) -> DataFrame:

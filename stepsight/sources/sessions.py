@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,9 +20,13 @@ DELEGATES = ("Task", "Agent")
 ACTIVE = ("pending", "in_progress")
 
 
-def read_lines(spark: SparkSession, glob: str) -> DataFrame:
-    """session (file stem), agent_id (subagent files), path, line (sortable place in its file), value for every JSON object line of JSONL files."""
-    lines = spark.read.text(glob).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
+def read_lines(spark: SparkSession, glob: str, since: datetime | None = None) -> DataFrame:
+    """session (file stem), agent_id (subagent files), path, line (sortable place in its file), value for every JSON object line of JSONL
+    files; since: only of files last written then or later."""
+    text = spark.read.text(glob)
+    if since is not None:
+        text = text.where(F.col("_metadata.file_modification_time") >= F.lit(since))
+    lines = text.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
     ok = F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull()
     path = F.col("file_path")
     return lines.where(ok).select(
