@@ -27,18 +27,21 @@ KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
 def read_values(spark: SparkSession, glob: str) -> DataFrame:
-    """source, value of JSON documents: whole .json files, and every line of .jsonl and other files."""
+    """source, line (null for a whole file), value of JSON documents: whole .json files, and every line of .jsonl and other files."""
     path = F.col("_metadata.file_path")
-    whole = spark.read.option("pathGlobFilter", "*.json").text(glob, wholetext=True).select(path.alias("source"), "value").where(~path.endswith(".jsonl"))
-    lines = spark.read.text(glob).select(path.alias("source"), "value").where(~path.endswith(".json"))
+    whole = spark.read.option("pathGlobFilter", "*.json").text(glob, wholetext=True).select(path.alias("source"), F.lit(None).cast("string").alias("line"), "value").where(~path.endswith(".jsonl"))
+    line = F.concat_ws(".", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(glob).select(path.alias("source"), line.alias("line"), "value").where(~path.endswith(".json"))
     return whole.union(lines).where("try_parse_json(value) IS NOT NULL")
 
 
 def _objects(values: DataFrame, schema: str) -> DataFrame:
-    """source, pos and x, an object of the schema, of values that are an object or a list of them."""
+    """source, key (the document's place), pos and x, an object of the schema, of values that are an object or a list of them."""
     many = F.regexp_replace("value", r"^\s+", "").startswith("[")
     items = F.when(many, F.from_json("value", f"array<{schema}>")).otherwise(F.array(F.from_json("value", schema)))
-    return values.select("source", F.posexplode(items).alias("pos", "x")).where("x IS NOT NULL")
+    line = ["line"] if "line" in values.columns else []
+    found = values.select("source", *line, F.posexplode(items).alias("pos", "x")).where("x IS NOT NULL")
+    return found.select("source", F.concat_ws("#", "source", *line, "pos").alias("key"), "pos", "x")
 
 
 def _field(json: str, *names: str) -> Column:
@@ -57,7 +60,7 @@ def _run(i: int, document: str) -> Column:
 def parse_traces(values: DataFrame) -> DataFrame:
     """Steps of normalised traces, one row each, with what the rules and the evaluation read of a step pulled out; seq is the place in the
     trace. trace_key is the document's place, as trace ids repeat, or what the shards of one trace have in common; model and seed come from a <model>/<seed>/trace.json path, if there is one."""
-    t = _objects(values, TRACE).select("source", F.coalesce("x.shard.key", F.concat_ws("#", "source", "pos")).alias("trace_key"), F.coalesce("x.shard.first", F.lit(0)).alias("first"), _run(1, "trace").alias("model"), _run(2, "trace").alias("seed"), "x.*").where("trace_id IS NOT NULL AND steps IS NOT NULL")
+    t = _objects(values, TRACE).select("source", F.coalesce("x.shard.key", "key").alias("trace_key"), F.coalesce("x.shard.first", F.lit(0)).alias("first"), _run(1, "trace").alias("model"), _run(2, "trace").alias("seed"), "x.*").where("trace_id IS NOT NULL AND steps IS NOT NULL")
     s = t.select("trace_key", "first", "model", "seed", "trace_id", "tenant_id", "flow_type", "agent_config_ref", "source_adapter", F.col("metadata").alias("m"), F.posexplode("steps").alias("pos", "s"))
     own = ("step_id", "parent_step_id", "timestamp", "actor", "declared_intent", "action", "context_used", "metadata")
     s = s.select("*", *(f"s.{c}" for c in own)).withColumn("p", F.col("action.payload"))
