@@ -1,4 +1,8 @@
-"""Vectorised helpers over JSON strings: the text that Python shows for a value, and canonical JSON."""
+"""JSON strings as the text that Python shows for their value, and as canonical JSON.
+
+Most payloads are flat objects of plain strings; built-in functions render them. Only what has escapes, quotes, numbers or nesting, or is
+long, goes to a Python worker; of all other rows it gets a null.
+"""
 
 from __future__ import annotations
 
@@ -8,15 +12,47 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Characters that JSON and Python show alike, and as themselves, within either kind of quotes.
+PLAIN = r"[ !#-&(-\[\]-~]"
+_PAIR = rf'"[A-Za-z0-9_]+"\s*+:\s*+"{PLAIN}*+"'
+_FLAT = rf"^\s*+\{{\s*+(?:{_PAIR}\s*+(?:,\s*+{_PAIR}\s*+)*+)?\}}\s*+$"
+#: Characters of an object that the patterns are tried on at most; a longer one goes to Python.
+SHORT = 4000
+
+
+def is_plain(text: Column) -> Column:
+    """Whether a text is shown as itself between quotes; false for null."""
+    return F.coalesce(text.rlike(rf"^{PLAIN}*+$"), F.lit(False))
+
+
+def is_flat(value: Column) -> Column:
+    """Whether a JSON text is an object of plain strings with distinct keys, and short; false for null."""
+    keys = F.json_object_keys(value)
+    return F.coalesce((F.length(value) <= SHORT) & value.rlike(_FLAT) & (F.size(keys) == F.size(F.array_distinct(keys))), F.lit(False))
+
+
+def flat_repr(value: Column) -> Column:
+    """str() of the Python value of a flat object. Quotes stand between parts alone, so what lies between two of them is a part's end."""
+    parts = F.regexp_replace(F.regexp_replace(value, r'"\s*:\s*"', "': '"), r'"\s*,\s*"', "', '")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(parts, r'^\s*\{\s*"', "{'"), r'"\s*\}\s*$', "'}"), r"^\s*\{\s*\}\s*$", "{}")
+
+
+def flat_canonical(value: Column) -> Column:
+    """Canonical JSON of a flat object: its pairs in the order of their keys."""
+    pairs = F.transform(F.regexp_extract_all(value, F.lit(rf"({_PAIR})"), F.lit(1)), lambda p: F.regexp_replace(p, r'^("[A-Za-z0-9_]+")\s*:\s*', "$1:"))
+    return F.concat(F.lit("{"), F.array_join(F.array_sort(pairs), ","), F.lit("}"))
+
 
 def py_repr(value: Column | str) -> Column:
     """str() of the Python value of a JSON text; null or invalid: null."""
-    return F.pandas_udf(_py_repr, "string")(value)
+    value = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(F.when(is_flat(value), flat_repr(value)), F.pandas_udf(_py_repr, "string")(F.when(~is_flat(value), value)))
 
 
 def canonical_json(value: Column | str) -> Column:
     """JSON with sorted keys, no blanks, ASCII only; null or invalid: null."""
-    return F.pandas_udf(_canonical, "string")(value)
+    value = F.col(value) if isinstance(value, str) else value
+    return F.coalesce(F.when(is_flat(value), flat_canonical(value)), F.pandas_udf(_canonical, "string")(F.when(~is_flat(value), value)))
 
 
 def _py_repr(values: pd.Series) -> pd.Series:

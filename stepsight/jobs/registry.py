@@ -854,3 +854,25 @@ def s13_sharded_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents.write_documents(docs, path, by="source_adapter")
     back = documents.read_traces(spark, path)
     return back.where("trace_key = concat('key-', trace_id)").select("trace_id", "seq", "step_id", "declared_intent", "tool_name")
+
+
+@query(SQL["c3_statistics"])
+def c3_merged_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus summed from stored parts: the first run saw half of the lines of each transcript, the second read the grown ones anew."""
+    lines, own = raw_lines(spark, sf_dir, "agent_id", "k", "u"), spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    lines = lines.withColumn("path", F.concat_ws("/", F.lit("/logs"), "session", "agent_id"))
+    path = f"{shared_dir(spark)}/partials-{uuid.uuid4().hex}"
+    for run, seen in enumerate(("k % 2 = 0 OR u % 4 = 0", "u % 4 <> 0")):
+        corpus.partials(sessions.records(lines.where(seen)), run).write.mode("append").parquet(path)
+    stores = own.where("user_id % 3 = 0").select(F.col("user_id").cast("string").alias("session"))
+    return corpus.merged_statistics(spark.read.parquet(path), stores, own.where("user_id % 7 = 0").selectExpr("concat('/logs/', user_id, '.jsonl') AS path"))
+
+
+@query(
+    f"""WITH s AS ({SQL["c3_statistics"]}), a AS (SELECT 'anchor' AS metric, key, coalesce(n, 0) AS n FROM (VALUES ('TodoWrite'), ('TaskCreate'), ('TaskUpdate')) AS v(key) LEFT JOIN (SELECT key, n FROM s WHERE metric = 'anchor') USING (key))
+ SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY n DESC, key) AS rank, key, n FROM (SELECT metric, key, n FROM s WHERE metric IN ('record_type', 'delegate_tool') UNION ALL SELECT * FROM a)"""
+)
+def c3_top_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = corpus.statistics(sessions.records(raw_lines(spark, sf_dir, "agent_id")))
+    lists = [corpus.top(stats, m).select(F.lit(m).alias("metric"), "rank", "key", "n") for m in ("record_type", "delegate_tool", "anchor")]
+    return lists[0].union(lists[1]).union(lists[2])

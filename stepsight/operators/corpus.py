@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Record types that are known, and tools that carry a plan.
@@ -25,11 +25,8 @@ def tool_calls(records: DataFrame, names: tuple | None = None) -> DataFrame:
     return (used.where(F.col("tool_name").isin(*names)) if names else used).groupBy("tool_name").agg(F.count("*").alias("n"))
 
 
-def statistics(records: DataFrame, plan_stores: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
-    """(metric, key, n): sessions; of parent transcripts, records by type and plan anchors; of subagents, transcripts, records, sessions that
-    have them and calls by tool; sessions with a plan store (plan_stores: session); unreadable transcripts (unreadable: path).
-
-    One pass: each record says what it counts for, and the counts are summed by metric and key."""
+def _marks(records: DataFrame) -> DataFrame:
+    """session, agent_id, (path,) marks: what each record counts for, as (metric, key)."""
     delegate = F.col("agent_id").isNotNull() if "agent_id" in records.columns else F.lit(False)
     agent = F.col("agent_id") if "agent_id" in records.columns else F.lit(None).cast("string")
     calls = F.when(F.col("type") == "assistant", F.transform(F.filter("blocks", lambda b: (b["type"] == "tool_use") & b["name"].isNotNull()), lambda b: b["name"]))
@@ -41,9 +38,12 @@ def statistics(records: DataFrame, plan_stores: DataFrame | None = None, unreada
         says("subagent_records", F.array(F.lit("")), delegate),
         says("delegate_tool", calls, delegate),
     ]
-    counted = records.select("session", agent.alias("agent_id"), F.concat(*(F.coalesce(p, none) for p in parts)).alias("marks"))
-    sums = counted.select(F.explode("marks").alias("x")).groupBy("x.metric", "x.key").agg(F.count("*").alias("n"))
-    seen = counted.groupBy("session", "agent_id").agg(F.lit(1).alias("one")).groupBy("session").agg(F.count("agent_id").alias("agents"), F.count_if(F.col("agent_id").isNull()).alias("own"))
+    return records.select("session", agent.alias("agent_id"), *(["path"] if "path" in records.columns else []), F.concat(*(F.coalesce(p, none) for p in parts)).alias("marks"))
+
+
+def _told(sums: DataFrame, seen: DataFrame, plan_stores: DataFrame | None, unreadable: DataFrame | None) -> DataFrame:
+    """(metric, key, n) from sums (the same) and the transcripts seen (session, agent_id)."""
+    seen = seen.groupBy("session").agg(F.count("agent_id").alias("agents"), F.count_if(F.col("agent_id").isNull()).alias("own"))
     stored = F.lit(0)
     if plan_stores is not None:
         seen, stored = seen.join(plan_stores.select("session", F.lit(1).alias("stored")).distinct(), "session", "left"), F.count_if((F.col("own") > 0) & F.col("stored").isNotNull())
@@ -52,6 +52,43 @@ def statistics(records: DataFrame, plan_stores: DataFrame | None = None, unreada
     return out.union(unreadable.select(F.lit("unreadable"), "path", F.lit(1).cast("long"))) if unreadable is not None else out
 
 
+def statistics(records: DataFrame, plan_stores: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
+    """(metric, key, n): sessions; of parent transcripts, records by type and plan anchors; of subagents, transcripts, records, sessions that
+    have them and calls by tool; sessions with a plan store (plan_stores: session); unreadable transcripts (unreadable: path).
+
+    One pass: each record says what it counts for, and the counts are summed by metric and key."""
+    counted = _marks(records)
+    sums = counted.select(F.explode("marks").alias("x")).groupBy("x.metric", "x.key").agg(F.count("*").alias("n"))
+    return _told(sums, counted.groupBy("session", "agent_id").agg(F.lit(1).alias("one")), plan_stores, unreadable)
+
+
+def partials(records: DataFrame, run: int) -> DataFrame:
+    """path, run, session, agent_id, counts (map of metric and key to n) of each transcript (records: with path), to be kept in a table: a
+    corpus is summed from those of all runs, and only transcripts that changed are read again."""
+    marks = _marks(records).select("path", "session", "agent_id", F.explode_outer("marks").alias("x"))
+    sums = marks.groupBy("path", "session", "agent_id", "x.metric", "x.key").agg(F.count("x").alias("n"))
+    entry = F.when(F.col("metric").isNotNull(), F.struct("metric", "key", "n"))
+    return sums.groupBy("path", "session", "agent_id").agg(F.array_sort(F.collect_list(entry)).alias("counts")).select("path", F.lit(run).cast("long").alias("run"), "session", "agent_id", "counts")
+
+
+def merged_statistics(parts: DataFrame, plan_stores: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
+    """statistics() from partials() of any number of runs: of each transcript its last run's, which saw all of it."""
+    last = parts.groupBy("path").agg(F.max_by(F.struct("session", "agent_id", "counts"), "run").alias("p")).select("p.*")
+    sums = last.select(F.explode("counts").alias("x")).groupBy("x.metric", "x.key").agg(F.sum("x.n").alias("n"))
+    return _told(sums, last.select("session", "agent_id").distinct(), plan_stores, unreadable)
+
+
+def top(stats: DataFrame, metric: str, most: int | None = None) -> DataFrame:
+    """rank, key, n of a metric of statistics(), the largest first and ties by key; anchors that nobody used are listed with 0. A key is a
+    type or a tool, so the list is short."""
+    own = stats.where(F.col("metric") == metric).select("key", "n")
+    if metric == "anchor":
+        every = stats.sparkSession.createDataFrame([(a,) for a in ANCHORS], "key string")
+        own = every.join(own, "key", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"))
+    ranked = own.select(F.row_number().over(Window.orderBy(F.desc("n"), "key")).cast("long").alias("rank"), "key", "n")
+    return ranked if most is None else ranked.where(F.col("rank") <= most)
+
+
 def pairing(records: DataFrame) -> DataFrame:
     """session, calls, results, trailing (calls after the last user record), unresolved."""
     last = F.max(F.when(F.col("type") == "user", F.col("line")))

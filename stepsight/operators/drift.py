@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pyjson import py_repr
+from ..functions.pyjson import flat_repr, is_flat, is_plain, py_repr
 from ..functions.scans import keys_of
 from ..functions.tables import exists
 
@@ -36,10 +36,16 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def with_payload_text(steps: DataFrame) -> DataFrame:
     """Adds payload_text, the action as Python shows its payload, to steps with an intent; others are not scored. payload: the tool's
-    input as JSON."""
-    call = F.concat(F.lit('{"name": '), F.coalesce(_json_text(F.col("tool_name")), F.lit("null")), F.lit(', "input": '), F.coalesce("payload", F.lit("null")), F.lit("}"))
-    said = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text")))
-    return steps.where("declared_intent IS NOT NULL").withColumn("payload_text", py_repr(F.when(F.col("action_type") == "tool_call", call).otherwise(said)))
+    input as JSON. Plain names, texts and flat inputs are put together here; the rest is rendered in Python."""
+    name, given, text, calls = F.col("tool_name"), F.col("payload"), F.coalesce("text", F.lit("")), F.col("action_type") == "tool_call"
+    call = F.concat(F.lit('{"name": '), F.coalesce(_json_text(name), F.lit("null")), F.lit(', "input": '), F.coalesce(given, F.lit("null")), F.lit("}"))
+    said = F.to_json(F.struct(text.alias("text")))
+    quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
+    plain = F.when(calls & (name.isNull() | is_plain(name)) & (given.isNull() | is_flat(given)), F.concat(F.lit("{'name': "), F.coalesce(quoted(name), F.lit("None")), F.lit(", 'input': "), F.coalesce(flat_repr(given), F.lit("None")), F.lit("}")))
+    plain = plain.when(~F.coalesce(calls, F.lit(False)) & is_plain(text), F.concat(F.lit("{'text': "), quoted(text), F.lit("}")))
+    own = steps.where("declared_intent IS NOT NULL").withColumn("payload_text", plain)
+    rest = py_repr(F.when(F.col("payload_text").isNull(), F.when(calls, call).otherwise(said)))
+    return own.withColumn("payload_text", F.coalesce("payload_text", rest))
 
 
 def parent_steps(steps: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Stores and ledgers over two runs, documents on disk, traces that share an id, long sessions of records."""
 
 import json
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from stepsight.functions import scans
+from stepsight.functions.pyjson import canonical_json, is_flat, py_repr
 from stepsight.operators import attest, drift, evaluate, findings, report
 from stepsight.sources import adapters, documents, ledger, sessions
 
@@ -208,3 +210,30 @@ def test_tenants_with_roots_need_no_cwd(spark):
     traces = spark.createDataFrame([("t1", "a", None), ("t2", "b", None), ("t3", None, None), ("t4", "b", "/w")], "trace_id string, tenant string, cwd string")
     assert sorted(r["trace_id"] for r in findings.not_checked(traces, rules).collect()) == ["t2", "t3"]
     assert sorted(r["trace_id"] for r in findings.not_checked(traces).collect()) == ["t1", "t2", "t3"]
+
+
+def test_json_is_shown_alike_by_built_in_functions_and_python(spark):
+    """Flat objects of plain strings, and all that is not quite that."""
+    r = random.Random(4)
+    values = ['{}', ' { } ', '{"a":"b"}', '{"a" : "b" , "c":"d"}', '{"a":":"}', '{":":"x"}', '{"a":", ","b":" : "}', '{"a":"1","a":"2"}', '{"a":1}', '{"a":null,"b":true}', '{"a":"it\'s"}', '{"a":"q\\"q"}', '{"a":"é"}', '{"a":{"b":"c"}}', '[1]', '"x"', 'nul', '', None, '{"a":"' + "x" * 5000 + '"}', '{"b_1":"{x}","A":"[y], {z: w}"}', '{"a":"}","b":"{"}', '\n{"a":\n"b"}\n', '{"a":"b"} x', '{"Z":"1","a":"2","Z1":"3","_":"4"}', '{"a":"\t"}']
+    for _ in range(300):
+        values.append(json.dumps({"".join(r.choices("abZ_1", k=r.randint(1, 3))): "".join(r.choices("ab:,{}[] =/\\'\"\né~!", weights=[9] * 12 + [1] * 6, k=r.randint(0, 8))) for _ in range(r.randint(0, 4))}, ensure_ascii=r.random() < 0.5, separators=r.choice([(",", ":"), (", ", ": "), (" ,  ", " : ")])))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = df.select("i", py_repr("v").alias("shown"), canonical_json("v").alias("canonical"), is_flat(F.col("v")).alias("flat")).orderBy("i").collect()
+
+    def python(v, show):
+        try:
+            return show(json.loads(v))
+        except (ValueError, TypeError):
+            return None
+
+    assert [x["shown"] for x in got] == [python(v, str) for v in values]
+    assert [x["canonical"] for x in got] == [python(v, lambda o: json.dumps(o, sort_keys=True, separators=(",", ":"))) for v in values]
+    assert 150 < sum(x["flat"] for x in got) < 300
+
+
+def test_payload_texts_as_python_shows_them(spark):
+    rows = [("tool_call", n, p, None) for n in ("Bash", None, "it's", 'q"') for p in ('{"command":"ls"}', None, '{"a":1}', '{"a":"b","c":{"d":[1,null]}}')] + [("utterance", None, None, t) for t in ("plain", None, "it's", "two\nlines", "é")] + [(None, None, None, "x")]
+    s = spark.createDataFrame([(i, *r, "go") for i, r in enumerate(rows)], "i int, action_type string, tool_name string, payload string, text string, declared_intent string")
+    want = [str({"name": n, "input": json.loads(p) if p else None}) if a == "tool_call" else str({"text": t or ""}) for a, n, p, t in rows]
+    assert [r["payload_text"] for r in drift.with_payload_text(s).orderBy("i").collect()] == want
