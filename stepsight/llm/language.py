@@ -5,12 +5,13 @@ two texts is the number of n-grams both have over the root of the product of the
 its kernels with LANDMARKS texts, whitened; one-versus-rest ridge regression on that map scores each language. A landmark's
 n-grams are a row of ones, so the kernels of a batch of texts are one matrix product of presences, and their scores another.
 
-The model is fitted on the driver on a bounded sample of labelled rows, chosen by a hash of the id: at most SAMPLE texts of each
+The model is fitted on the driver on a bounded sample of labelled rows, chosen by a hash of id and text: at most SAMPLE texts of each
 language, and fewer of each, but one at least, where there are more than BUDGET / SAMPLE languages. Landmarks are taken from the
 languages in turn, so a rare language has its own. Every text, whole, is then scored where it lies.
 
 Defined results: null text, or no letter: `und` with score 0; no labelled row at all: `und` for all; ties: the language first
-in code-point order; repeated rows are scored each; null doc_id: not held out, and its hash is that of an empty id; very long texts
+in code-point order; repeated rows are scored each, and learned from once; rows that share an id, or
+have none, are rows like any other; null doc_id: not held out; very long texts
 are read in full, in pieces; an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
@@ -120,18 +121,21 @@ def is_held_out() -> Column:
 
 
 def labelled_sample(docs: DataFrame, each: int = SAMPLE, budget: int = BUDGET) -> DataFrame:
-    """text, lang of at most `each` rows of every language that are not held out: those with the smallest hash of the id.
+    """text, lang of at most `each` rows of every language that are not held out: those with the smallest hash of id and text, equal rows
+    once.
 
-    A first pass counts rows by language and keeps only hashes below the share that gives about twice as many as needed (and some
-    more, lest a small number be missed by chance), so no language is sorted whole.
+    A first pass counts the different hashes of each language and keeps only those below the share that gives about twice as many as
+    needed (and some more, lest a small number be missed by chance), so no language is sorted whole, and none is missed because its rows
+    share an id or a text.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).select("doc_id", "lang", "text")
-    place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), 11) / F.lit(float(1 << 53))
-    counts = stash(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out()).select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit("sample")).alias("row"))
+    place = F.shiftrightunsigned(F.xxhash64("row"), 11) / F.lit(float(1 << 53))
+    counts = stash(usable.select("lang", "row").distinct().groupBy("lang").agg(F.count("*").alias("n")))
     each = max(1, min(each, budget // max(1, counts.count())))
     near = usable.withColumn("place", place).join(counts, "lang").where(F.col("place") * F.col("n") <= 2 * each + 30)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", F.xxhash64("text")))
-    return near.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text")
+    once = near.groupBy("lang", "row", "place").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "row"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text")
 
 
 def fit(docs: DataFrame) -> Model | None:

@@ -90,11 +90,11 @@ def _small(table: DataFrame, numbers: str = "1") -> DataFrame:
     return F.broadcast(table) if (table.agg(F.sum(F.expr(numbers))).first()[0] or 0) <= BROADCAST else table
 
 
-def starts(c: Column) -> Column:
-    """Starts of the windows of class c that hold one of the hits in `at`."""
+def starts(i: Column, c: Column) -> Column:
+    """Starts of the windows of class c, four at most, that hold shingle i."""
     step = F.greatest(F.lit(1), (c / 2).cast("int"))
-    first = lambda h: F.ceil(F.greatest(F.lit(0), h["i"] - 2 * c + 1) / step).cast("int")
-    return F.array_distinct(F.flatten(F.transform("at", lambda h: F.transform(F.sequence(first(h), F.floor(h["i"] / step).cast("int")), lambda k: k * step))))
+    first = F.ceil(F.greatest(F.lit(0), i - 2 * c + 1) / step).cast("int")
+    return F.transform(F.sequence(first, F.floor(i / step).cast("int")), lambda k: k * step)
 
 
 def scan(docs: DataFrame, texts: dict[str, str] = KNOWN, least: float = LEAST) -> DataFrame:
@@ -103,11 +103,12 @@ def scan(docs: DataFrame, texts: dict[str, str] = KNOWN, least: float = LEAST) -
     need = known.groupBy("class").agg(F.ceil(least * F.min(F.size("own")) - 1e-6).alias("need"))
     vocabulary = stash(known.select("class", F.explode("own").alias("x")).distinct().join(need, "class"))
     hashed = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(shingles(F.col("text"))).alias("i", "x"))
-    hits = hashed.join(_small(vocabulary), "x").groupBy("doc_id", "t", "class", "need").agg(F.sort_array(F.collect_set(F.struct("i", "x"))).alias("at"))
-    windows = hits.where(F.size("at") >= F.col("need")).select("doc_id", "t", "class", "need", "at", F.explode(starts(F.col("class"))).alias("start"))
-    inside = F.filter("at", lambda h: (h["i"] >= F.col("start")) & (h["i"] < F.col("start") + 2 * F.col("class")))
-    windows = windows.select("doc_id", "t", "class", "need", "start", inside.alias("inside")).where(F.size("inside") >= F.col("need"))
-    windows = windows.select("doc_id", "t", "class", "start", (F.element_at("inside", -1)["i"] + 1).alias("end"), F.array_distinct(F.col("inside.x")).alias("window"))
+    hits = hashed.join(_small(vocabulary), "x").select("doc_id", "t", "class", "need", "i", "x", F.explode(starts(F.col("i"), F.col("class"))).alias("start"))
+    # A hit goes to its windows and never meets the others of its text, so a long text costs in proportion to its hits.
+    windows = hits.groupBy("doc_id", "t", "class", "need", "start").agg(F.collect_set(F.struct("i", "x")).alias("inside")).where(F.size("inside") >= F.col("need"))
+    windows = windows.select("doc_id", "t", "class", "start", (F.array_max("inside.i") + 1).alias("end"), F.array_sort(F.array_distinct("inside.x")).alias("window"))
+    # Of a text's windows with the same shingles the first stands for all, as it is the one that would be reported.
+    windows = windows.groupBy("doc_id", "t", "class", "window").agg(F.min(F.struct("start", "end")).alias("w")).select("doc_id", "t", "class", "window", "w.*")
     banded = stash(windows).select("*", F.explode(bands(F.col("window"))).alias("b")).select("doc_id", "t", "class", "start", "end", "window", "b.*")
     wanted = stash(known.select("license", "class", F.explode(bands(F.col("own"))).alias("b")).select("license", "class", "b.*"))
     pairs = banded.join(_small(wanted), ["class", "band", "value"]).join(_small(known.select("license", "own"), "size(own)"), "license")

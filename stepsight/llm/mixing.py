@@ -52,8 +52,8 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
 
 
 def place() -> Column:
-    """Hash of a row's id, 63 bits."""
-    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix")), 1)
+    """Hash of a row's id and text, 63 bits: rows that share an id, or have none, have places of their own."""
+    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("mix")), 1)
 
 
 def key() -> Column:

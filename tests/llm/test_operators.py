@@ -206,7 +206,6 @@ def encoded(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in corpus()]
 
 
