@@ -4,11 +4,12 @@ Patterns find strings that could be credentials: runs of 16 credential letters o
 key blocks, passwords in URLs, and quoted or assigned values after a telling name. A random forest, trained here from labelled findings,
 then judges each by its length, its character transitions (log-odds of its pairs of characters between secrets and others, learned from
 one half of the findings; the trees learn from the other), how much of it dictionary words cover (those of the license texts that come
-with this package, and words that identifiers are made of), its path (the document's source) and the words around it. The model is a few
-small arrays; each task scores its candidates with it, so no text leaves its row.
+with this package, and words that identifiers are made of), its path (the document's source), the words around it and whether it is
+called or looked up. The model is a few small arrays; each task scores its candidates with it, so no text leaves its row. Candidates have
+a least length (values 6, passwords in URLs 4) and no greatest.
 
 Labelled findings: a table (before, value, after, path, secret), of which at most TRAINING rows, those with the smallest hashes, are
-used. labelled() builds one from seeded random credentials and look-alikes (digests, identifiers, numbers, placeholders), as the given
+used. labelled() builds one from seeded random credentials and look-alikes (digests, identifiers, code, data, placeholders), as the given
 tables hold none; callers may pass their own.
 
 Defined results: null or empty text has no candidates; overlapping patterns count once: key blocks before URL passwords and named values
@@ -39,14 +40,15 @@ MASK = "[SECRET]"
 #: Runs of credential letters; '=' only as padding, so that KEY=value is cut before its value.
 LETTERS = r"A-Za-z0-9_+/\-"
 RUN = rf"(?<![{LETTERS}])[{LETTERS}]{{16,}}={{0,2}}"
-PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:[^\-]|-(?!----)){0,20000}?-----END [A-Z0-9 ]{0,40}-----|(?:\s+[A-Za-z0-9+/=]{16,})*)"
-NAMED = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assw(?:or)?d|PASSWO?R?D|[Aa][Pp][Ii][_\-]?[Kk]ey|API_?KEY|[Pp]rivate[_\-]?[Kk]ey|[Aa]ccess[_\-]?[Kk]ey|ACCESS_KEY|[Cc]redential|[Aa]uth)[\"']?[ ]{0,2}[:=]{1,2}[ ]{0,2}[\"']?|[Bb]earer[ ]{1,2}"
-VALUE = r"[A-Za-z0-9_+/=\-.!@#$%^&*~]{8,}"
+#: How a key block begins, how it ends, and what it is made of where no end comes before the next dashes.
+PEM, PEM_END, PEM_LINES = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----", r"-----END [A-Z0-9 ]*-----", r"(?:\s+[A-Za-z0-9+/=]{16,})*"
+NAMED = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assw(?:or)?d|PASSWO?R?D|[Pp]assphrase|PASSPHRASE|[Pp]wd|PWD|[Aa][Pp][Ii][_\-]?[Kk]ey|API_?KEY|[Pp]rivate[_\-]?[Kk]ey|[Aa]ccess[_\-]?[Kk]ey|ACCESS_KEY|[Cc]redential|[Aa]uth)[\"']?[ \t]*[:=]{1,2}[ \t]*[\"']?|[Bb]earer[ \t]+"
+VALUE = r"[A-Za-z0-9_+/=\-.!@#$%^&*~]{6,}"
 #: The password of a URL with a user.
-URL = r"(?<=://)[^\s:/@\"'<>]{1,64}:(?P<password>[^\s/@\"'<>]{6,128})(?=@)"
+URL = r"(?<=://)[^\s:/@\"'<>]+:(?P<password>[^\s/@\"'<>]{4,})(?=@)"
 # Names that announce a credential, and words that announce a harmless look-alike.
-TELLING = "token secret password passwd pwd apikey api_key key credential auth bearer private access login".split()
-HARMLESS = "commit sha sha1 sha256 md5 checksum digest hash uuid guid id isbn order invoice phone card number version build test example dummy sample placeholder fixture".split()
+TELLING = "token secret password passwd pwd passphrase apikey api_key key credential auth bearer private access login".split()
+HARMLESS = "commit sha sha1 sha256 md5 checksum digest hash integrity sha384 sha512 base64 image uuid guid id isbn order invoice phone card number version build test example dummy sample placeholder fixture".split()
 # Words that identifiers are made of.
 DICTIONARY = "the and for with user name test data file path index value config service manager handler example sample default session request response client server table column string number address account message system module class function object model train batch token secret password access public private image video audio content title header footer button".split()
 CLASSES = re.compile("([a-z]+)|([A-Z]+)|([0-9]+)|([^a-zA-Z0-9]+)")
@@ -74,10 +76,18 @@ def finding(text: str, a: int, b: int, path: str) -> Finding:
     return Finding(text[max(0, a - 48) : a], text[a:b], text[b : b + 16], path)
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of private key blocks, however long: to the end line if that is what the next dashes begin, else over lines of its letters."""
+    for m in _PEM.finditer(text):
+        dashes = text.find("-----", m.end())
+        end = _PEM_END.match(text, dashes) if dashes >= 0 else None
+        yield m.start(), (end or _PEM_LINES.match(text, m.end())).end()
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of every candidate of a text, in order, without overlaps: key blocks, then named values, then what runs have besides."""
     taken: list[tuple[int, int]] = []
-    for spans in ([m.span() for m in _PEM.finditer(text)], [m.span("password") for m in _URL.finditer(text)] if "://" in text else [], sorted({(m.end(), v.end()) for m in _NAMED.finditer(text) if (v := _VALUE.match(text, m.end()))})):
+    for spans in (list(key_blocks(text)), [m.span("password") for m in _URL.finditer(text)] if "://" in text else [], sorted({(m.end(), v.end()) for m in _NAMED.finditer(text) if (v := _VALUE.match(text, m.end()))})):
         kept, done, i = [], -1, 0
         for a, b in spans:
             while i < len(taken) and taken[i][1] <= a:
@@ -107,7 +117,8 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
     yield from sorted(taken + rest)
 
 
-_RUN, _NAMED, _VALUE, _PEM, _URL, _RIGHT = re.compile(RUN), re.compile(NAMED), re.compile(VALUE), re.compile(PEM), re.compile(URL), re.compile(rf"\.[{LETTERS}]+={{0,2}}")
+_RUN, _NAMED, _VALUE, _URL, _PEM, _PEM_END, _PEM_LINES = map(re.compile, (RUN, NAMED, VALUE, URL, PEM, PEM_END, PEM_LINES))
+_RIGHT = re.compile(rf"\.[{LETTERS}]+={{0,2}}")
 _LETTERS = frozenset(c for c in map(chr, range(128)) if re.match(f"[{LETTERS}]", c))
 
 
@@ -195,6 +206,10 @@ def features(f: Finding, traits: Traits) -> list[float]:
         sum(map(len, re.findall(r"[A-Z]?[a-z]{2,}(?![a-z])", v))) / max(1, n),  # in words as names in code have them
         float(bool(re.search(r"://[^\s:/@]+:$", f.before)) and f.after[:1] == "@"),
         float(bool(re.match(r"[A-Za-z]{2,6}[_\-][A-Za-z0-9_\-]+$|[A-Z]{4}[A-Z0-9]{12,}$", v))),  # led by a short tag
+        float(f.after[:1] in ("(", "[")),  # what is called or looked up
+        float(bool(re.fullmatch(r"[A-Za-z_]+(\.[A-Za-z_]+)*\.?", v))),  # a name as code has it
+        float(len(set(low))),
+        float(bool(re.match(r"sha\d{1,3}-", v)) or f.before.endswith("base64,")),
     ]
 
 
@@ -202,8 +217,8 @@ def labelled(rows: int = TRAINING, seed: int = 7) -> list[tuple[Finding, bool]]:
     """Seeded labelled findings, as candidates() extracts them: half credentials in telling places or of telling form, half look-alikes."""
     r = random.Random(seed)
     hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    names = ["token", "secret", "password", "api_key", "apikey", "access_key", "private_key", "auth_token", "client_secret", "TOKEN", "Password", "SECRET_KEY", "API_KEY", "DB_PASSWORD", "AUTH_TOKEN"]
-    vocabulary = known_words(3)
+    names = ["token", "secret", "password", "passphrase", "pwd", "api_key", "apikey", "access_key", "private_key", "auth_token", "client_secret", "TOKEN", "Password", "SECRET_KEY", "API_KEY", "DB_PASSWORD", "AUTH_TOKEN"]
+    vocabulary, long_words, longer = known_words(3), known_words(5), known_words(6)
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve qu ch au eu".split()
 
     def word() -> str:
@@ -220,11 +235,13 @@ def labelled(rows: int = TRAINING, seed: int = 7) -> list[tuple[Finding, bool]]:
 
     def pem() -> str:
         kind = r.choice(["", "RSA ", "EC ", "OPENSSH "])
-        body = "\n".join(some(mixed + "+/", 64, 64) for _ in range(r.randint(2, 26)))
+        body = "\n".join(some(mixed + "+/", 64, 64) for _ in range(r.randint(2, 26) if r.random() < 0.7 else r.randint(26, 500)))
         return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
 
     def secret() -> tuple[str, str, str]:
         value = r.choice([lambda: some(hexes, 32, 64), lambda: some(hexes, 40, 40), lambda: some(hexes.upper(), 32, 40), lambda: some(mixed, 16, 48), lambda: some(mixed + "+/", 32, 60), lambda: r.choice(["sk_live_", "pk_test_", "ghp_", "gho_", "AIza", "npm_"]) + some(mixed, 16, 36), lambda: r.choice(["AKIA", "ASIA"]) + some(mixed[:26] + mixed[52:], 16, 16), lambda: r.choice(["xoxb", "xoxp", "xapp"]) + "-" + "-".join(some(mixed[52:], 9, 13) for _ in range(r.randint(1, 3))) + "-" + some(mixed, 18, 36), lambda: some(mixed + "!@#$%", 10, 20), dotted, lambda: some(mixed[:52], 20, 48), lambda: r.choice("-_.!").join([word(), word().capitalize() + some(mixed[52:], 1, 3), word()]), lambda: r.choice("-._~").join(some(mixed + "_~", 3, 14) for _ in range(r.randint(2, 4)))])()
+        if r.random() < 0.15:
+            value = r.choice([lambda: "".join(r.choice(long_words) for _ in range(r.randint(3, 5))), lambda: word() + some(mixed[52:], 1, 4), lambda: r.choice(long_words) + some(mixed[52:] + "!@#$", 1, 4)])()
         if r.random() < 0.12:
             return f"{text(3)} {r.choice(['postgres', 'mysql', 'redis', 'https', 'amqp', 'mongodb+srv'])}://{word()}:", r.choice([lambda: some(mixed, 6, 20), lambda: some(mixed + "!#$%", 8, 16), lambda: word() + some(mixed[52:], 2, 5)])(), f"@{word()}.{r.choice(['com', 'internal', 'org'])}/{word()} {text(2)}"
         if r.random() < 0.25:
@@ -233,10 +250,24 @@ def labelled(rows: int = TRAINING, seed: int = 7) -> list[tuple[Finding, bool]]:
         if r.random() < 0.08:
             return f"{text(2)} {r.choice(['Bearer', 'bearer'])} ", r.choice([dotted, lambda: some(mixed + "_-.~", 20, 60)])(), f" {text(3)}"
         quote = r.choice(['"', "'", ""])
-        return f"{text(4)} {r.choice(names)}{r.choice([' = ', '=', ': ', ':'])}{quote}", value, f"{quote}{r.choice(['', '!!', '###', ';'])} {text(3)}"
+        return f"{text(4)} {r.choice(names)}{r.choice([' = ', '=', ': ', ':', ' : ', '   :   '])}{quote}", value, f"{quote}{r.choice(['', '!!', '###', ';'])} {text(3)}"
 
     def other() -> tuple[str, str, str]:
-        kind = r.randrange(15)
+        kind = r.randrange(21)
+        if kind == 20:
+            return f"{text(2)} {r.choice(names)}{r.choice([': ', ' = ', ':', '='])}", r.choice([lambda: r.choice(longer), word, lambda: word() + word()])(), f"{r.choice(['', ',', '.', ';'])} {text(2)}"
+        if kind == 15:
+            return f"{text(2)} data:{r.choice(['image', 'font', 'audio'])}/{r.choice(['png', 'jpeg', 'gif', 'woff2'])};base64,", some(mixed + "+/", 60, 900) + r.choice(["", "=", "=="]), f"{r.choice([')', chr(34), chr(39), ' '])}{text(2)}"
+        if kind == 16:
+            size, padding = r.choice([(43, "="), (64, ""), (86, "==")])
+            return f'{text(1)} "{r.choice(["integrity", "hash", "checksum"])}": "', {43: "sha256-", 64: "sha384-", 86: "sha512-"}[size] + some(mixed + "+/", size, size) + padding, f'", {text(2)}'
+        if kind in (17, 18):
+            name = lambda: "_".join(r.choice([word(), r.choice(DICTIONARY)]) for _ in range(r.randint(1, 3)))
+            value = ".".join(name() for _ in range(r.choice([1, 2, 2, 3])))
+            return f"{text(2)} {r.choice(names)}{r.choice([' = ', '=', ': '])}", value, r.choice(["(", "[", "()", "['", '["']) + f"{text(1)})" if "." not in value or r.random() < 0.7 else f"{r.choice([',', ')', ';', chr(10)])} {text(2)}"
+        if kind == 19:
+            letters = r.choice(["ACGT", "acgt", "ACGU", "01", "ab", some(mixed, 3, 5)])
+            return f"{text(3)} ", some(letters, 20, 400), f" {text(2)}"
         if kind == 0:
             return f"{text(3)} {r.choice(HARMLESS)}{r.choice([' ', ': ', '='])}", some(hexes, 32, 64), f" {text(3)}"
         if kind == 1:
@@ -366,7 +397,7 @@ def found_in(text: str, path: str, judge: Judge) -> list[tuple[int, int, float]]
 
 
 #: A row can have candidates only if this matches; Java's regex, before any text goes to Python.
-POSSIBLE = f"[{LETTERS}]{{16}}|{NAMED}|-----BEGIN |://[^\\s:/@]+:[^\\s/@]{{6,128}}@"
+POSSIBLE = f"[{LETTERS}]{{16}}|{NAMED}|-----BEGIN |://[^\\s:/@]+:[^\\s/@]{{4,}}@"
 
 
 def scan(docs: DataFrame, judge: Judge | None = None, least: float = LEAST) -> DataFrame:
