@@ -29,19 +29,20 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
-#: Rows of a file, about.
-ROWS = 10_000
+#: Rows of a file, about, as long as that makes no more than FILES files; then files grow instead, so that what cuts them stays bounded
+#: (cuts in the plan, entries of the percentile sketch, sampled text ids: each some tens a file).
+ROWS, FILES = 10_000, 20_000
 
 
 def ranges(docs: DataFrame, size: int) -> list:
-    """Ascending values of doc_id that cut docs into ranges of about `size` rows."""
+    """Ascending values of doc_id that cut docs into ranges of about `size` rows, FILES ranges at most."""
     n = docs.count()
-    cuts = max(1, -(-n // size))
+    cuts = min(FILES, max(1, -(-n // size)))
     shares = [i / cuts for i in range(1, cuts)]
     if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double"):
         found = docs.select(F.percentile_approx("doc_id", shares or [0.5], max(10_000, 10 * cuts))).first()[0]
         return sorted(set(found or [])) if shares else []
-    drawn = docs.where("doc_id IS NOT NULL").select("doc_id").sample(min(1.0, 100 * cuts / max(1, n)), 1).distinct().orderBy("doc_id").collect()
+    drawn = docs.where("doc_id IS NOT NULL").select("doc_id").sample(min(1.0, 20 * cuts / max(1, n)), 1).distinct().orderBy("doc_id").collect()
     return [drawn[int(len(drawn) * s)][0] for s in shares] if drawn else []
 
 
