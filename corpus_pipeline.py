@@ -16,8 +16,8 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: that with the smallest doc_id, nulls
-    last. Repeated rows are copies; null texts are copies of each other and of empty ones."""
+    """One document of each group of near copies (SimHash at 4 or fewer bits as in operator 2, or five-word shingles with a similarity of
+    0.8 or more) stays: that with the smallest doc_id, nulls last. Repeated rows are copies; null texts are copies of each other and of empty ones."""
     ship(spark)
     return near_copies.keep_one(docs)
 

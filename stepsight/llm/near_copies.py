@@ -1,4 +1,8 @@
-"""Near copies as a similarity join: texts whose sets of five-word shingles resemble each other by LEAST (Jaccard) or more.
+"""Near copies: SimHash, and on top of its components a similarity join of what its 4 bits of 64 are too few for.
+
+SimHash is operator 2 itself (simhash.grouped): texts whose fingerprints differ in 4 or fewer bits are one component from the start, so
+no link of operator 2 is lost. The join then links texts whose sets of five-word shingles resemble each other by LEAST (Jaccard) or more
+and that SimHash left apart; it compares no two texts of one component.
 
 MinHash bands retrieve, the shingle sets themselves verify. A band is the minimum of ROWS hash functions each; a pair at a
 similarity of 0.8 shares none of BANDS bands with a chance of (1 - 0.8^ROWS)^BANDS = 0.00003, and of pairs below none is linked.
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stash
-from .simhash import one_per_group
+from .simhash import grouped, one_per_group
 
 WORDS, LEAST = 5, 0.8
 ROWS, BANDS, SEED = 4, 20, 42
@@ -105,10 +109,17 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(cells, "cell", "left_semi")
 
 
-def roots(texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """(h, root) of the distinct texts of `texts` (h: hash, text): components of those that resemble each other."""
+def begun(found: DataFrame) -> DataFrame:
+    """(h, root) of the texts of simhash.grouped(): the smallest hash of a text's component."""
+    own = found.select("h", F.col("root").alias("group")).distinct()
+    return stash(own.join(own.groupBy("group").agg(F.min("h").alias("root")), "group").select("h", "root"))
+
+
+def roots(texts: DataFrame, least: float = LEAST, rooted: DataFrame | None = None) -> DataFrame:
+    """(h, root) of the distinct texts of `texts` (h: hash, text): components of those that resemble each other, and of those that `rooted`
+    (the same columns, of every text) has as one already."""
     points = stash(texts.mapInArrow(_sketches, "h bigint, n int, bands array<bigint>").dropDuplicates(["h"]))
-    rooted = points.select("h", F.col("h").alias("root"))
+    rooted = points.select("h", F.col("h").alias("root")) if rooted is None else rooted
     placed = points.select("h", "n", F.explode("bands").alias("cell"))
     near = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
     pivots = placed.groupBy("cell").agg(F.min(F.struct("h", "n")).alias("p"), F.count("*").alias("k")).where("k > 1").select("cell", F.col("p.h").alias("b"), F.col("p.n").alias("m"))
@@ -144,6 +155,7 @@ def roots(texts: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id, as in simhash.one_per_group."""
+    """Of each group of near copies, by SimHash and by resemblance, the row with the smallest doc_id, as in simhash.one_per_group."""
+    found = stash(grouped(docs).select("doc_id", "h", "root"))
     texts = docs.select(F.xxhash64("text").alias("h"), "text")
-    return one_per_group(docs, docs.select("doc_id", F.xxhash64("text").alias("h")).join(roots(texts, least), "h"))
+    return one_per_group(docs, found.select("doc_id", "h").join(roots(texts, least, begun(found)), "h"))

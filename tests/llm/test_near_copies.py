@@ -1,7 +1,7 @@
 """The pipeline's similarity join on groups whose members resemble each other by a little more or a little less than 0.8."""
 
 import numpy as np
-from stepsight.llm import near_copies
+from stepsight.llm import near_copies, simhash
 
 from .test_operators import components_of, prose, table
 
@@ -49,3 +49,22 @@ def test_a_pair_is_held_against_each_other_once(spark, monkeypatch):
     near_copies.keep_one(table(spark, texts)).collect()
     pairs = [frozenset(p) for x in seen for p in x]
     assert len(seen) == 4 and len(pairs) == len(set(pairs)) > 60
+
+
+def test_every_link_of_simhash_holds(spark):
+    """Texts whose fingerprints differ in 4 or fewer bits, though their shingle sets resemble each other by less than 0.8."""
+    rng = np.random.default_rng(23)
+    pairs = []
+    while len(pairs) < 6:
+        base = prose(rng, 60).split()
+        for _ in range(300):
+            other = changed(rng, base, 2, "s")
+            a, b = " ".join(base), " ".join(other)
+            if bin(simhash.fingerprint(a) ^ simhash.fingerprint(b)).count("1") <= 4 and not resembling([a, b]):
+                pairs.append((a, b))
+                break
+    texts = [t for p in pairs for t in p] + [prose(rng, 60) for _ in range(5)]
+    kept = near_copies.keep_one(table(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2, 4, 6, 8, 10, *range(12, 17)]
+    links = simhash.near_duplicates(table(spark, texts)).select("component_id").distinct().collect()
+    assert sorted(r["component_id"] for r in links) == sorted(r["doc_id"] for r in kept)
