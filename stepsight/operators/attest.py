@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pyjson import canonical_json
+from ..functions.pyjson import canonical_json, plain_number, written_json
 from ..functions.scans import keys_of
 
 #: Columns of a probe's result and of a jurisdiction claim in a pack.
@@ -66,36 +66,50 @@ def packs(drift: DataFrame, steps: DataFrame, scored: DataFrame | None = None, i
     if scored is None:
         rows = rows.withColumn("per_step", F.lit(None).cast("map<string,struct<step_id:string>>"))
     else:
-        one = F.struct("step_id", "label", "overturned_gate", "reasoning", "severity", "evidence")
+        one = F.struct("evidence", "label", "overturned_gate", "reasoning", "severity", "step_id")
         written = F.struct(F.coalesce("rank", F.lit(-1)).alias("rank"), "seq") if "rank" in scored.columns else F.col("seq")
         last = scored.groupBy(*keys, "step_id").agg(F.max_by(one, written).alias("d"))
-        rows = rows.join(last.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("step_id", "d"))).alias("per_step")), keys, "left")
+        rows = rows.join(last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("step_id", "d")))).alias("per_step")), keys, "left")
+    typed = lambda columns: f"array<struct<{','.join(sorted(columns.split(',')))}>>"
     for name, table, columns, order in (("probe_results", probes, PROBE_RESULT, "probe_id"), ("jurisdiction_claims", claims, CLAIM, "article")):
         if table is None:
-            rows = rows.withColumn(name, F.expr(f"CAST(array() AS array<struct<{columns}>>)"))
+            rows = rows.withColumn(name, F.array().cast(typed(columns)))
         else:
             own = [F.col(c.split(":")[0]) for c in columns.split(",")]
-            listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("by"), F.struct(*own).alias("x")))), lambda x: x["x"])
+            names = [c.split(":")[0] for c in columns.split(",")]
+            listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("by"), F.struct(*own).alias("x")))), lambda x: _ordered({n: x["x"][n] for n in names}))  # noqa: B023
             rows = rows.join(table.groupBy(*(k for k in keys if k in table.columns)).agg(listed.alias(name)), [k for k in keys if k in table.columns], "left")
-            rows = rows.withColumn(name, F.coalesce(name, F.expr(f"CAST(array() AS array<struct<{columns}>>)")))
-    replay = "original_trace_id:string,counterfactual_policy:string,diff_summary:string,divergence_step:string"
+            rows = rows.withColumn(name, F.coalesce(name, F.array().cast(typed(columns))))
+    replay = "counterfactual_policy:string,diff_summary:string,divergence_step:string,original_trace_id:string"
     none = F.expr(f"CAST(array() AS array<struct<{replay}>>)")
     if replays is None:
         rows = rows.withColumn("counterfactual_diffs", none)
     else:
-        one = F.struct(F.col("trace_id").alias("original_trace_id"), F.col("policy").alias("counterfactual_policy"), F.col("diffs").alias("diff_summary"), F.col("first_divergence").alias("divergence_step"))
+        one = F.struct(F.col("policy").alias("counterfactual_policy"), F.col("diffs").alias("diff_summary"), F.col("first_divergence").alias("divergence_step"), F.col("trace_id").alias("original_trace_id"))
         rows = rows.join(replays.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("counterfactual_diffs")), keys, "left").withColumn("counterfactual_diffs", F.coalesce("counterfactual_diffs", none))
     at = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     method = F.split("method", "@")
-    mark = F.col("fingerprint") if "fingerprint" in drift.columns else F.lit(None).cast("struct<method:string>")
-    metrics = F.struct(
-        F.round("drift_score", 12).alias("drift_score"), F.create_map("trace_id", F.round("drift_score", 12)).alias("drift_per_trace"), "flagged_steps", method[0].alias("method"), method[1].alias("method_version"), "per_step", mark.alias("scorer_fingerprint"), "taxonomy_counts"
-    )
-    body = F.struct(
-        F.lit("v0.1").alias("spec_version"), F.lit(issued_at).alias("issued_at"), F.struct(F.lit(issuer).alias("name")).alias("issuer"), F.struct(F.coalesce("config", "trace_id").alias("agent_config_ref"), F.lit(agent_version).alias("agent_version"), "tenant_id").alias("subject"),
-        "jurisdiction_claims", "probe_results", metrics.alias("drift_metrics"), "counterfactual_diffs", F.struct(F.lit(1).alias("trace_count"), "step_count", "flow_types", F.array(at("first_ts"), at("last_ts")).alias("time_range")).alias("trace_summary"),
-    )
-    return sealed(rows.select(*keys, canonical_json(F.to_json(body, {"ignoreNullFields": "false"})).alias("manifest")))
+    metrics = {"drift_score": F.round("drift_score", 12), "drift_per_trace": F.create_map("trace_id", F.round("drift_score", 12)), "flagged_steps": F.col("flagged_steps"), "method": method[0], "method_version": method[1], "per_step": F.col("per_step")}
+    metrics["taxonomy_counts"] = F.map_from_entries(F.array_sort(F.map_entries("taxonomy_counts")))
+    sure, mark = plain_number(F.round("drift_score", 12)), F.lit(None).cast("struct<method:string>")
+    if "fingerprint" in drift.columns:
+        fields = drift.schema["fingerprint"].dataType.fields
+        mark = F.when(F.col("fingerprint").isNotNull(), _ordered({f.name: F.col("fingerprint")[f.name] for f in fields}))
+        for f in fields:
+            sure = sure & plain_number(F.col("fingerprint")[f.name]) if f.dataType.typeName() in ("double", "float") else sure
+    body = {
+        "spec_version": F.lit("v0.1"), "issued_at": F.lit(issued_at), "issuer": F.struct(F.lit(issuer).alias("name")),
+        "subject": _ordered({"agent_config_ref": F.coalesce("config", "trace_id"), "agent_version": F.lit(agent_version), "tenant_id": F.col("tenant_id")}),
+        "jurisdiction_claims": F.col("jurisdiction_claims"), "probe_results": F.col("probe_results"), "drift_metrics": _ordered(metrics | {"scorer_fingerprint": mark}), "counterfactual_diffs": F.col("counterfactual_diffs"),
+        "trace_summary": _ordered({"trace_count": F.lit(1), "step_count": F.col("step_count"), "flow_types": F.col("flow_types"), "time_range": F.array(at("first_ts"), at("last_ts"))}),
+    }
+    made = rows.select(*keys, F.to_json(_ordered(body), {"ignoreNullFields": "false"}).alias("manifest"), sure.alias("sure"))
+    return made.select(*keys, written_json(F.col("manifest"), F.col("sure")).alias("manifest")).withColumn("digest", F.sha2("manifest", 256))
+
+
+def _ordered(fields: dict[str, Column]) -> Column:
+    """A struct whose fields come in the order of canonical JSON."""
+    return F.struct(*(fields[k].alias(k) for k in sorted(fields)))
 
 
 def sealed(manifests: DataFrame) -> DataFrame:

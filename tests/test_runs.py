@@ -1,5 +1,6 @@
 """Stores and ledgers over two runs, documents on disk, traces that share an id, long sessions of records."""
 
+import hashlib
 import json
 import random
 import time
@@ -237,3 +238,31 @@ def test_payload_texts_as_python_shows_them(spark):
     s = spark.createDataFrame([(i, *r, "go") for i, r in enumerate(rows)], "i int, action_type string, tool_name string, payload string, text string, declared_intent string")
     want = [str({"name": n, "input": json.loads(p) if p else None}) if a == "tool_call" else str({"text": t or ""}) for a, n, p, t in rows]
     assert [r["payload_text"] for r in drift.with_payload_text(s).orderBy("i").collect()] == want
+
+
+def test_manifests_are_canonical_whatever_is_in_them(spark):
+    """Whatever the texts and numbers: the bytes are those of Python's canonical JSON, and the digest is theirs."""
+    names = ["plain", "it's", 'q"\\', "\u00e9\u4e2d", "tab\t\x01\x7f", "\U0001f600", "</x>"]
+    s = spark.createDataFrame([(n, i, f"{n}-{i}", f"do {n} {i}", "tool_call", "Bash", '{"command":"ls"}', None, None) for n in names for i in range(12)], "trace_id string, seq long, step_id string, declared_intent string, action_type string, tool_name string, payload string, text string, ts timestamp")
+    scored = drift.score_two_stage(drift.with_payload_text(s), spark.createDataFrame([], "trace_id string, step_id string, label string, severity string, reasoning string, evidence string"))
+    for score in (0.5, 0.0, 0.00005, 1 / 3, 0.002, 1.0, 12345678.0, None):
+        for heat in (0.0, 1e-5, 0.7):
+            d = drift.trace_drift(s, scored, models={"judge_temperature": heat}).withColumn("drift_score", F.lit(score).cast("double"))
+            if (score, heat) not in ((0.5, 0.0), (0.00005, 0.7), (1 / 3, 1e-5), (None, 0.7), (12345678.0, 0.7)):
+                continue
+            rows = attest.packs(d, s, scored).collect()
+            assert len(rows) == len(names)
+            for r in rows:
+                own = json.loads(r["manifest"])
+                assert r["manifest"] == json.dumps(own, sort_keys=True, separators=(",", ":"))
+                assert r["digest"] == hashlib.sha256(r["manifest"].encode()).hexdigest()
+                assert list(own["drift_metrics"]["drift_per_trace"]) == [r["trace_id"]] and own["drift_metrics"]["drift_score"] == (None if score is None else round(score, 12))
+                assert len(own["drift_metrics"]["per_step"]) == 12
+
+
+def test_long_json_goes_to_workers_a_hundred_texts_at_a_time(spark):
+    """Not in Arrow batches of 10,000, which hold that many manifests at once."""
+    plan = spark.range(3).select(canonical_json(F.concat(F.lit('{"b":[1],"a":'), "id", F.lit("}"))).alias("c"))
+    assert [r["c"] for r in plan.orderBy("c").collect()] == [f'{{"a":{i},"b":[1]}}' for i in range(3)]
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in shown and "ArrowEvalPython" not in shown
