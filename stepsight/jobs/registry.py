@@ -873,6 +873,5 @@ def c3_merged_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY n DESC, key) AS rank, key, n FROM (SELECT metric, key, n FROM s WHERE metric IN ('record_type', 'delegate_tool') UNION ALL SELECT * FROM a)"""
 )
 def c3_top_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = corpus.statistics(sessions.records(raw_lines(spark, sf_dir, "agent_id")))
-    lists = [corpus.top(stats, m).select(F.lit(m).alias("metric"), "rank", "key", "n") for m in ("record_type", "delegate_tool", "anchor")]
-    return lists[0].union(lists[1]).union(lists[2])
+    counts = corpus.counts(sessions.records(raw_lines(spark, sf_dir, "agent_id")))
+    return corpus.tops(counts, ("record_type", "delegate_tool", "anchor"))

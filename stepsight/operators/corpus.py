@@ -52,14 +52,18 @@ def _told(sums: DataFrame, seen: DataFrame, plan_stores: DataFrame | None, unrea
     return out.union(unreadable.select(F.lit("unreadable"), "path", F.lit(1).cast("long"))) if unreadable is not None else out
 
 
+def counts(records: DataFrame) -> DataFrame:
+    """(metric, key, n) of what single records count for: the part of statistics() that takes one pass and no transcripts."""
+    return _marks(records).select(F.explode("marks").alias("x")).groupBy("x.metric", "x.key").agg(F.count("*").alias("n"))
+
+
 def statistics(records: DataFrame, plan_stores: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
     """(metric, key, n): sessions; of parent transcripts, records by type and plan anchors; of subagents, transcripts, records, sessions that
     have them and calls by tool; sessions with a plan store (plan_stores: session); unreadable transcripts (unreadable: path).
 
     One pass: each record says what it counts for, and the counts are summed by metric and key."""
     counted = _marks(records)
-    sums = counted.select(F.explode("marks").alias("x")).groupBy("x.metric", "x.key").agg(F.count("*").alias("n"))
-    return _told(sums, counted.groupBy("session", "agent_id").agg(F.lit(1).alias("one")), plan_stores, unreadable)
+    return _told(counts(records), counted.groupBy("session", "agent_id").agg(F.lit(1).alias("one")), plan_stores, unreadable)
 
 
 def partials(records: DataFrame, run: int) -> DataFrame:
@@ -89,6 +93,14 @@ def top(stats: DataFrame, metric: str, most: int | None = None) -> DataFrame:
     return ranked if most is None else ranked.where(F.col("rank") <= most)
 
 
+def tops(stats: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """metric, rank, key, n: top() of several metrics of counts() or statistics(), which are worked out once for all of them."""
+    own = stats.where(F.col("metric").isin(*metrics)).select("metric", "key", "n")
+    if "anchor" in metrics:
+        own = own.union(stats.sparkSession.createDataFrame([("anchor", a, 0) for a in ANCHORS], "metric string, key string, n long")).groupBy("metric", "key").agg(F.sum("n").alias("n"))
+    return own.select("metric", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("n"), "key")).cast("long").alias("rank"), "key", "n")
+
+
 def pairing(records: DataFrame) -> DataFrame:
     """session, calls, results, trailing (calls after the last user record), unresolved."""
     last = F.max(F.when(F.col("type") == "user", F.col("line")))

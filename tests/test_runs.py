@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stepsight.functions import scans
 from stepsight.functions.pyjson import canonical_json, is_flat, py_repr
-from stepsight.operators import attest, drift, evaluate, findings, report
+from stepsight.operators import attest, corpus, drift, evaluate, findings, report
 from stepsight.sources import adapters, documents, ledger, sessions
 
 from .test_sessions import record, text, use
@@ -266,3 +266,16 @@ def test_long_json_goes_to_workers_a_hundred_texts_at_a_time(spark):
     assert [r["c"] for r in plan.orderBy("c").collect()] == [f'{{"a":{i},"b":[1]}}' for i in range(3)]
     shown = plan._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in shown and "ArrowEvalPython" not in shown
+
+
+def test_top_lists_come_from_one_pass(spark):
+    """The lists of several metrics are those of each, and records are parsed once for all of them."""
+    call = lambda name: json.dumps({"type": "assistant", "message": {"content": [{"type": "tool_use", "id": "1", "name": name, "input": {}}]}})
+    lines = [("s", i, call(n), a) for i, (n, a) in enumerate([("Bash", "x"), ("Read", "x"), ("Bash", None), ("TaskCreate", None), ("TaskCreate", None)])] + [("t", 0, '{"type":"user"}', None)]
+    records = sessions.records(spark.createDataFrame(lines, "session string, line int, value string, agent_id string"))
+    metrics = ("record_type", "delegate_tool", "anchor")
+    got = corpus.tops(corpus.counts(records), metrics)
+    stats = corpus.statistics(records)
+    want = [(m, *r) for m in metrics for r in corpus.top(stats, m).collect()]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 7
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
