@@ -58,8 +58,11 @@ def read_plan_store(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """Parsed lines: session, line, type, its fields and `blocks` (array of BLOCK; a text content is one text block)."""
-    r = lines.withColumn("r", F.from_json("value", RECORD)).where("r IS NOT NULL")
+    """Parsed lines: session, line, type, its fields and `blocks` (array of BLOCK; a text content is one text block).
+
+    A line is parsed once: what is no object is left out by the explode, beyond which no filter on a record's fields is pushed, as such a
+    filter would parse all lines again."""
+    r = lines.withColumn("r", F.explode(F.array_compact(F.array(F.from_json("value", RECORD)))))
     content = F.col("r.message.content")
     blocks = F.when(F.trim(content).startswith("["), F.from_json(content, f"array<{BLOCK}>"))
     plain = F.when(blocks.isNull() & content.isNotNull(), content)

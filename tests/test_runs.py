@@ -279,3 +279,13 @@ def test_top_lists_come_from_one_pass(spark):
     want = [(m, *r) for m in metrics for r in corpus.top(stats, m).collect()]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) == 7
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+
+def test_a_line_is_parsed_once_whatever_is_asked_of_its_record(spark):
+    rows = [("s", 0, '{"type":"user","uuid":"a"}'), ("s", 1, "[1]"), ("s", 2, "no"), ("s", 3, None), ("s", 4, '{"type":"mystery"}'), ("s", 5, '{"type":"user"}'), ("s", 6, "{}")]
+    r = sessions.records(spark.createDataFrame(rows, "session string, line int, value string"))
+    assert {x["line"]: x["type"] for x in r.collect()}.keys() >= {0, 4, 5, 6} and not {x["line"] for x in r.collect()} & {3}
+    own = r.where("type = 'user'").select("line", "uuid")
+    assert sorted(x["line"] for x in own.collect()) == [0, 5]
+    assert own._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
