@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import exists
+from ..functions.tables import exists, shared_dir
 from .sessions import read_lines
 
 ENTRY = "path string, length bigint, time timestamp"
@@ -28,8 +30,11 @@ def unread(spark: SparkSession, glob: str, ledger: str) -> DataFrame:
 def read_unread(spark: SparkSession, glob: str, ledger: str) -> tuple[DataFrame, DataFrame]:
     """The lines of unread transcripts, as read_lines() has them, and the entries to give to noted() once they are dealt with.
 
-    Files older than all unread ones are not opened, as their time is held against the listing; of those younger only unread ones are kept."""
-    entries = unread(spark, glob, ledger)
+    Files older than all unread ones are not opened, as their time is held against the listing; of those younger only unread ones are kept.
+    The entries are listed once, into a table of the shared folder: each further look at them would be one at every file."""
+    path = f"{shared_dir(spark)}/entries-{uuid.uuid4().hex}"
+    unread(spark, glob, ledger).write.parquet(path)
+    entries = spark.read.schema(ENTRY).parquet(path)
     since = entries.agg(F.min("time").alias("t")).first()["t"]
     lines = read_lines(spark, glob, since)
     return lines.join(entries.select("path"), "path", "left_semi"), entries

@@ -281,6 +281,20 @@ def test_top_lists_come_from_one_pass(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
 
 
+def test_unread_files_are_looked_at_once(spark, tmp_path):
+    """Entries are a table of their own: what comes or goes later does not change them, and looking at them opens no transcript."""
+    (tmp_path / "logs").mkdir()
+    for i in range(3):
+        (tmp_path / "logs" / f"s{i}.jsonl").write_text('{"type":"user"}\n')
+    lines, entries = ledger.read_unread(spark, str(tmp_path / "logs"), str(tmp_path / "book"))
+    assert lines.count() == 3
+    (tmp_path / "logs" / "s2.jsonl").unlink()
+    assert entries.count() == 3 and "binaryFile" not in entries._jdf.queryExecution().executedPlan().toString()
+    ledger.noted(entries, str(tmp_path / "book"))
+    (tmp_path / "logs" / "s3.jsonl").write_text('{"type":"user"}\n')
+    again, left = ledger.read_unread(spark, str(tmp_path / "logs"), str(tmp_path / "book"))
+    assert left.count() == again.count() == 1
+
 
 def test_a_line_is_parsed_once_whatever_is_asked_of_its_record(spark):
     rows = [("s", 0, '{"type":"user","uuid":"a"}'), ("s", 1, "[1]"), ("s", 2, "no"), ("s", 3, None), ("s", 4, '{"type":"mystery"}'), ("s", 5, '{"type":"user"}'), ("s", 6, "{}")]
