@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -589,9 +590,9 @@ def n12_delegates(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda i, kind, content: f"named_struct('line', {i}, 'value', concat('{{\"type\":\"{kind}\",\"sessionId\":\"y\",\"uuid\":\"d', seq, '-{i}\",\"message\":{{\"content\":{content}}}}}'))"
     call = '[{"type":"tool_use","id":"q","name":"Bash","input":{"command":"pwd"}}]'.replace('"', '\"')
     sub = s.selectExpr("trace_id AS session", "concat('x', seq) AS agent_id", f"inline(array({line(1, 'user', chr(34) + 'please' + chr(34))}, {line(2, 'assistant', call)}))")
-    own = sessions.normalised(parents, matched=meta)
-    links = sessions.delegate_links(own, meta)
-    both = sessions.with_delegates(own, sessions.delegate_steps(sub, links), links)
+    own = sessions.normalised(parents, matched=meta).persist(StorageLevel.DISK_ONLY)  # for the links, the rows and their number
+    links = sessions.delegate_links(own, meta).persist(StorageLevel.DISK_ONLY)
+    both = sessions.with_delegates(own, sessions.delegate_steps(sub, links).persist(StorageLevel.DISK_ONLY), links)
     return both.select("trace_id", "seq", "step_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("parent_step_id", "declared_intent", "agent_id")), "delegation_unobserved")
 
 
