@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import COMMIT, EDITORS, FLAGS, TRIPWIRES, VERIFY
-from ..functions.scans import Mark, arranged, chunked, keys_of, running
+from ..functions.scans import Mark, arranged, chunked, keys_of, place_of, running
 
 SCRATCH = ("/tmp",)
 CHURN = 4
@@ -155,11 +155,14 @@ def churn_burst(steps: DataFrame, least: int | Column = CHURN) -> DataFrame:
     keys, verify = keys_of(steps), is_bash() & matches(F.col("command"), VERIFY)
     own = chunked(steps).withColumn("least", F.lit(least) if isinstance(least, int) else least).withColumn("verify", verify.cast("int"))
     own = own.where(F.col("verify").cast("boolean") | (calls(*EDITORS, "Read") & (F.coalesce(F.length("file_path"), F.lit(0)) > 0)))
-    own = own.select(*keys, "chunk", "seq", "step_id", "file_path", "verify", "least", calls("Read").cast("int").alias("read"))
+    own = own.select(*place_of(own), "seq", "step_id", "file_path", "verify", "least", calls("Read").cast("int").alias("read"))
     own = running(own, keys, {"verified": Mark("sum", F.col("verify"))}).where("verify = 0")
     edits = running(own, [*keys, "file_path"], {"reads": Mark("sum", F.col("read"))}).where("read = 0")
     run = [*keys, "file_path", "verified", "reads"]
-    parts = edits.groupBy(*run, "chunk").agg(F.collect_list(F.struct("seq", "step_id")).alias("part"), F.max("least").alias("least"))
+    place = [c for c in place_of(edits) if c not in run]
+    parts = edits.groupBy(*run, *place).agg(F.collect_list(F.struct("seq", "step_id")).alias("part"), F.max("least").alias("least"))
+    if "several" in place:  # a part that is the whole run, and too short, need not move
+        parts = parts.where(F.col("several") | (F.size("part") >= F.col("least")))
     runs = parts.groupBy(*run).agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("run"), F.max("least").alias("least")).where(F.size("run") >= F.col("least"))
     return runs.withColumn("seq", F.col("run")[0]["seq"]).select(*finding(keys, "churn-burst", "medium", {"file_path": F.col("file_path"), "run_length": F.size("run")}, F.col("run.step_id")))
 
@@ -167,7 +170,8 @@ def churn_burst(steps: DataFrame, least: int | Column = CHURN) -> DataFrame:
 def commit_without_tests(steps: DataFrame) -> DataFrame:
     """Commits with no verify command since the commit before, their own command included."""
     keys = keys_of(steps)
-    bash = chunked(steps).where(is_bash()).select(*keys, "chunk", "seq", "step_id", "command", matches(F.col("command"), COMMIT).alias("commit"), matches(F.col("command"), VERIFY).alias("verify"))
+    own = chunked(steps)
+    bash = own.where(is_bash()).select(*place_of(own), "seq", "step_id", "command", matches(F.col("command"), COMMIT).alias("commit"), matches(F.col("command"), VERIFY).alias("verify"))
     marks = {"tested": Mark("max", F.when(F.col("verify"), F.col("seq"))), "before": Mark("max", F.when(F.col("commit"), F.col("seq")), before=True)}
     tested = F.col("tested").isNotNull() & (F.col("before").isNull() | (F.col("tested") > F.col("before")))
     return running(bash, keys, marks).where(F.col("commit") & ~tested).select(*finding(keys, "commit-without-tests", "medium", {"command": F.col("command")}))
@@ -199,9 +203,11 @@ def error_clusters(steps: DataFrame, window: int | Column = ERROR_WINDOW, least:
     number, whatever the lengths; what such windows cover follows from the two places. What overlaps or touches is one cluster."""
     keys = keys_of(steps)
     lit = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("long")
-    env = chunked(steps).where("action_type = 'env_effect'").select(*keys, "chunk", "seq", "step_id", F.coalesce(F.col("is_error"), F.lit(False)).cast("int").alias("err"), lit(window).alias("w"), lit(least).alias("k"))
+    own = chunked(steps)
+    env = own.where("action_type = 'env_effect'").select(*place_of(own), "seq", "step_id", F.coalesce(F.col("is_error"), F.lit(False)).cast("int").alias("err"), lit(window).alias("w"), lit(least).alias("k"))
     placed = running(env, keys, {"place": Mark("sum", F.lit(1)), "nth": Mark("sum", F.col("err"))}).withColumn("f", F.col("place") - 1)
-    failed = placed.where("err = 1").select(*keys, "seq", "step_id", "w", "k", "f", "nth")
+    several = [c for c in place_of(placed) if c == "several"]
+    failed = placed.where("err = 1").select(*keys, *several, "seq", "step_id", "w", "k", "f", "nth")
     last = failed.select(*keys, F.col("nth").alias("at"), F.col("f").alias("l"))
     met = failed.withColumn("at", F.col("nth") + F.greatest(F.col("k"), F.lit(1)) - 1).join(last, [*keys, "at"], "left")
     fits = (F.col("k") <= 0) & (F.col("w") > 0) | (F.col("l") - F.col("f") < F.col("w"))
@@ -209,6 +215,8 @@ def error_clusters(steps: DataFrame, window: int | Column = ERROR_WINDOW, least:
     high = F.when(F.col("k") <= 0, 1 << 62).otherwise(F.col("f") + F.col("w") - 1)  # beyond a trace's end there is nothing to cover
     met = met.select(*failed.columns, F.coalesce(fits, F.lit(False)).alias("fits"), low.alias("low"), high.alias("high"))
     met = chunked(met, "nth")
+    if several:  # the errors of one chunk of steps are one chunk
+        met = met.withColumn("chunk", F.when(F.col("several"), F.col("chunk")).otherwise(0))
     met = running(met, keys, {"covered": Mark("max", F.when(F.col("fits"), F.col("high")), before=True), "begun": Mark("max", F.when(F.col("fits"), F.col("nth")))}, "nth")
     opens = F.col("fits") & (F.col("covered").isNull() | (F.col("low") > F.col("covered") + 1))
     met = running(met, keys, {"island": Mark("sum", opens.cast("int"))}, "nth")
@@ -281,18 +289,20 @@ def abandoned_artifacts(steps: DataFrame, texts: DataFrame | None = None) -> Dat
 
 
 def analyze(steps: DataFrame, roots: DataFrame | None = None, rules: dict | DataFrame | None = None) -> DataFrame:
-    """All findings of all rules, from two scans of steps: one narrow, arranged by trace, and one of the texts that may mention a file.
+    """All findings of all rules, from two scans of steps: one narrow, arranged by trace, and one of the texts that may mention a file. Steps
+    that are arranged already are not moved again.
 
     rules: a table of in_force(), each step being held to its tenant's, or of rules_of() for all steps alike; explicit roots override
     those found."""
     table = rules if isinstance(rules, DataFrame) else None
     given = rules if isinstance(rules, dict) else {}
-    narrow = steps.select(*keys_of(steps), *NARROW, *(["tenant"] if table is not None and "tenant" in steps.columns else []))
+    there = table is None and "several" in steps.columns
+    narrow = steps.select(*(place_of if there else keys_of)(steps), *NARROW, *(["tenant"] if table is not None and "tenant" in steps.columns else []))
     limit = {k: F.lit(given.get(k, v)) for k, v in LIMITS.items()}
     if table is not None:
         narrow = _of_tenants(narrow, table.select("tenant", *(F.col(k).alias(f"own_{k}") for k in LIMITS)))
         limit = {k: F.coalesce(f"own_{k}", F.lit(v)) for k, v in LIMITS.items()}
-    own = arranged(narrow, keys_of(steps))
+    own = narrow if there else arranged(narrow, keys_of(steps))
     out = scope_escape(own, roots, given.get("scratch_prefixes", SCRATCH), given.get("roots"), table)
     out = out.unionByName(churn_burst(own, limit["churn_threshold"])).unionByName(commit_without_tests(own))
     out = out.unionByName(tripwires(own, given.get("tripwire_patterns", TRIPWIRES), table))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import COMMIT, DELEGATES, EDITS, TRIPWIRES, VERIFY
-from ..functions.scans import Mark, chunked, keys_of, running
+from ..functions.scans import Mark, chunked, keys_of, place_of, running
 from .findings import RANK, basename, calls, is_bash, matches
 
 CLIP = 100
@@ -30,7 +30,7 @@ def timeline(steps: DataFrame) -> DataFrame:
     keys = keys_of(steps)
     own = chunked(steps).where(~((F.col("action_type") == "env_effect") & ~failed)).withColumn("edit", calls(*EDITS))
     path = F.coalesce(F.col("file_path"), F.lit("?"))
-    narrow = own.select(*keys, "chunk", "seq", "step_id", "ts", "edit", "file_path")
+    narrow = own.select(*place_of(own), "seq", "step_id", "ts", "edit", "file_path")
     # Edits of one run have the same last step before them that is none.
     edits = running(narrow, keys, {"island": Mark("max", F.when(~F.col("edit"), F.col("seq")))}).where("edit")
     runs = edits.groupBy(*keys, "island").agg(F.min("seq").alias("seq"), F.min_by(F.struct("step_id", "ts"), "seq").alias("start"), F.count("*").alias("n"), F.collect_set(basename(path)).alias("names"))
@@ -57,7 +57,8 @@ def timeline(steps: DataFrame) -> DataFrame:
 def turns(steps: DataFrame) -> DataFrame:
     """trace_id, turn, step_id, user_text, followed_by (map of tool to calls) of every user utterance."""
     keys = keys_of(steps)
-    own = chunked(steps).select(*keys, "chunk", "seq", "step_id", "actor", "action_type", "tool_name", "text").withColumn("user", is_user_turn())
+    own = chunked(steps)
+    own = own.select(*place_of(own), "seq", "step_id", "actor", "action_type", "tool_name", "text").withColumn("user", is_user_turn())
     own = running(own, keys, {"turn": Mark("sum", F.col("user").cast("int"))}).where("turn > 0")
     said = own.where("user").select(*keys, "turn", "seq", "step_id", F.col("text").alias("user_text"))
     used = own.where((F.col("actor") == "agent") & (F.col("action_type") == "tool_call") & F.col("tool_name").isNotNull()).groupBy(*keys, "turn", "tool_name").agg(F.count("*").alias("n"))

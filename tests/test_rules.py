@@ -6,7 +6,7 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
-from stepsight.functions import scans
+from stepsight.functions import scans, tables
 from stepsight.operators import findings, report
 
 SCHEMA = "trace_id string, seq long, step_id string, actor string, action_type string, tool_name string, file_path string, command string, text string, tool_result string, is_error boolean, delegation_unobserved boolean, cwd string, ts timestamp, payload string"
@@ -139,6 +139,24 @@ def test_long_sessions_are_many_chunks(spark, monkeypatch, size):
     arranged.unpersist()
 
 
+@pytest.mark.parametrize(("size", "several"), [(7, 100), (7, 0), (65_536, 100)])
+def test_arranged_sessions_have_partitions_by_size_and_few_carries(spark, monkeypatch, size, several):
+    """A small cached table is one partition, not one for each of a shuffle; only sessions of several chunks are told to be so, unless too many."""
+    monkeypatch.setattr(scans, "CHUNK", size)
+    monkeypatch.setattr(scans, "SEVERAL", several)
+    rows = long_session(7, 300)
+    df = scans.arranged(spark.createDataFrame(rows, SCHEMA).repartition(3), ["trace_id"])
+    longest = {t: max(r[1] for r in rows if r[0] == t) // size > min(r[1] for r in rows if r[0] == t) // size for t in {r[0] for r in rows}}
+    assert {(x["trace_id"], x["several"]) for x in df.select("trace_id", "several").distinct().collect()} == {(t, x or (several == 0)) for t, x in longest.items()}
+    assert df.rdd.getNumPartitions() < int(spark.conf.get("spark.sql.shuffle.partitions")) and spark.conf.get(tables.SIZED) == "false"
+    found = findings.analyze(df).select("rule_id", "trace_id", F.array_join("step_ids", ",").alias("ids")).collect()
+    got = {r: sorted((x["trace_id"], x["ids"]) for x in found if x["rule_id"] == r) for r in ("churn-burst", "commit-without-tests", "error-cluster")}
+    assert got == {"churn-burst": churn(rows), "commit-without-tests": commits(rows), "error-cluster": clusters(rows)}
+    assert sorted((e["trace_id"], e["step_id"], e["summary"]) for e in report.timeline(df).where("kind = 'edit'").collect()) == sorted((t, i, s) for t, i, s in edit_summaries(rows))
+    assert {(t["trace_id"], t["turn"]): t["followed_by"] for t in report.turns(df).collect()} == turns_of(rows)
+    assert sorted(map(str, found)) == sorted(map(str, findings.analyze(spark.createDataFrame(rows, SCHEMA)).select("rule_id", "trace_id", F.array_join("step_ids", ",").alias("ids")).collect()))
+
+
 def edit_summaries(rows):
     for t, i, n in edit_runs(rows):
         own = [s for s in by_trace([r for r in rows if r[0] == t])[0]]
