@@ -771,8 +771,8 @@ def d11_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d4_stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of half the steps are stored; a second run infers the rest, and a third nothing: its model would call all neutral."""
     s, store = payload_text(steps(spark, sf_dir)), f"{shared_dir(spark)}/predictions-{uuid.uuid4().hex}"
-    drift.score_nli(s.where("k % 2 = 0"), store=store, model="m").count()
-    drift.score_nli(s, store=store, model="m").count()
+    drift.remember(s.where("k % 2 = 0"), store, model="m")
+    drift.remember(s, store, model="m")
     neutral = lambda pairs: pairs[[]].assign(contra=0.0, entail=0.0, neutral=1.0)
     return drift.score_nli(s, neutral, store, "m").select("trace_id", "seq", "step_id", "label", "flagged")
 

@@ -96,37 +96,58 @@ def _pair_key() -> Column:
     return F.sha2(F.concat(F.coalesce(F.length("premise").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("premise", F.lit("")), F.lit("|"), "hypothesis"), 256)
 
 
-def predicted(pairs: DataFrame, predictor: Predictor, store: str | None = None, model: str = "lexical") -> DataFrame:
-    """key, contra, entail, neutral of distinct pairs (key, premise, hypothesis), predicted in batches of pairs of like length.
-
-    store: folder of earlier predictions by model. Only pairs that it lacks are predicted, and are added to it."""
-    spark = pairs.sparkSession
-
+def _inferred(pairs: DataFrame, predictor: Predictor) -> DataFrame:
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in it:
             yield pd.concat([own[["key"]].reset_index(drop=True), predictor(own[["premise", "hypothesis"]]).reset_index(drop=True)], axis=1)
 
-    def inferred(own: DataFrame) -> DataFrame:
-        size = F.coalesce(F.length("premise"), F.lit(0)) + F.length("hypothesis")
-        return own.sortWithinPartitions(size).mapInPandas(batches, "key string, contra double, entail double, neutral double")
+    size = F.coalesce(F.length("premise"), F.lit(0)) + F.length("hypothesis")
+    return pairs.sortWithinPartitions(size).mapInPandas(batches, "key string, contra double, entail double, neutral double")
 
-    if store is None:
-        return inferred(pairs)
+
+def _filled(pairs: DataFrame, predictor: Predictor, store: str, model: str) -> DataFrame:
+    """All that the store has of the model, once the pairs that it lacked are predicted and added."""
+    spark = pairs.sparkSession
     read = lambda: spark.read.schema(PREDICTION).parquet(store).where(F.col("model") == model).drop("model")
     new = pairs.join(read(), "key", "left_anti") if exists(spark, store) else pairs
-    inferred(new).withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(store)
-    return read().join(pairs.select("key"), "key", "left_semi")
+    _inferred(new, predictor).withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(store)
+    return read()
+
+
+def predicted(pairs: DataFrame, predictor: Predictor, store: str | None = None, model: str = "lexical") -> DataFrame:
+    """key, contra, entail, neutral of distinct pairs (key, premise, hypothesis), predicted in batches of pairs of like length.
+
+    store: folder of earlier predictions by model. Only pairs that it lacks are predicted, and are added to it."""
+    if store is None:
+        return _inferred(pairs, predictor)
+    return _filled(pairs, predictor, store, model).join(pairs.select("key"), "key", "left_semi")
+
+
+def _goals(steps: DataFrame) -> DataFrame:
+    """A row for each sub-goal of a scored step: its keys, premise, hypothesis."""
+    return steps.where("declared_intent IS NOT NULL").select(*_keys(steps), F.col("payload_text").alias("premise"), F.explode(sub_goals(F.col("declared_intent"))).alias("hypothesis"))
+
+
+def _pairs(goals: DataFrame) -> DataFrame:
+    """The distinct pairs of goals, by their texts, so that each is hashed once and none is sorted."""
+    return goals.select("premise", "hypothesis").distinct().select(_pair_key().alias("key"), "premise", "hypothesis")
+
+
+def remember(steps: DataFrame, store: str, predictor: Predictor = lexical_predictor, model: str = "lexical") -> None:
+    """Predicts what the store lacks for steps, without scoring them."""
+    _filled(_pairs(_goals(steps)), predictor, store, model)
 
 
 def gated(steps: DataFrame, predictor: Predictor = lexical_predictor, store: str | None = None, model: str = "lexical") -> DataFrame:
     """Scored steps with any_entail, any_contra (argmax over the three, the first of equal ones) and top_contra over their sub-goals.
 
     Each distinct (premise, hypothesis) is predicted once, and with a store (see predicted()) once for all runs."""
-    goals = steps.where("declared_intent IS NOT NULL").select(*_keys(steps), F.col("payload_text").alias("premise"), F.explode(sub_goals(F.col("declared_intent"))).alias("hypothesis")).withColumn("key", _pair_key())
-    found = predicted(goals.select("key", "premise", "hypothesis").dropDuplicates(["key"]), predictor, store, model)
+    goals = _goals(steps)
+    pairs = _pairs(goals)
+    found = _inferred(pairs, predictor) if store is None else _filled(pairs, predictor, store, model)  # which the join keeps to these goals
     contra = (F.col("contra") >= F.col("entail")) & (F.col("contra") >= F.col("neutral"))
     entail = ~contra & (F.col("entail") >= F.col("neutral"))
-    joined = goals.select(*_keys(steps), "key").join(found, "key")
+    joined = goals.select(*_keys(steps), _pair_key().alias("key")).join(found, "key")
     return joined.groupBy(*_keys(steps)).agg(F.bool_or(entail).alias("any_entail"), F.bool_or(contra).alias("any_contra"), F.max("contra").alias("top_contra"))
 
 

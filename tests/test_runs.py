@@ -58,6 +58,21 @@ def test_a_second_run_predicts_nothing(spark, tmp_path):
     assert spark.read.parquet(store).where("model = 'm@2'").count() == stored
 
 
+def test_predictions_are_remembered_without_scores(spark, tmp_path):
+    """Each pair is hashed once and none is sorted to be told apart; null, empty and equal texts as before."""
+    store = str(tmp_path / "store")
+    rows = [("t", i, f"s{i}", g, p) for i, (g, p) in enumerate([("a b", "a b"), ("a b", None), ("a b", ""), ("", "a b"), (None, "a b"), ("a b\na b", "a b"), ("x\na b", "x")])]
+    s = spark.createDataFrame(rows, "trace_id string, seq long, step_id string, declared_intent string, payload_text string")
+    drift.remember(s.where("seq < 3"), store)
+    assert spark.read.parquet(store).count() == 3
+    drift.remember(s, store)
+    assert spark.read.parquet(store).groupBy("key").count().where("count > 1").count() == 0 and spark.read.parquet(store).count() == 6
+    neutral = lambda pairs: pairs[[]].assign(contra=0.0, entail=0.0, neutral=1.0)
+    assert sorted(drift.score_nli(s, neutral, store).collect()) == sorted(drift.score_nli(s).collect()) and drift.score_nli(s).count() == 6
+    plan = drift.score_nli(s)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "sha2" in plan
+
+
 def test_batches_hold_pairs_of_like_length(spark):
     pairs = spark.createDataFrame([(str(i), "p" * (i * 37 % 100), "h") for i in range(100)], "key string, premise string, hypothesis string").coalesce(1)
 
