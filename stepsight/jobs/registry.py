@@ -227,7 +227,7 @@ def r5_header(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM h LEFT JOIN a USING (trace_id) LEFT JOIN b USING (trace_id) LEFT JOIN c USING (trace_id) LEFT JOIN n USING (trace_id) LEFT JOIN p ON p.cwd = h.cwd"""
 )
 def r6_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = arranged(steps(spark, sf_dir), ["trace_id"])
+    s = arranged(findings.marked(steps(spark, sf_dir)), ["trace_id"])
     cwds = s.where("cwd IS NOT NULL").selectExpr("cwd").distinct()
     docs = cwds.selectExpr("cwd AS dir", "concat(cwd, '/POLICY.md') AS path", "'project' AS scope", "'Rules of the house' AS title").union(spark.range(1).selectExpr("'' AS dir", "'/etc/POLICY.md' AS path", "'global' AS scope", "CAST(NULL AS STRING) AS title"))
     policies = findings.policy_in_force(cwds, docs).join(docs.select("path", "scope", "title"), "path")

@@ -51,13 +51,23 @@ def calls(*names: str) -> Column:
     return (F.col("action_type") == "tool_call") & F.coalesce(F.col("tool_name").isin(*names), F.lit(False))
 
 
+def marked(steps: DataFrame) -> DataFrame:
+    """steps with what the patterns say of a command: __verify, __commit and __tripped, the names of the default tripwires. Added before
+    steps are cached, they let a command meet each pattern once, however many rules and reports look at it."""
+    if "__tripped" in steps.columns:
+        return steps
+    hits = F.array_compact(F.array(*(F.when(matches(F.col("command"), p), F.lit(n)) for n, p in TRIPWIRES.items())))
+    bash = lambda c: F.when(is_bash(), c)
+    return steps.select("*", F.coalesce(bash(matches(F.col("command"), VERIFY)), F.lit(False)).alias("__verify"), F.coalesce(bash(matches(F.col("command"), COMMIT)), F.lit(False)).alias("__commit"), bash(hits).alias("__tripped"))
+
+
 def basename(path: Column) -> Column:
     """What follows the last slash; empty after a trailing one."""
     return F.element_at(F.split(path, "/"), -1)
 
 
 def normal_path(path: Column) -> Column:
-    """A path without `.`, `..` or doubled slashes; exactly two leading slashes stay."""
+    """A path without `.`, `..` or doubled slashes; exactly two leading slashes stay. One that has none is left as it is."""
     root = F.when(path.rlike("^//(?!/)"), "//").when(path.startswith("/"), "/").otherwise("")
     parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
 
@@ -66,7 +76,7 @@ def normal_path(path: Column) -> Column:
         return F.when(up, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
 
     joined = F.concat(root, F.array_join(F.aggregate(parts, F.expr("cast(array() as array<string>)"), step), "/"))
-    return F.when(joined == "", ".").otherwise(joined)
+    return F.when(~path.rlike(r"/\.{0,2}(/|$)|^\.{1,2}(/|$)|^$"), path).when(joined == "", ".").otherwise(joined)
 
 
 def under(path: Column, prefix: Column) -> Column:
@@ -152,8 +162,8 @@ def not_checked(traces: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 def churn_burst(steps: DataFrame, least: int | Column = CHURN) -> DataFrame:
     """At least `least` edits of one path with no verify command and no read of that path between."""
-    keys, verify = keys_of(steps), is_bash() & matches(F.col("command"), VERIFY)
-    own = chunked(steps).withColumn("least", F.lit(least) if isinstance(least, int) else least).withColumn("verify", verify.cast("int"))
+    keys = keys_of(steps)
+    own = chunked(marked(steps)).withColumn("least", F.lit(least) if isinstance(least, int) else least).withColumn("verify", F.col("__verify").cast("int"))
     own = own.where(F.col("verify").cast("boolean") | (calls(*EDITORS, "Read") & (F.coalesce(F.length("file_path"), F.lit(0)) > 0)))
     own = own.select(*place_of(own), "seq", "step_id", "file_path", "verify", "least", calls("Read").cast("int").alias("read"))
     own = running(own, keys, {"verified": Mark("sum", F.col("verify"))}).where("verify = 0")
@@ -170,8 +180,8 @@ def churn_burst(steps: DataFrame, least: int | Column = CHURN) -> DataFrame:
 def commit_without_tests(steps: DataFrame) -> DataFrame:
     """Commits with no verify command since the commit before, their own command included."""
     keys = keys_of(steps)
-    own = chunked(steps)
-    bash = own.where(is_bash()).select(*place_of(own), "seq", "step_id", "command", matches(F.col("command"), COMMIT).alias("commit"), matches(F.col("command"), VERIFY).alias("verify"))
+    own = chunked(marked(steps))
+    bash = own.where(is_bash()).select(*place_of(own), "seq", "step_id", "command", F.col("__commit").alias("commit"), F.col("__verify").alias("verify"))
     marks = {"tested": Mark("max", F.when(F.col("verify"), F.col("seq"))), "before": Mark("max", F.when(F.col("commit"), F.col("seq")), before=True)}
     tested = F.col("tested").isNotNull() & (F.col("before").isNull() | (F.col("tested") > F.col("before")))
     return running(bash, keys, marks).where(F.col("commit") & ~tested).select(*finding(keys, "commit-without-tests", "medium", {"command": F.col("command")}))
@@ -182,6 +192,8 @@ def tripwires(steps: DataFrame, patterns: dict[str, str] = TRIPWIRES, rules: Dat
     instead of those of the same name. They meet the commands of that tenant alone."""
     commands = steps.where(is_bash() & F.col("command").isNotNull())
     common = F.filter(F.array(*(F.when(matches(F.col("command"), p), F.lit(n)) for n, p in patterns.items())).cast("array<string>"), lambda x: x.isNotNull())
+    if patterns is TRIPWIRES and "__tripped" in steps.columns:
+        common = F.col("__tripped")
     if rules is None:
         hits = commands.withColumn("name", F.explode(common))
     else:
@@ -297,7 +309,8 @@ def analyze(steps: DataFrame, roots: DataFrame | None = None, rules: dict | Data
     table = rules if isinstance(rules, DataFrame) else None
     given = rules if isinstance(rules, dict) else {}
     there = table is None and "several" in steps.columns
-    narrow = steps.select(*(place_of if there else keys_of)(steps), *NARROW, *(["tenant"] if table is not None and "tenant" in steps.columns else []))
+    marks = [c for c in ("__verify", "__commit", "__tripped") if there and c in steps.columns]
+    narrow = steps.select(*(place_of if there else keys_of)(steps), *NARROW, *marks, *(["tenant"] if table is not None and "tenant" in steps.columns else []))
     limit = {k: F.lit(given.get(k, v)) for k, v in LIMITS.items()}
     if table is not None:
         narrow = _of_tenants(narrow, table.select("tenant", *(F.col(k).alias(f"own_{k}") for k in LIMITS)))

@@ -220,6 +220,29 @@ def test_normal_path(spark, path):
     assert spark.range(1).select(findings.normal_path(F.lit(path)).alias("p")).first()["p"] == posixpath.normpath(path)
 
 
+def test_plain_paths_are_normal_already(spark):
+    import posixpath
+
+    r = random.Random(5)
+    paths = [r.choice(["", "/", "//"]) + "/".join(r.choices(["a", "b.c", "...", ".x", "..y", "x..", ".", "..", "", "é", "a b\n"], k=r.randint(1, 5))) for _ in range(500)]
+    df = spark.createDataFrame([(p,) for p in paths], "path string").repartition(2)
+    assert all(x["p"] == posixpath.normpath(x["path"]) for x in df.select("path", findings.normal_path(F.col("path")).alias("p")).collect())
+
+
+def test_commands_meet_the_patterns_before_steps_are_cached(spark):
+    """Rules and timeline go by the marks of arranged steps, and do not try the patterns again; both ways the rows are the same."""
+    df = spark.createDataFrame(random_steps(3), SCHEMA)
+    marked = findings.marked(df)
+    own = scans.arranged(marked, ["trace_id"])
+    for f in (findings.analyze, report.timeline):
+        assert sorted(map(str, f(own).collect())) == sorted(map(str, f(df).collect()))
+    none = marked.withColumn("__verify", F.lit(False)).withColumn("__commit", F.lit(False)).withColumn("__tripped", F.array().cast("array<string>"))
+    none = scans.arranged(none, ["trace_id"])
+    assert findings.analyze(none).where("rule_id LIKE 'tripwire%' OR rule_id LIKE 'commit%'").count() == 0
+    assert report.timeline(none).where("kind IN ('tripwire', 'commit', 'test')").count() == 0
+    assert report.timeline(own).where("kind IN ('tripwire', 'commit', 'test')").count() > 0
+
+
 @pytest.mark.parametrize("few", [0, 3, 32])
 def test_mentions_by_an_automaton_or_one_by_one(spark, monkeypatch, few):
     """Names within names and texts, many names in one trace, chunks: the same as a search for each name in each later text."""
