@@ -284,18 +284,21 @@ def abandoned_artifacts(steps: DataFrame, texts: DataFrame | None = None) -> Dat
     """Writes whose basename no later edit, read, command or result mentions: the last mention of each distinct name is enough.
 
     texts: where to read the mentions from, if steps lack tool_result. The texts of a trace are looked at once: for its FEW_NAMES names one
-    by one, or by an automaton where it has more. Only hits become rows."""
+    by one, or by an automaton where it has more; arranged steps are asked first whether there is such a trace, as all texts move once more
+    to be joined with those that have many. Only hits become rows."""
     keys = keys_of(steps)
     writes = steps.where(calls("Write")).select(*keys, "seq", "step_id", "file_path", basename(F.col("file_path")).alias("name")).where("name <> ''")
     distinct = writes.groupBy(*keys, "name").agg(F.min("seq").alias("first"))
     own = distinct.groupBy(*keys).agg(F.min("first").alias("first"), F.count("*").alias("n"))
     said = F.when(calls("Edit", "Read", "NotebookEdit"), F.col("file_path")).when(is_bash(), F.col("command")).when(F.col("action_type") == "env_effect", F.col("tool_result"))
     mentions = (steps if texts is None else texts).select(*keys, F.col("seq").alias("at"), said.alias("said")).where("said <> ''")
+    crowded = "several" not in steps.columns or not own.where(F.col("n") > FEW_NAMES).isEmpty()
     few, many = (distinct.join(own.where(which).select(*keys), keys, "left_semi") for which in (F.col("n") <= FEW_NAMES, F.col("n") > FEW_NAMES))
-    listed = few.groupBy(*keys).agg(F.collect_list("name").alias("names"), F.min("first").alias("first"))
+    listed = (few if crowded else distinct).groupBy(*keys).agg(F.collect_list("name").alias("names"), F.min("first").alias("first"))
     hits = mentions.join(listed, keys).where("at > first").select(*keys, "at", F.explode(F.filter("names", lambda n: F.contains(F.col("said"), n))).alias("name")).groupBy(*keys, "name").agg(F.max("at").alias("last"))
-    long = mentions.join(own.where(F.col("n") > FEW_NAMES).select(*keys, "first"), keys).where("at > first").drop("first")
-    hits = hits.unionByName(_mentioned(chunked(long, "at"), many.drop("first"), keys))
+    if crowded:
+        long = mentions.join(own.where(F.col("n") > FEW_NAMES).select(*keys, "first"), keys).where("at > first").drop("first")
+        hits = hits.unionByName(_mentioned(chunked(long, "at"), many.drop("first"), keys))
     late = writes.join(hits, [*keys, "name"], "left").where("last IS NULL OR last <= seq")
     return late.select(*finding(keys, "abandoned-artifact", "low", {"file_path": F.col("file_path"), "basename": F.col("name")}))
 
@@ -315,7 +318,7 @@ def analyze(steps: DataFrame, roots: DataFrame | None = None, rules: dict | Data
     if table is not None:
         narrow = _of_tenants(narrow, table.select("tenant", *(F.col(k).alias(f"own_{k}") for k in LIMITS)))
         limit = {k: F.coalesce(f"own_{k}", F.lit(v)) for k, v in LIMITS.items()}
-    own = narrow if there else arranged(narrow, keys_of(steps))
+    own = narrow if there else arranged(marked(narrow), keys_of(steps))
     out = scope_escape(own, roots, given.get("scratch_prefixes", SCRATCH), given.get("roots"), table)
     out = out.unionByName(churn_burst(own, limit["churn_threshold"])).unionByName(commit_without_tests(own))
     out = out.unionByName(tripwires(own, given.get("tripwire_patterns", TRIPWIRES), table))

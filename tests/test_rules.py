@@ -243,6 +243,21 @@ def test_commands_meet_the_patterns_before_steps_are_cached(spark):
     assert report.timeline(own).where("kind IN ('tripwire', 'commit', 'test')").count() > 0
 
 
+@pytest.mark.parametrize("tenants", [False, True])
+def test_texts_meet_an_automaton_only_if_a_trace_has_many_names(spark, monkeypatch, tenants):
+    """Arranged steps are asked first; where no trace has many names, its texts do not move a second time."""
+    rows = random_steps(4)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("tenant", F.col("trace_id"))
+    rules = findings.in_force(findings.layered(spark.createDataFrame([("t1", 0, "churn_threshold", "2")], "tenant string, layer int, key string, value string"))) if tenants else None
+    want = sorted(map(str, findings.abandoned_artifacts(df).collect()))
+    calls, search = [], findings._mentioned
+    monkeypatch.setattr(findings, "_mentioned", lambda *xs: calls.append(1) or search(*xs))
+    found = lambda: sorted(map(str, findings.analyze(df, rules=rules).where("rule_id = 'abandoned-artifact'").collect()))
+    assert found() == want and want and not calls
+    monkeypatch.setattr(findings, "FEW_NAMES", 1)
+    assert found() == want and calls
+
+
 @pytest.mark.parametrize("few", [0, 3, 32])
 def test_mentions_by_an_automaton_or_one_by_one(spark, monkeypatch, few):
     """Names within names and texts, many names in one trace, chunks: the same as a search for each name in each later text."""
