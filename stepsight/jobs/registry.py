@@ -832,19 +832,14 @@ def e9_offence_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s1_unread_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the transcripts is read and noted; the others come later and are what a second run reads."""
     lines, folder = raw_lines(spark, sf_dir, "u"), f"{shared_dir(spark)}/transcripts-{uuid.uuid4().hex}"
-    book = f"{folder}/ledger"
-
-    def written(own: DataFrame) -> None:
-        rows = own.select("session", "value").repartition("session").write.mode("append").partitionBy("session")
-        rows.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(f"{folder}/logs")  # tasks put the files in place, not the driver one by one
-
-    written(lines.where("u % 3 = 2"))
-    first, entries = ledger.read_unread(spark, f"{folder}/logs", book)
+    logs, book = f"{folder}/logs", f"{folder}/ledger"
+    sessions.write_lines(lines.where("u % 3 = 2"), logs)
+    first, entries = ledger.read_unread(spark, logs, book)
     first.count()
     ledger.noted(entries, book)
-    written(lines.where("u % 3 < 2"))
-    again, _ = ledger.read_unread(spark, f"{folder}/logs", book)
-    return again.select(F.regexp_extract("path", "session=([^/]+)/", 1).alias("session")).groupBy("session").agg(F.count("*").alias("n"))
+    sessions.write_lines(lines.where("u % 3 < 2"), logs)
+    again, _ = ledger.read_unread(spark, logs, book)
+    return again.groupBy("session").agg(F.count("*").alias("n"))
 
 
 @query(f"{DUCKDB} SELECT trace_id, seq - 1 AS seq, step_id, declared_intent, tool_name FROM steps")

@@ -31,9 +31,10 @@ def read_unread(spark: SparkSession, glob: str, ledger: str) -> tuple[DataFrame,
     """The lines of unread transcripts, as read_lines() has them, and the entries to give to noted() once they are dealt with.
 
     Files older than all unread ones are not opened, as their time is held against the listing; of those younger only unread ones are kept.
-    The entries are listed once, into a table of the shared folder: each further look at them would be one at every file."""
+    The entries are listed once, into a table of the shared folder: each further look at them would be one at every file. Its files, and
+    so the ledger's, are as many as its size asks for, not one for each few transcripts."""
     path = f"{shared_dir(spark)}/entries-{uuid.uuid4().hex}"
-    unread(spark, glob, ledger).write.parquet(path)
+    unread(spark, glob, ledger).hint("rebalance").write.parquet(path)
     entries = spark.read.schema(ENTRY).parquet(path)
     since = entries.agg(F.min("time").alias("t")).first()["t"]
     lines = read_lines(spark, glob, since)

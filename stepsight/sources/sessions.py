@@ -22,15 +22,17 @@ ACTIVE = ("pending", "in_progress")
 
 def read_lines(spark: SparkSession, glob: str, since: datetime | None = None) -> DataFrame:
     """session (file stem), agent_id (subagent files), path, line (sortable place in its file), value for every JSON object line of JSONL
-    files; since: only of files last written then or later."""
+    files; since: only of files last written then or later. Files not named .jsonl hold many transcripts, as write_lines() leaves them:
+    there the session is what the record calls it."""
     text = spark.read.text(glob)
     if since is not None:
         text = text.where(F.col("_metadata.file_modification_time") >= F.lit(since))
     lines = text.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
     ok = F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull()
     path = F.col("file_path")
+    stem = F.regexp_extract(path, r"/([^/]+)(?:/subagents/agent-[^/]+)?\.jsonl$", 1)  # from a slash on: else it is tried at each character, on every line
     return lines.where(ok).select(
-        F.regexp_extract(path, r"([^/]+)(?:/subagents/agent-[^/]+)?\.jsonl$", 1).alias("session"),
+        F.when(path.endswith(".jsonl"), stem).otherwise(F.coalesce(F.get_json_object("value", "$.sessionId"), F.lit(""))).alias("session"),
         F.nullif(F.regexp_extract(path, r"/subagents/agent-([^/]+)\.jsonl$", 1), F.lit("")).alias("agent_id"),
         path.alias("path"),
         F.struct("file_block_start", "id").alias("line"),
@@ -38,6 +40,14 @@ def read_lines(spark: SparkSession, glob: str, since: datetime | None = None) ->
     )
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Adds transcripts (session, line, value; each record names its session) to a folder, whole and in order, many to a file: files grow
+    with bytes, not with sessions, as each costs its writer, every listing and every look at it more than its few lines do. No file is
+    changed later: of a transcript that grew either its new lines are added or, for runs that want all of it, the whole."""
+    whole = lines.repartition("session").sortWithinPartitions("session", "line")
+    whole.select("value").write.mode("append").text(path)
+
+
 def read_subagent_meta(spark: SparkSession, glob: str) -> DataFrame:
     """session, agent_id, tool_use_id, description of every readable sidecar; tool_use_id is null where the key is missing."""
     files = spark.read.text(glob, wholetext=True).select("value", "_metadata.file_path").where(F.try_parse_json("value").isNotNull())

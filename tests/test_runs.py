@@ -4,12 +4,16 @@ import hashlib
 import json
 import random
 import time
+from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from stepsight.functions import scans
 from stepsight.functions.pyjson import canonical_json, is_flat, py_repr
+from stepsight.functions.tables import shared_dir
+from stepsight.jobs import registry
 from stepsight.operators import attest, corpus, drift, evaluate, findings, report
 from stepsight.sources import adapters, documents, ledger, sessions
 
@@ -311,6 +315,33 @@ def test_unread_files_are_looked_at_once(spark, tmp_path):
     assert left.count() == again.count() == 1
 
 
+def test_transcripts_share_files(spark, tmp_path):
+    """Files and ledger grow with bytes, not with sessions: each session had a folder and a file of its own before."""
+    when = datetime(2024, 1, 1)
+    events = [(1000 * u + i, when, u, ("click", "view", "error")[i % 3], 1.0, f'{{"k": {i}}}') for u in range(60) for i in range(11)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    shared = Path(shared_dir(spark))
+    before = set(shared.glob("transcripts-*"))
+    got = registry.QUERIES["s1_unread_transcripts"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((str(u), 11) for u in range(60) if u % 3 < 2)
+    (folder,) = set(shared.glob("transcripts-*")) - before
+    assert len(list(folder.rglob("*.txt"))) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) and len(list(folder.glob("ledger/*.parquet"))) == 1
+
+
+def test_a_file_holds_whole_transcripts_in_order(spark, tmp_path):
+    logs, book = str(tmp_path / "logs"), str(tmp_path / "book")
+    for run, ids in enumerate((range(20), range(20, 25))):
+        rows = [(f"s {i}/{i}", j, json.dumps({"type": "user", "uuid": str(j), "sessionId": f"s {i}/{i}"})) for j in (*range(6, 12), *range(6)) for i in ids]
+        sessions.write_lines(spark.createDataFrame(rows, "session string, line int, value string").repartition(5), logs)
+        lines, entries = ledger.read_unread(spark, logs, book)
+        found = {}
+        for r in lines.orderBy("path", "line").collect():
+            found.setdefault((r["session"], r["path"]), []).append(int(json.loads(r["value"])["uuid"]))
+        assert sorted(s for s, _ in found) == sorted(f"s {i}/{i}" for i in ids) and all(v == list(range(12)) for v in found.values()), run
+        ledger.noted(entries, book)
+    assert ledger.unread(spark, logs, book).count() == 0
+
+
 def test_a_line_is_parsed_once_whatever_is_asked_of_its_record(spark):
     rows = [("s", 0, '{"type":"user","uuid":"a"}'), ("s", 1, "[1]"), ("s", 2, "no"), ("s", 3, None), ("s", 4, '{"type":"mystery"}'), ("s", 5, '{"type":"user"}'), ("s", 6, "{}")]
     r = sessions.records(spark.createDataFrame(rows, "session string, line int, value string"))
