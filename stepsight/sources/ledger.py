@@ -14,8 +14,8 @@ ENTRY = "path string, length bigint, time timestamp"
 
 
 def files(spark: SparkSession, glob: str) -> DataFrame:
-    """path, length, time of the files there are; their contents are not read."""
-    return spark.read.format("binaryFile").load(glob).select("path", "length", F.col("modificationTime").alias("time"))
+    """path (spelled as read_lines() has it: a space is %20), length, time of the files there are; their contents are not read."""
+    return spark.read.format("binaryFile").load(glob).select(F.col("_metadata.file_path").alias("path"), "length", F.col("modificationTime").alias("time"))
 
 
 def known(spark: SparkSession, ledger: str) -> DataFrame:

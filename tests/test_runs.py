@@ -315,6 +315,18 @@ def test_unread_files_are_looked_at_once(spark, tmp_path):
     assert left.count() == again.count() == 1
 
 
+def test_files_with_odd_names_are_read(spark, tmp_path):
+    """The entries spelled a space as it is and the lines' paths as %20: such transcripts were noted as read and none of their lines came."""
+    logs, book = tmp_path / "my logs", str(tmp_path / "book")
+    logs.mkdir()
+    for name in ("s 1", "s%41", "s+2", "sü"):
+        (logs / f"{name}.jsonl").write_text('{"type":"user"}\n')
+    for run in (4, 0):
+        lines, entries = ledger.read_unread(spark, str(logs), book)
+        assert lines.count() == entries.count() == run
+        ledger.noted(entries, book)
+
+
 def test_transcripts_share_files(spark, tmp_path):
     """Files and ledger grow with bytes, not with sessions: each session had a folder and a file of its own before."""
     when = datetime(2024, 1, 1)
